@@ -16,6 +16,7 @@ from marketladder.functions.plans import (
 )
 from marketladder.operators.items import max_occurrences, price_ratio_median
 from marketladder.operators.numbering import number_in_group, position_range
+from marketladder.session import stored
 
 IDENTITY = ["product_id", "offer_name", "billing_period", "family_id"]
 
@@ -106,7 +107,8 @@ def discover_plans(
     ``numbered``: items with app_id, region, ord, pos, name, price, occurrence
     and identity columns.  ``curated``: app_id, plan_id, label, period,
     aliases, occurrence, curated_ord.  ``anchor``: condition selecting the rows
-    of the anchor market.
+    of the anchor market.  Both tables are read several times, so pass tables
+    that are stored.
     """
     kept = usable_curated(numbered, curated)
     covered = kept.select("app_id", F.explode("aliases").alias("name"), "occurrence")
@@ -134,7 +136,7 @@ def discover_plans(
         F.lit(False).alias("discovered"), F.col("curated_ord").cast("bigint").alias("curated_ord"),
         F.lit(0).cast("bigint").alias("first_ord"), F.lit(0).cast("bigint").alias("first_pos"),
     )
-    plans = enrich_display(listed.unionByName(automatic), numbered.filter(anchor), pos_range)
+    plans = stored(enrich_display(listed.unionByName(automatic), numbered.filter(anchor), pos_range))
     order = [F.col(c) for c in ("discovered", "curated_ord", "first_ord", "first_pos", "occurrence")]
     bucket = F.when(F.col("discovered"), position_range("occurrence")).otherwise(F.lit(-1).cast("bigint"))
     return number_ambiguous_labels(plans, order, bucket)

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marketladder.functions.plans import YEAR, MONTH
 from marketladder.operators import items, plans
-from marketladder.operators.numbering import number_in_group
 from marketladder.plans import fixtures as fx
 from marketladder.plans.oracle_base import OBS, amount
 from marketladder.plans.q_functions import BASE36_SQL, HASH_SQL, INFER_SQL, SLUG_SQL, _java_free
 from marketladder.functions import plans as words
 from marketladder.plans.registry import query
+from marketladder.session import stored
 
 CELL = ["snap", "app_id", "region"]
 
@@ -42,13 +42,13 @@ def _normalize(spark: SparkSession, sf: str) -> DataFrame:
     "exclude_items",
     "O36",
     f"""WITH {OBS}, listed AS (SELECT DISTINCT app_id, upper(p_type) AS name FROM
-        (SELECT (100000 + p_partkey % 20)::VARCHAR AS app_id, p_type FROM part WHERE p_partkey % 20 < 6 AND p_type IN ('SMALL', 'LARGE')))
+        (SELECT (100000 + p_partkey % 20)::VARCHAR AS app_id, p_type FROM part WHERE p_type IN ('SMALL', 'LARGE')))
     SELECT o.snap, o.app_id, o.region, o.name, count(*) AS rows FROM obs o
     LEFT JOIN listed l ON l.app_id = o.app_id AND lower(l.name) = lower(o.name) WHERE l.app_id IS NULL GROUP BY ALL""",
 )
 def _exclude(spark: SparkSession, sf: str) -> DataFrame:
     part = fx.table(spark, sf, "part")
-    listed = part.filter((F.col("p_partkey") % 20 < 6) & F.col("p_type").isin("SMALL", "LARGE")).select(
+    listed = part.filter(F.col("p_type").isin("SMALL", "LARGE")).select(
         (F.col("p_partkey") % 20 + 100000).cast("string").alias("app_id"), F.upper("p_type").alias("name")
     )
     kept = items.exclude_items(fx.observations(spark, sf), listed)
@@ -159,7 +159,7 @@ def curated(observations: DataFrame) -> DataFrame:
 def after(spark: SparkSession, sf: str) -> DataFrame:
     """Numbered items of the newer snapshot, one row per product in a cell."""
     newer = fx.observations(spark, sf).filter("snap = 'after'")
-    return items.occurrence_number(one_per_product(newer), pos_range=fx.pos_range())
+    return stored(items.occurrence_number(stored(one_per_product(newer)), pos_range=fx.pos_range()))
 
 
 def one_per_product(observations: DataFrame) -> DataFrame:

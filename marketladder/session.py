@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,31 +25,31 @@ def local_session(cores: str = "*", name: str = "marketladder") -> SparkSession:
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the cluster names it.
 
-    A machine-local folder is set only for a local master that has none; on a
-    cluster a missing setting is an error, since executors can be lost.
+    A machine-local folder is made only for a local master that names none; on
+    a cluster a missing setting is an error, since executors can be lost.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
-        if not current:
-            spark.sparkContext.setCheckpointDir(configured)
         return configured
-    if current:
-        return current
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster")
-    folder = tempfile.mkdtemp(prefix="marketladder-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="marketladder-"))
+    return spark.conf.get("spark.checkpoint.dir")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of any executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame) -> DataFrame:
+    """Write a result that is used several times, and read it back.
+
+    Cuts the lineage, so the work above runs once and survives lost executors;
+    the columnar copy keeps column pruning and tells Spark its real size.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/marketladder/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
