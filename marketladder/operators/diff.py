@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketladder.functions.status import diff_state
 from marketladder.operators.numbering import number_in_group, position_range
+from marketladder.session import stored
 
 CELL = ("app_id", "region")
 ITEM = ("name", "price")
@@ -41,15 +42,29 @@ def pair_updates(
     kind: updated (before and after price), removed or added; ``seq`` is the
     position that orders rows of a kind inside the cell.
     """
-    keys = [*cell, "name"]
-    bucket = position_range("pos") if pos_range is None else pos_range
-    gone = number_in_group(removed, keys, ["pos"], bucket, "n").select(
-        *keys, "n", F.col("price").alias("before_price"), F.col("pos").alias("before_pos")
+    columns = [*cell, "pos", *ITEM]
+    sides = removed.select(*columns, F.lit("before").alias("side")).unionByName(
+        added.select(*columns, F.lit("after").alias("side"))
     )
-    new = number_in_group(added, keys, ["pos"], bucket, "n").select(
-        *keys, "n", F.col("price").alias("after_price"), F.col("pos").alias("after_pos")
+    return _pair(sides, cell, position_range("pos") if pos_range is None else pos_range)
+
+
+def _pair(sides: DataFrame, cell: Sequence[str], bucket: Column) -> DataFrame:
+    """Rows of both sides to pairs: the n-th of a name meets the n-th.
+
+    At most two rows share (cell, name, number), so a hash aggregate over that
+    key replaces a join of the two sides.
+    """
+    keys = [*cell, "name"]
+    numbered = number_in_group(sides, [*keys, "side"], ["pos"], bucket, "n")
+
+    def of(side: str, column: str) -> Column:
+        return F.max(F.when(F.col("side") == side, F.col(column)))
+
+    paired = numbered.groupBy(*keys, "n").agg(
+        of("before", "price").alias("before_price"), of("after", "price").alias("after_price"),
+        of("before", "pos").alias("before_pos"), of("after", "pos").alias("after_pos"),
     )
-    paired = gone.join(new, [*keys, "n"], "full")
     kind = (
         F.when(F.col("after_price").isNull(), "removed")
         .when(F.col("before_price").isNull(), "added")
@@ -117,11 +132,28 @@ def item_changes(
         .select(*CELL)
     )
     columns = [*CELL, "pos", *ITEM]
-    old = before_items.select(*columns).join(verified, [*CELL], "left_semi")
-    new = after_items.select(*columns).join(verified, [*CELL], "left_semi")
-    removed = bag_difference(old, new, pos_range=pos_range)
-    added = bag_difference(new, old, pos_range=pos_range)
-    return pair_updates(removed, added, pos_range=pos_range)
+    sides = (
+        before_items.select(*columns, F.lit("before").alias("side"))
+        .unionByName(after_items.select(*columns, F.lit("after").alias("side")))
+        .join(verified, [*CELL], "left_semi")
+    )
+    old, new = F.col("side") == "before", F.col("side") == "after"
+    # Between two snapshots most prices agree.  Counting first leaves only the
+    # prices whose numbers differ, and of those only the larger side.
+    uneven = (
+        sides.groupBy(*CELL, *ITEM)
+        .agg(F.count(F.when(old, 1)).alias("__b"), F.count(F.when(new, 1)).alias("__a"))
+        .filter(F.col("__b") != F.col("__a"))
+    )
+    larger = (old & (F.col("__b") > F.col("__a"))) | (new & (F.col("__a") > F.col("__b")))
+    rows = stored(
+        sides.join(uneven, [*CELL, *ITEM])
+        .filter(larger)
+        .select(*columns, "side", F.least("__a", "__b").alias("__cancel"))
+    )
+    bucket = position_range("pos") if pos_range is None else pos_range
+    left = number_in_group(rows, [*CELL, *ITEM], ["pos"], bucket, "__n").filter(F.col("__n") >= F.col("__cancel"))
+    return _pair(left.drop("__n", "__cancel"), CELL, bucket)
 
 
 def snapshot_diff(before_cells: DataFrame, after_cells: DataFrame, changes: DataFrame) -> DataFrame:

@@ -143,7 +143,7 @@ def _whole_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _jumps(batch: pd.DataFrame, interval: int) -> tuple[np.ndarray, np.ndarray]:
     """Run numbers, and for each row the next row an interval later (-1: none)."""
     run = _runs(batch["key"].to_numpy(), batch["block"].to_numpy())
-    at = batch["at"].to_numpy()
+    at = batch["at_ms"].to_numpy()
     span = int(at.max() - at.min()) + interval + 1
     line = run.astype(np.int64) * span + (at - at.min())
     target = np.searchsorted(line, line + interval)
@@ -167,17 +167,17 @@ def cooldown(requests: DataFrame, seconds: int = MANUAL) -> DataFrame:
     interval = seconds * 1000
     span = interval * BLOCK_INTERVALS
     distinct = (
-        requests.withColumn("at", millis(F.col("ts")))
-        .groupBy("key", "at")
+        requests.withColumn("at_ms", millis(F.col("ts")))
+        .groupBy("key", "at_ms")
         .agg(F.min("event_id").alias("event_id"))
-        .withColumn("block", F.floor(F.col("at") / F.lit(span)).cast("bigint"))
+        .withColumn("block", F.floor(F.col("at_ms") / F.lit(span)).cast("bigint"))
     )
     key_type = distinct.schema["key"].dataType.simpleString()
 
     def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _whole_runs(batches):
             run, jump = _jumps(batch, interval)
-            at = batch["at"].to_numpy()
+            at = batch["at_ms"].to_numpy()
             early = at - batch["block"].to_numpy() * span < interval
             # the first row behind the early ones of its run is an entry too
             previous_early = np.concatenate(([False], early[:-1]))
@@ -216,15 +216,15 @@ def cooldown(requests: DataFrame, seconds: int = MANUAL) -> DataFrame:
         for batch in _whole_runs(batches):
             _, jump = _jumps(batch, interval)
             taken = np.zeros(len(batch), dtype=bool)
-            current = np.flatnonzero(batch["at"].to_numpy() == batch["entry"].to_numpy())
+            current = np.flatnonzero(batch["at_ms"].to_numpy() == batch["entry"].to_numpy())
             while len(current):
                 taken[current] = True
                 step = jump[current]
                 current = step[step >= 0]
-            yield batch.loc[taken, ["key", "at", "event_id"]]
+            yield batch.loc[taken, ["key", "at_ms", "event_id"]]
 
     by_block = distinct.repartition("key", "block")
-    table = by_block.sortWithinPartitions("key", "block", "at").mapInPandas(
+    table = by_block.sortWithinPartitions("key", "block", "at_ms").mapInPandas(
         entries, f"key {key_type}, block bigint, entry bigint, leave bigint"
     )
     entered = (
@@ -235,8 +235,8 @@ def cooldown(requests: DataFrame, seconds: int = MANUAL) -> DataFrame:
     return (
         distinct.join(entered, ["key", "block"])
         .repartition("key", "block")
-        .sortWithinPartitions("key", "block", "at")
-        .mapInPandas(walk, f"key {key_type}, at bigint, event_id bigint")
+        .sortWithinPartitions("key", "block", "at_ms")
+        .mapInPandas(walk, f"key {key_type}, at_ms bigint, event_id bigint")
     )
 
 

@@ -387,7 +387,7 @@ def _local_time(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "freshness_label",
     "O32",
-    f"""WITH a AS (SELECT event_id, greatest(0, epoch_ms(TIMESTAMP '2024-01-29 12:00:00') - epoch_ms(ts)) AS age FROM events)
+    f"""WITH a AS (SELECT event_id, greatest(0, (epoch_us(TIMESTAMP '2024-01-29 12:00:00') // 1000) - (epoch_us(ts) // 1000)) AS age FROM events)
     SELECT event_id, CASE WHEN age < 120000 THEN '刚刚' WHEN age < 3600000 THEN (age // 60000) || ' 分钟前'
       WHEN age < 86400000 THEN (age // 3600000) || ' 小时前' ELSE (age // 86400000) || ' 天前' END AS label,
       CASE WHEN age > 604800000 THEN 'stale' ELSE 'snapshot' END AS tone FROM a""",
