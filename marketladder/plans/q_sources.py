@@ -238,7 +238,7 @@ def payloads(spark: SparkSession, sf: str) -> DataFrame:
     shown = F.when(line == 3, F.slice(products, 4, 2)).otherwise(products)
     view = F.when(line != 2, F.struct(F.struct(shown.alias("data")).alias("top-in-app-purchasables")))
     app = F.struct(
-        F.when(line == 1, F.lit("1")).otherwise(key.cast("string")).alias("id"),
+        F.when(line == 1, F.lit("other")).otherwise(key.cast("string")).alias("id"),
         F.struct(F.lit(" App ").alias("name"), none.alias("artistName"), F.lit("u").alias("url")).alias("attributes"),
         view.alias("views"),
     )

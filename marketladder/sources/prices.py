@@ -6,6 +6,8 @@ lengths of the pieces between them.  A page is one row and is read whole.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marketladder.functions.amounts import numeric_amount
@@ -113,43 +115,43 @@ def html_to_text(html: Column, drop_scripts: bool = True) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)[\s\uFEFF]+", " "))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out a single time."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def spans(text: Column, pattern: Column) -> Column:
-    """Every match with 0-based start and end, its text and its first group."""
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    pieces = F.split(text, pattern, -1)
+    """0-based start and end of every match: array of (start, end)."""
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(whole)), whole, lambda p, m: F.struct(F.length(p).alias("skip"), F.length(m).alias("size")))
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["skip"] + s["size"]).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + s["skip"]).alias("start"),
-                        (acc["at"] + s["skip"] + s["size"]).alias("end"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.coalesce(walked, empty)
+    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+
+    def walk(matches: Column) -> Column:
+        skipped = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
+        steps = F.zip_with(skipped, matches, lambda p, m: F.struct(F.length(p).alias("skip"), F.length(m).alias("size")))
+        return F.aggregate(steps, start, step, lambda acc: acc["out"])
+
+    def step(acc: Column, s: Column) -> Column:
+        begin = acc["at"] + s["skip"]
+        span = F.struct(begin.alias("start"), (begin + s["size"]).alias("end"))
+        return F.struct((begin + s["size"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    return once(found, lambda matches: F.when(F.size(matches) > 0, walk(matches)).otherwise(empty))
 
 
 def _mentions_of(text: Column, pattern: Column, prefix: Column, number: int) -> Column:
-    amounts = F.regexp_extract_all(text, pattern, F.lit(1))
+    amounts = F.transform(
+        F.regexp_extract_all(text, pattern, F.lit(1)),
+        lambda raw: F.struct(raw.alias("raw"), F.regexp_replace(raw, "[.,]+$", "").alias("kept")),
+    )
 
-    def mention(span: Column, raw: Column) -> Column:
-        amount = F.regexp_replace(raw, "[.,]+$", "")
+    def mention(span: Column, amount: Column) -> Column:
         return F.struct(
             span["start"].alias("start"),
             F.lit(number).alias("form"),
-            (span["end"] - F.length(raw) + F.length(amount)).alias("end"),
-            amount.alias("amount"),
-            F.concat(prefix, amount).alias("price"),
+            (span["end"] - F.length(amount["raw"]) + F.length(amount["kept"])).alias("end"),
+            amount["kept"].alias("amount"),
+            F.concat(prefix, amount["kept"]).alias("price"),
         )
 
     return F.filter(F.zip_with(spans(text, pattern), amounts, mention), lambda m: m["amount"].rlike("[0-9]"))
@@ -161,21 +163,31 @@ def price_mentions(text: Column, currency: Column) -> Column:
     first = lookup(currency, {c: p[1] for c, p in PRICE_PATTERNS.items()})
     second = lookup(currency, {c: p[2] for c, p in PRICE_PATTERNS.items() if p[2]})
     none = F.array().cast("array<struct<start:int,form:int,end:int,amount:string,price:string>>")
-    found = F.array_sort(
-        F.concat(
-            F.coalesce(_mentions_of(text, first, prefix, 0), none),
-            F.coalesce(_mentions_of(text, second, prefix, 1), none),
-        )
-    )
-    # Two patterns can find one amount at one place; sorted, they are neighbours.
-    return F.filter(
-        found,
-        lambda m, i: (i == 0)
-        | ~(
-            (F.get(found, i - 1)["start"] == m["start"])
-            & (F.get(found, i - 1)["price"] == m["price"])
-        ),
-    )
+
+    def read(page: Column) -> Column:
+        one = F.coalesce(_mentions_of(page["text"], page["first"], page["prefix"], 0), none)
+        two = _mentions_of(page["text"], page["second"], page["prefix"], 1)
+        both = once(F.array_sort(F.concat(one, F.coalesce(two, none))), _without_repeats)
+        return F.when(page["second"].isNull(), one).otherwise(both)
+
+    page = F.struct(text.alias("text"), prefix.alias("prefix"), first.alias("first"), second.alias("second"))
+    return once(page, read)
+
+
+def _without_repeats(found: Column) -> Column:
+    """Two patterns can find one amount at one place; sorted, they are neighbours."""
+
+    def new(m: Column, i: Column) -> Column:
+        before = F.get(found, i - 1)
+        return (i == 0) | (before["start"] != m["start"]) | (before["price"] != m["price"])
+
+    return F.filter(found, new)
+
+
+def _kept_apart(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns behind a generator, so that later filters do not repeat them."""
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
 
 
 def extract_price_mentions(pages: DataFrame, keys: list[str], text: str = "text", currency: str = "currency") -> DataFrame:
@@ -250,15 +262,17 @@ def _scored(text: Column, mentions: Column, pattern: str, service: Column) -> Co
         )
         return F.struct(m["price"].alias("price"), points.alias("points"))
 
-    rated = F.filter(F.transform(mentions, score), lambda s: s["points"].isNotNull())
-    prices = F.array_distinct(F.transform(rated, lambda s: s["price"]))
+    def best(rated: Column) -> Column:
+        prices = F.array_distinct(F.transform(rated, lambda s: s["price"]))
+
+        def total(price: Column, place: Column) -> Column:
+            own = F.transform(F.filter(rated, lambda s: s["price"] == price), lambda s: s["points"])
+            points = F.array_max(own) + F.least(F.size(own), F.lit(8))
+            return F.struct(points.alias("points"), (-place).alias("place"), price.alias("price"))
 
-    def total(price: Column, place: Column) -> Column:
-        own = F.filter(rated, lambda s: s["price"] == price)
-        best = F.array_max(F.transform(own, lambda s: s["points"]))
-        return F.struct((best + F.least(F.size(own), F.lit(8))).alias("points"), (-place).alias("place"), price.alias("price"))
+        return F.array_max(F.transform(prices, total))["price"]
 
-    return F.array_max(F.transform(prices, total))["price"]
+    return once(F.filter(F.transform(mentions, score), lambda s: s["points"].isNotNull()), best)
 
 
 def assign_cadence(pages: DataFrame, cadence: str) -> DataFrame:
@@ -267,8 +281,7 @@ def assign_cadence(pages: DataFrame, cadence: str) -> DataFrame:
     pages: text, mentions, region, service.
     """
     pattern = CADENCE_WORDS[cadence]
-    words = spans(F.col("text"), F.lit(pattern))
-    with_words = pages.withColumn("__words", words)
+    with_words = _kept_apart(pages, __words=spans(F.col("text"), F.lit(pattern)))
     stages = [_direct(F.col("text"), F.col("mentions"), F.col("__words"))]
     if cadence == "annual":
         stages.append(
@@ -283,7 +296,7 @@ def service_prices(pages: DataFrame, keys: list[str]) -> DataFrame:
 
     pages: keys, text, currency, region, service.
     """
-    read = pages.withColumn("mentions", price_mentions(F.col("text"), F.col("currency")))
+    read = _kept_apart(pages, mentions=price_mentions(F.col("text"), F.col("currency")))
     both = assign_cadence(assign_cadence(read, "monthly"), "annual")
     annual = F.when(
         F.col("service").isin(ANNUAL_SERVICES) & ~F.coalesce(F.col("annual") == F.col("monthly"), F.lit(False)),
@@ -321,11 +334,10 @@ def extract_plan_cards(pages: DataFrame, keys: list[str], html: str = "html", cu
     plan = F.lit(None).cast("string")
     for name in MUSIC_PLANS:
         plan = F.when(tag.rlike(rf"(?iu)\bid=(?:\"{name}\"|'{name}')"), F.lit(name)).otherwise(plan)
+    cards = cut.withColumn("plan", plan).filter(F.col("plan").isNotNull() & F.col("card").rlike(headline))
+    read = _kept_apart(cards, text=html_to_text(F.regexp_extract("card", headline, 1), drop_scripts=False))
     options = (
-        cut.withColumn("plan", plan)
-        .filter(F.col("plan").isNotNull() & F.col("card").rlike(headline))
-        .withColumn("text", html_to_text(F.regexp_extract("card", headline, 1), drop_scripts=False))
-        .withColumn("mentions", price_mentions(F.col("text"), F.col("currency")))
+        _kept_apart(read, mentions=price_mentions(F.col("text"), F.col("currency")))
         .filter(F.size("mentions") > 0)
         .withColumn("price", F.element_at("mentions", -1)["price"])
         .withColumn("promotion", F.col("text").rlike(PROMOTION_WORDS))
@@ -367,9 +379,9 @@ def extract_tier_section(pages: DataFrame, keys: list[str]) -> DataFrame:
     found = pages.select(
         *keys, "text", "currency", F.posexplode(spans(F.col("text"), quoted)).alias("section_no", "s")
     )
-    sections = found.select(
-        *keys, "section_no", F.substring(F.col("text"), F.col("s.start") + 1, F.lit(TIER_SECTION)).alias("section"), "currency"
-    ).withColumn("mentions", price_mentions(F.col("section"), F.col("currency")))
+    section = F.substring(F.col("text"), F.col("s.start") + 1, F.lit(TIER_SECTION))
+    cut = found.select(*keys, "section_no", section.alias("section"), "currency")
+    sections = _kept_apart(cut, mentions=price_mentions(F.col("section"), F.col("currency")))
     prices = []
     for i, tier in enumerate(STORAGE_TIERS):
         here = F.instr(F.col("section"), tier) - 1
@@ -378,10 +390,9 @@ def extract_tier_section(pages: DataFrame, keys: list[str]) -> DataFrame:
             until = F.when(until >= 0, until + here + len(tier)).otherwise(-1)
         else:
             until = F.length("section")
-        between = F.filter("mentions", lambda m, a=here, b=until: (m["start"] > a) & (m["start"] < b))
-        prices.append(F.when(here >= 0, F.get(between, F.lit(0))["price"]))
+        prices.append(F.when(here >= 0, _first_between(F.col("mentions"), here, until)))
     complete = (
-        sections.withColumn("prices", F.array_compact(F.array(*prices)))
+        _kept_apart(sections, prices=F.array_compact(F.array(*prices)))
         .filter(F.size("prices") == len(STORAGE_TIERS))
         .groupBy(*keys)
         .agg(F.min(F.struct("section_no", "prices")).alias("best"))
@@ -392,14 +403,18 @@ def extract_tier_section(pages: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _first_between(mentions: Column, after: Column, before: Column) -> Column:
+    return F.get(F.filter(mentions, lambda m: (m["start"] > after) & (m["start"] < before)), F.lit(0))["price"]
+
+
 def fallback_below_anchor(pages: DataFrame, keys: list[str]) -> DataFrame:
     """Highest price of a page strictly below the individual plan.
 
     pages: keys, text, currency, anchor_amount (canonical text of the plan).
     """
     anchor = numeric_amount(F.col("anchor_amount"), F.col("currency"))
-    rows = extract_price_mentions(pages.withColumn("anchor", anchor), [*keys, "currency", "anchor"])
+    rows = extract_price_mentions(_kept_apart(pages, anchor=anchor), [*keys, "currency", "anchor"])
     amount = numeric_amount(F.col("amount"), F.col("currency"))
-    below = rows.withColumn("value", amount).filter((F.col("value") > 0) & (F.col("value") < F.col("anchor")))
+    below = _kept_apart(rows, value=amount).filter((F.col("value") > 0) & (F.col("value") < F.col("anchor")))
     best = F.max(F.struct("value", (-F.col("seq")).alias("earliest"), "price"))
     return below.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.price").alias("price"))
