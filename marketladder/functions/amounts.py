@@ -1,11 +1,13 @@
 """Localized price text to numbers, and numbers to the base currency.
 
-Everything here is a native column expression, so it stays inside whole-stage
+Everything here is a native column expression and stays inside whole-stage
 code generation.  Money is a double and is only rounded by ``round_cny``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Currencies whose lone comma is always the decimal mark, and
@@ -16,73 +18,64 @@ ZERO_DECIMAL_CURRENCIES = ["VND", "JPY", "KRW", "IDR"]
 EPSILON = 2.0**-52
 
 
-def _kept(text: Column) -> Column:
-    """Only digits, dots and commas."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), "[^0-9.,]", "")
-
-
-def _last(value: Column, sign: str) -> Column:
-    """1-based place of the last ``sign``, 0 if there is none."""
-    return F.length(value) - F.length(F.substring_index(value, sign, -1))
+# The steps below rewrite the text one after the other and use the text before
+# only once each, so a row costs a handful of replacements.  A decimal mark is
+# noted as d (it was a dot) or c (it was a comma), x makes the text no number.
 
 
-def _places(value: Column, sign: str) -> Column:
-    """Number of characters behind the last ``sign``."""
-    return F.length(F.substring_index(value, sign, -1))
+def _kept(text: Column) -> Column:
+    """Only digits, dots and commas; x if nothing is left."""
+    kept = F.regexp_replace(F.coalesce(text, F.lit("")), "[^0-9.,]", "")
+    return F.regexp_replace(kept, "^$", "x")
 
 
-def _number(value: Column) -> Column:
-    """Text of digits and at most one dot to double; empty text counts as 0."""
-    return F.when(value == "", F.lit(0.0)).otherwise(value.try_cast("double"))
+def _lone_comma_after_thousands(kept: Column) -> Column:
+    """A lone comma is the decimal mark when exactly two digits follow."""
+    return F.regexp_replace(F.regexp_replace(kept, "^[0-9,]*,[0-9]*,[0-9]{2}$", "x"), "^([0-9]*),([0-9]{2})$", "$1c$2")
 
 
-def _without(value: Column, signs: str) -> Column:
-    return F.translate(value, signs, "")
+def _lone_comma_is_decimal(kept: Column) -> Column:
+    """A lone comma is always the decimal mark."""
+    return F.regexp_replace(F.regexp_replace(kept, "^[0-9,]*,[0-9]*,[0-9]*$", "x"), "^([0-9]*),([0-9]*)$", "$1c$2")
 
 
-def _standard(value: Column, lone_comma_is_decimal: Column) -> Column:
-    """Decide which sign is the decimal mark and return plain decimal text."""
-    comma, dot = _last(value, ","), _last(value, ".")
-    return (
-        F.when((comma > 0) & (dot > 0) & (comma > dot), F.translate(_without(value, "."), ",", "."))
-        .when((comma > 0) & (dot > 0), _without(value, ","))
-        .when((comma > 0) & lone_comma_is_decimal, F.translate(value, ",", "."))
-        .when(comma > 0, _without(value, ","))
-        .when((dot > 0) & (_places(value, ".") != 2), _without(value, "."))
-        .otherwise(value)
-    )
+def _amount(kept: Column, lone_comma: Callable[[Column], Column] = _lone_comma_after_thousands) -> Column:
+    """Find the decimal mark, drop the other marks, and read the number."""
+    both = F.regexp_replace(kept, "^([0-9.,]*,[0-9.,]*)[.]([0-9]*)$", "$1d$2")
+    both = F.regexp_replace(both, "^([0-9.,]*[.][0-9.,]*),([0-9]*)$", "$1c$2")
+    comma = lone_comma(both)
+    dot = F.regexp_replace(F.regexp_replace(comma, "^[0-9.]*[.][0-9]*[.][0-9]{2}$", "x"), "^([0-9]*)[.]([0-9]{2})$", "$1d$2")
+    # The decimal sign twice, or no digit beside it, is no number.
+    marked = F.regexp_replace(dot, "^(?:.*[.].*d.*|.*,.*c.*|[^0-9]*[cd][^0-9]*)$", "x")
+    return F.concat(F.lit("0"), F.translate(marked, "cd.,", "..")).try_cast("double")
 
 
 def numeric_price(text: Column) -> Column:
     """Amount without knowing the currency (used for price ratios)."""
-    kept = _kept(text)
-    amount = _number(_standard(kept, _places(kept, ",") == 2))
-    return F.when(kept != "", amount)
+    return _amount(_kept(text))
 
 
 def parse_localized_amount(text: Column, currency: Column) -> Column:
-    """Amount of a localized price text; null when it is not a number."""
-    kept = _kept(text)
-    scaled = _number(F.translate(_without(kept, "."), ",", "."))
-    in_millions = text.rlike("(?iu)juta")
-    return (
-        F.when(kept == "", F.lit(None).cast("double"))
-        .when(
-            (currency == "IDR") & text.rlike("(?iu)ribu|juta"),
-            scaled * F.when(in_millions, F.lit(1e6)).otherwise(F.lit(1e3)),
-        )
-        .otherwise(_number(_standard(kept, _places(kept, ",") == 2)))
-    )
+    """Amount of a localized price text; null when it is not a number.
+
+    Indonesian prices may be written in thousands or millions; there dots only
+    group and a comma is the decimal mark.
+    """
+    digits = F.regexp_replace(F.translate(_kept(text), ",.", "."), "^[.]+$", "x")
+    scaled = F.concat(F.lit("0"), digits).try_cast("double")
+    unit = F.when(text.rlike("(?iu)juta"), F.lit(1e6)).otherwise(F.lit(1e3))
+    in_words = (currency == "IDR") & text.rlike("(?iu)ribu|juta")
+    return F.when(in_words, scaled * unit).otherwise(_amount(_kept(text)))
 
 
 def numeric_amount(text: Column, currency: Column) -> Column:
     """Currency-aware amount of a canonical price text taken from a page."""
     kept = _kept(text)
-    decimal = currency.isin(DECIMAL_COMMA_CURRENCIES) | (_places(kept, ",") == 2)
-    return F.when(
-        kept != "",
-        F.when(currency.isin(ZERO_DECIMAL_CURRENCIES), _number(_without(kept, ".,")))
-        .otherwise(_number(_standard(kept, decimal))),
+    whole = F.concat(F.lit("0"), F.translate(kept, ".,", "")).try_cast("double")
+    return (
+        F.when(currency.isin(ZERO_DECIMAL_CURRENCIES), whole)
+        .when(currency.isin(DECIMAL_COMMA_CURRENCIES), _amount(kept, _lone_comma_is_decimal))
+        .otherwise(_amount(kept))
     )
 
 

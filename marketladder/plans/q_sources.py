@@ -242,7 +242,7 @@ def payloads(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.lit(" App ").alias("name"), none.alias("artistName"), F.lit("u").alias("url")).alias("attributes"),
         view.alias("views"),
     )
-    return fx.table(spark, sf, "lineitem").select(
+    return fx.facts(spark, sf).select(
         "l_orderkey", "l_linenumber", key.cast("string").alias("app_id"), F.to_json(F.struct(F.array(app).alias("data"))).alias("payload")
     )
 
@@ -409,7 +409,7 @@ s AS (SELECT *, q || f.m AS a1, (q + 60) || f.m AS a2, f.b || q || f.m || f.e AS
 
 
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
-    line, supplier = fx.table(spark, sf, "lineitem"), fx.table(spark, sf, "supplier")
+    line, supplier = fx.facts(spark, sf), fx.table(spark, sf, "supplier")
     amount = F.col("l_quantity").cast("int")
     return (
         line.join(supplier, line.l_suppkey == supplier.s_suppkey)
