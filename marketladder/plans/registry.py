@@ -40,6 +40,7 @@ def load() -> None:
         q_functions,
         q_items,
         q_matching,
+        q_publish,
         q_quality,
         q_search,
         q_sources,
