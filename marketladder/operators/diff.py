@@ -137,23 +137,38 @@ def item_changes(
         .unionByName(after_items.select(*columns, F.lit("after").alias("side")))
         .join(verified, [*CELL], "left_semi")
     )
+    bucket = position_range("pos") if pos_range is None else pos_range
+    return _pair(stored(_uneven(sides.withColumn("__range", bucket))), CELL, bucket)
+
+
+def _uneven(sides: DataFrame) -> DataFrame:
+    """Rows of the larger side that the smaller side does not cancel.
+
+    Between two snapshots most prices agree, so equal prices are counted first,
+    per range of positions; only prices with unequal totals are joined back, by
+    range, and a price that fills a third of the table stays spread out.
+    """
+    keys = [*CELL, *ITEM]
     old, new = F.col("side") == "before", F.col("side") == "after"
-    # Between two snapshots most prices agree.  Counting first leaves only the
-    # prices whose numbers differ, and of those only the larger side.
-    uneven = (
-        sides.groupBy(*CELL, *ITEM)
-        .agg(F.count(F.when(old, 1)).alias("__b"), F.count(F.when(new, 1)).alias("__a"))
-        .filter(F.col("__b") != F.col("__a"))
+    counts = sides.groupBy(*keys, "__range").agg(
+        F.count(F.when(old, 1)).alias("b"), F.count(F.when(new, 1)).alias("a")
     )
-    larger = (old & (F.col("__b") > F.col("__a"))) | (new & (F.col("__a") > F.col("__b")))
-    rows = stored(
-        sides.join(uneven, [*CELL, *ITEM])
-        .filter(larger)
-        .select(*columns, "side", F.least("__a", "__b").alias("__cancel"))
+    whole = Window.partitionBy(*keys)
+    earlier = whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.select(
+        *keys, "__range", F.sum("b").over(whole).alias("all_b"), F.sum("a").over(whole).alias("all_a"),
+        F.coalesce(F.sum("b").over(earlier), F.lit(0)).alias("early_b"),
+        F.coalesce(F.sum("a").over(earlier), F.lit(0)).alias("early_a"),
+    ).filter(F.col("all_b") != F.col("all_a"))
+    more_old = F.col("all_b") > F.col("all_a")
+    place = F.row_number().over(Window.partitionBy(*keys, "__range").orderBy("pos"))
+    return (
+        sides.join(totals, [*keys, "__range"])
+        .filter((old & more_old) | (new & ~more_old))
+        .withColumn("__n", place + F.when(more_old, F.col("early_b")).otherwise(F.col("early_a")))
+        .filter(F.col("__n") > F.least("all_b", "all_a"))
+        .select(*CELL, "pos", *ITEM, "side")
     )
-    bucket = position_range("pos") if pos_range is None else pos_range
-    left = number_in_group(rows, [*CELL, *ITEM], ["pos"], bucket, "__n").filter(F.col("__n") >= F.col("__cancel"))
-    return _pair(left.drop("__n", "__cancel"), CELL, bucket)
 
 
 def snapshot_diff(before_cells: DataFrame, after_cells: DataFrame, changes: DataFrame) -> DataFrame:

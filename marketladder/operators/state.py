@@ -247,7 +247,8 @@ def last_before(
 
     A key is cut into buckets of its order: inside a bucket a window finds the
     last value, from earlier buckets it is carried over a small table with one
-    row per (key, bucket).
+    row per (key, bucket).  So a task holds a key's rows of one bucket, and the
+    small table grows with the clock, not with a key's share of the log.
     """
     keys = list(keys)
     names = list(values)
@@ -282,7 +283,7 @@ def ttl_of(kind: Column) -> Column:
     return seconds
 
 
-def lookup_ttl(puts: DataFrame, reads: DataFrame, bucket_seconds: int = 6 * HOUR) -> DataFrame:
+def lookup_ttl(puts: DataFrame, reads: DataFrame, bucket_seconds: int = HOUR // 4) -> DataFrame:
     """Each read sees the latest earlier put of its key, unless it has expired.
 
     puts: key, ts, event_id, kind, payload; reads: key, ts, event_id.
@@ -307,7 +308,7 @@ def lookup_ttl(puts: DataFrame, reads: DataFrame, bucket_seconds: int = 6 * HOUR
     )
 
 
-def serve_decision(log: DataFrame, manual_allowed: DataFrame, bucket_seconds: int = 6 * HOUR) -> DataFrame:
+def serve_decision(log: DataFrame, manual_allowed: DataFrame, bucket_seconds: int = HOUR // 4) -> DataFrame:
     """Answer of each read: ready fresh or stale, pending, or an error.
 
     log: key, ts, event_id, mode (read, hot, manual, put, error), usable,

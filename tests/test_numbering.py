@@ -45,7 +45,7 @@ def test_top_one_is_limited_before_the_shuffle(spark):
     plan = items.dedupe_by_product(df)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
     requests = spark.range(10).selectExpr("id AS key", "CAST(timestamp_seconds(id) AS timestamp_ntz) AS ts", "id AS event_id")
-    assert "WindowGroupLimit" in state.rate_cap(requests)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in state.rate_cap(requests, 3)._jdf.queryExecution().toString()
 
 
 def test_normalize_items_keeps_the_first(spark, rows):
