@@ -30,15 +30,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The line items, spread over the cores if they lie in fewer files.
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a table that lies in fewer files than there are cores.
 
     A file with one row group is read by one task; large tables have many files
     and are left as they are.
     """
-    line = table(spark, sf_dir, "lineitem")
-    cores = spark.sparkContext.defaultParallelism
-    return line.repartition(cores) if len(line.inputFiles()) < cores else line
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line items, over all cores."""
+    return spread(table(spark, sf_dir, "lineitem"))
 
 
 def region_code(key: Column) -> Column:

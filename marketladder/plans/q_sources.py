@@ -181,27 +181,18 @@ def page_rows(extracted: DataFrame) -> DataFrame:
     return extracted.select(*header, F.explode_outer("items").alias("i")).select(*header, "i.name", "i.price")
 
 
-@query("extract_embedded_json", "O05", f"WITH {PAGE_ROWS.format(chr(91) + chr(39) + 'Late' + chr(39) + chr(93))}")
+@query(
+    "extract_embedded_json",
+    "O05",
+    f"SELECT page_id, status, name, price FROM (WITH {PAGE_ROWS.format("['Late']")})",
+)
 def _embedded(spark: SparkSession, sf: str) -> DataFrame:
-    """The batch form: the walk ends at the first purchase section."""
+    """The batch form: the walk ends at the first purchase section, without metadata."""
     found = pages.extract_embedded_json(store_pages(spark, sf))
-    # The walk of the batch form may end before it meets the metadata.
-    named = F.col("status") == "ok-textPairs"
-    filled = found.join(
-        pages.extract_embedded_json(store_pages(spark, sf), first_wins=False).select(
-            "page_id", F.col("matched_name").alias("m"), F.col("developer").alias("d"), F.col("icon").alias("c")
-        ),
-        "page_id",
-    )
-    return page_rows(
-        filled.select(
-            "page_id", "status", F.when(named, F.col("m")).alias("matched_name"), F.when(named, F.col("d")).alias("developer"),
-            F.when(named, F.col("c")).alias("icon"), "items",
-        )
-    )
+    return page_rows(found).select("page_id", "status", "name", "price")
 
 
-@query("extract_embedded_json_last", "O05", f"WITH {PAGE_ROWS.format(chr(91) + chr(39) + 'One' + chr(39) + ', ' + chr(39) + 'Two' + chr(39) + chr(93))}")
+@query("extract_embedded_json_last", "O05", f"WITH {PAGE_ROWS.format("['One', 'Two']")}")
 def _embedded_last(spark: SparkSession, sf: str) -> DataFrame:
     """The form of the request API: the last section visited counts."""
     return page_rows(pages.extract_embedded_json(store_pages(spark, sf), first_wins=False))
@@ -373,7 +364,7 @@ STRIP_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(html
 )
 def _text(spark: SparkSession, sf: str) -> DataFrame:
     html = F.concat(F.lit("<p>caf&#233; &#x1F600; &amp;lt;</p>"), "html")
-    read = fx.table(spark, sf, "pages").select("page_id", prices.html_to_text(html).alias("t"))
+    read = fx.spread(fx.table(spark, sf, "pages")).select("page_id", prices.html_to_text(html).alias("t"))
     return read.select("page_id", F.length("t").cast("bigint").alias("length"), F.md5("t").alias("digest"))
 
 
