@@ -13,6 +13,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from marketladder.functions.arrays import kept_apart, once
 from marketladder.functions.status import NOT_FOUND, is_transient_error
 from marketladder.functions.text import icon_address, strip
 
@@ -213,9 +214,8 @@ def _text(column: Column) -> Column:
 
 def read_structured_catalog(payloads: DataFrame, payload: str, app_id: str) -> DataFrame:
     """The expected app of each payload: status, metadata and complete products."""
-    parsed = payloads.withColumn("__d", F.from_json(payload, PAYLOAD)).withColumn(
-        "__app", F.get(F.filter("__d.data", lambda a: a["id"] == F.col(app_id)), F.lit(0))
-    )
+    expected = F.filter(F.from_json(payload, PAYLOAD)["data"], lambda a: a["id"] == F.col(app_id))
+    parsed = kept_apart(payloads, __app=F.get(expected, F.lit(0)))
     raw = F.col("__app.views.`top-in-app-purchasables`.data")
 
     def product(entry: Column, pos: Column) -> Column:
@@ -245,7 +245,7 @@ def read_structured_catalog(payloads: DataFrame, payload: str, app_id: str) -> D
     )
     kept = [c for c in payloads.columns if c != payload]
     return (
-        parsed.withColumn("products", complete)
+        kept_apart(parsed, products=complete)
         .withColumn("status", status)
         .select(
             *kept, "status",
@@ -264,8 +264,10 @@ def structured_items(catalogs: DataFrame, keys: list[str]) -> DataFrame:
     A payload is one bounded document, so repeats are dropped inside its list
     and nothing is shuffled.
     """
-    ids = F.transform("products", lambda p: p["product_id"])
-    first = F.filter("products", lambda p, i: F.array_position(ids, p["product_id"]) == i + 1)
+    def first_of_each(ids: Column) -> Column:
+        return F.filter("products", lambda p, i: F.array_position(ids, p["product_id"]) == i + 1)
+
+    first = once(F.transform("products", lambda p: p["product_id"]), first_of_each)
     return catalogs.select(*keys, "status", F.explode(first).alias("p")).select(*keys, "status", "p.*")
 
 

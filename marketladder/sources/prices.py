@@ -6,11 +6,10 @@ lengths of the pieces between them.  A page is one row and is read whole.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marketladder.functions.amounts import numeric_amount
+from marketladder.functions.arrays import kept_apart, once
 from marketladder.functions.text import lookup
 
 # Canonical prefix and the one or two patterns of each currency.
@@ -115,11 +114,6 @@ def html_to_text(html: Column, drop_scripts: bool = True) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)[\s\uFEFF]+", " "))
 
 
-def once(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with the value worked out a single time."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def spans(text: Column, pattern: Column) -> Column:
     """0-based start and end of every match: array of (start, end)."""
     empty = F.array().cast("array<struct<start:int,end:int>>")
@@ -184,12 +178,6 @@ def _without_repeats(found: Column) -> Column:
     return F.filter(found, new)
 
 
-def _kept_apart(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add costly columns behind a generator, so that later filters do not repeat them."""
-    row = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return df.select("*", F.inline(F.array(row)))
-
-
 def extract_price_mentions(pages: DataFrame, keys: list[str], text: str = "text", currency: str = "currency") -> DataFrame:
     """One row per price mention of a page."""
     rows = pages.select(*keys, F.posexplode(price_mentions(F.col(text), F.col(currency))).alias("seq", "m"))
@@ -281,7 +269,7 @@ def assign_cadence(pages: DataFrame, cadence: str) -> DataFrame:
     pages: text, mentions, region, service.
     """
     pattern = CADENCE_WORDS[cadence]
-    with_words = _kept_apart(pages, __words=spans(F.col("text"), F.lit(pattern)))
+    with_words = kept_apart(pages, __words=spans(F.col("text"), F.lit(pattern)))
     stages = [_direct(F.col("text"), F.col("mentions"), F.col("__words"))]
     if cadence == "annual":
         stages.append(
@@ -296,7 +284,7 @@ def service_prices(pages: DataFrame, keys: list[str]) -> DataFrame:
 
     pages: keys, text, currency, region, service.
     """
-    read = _kept_apart(pages, mentions=price_mentions(F.col("text"), F.col("currency")))
+    read = kept_apart(pages, mentions=price_mentions(F.col("text"), F.col("currency")))
     both = assign_cadence(assign_cadence(read, "monthly"), "annual")
     annual = F.when(
         F.col("service").isin(ANNUAL_SERVICES) & ~F.coalesce(F.col("annual") == F.col("monthly"), F.lit(False)),
@@ -335,9 +323,9 @@ def extract_plan_cards(pages: DataFrame, keys: list[str], html: str = "html", cu
     for name in MUSIC_PLANS:
         plan = F.when(tag.rlike(rf"(?iu)\bid=(?:\"{name}\"|'{name}')"), F.lit(name)).otherwise(plan)
     cards = cut.withColumn("plan", plan).filter(F.col("plan").isNotNull() & F.col("card").rlike(headline))
-    read = _kept_apart(cards, text=html_to_text(F.regexp_extract("card", headline, 1), drop_scripts=False))
+    read = kept_apart(cards, text=html_to_text(F.regexp_extract("card", headline, 1), drop_scripts=False))
     options = (
-        _kept_apart(read, mentions=price_mentions(F.col("text"), F.col("currency")))
+        kept_apart(read, mentions=price_mentions(F.col("text"), F.col("currency")))
         .filter(F.size("mentions") > 0)
         .withColumn("price", F.element_at("mentions", -1)["price"])
         .withColumn("promotion", F.col("text").rlike(PROMOTION_WORDS))
@@ -381,7 +369,7 @@ def extract_tier_section(pages: DataFrame, keys: list[str]) -> DataFrame:
     )
     section = F.substring(F.col("text"), F.col("s.start") + 1, F.lit(TIER_SECTION))
     cut = found.select(*keys, "section_no", section.alias("section"), "currency")
-    sections = _kept_apart(cut, mentions=price_mentions(F.col("section"), F.col("currency")))
+    sections = kept_apart(cut, mentions=price_mentions(F.col("section"), F.col("currency")))
     prices = []
     for i, tier in enumerate(STORAGE_TIERS):
         here = F.instr(F.col("section"), tier) - 1
@@ -392,7 +380,7 @@ def extract_tier_section(pages: DataFrame, keys: list[str]) -> DataFrame:
             until = F.length("section")
         prices.append(F.when(here >= 0, _first_between(F.col("mentions"), here, until)))
     complete = (
-        _kept_apart(sections, prices=F.array_compact(F.array(*prices)))
+        kept_apart(sections, prices=F.array_compact(F.array(*prices)))
         .filter(F.size("prices") == len(STORAGE_TIERS))
         .groupBy(*keys)
         .agg(F.min(F.struct("section_no", "prices")).alias("best"))
@@ -413,8 +401,8 @@ def fallback_below_anchor(pages: DataFrame, keys: list[str]) -> DataFrame:
     pages: keys, text, currency, anchor_amount (canonical text of the plan).
     """
     anchor = numeric_amount(F.col("anchor_amount"), F.col("currency"))
-    rows = extract_price_mentions(_kept_apart(pages, anchor=anchor), [*keys, "currency", "anchor"])
+    rows = extract_price_mentions(kept_apart(pages, anchor=anchor), [*keys, "currency", "anchor"])
     amount = numeric_amount(F.col("amount"), F.col("currency"))
-    below = _kept_apart(rows, value=amount).filter((F.col("value") > 0) & (F.col("value") < F.col("anchor")))
+    below = kept_apart(rows, value=amount).filter((F.col("value") > 0) & (F.col("value") < F.col("anchor")))
     best = F.max(F.struct("value", (-F.col("seq")).alias("earliest"), "price"))
     return below.groupBy(*keys).agg(best.alias("b")).select(*keys, F.col("b.price").alias("price"))
