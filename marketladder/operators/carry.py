@@ -55,10 +55,12 @@ def drop_deferred(resolved: DataFrame) -> DataFrame:
 def resolve_metadata(catalog: DataFrame, found: DataFrame, previous: DataFrame) -> DataFrame:
     """Metadata from the catalog itself, else looked up, else the previous run.
 
-    catalog: app_id, inline (struct or null), query, configured_group;
-    found / previous: app_id, matched_name, developer, category.
+    catalog: app_id, inline (struct or null), query, configured_group and, if
+    inline metadata may name a group, inline_group; found / previous: app_id,
+    matched_name, developer, category.
     """
     fields = ["matched_name", "developer", "category"]
+    groups = [c for c in ("configured_group", "inline_group") if c in catalog.columns]
     seen = found.select("app_id", F.struct(*fields).alias("f"))
     old = previous.select("app_id", F.struct(*fields).alias("p"))
     chosen = F.coalesce("inline", "f", "p")
@@ -77,7 +79,7 @@ def resolve_metadata(catalog: DataFrame, found: DataFrame, previous: DataFrame)
             origin.alias("origin"),
             F.coalesce("query", "m.matched_name").alias("query"),
             *[F.col(f"m.{c}").alias(c) for c in fields],
-            F.when(F.col("m").isNotNull(), catalog_group(F.col("m.category"), F.col("configured_group"))).alias(
+            F.when(F.col("m").isNotNull(), catalog_group(F.col("m.category"), F.coalesce(*groups))).alias(
                 "catalog_group"
             ),
         )

@@ -370,5 +370,6 @@ def short_lines(cells: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def notification_lines(cells: DataFrame, changes: DataFrame, k: int = 8) -> DataFrame:
-    """The first k short texts; a bounded report."""
-    return short_lines(cells, changes).orderBy(*CELL).limit(k)
+    """The first k short texts, a bounded report, and how many more there are."""
+    more = cells.agg(F.greatest(F.count(F.lit(1)) - k, F.lit(0).cast("bigint"))).scalar()
+    return short_lines(cells, changes).orderBy(*CELL).limit(k).withColumn("more", more)

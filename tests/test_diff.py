@@ -33,6 +33,7 @@ def test_price_change_is_an_update(spark):
     r = cells.first()
     assert (r.updated, r.removed, r.added) == (1, 0, 0)
     assert diff.short_lines(cells, changes).first().line == "Monthly $9.99→$10.99"
+    assert [tuple(r)[2:] for r in diff.notification_lines(cells, changes).collect()] == [("Monthly $9.99→$10.99", 0)]
 
 
 def test_states_stay_distinct_and_hide_items(spark):
@@ -155,3 +156,14 @@ def test_record_selection(spark, previous, candidate, expected):
     old = spark.createDataFrame([("1", *previous)] if previous else [], SUMMARY)
     r = carry.select_record(old, spark.createDataFrame([("1", *candidate)], SUMMARY)).first()
     assert (r.action, r.reason) == expected
+
+
+def test_metadata_groups(spark):
+    inline = F.when(F.col("app_id") == "1", F.struct(F.lit("N").alias("matched_name"), F.lit("D").alias("developer"), F.lit("Games").alias("category")))
+    catalog = spark.createDataFrame([("1",), ("2",)], "app_id string").select(
+        "app_id", inline.alias("inline"), F.lit(None).cast("string").alias("query"),
+        F.lit(None).cast("string").alias("configured_group"), F.when(F.col("app_id") == "1", "own").alias("inline_group"),
+    )
+    found = spark.createDataFrame([("2", "M", "E", "Music")], "app_id string, matched_name string, developer string, category string")
+    out = carry.resolve_metadata(catalog, found, found.filter("false")).collect()
+    assert {r.app_id: (r.origin, r.query, r.catalog_group) for r in out} == {"1": ("inline", "N", "own"), "2": ("lookup", "M", "影音娱乐")}
