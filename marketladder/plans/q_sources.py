@@ -393,7 +393,7 @@ FORMS_SQL = """CASE currency WHEN 'CNY' THEN {{'b': 'RMB ', 'm': '.99', 'e': '',
 
 # One row per line item: place, the amount texts a1 and a2, the price texts as
 # written (w1, w2) and in canonical form (c1, c2).
-SENTENCES = f"""s0 AS (SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, l_suppkey, s_nationkey % 18 AS ord, l_quantity::INTEGER AS q FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+SENTENCES = f"""s0 AS (SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, l_suppkey, l_extendedprice, s_nationkey % 18 AS ord, l_quantity::INTEGER AS q FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
 s1 AS (SELECT s0.*, st.region, st.currency, st.country, {FORMS_SQL.replace('currency WHEN', 'st.currency WHEN')} AS f FROM s0 JOIN store st USING (ord)),
 s AS (SELECT *, q || f.m AS a1, (q + 60) || f.m AS a2, f.b || q || f.m || f.e AS w1, f.b || (q + 60) || f.m || f.e AS w2, f.p || q || f.m AS c1, f.p || (q + 60) || f.m AS c2,
     length(f.b || q || f.m || f.e) AS n1, length(f.b || (q + 60) || f.m || f.e) AS n2 FROM s1)"""
@@ -407,14 +407,15 @@ def sentences(spark: SparkSession, sf: str) -> DataFrame:
         .withColumn("ord", (F.col("s_nationkey") % 18).cast("bigint"))
         .join(snapshot.storefronts(spark), "ord")
         .select(
-            "l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_partkey", "l_suppkey", "region",
-            "currency", "country", page_price(F.col("currency"), amount).alias("w1"),
+            "l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_partkey", "l_suppkey",
+            "l_extendedprice", "region", "currency", "country", page_price(F.col("currency"), amount).alias("w1"),
             page_price(F.col("currency"), amount + 60).alias("w2"),
         )
     )
 
 
-KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+# A line item is told apart by these columns at every scale.
+KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 KEYS_SQL = ", ".join(KEYS)
 
 
