@@ -6,9 +6,9 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketladder.llm import bpe, media, neighbours, packing, quality, secrets, shards, toxicity
+from marketladder.llm import bpe, jaccard, media, neighbours, packing, quality, secrets, shards, suffix, toxicity
 from marketladder.llm.training import training_rows
 from marketladder.session import checkpoint_folder, stored
 
@@ -36,6 +36,35 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+REPEATS = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k,
+         lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+w AS (
+  SELECT r, k, i, substr(h, 2 * i + 1, 100) AS s
+  FROM d, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS u(i)),
+c AS (SELECT r, i FROM (SELECT r, i, k, min(k) OVER (PARTITION BY s) AS m FROM w) WHERE k > m),
+e AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM c),
+g AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS n FROM e),
+p AS (SELECT r, n, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY r, n),
+q AS (SELECT r, n, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY n), 0) AS z FROM p),
+t AS (
+  SELECT q.r, sum(b - a) AS removed, count(*) AS spans, max(b) AS last,
+         string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY n) AS kept
+  FROM q JOIN d USING (r) GROUP BY q.r)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN t USING (r)
+"""
+
+
+@query("op2_repeats", REPEATS)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix.report(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op3_media")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_folder(spark).rstrip('/')}/marketladder/media-{uuid.uuid4().hex}"
@@ -57,13 +86,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NEAREST = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 p AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         list_reduce(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * c.e[i]), (a, b) -> a + b) AS score
+         list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]), lambda a, b: a + b) AS score
   FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
 r AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
@@ -94,3 +123,34 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.learn(stored(training_rows(docs, table(spark, sf_dir, "labels"), "toxic")))
     return toxicity.score_documents(docs, lexicon)
+
+
+SHINGLES = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT r, doc_id, list_filter(regexp_split_to_array(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS a
+  FROM d),
+s AS (
+  SELECT r, doc_id, CASE WHEN len(a) = 0 THEN [] ELSE list_distinct(list_transform(
+           range(1, greatest(len(a) - 3, 1) + 1), lambda i: array_to_string(a[i:i + 3], ' '))) END AS t
+  FROM w),
+g AS (SELECT r, unnest(t) AS x FROM s),
+l AS (SELECT x FROM g GROUP BY x HAVING count(*) > 1),
+m AS (SELECT r, x FROM g SEMI JOIN l USING (x)),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS n FROM m a JOIN m b ON a.x = b.x AND a.r < b.r GROUP BY a.r, b.r),
+e AS (
+  SELECT p.a, p.b FROM p JOIN s x ON x.r = p.a JOIN s y ON y.r = p.b
+  WHERE 100 * p.n >= 85 * (len(x.t) + len(y.t) - p.n)),
+f AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+c AS (
+  WITH RECURSIVE reach(r, z) AS (
+    SELECT r, r FROM s UNION SELECT reach.r, f.b FROM reach JOIN f ON f.a = reach.z)
+  SELECT reach.r, min(o.doc_id) AS component_id FROM reach JOIN s o ON o.r = reach.z GROUP BY reach.r)
+SELECT s.doc_id, CAST(len(s.t) AS BIGINT) AS n_shingles, c.component_id FROM s JOIN c USING (r)
+"""
+
+
+@query("op10_jaccard", SHINGLES)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join_documents(table(spark, sf_dir, "documents"))

@@ -9,6 +9,7 @@ STRETCH = 1 << 21
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_PLACES = [np.uint64(0x632BE59BD9B4E019 * (i + 1) % (1 << 64)) for i in range(16)]
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -60,5 +61,5 @@ def shingle_hashes(words: np.ndarray, length: int) -> np.ndarray:
     n = max(len(words) - length + 1, 1)
     total = np.zeros(n, np.uint64)
     for i in range(min(length, len(words))):
-        total = mixed(total + words[i : i + n]) + np.uint64(0x632BE59BD9B4E019) * np.uint64(i + 1)
+        total = mixed(total + words[i : i + n]) + _PLACES[i % len(_PLACES)]
     return np.unique(mixed(total))
