@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes.
 
 Vectors are dealt into slices.  In a slice, the offset of a vector from the
-slice's mean is normalised, rotated by a fixed random rotation and kept as one
-bit a dimension, with two correction scalars: the offset's length, and the inner
-product of the offset and its code.  From a query's rotated vector and the bits
-an inner product is estimated, with a bound on its error; only vectors whose
-upper bound reaches the k-th largest lower bound are compared exactly.
+slice's mean is normalised, padded with zeros to the length of the code, rotated
+by a fixed random rotation and kept as one bit a dimension, with two correction
+scalars: the offset's length, and the inner product of the offset and its code.
+From a query's rotated vector and the bits an inner product is estimated, with a
+bound on its error.  The vectors with the largest estimates are compared first;
+the k-th best of them is the mark that a vector's upper bound must reach to be
+compared as well.
 """
 
 from __future__ import annotations
@@ -22,19 +24,21 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 @dataclass(frozen=True)
 class Index:
-    """slice, block: vectors and queries in one task's tile; width: error bound in standard deviations."""
+    """slice, block: vectors and queries in one task's tile; bits: least code length; width: error bound in standard deviations; first: vectors compared for the mark, as a multiple of k."""
 
     slice: int = 8192
     block: int = 16384
-    width: float = 3.5
+    bits: int = 256
+    width: float = 3.0
+    first: int = 3
     seed: int = 11
 
 
 @lru_cache(maxsize=4)
-def rotation(size: int, seed: int) -> np.ndarray:
-    """A random orthogonal matrix."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, size)))
-    return q * np.sign(np.diag(r))
+def rotation(size: int, bits: int, seed: int) -> np.ndarray:
+    """The rows of a random rotation of ``bits`` dimensions that the first ``size`` of them meet."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))
+    return (q * np.sign(np.diag(r)))[:size]
 
 
 @dataclass
@@ -42,28 +46,33 @@ class Codes:
     """One-bit codes of a slice and what corrects them."""
 
     mean: np.ndarray
+    turn: np.ndarray
     bits: np.ndarray
     length: np.ndarray
     agreement: np.ndarray
 
     @classmethod
-    def of(cls, vectors: np.ndarray, seed: int) -> Codes:
-        mean = vectors.mean(axis=0)
+    def of(cls, vectors: np.ndarray, index: Index) -> Codes:
+        size = vectors.shape[1]
+        bits = max(-(-size // 8) * 8, index.bits)
+        turn, mean = rotation(size, bits, index.seed), vectors.mean(axis=0)
         offset = vectors - mean
         length = np.linalg.norm(offset, axis=1)
-        unit = offset / np.where(length > 0, length, 1.0)[:, None] @ rotation(vectors.shape[1], seed)
-        agreement = np.abs(unit).sum(axis=1) / math.sqrt(vectors.shape[1])
-        return cls(mean, np.packbits(unit > 0, axis=1), length, np.where(agreement > 0, agreement, 1.0))
+        unit = offset / np.where(length > 0, length, 1.0)[:, None] @ turn
+        agreement = np.abs(unit).sum(axis=1) / math.sqrt(bits)
+        return cls(mean, turn, np.packbits(unit > 0, axis=1), length, np.where(agreement > 0, agreement, 1.0))
 
-    def bounds(self, queries: np.ndarray, width: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    def bounds(self, queries: np.ndarray, width: float) -> tuple[np.ndarray, np.ndarray]:
         """Estimated inner products, queries by vectors, and how far off they may be."""
-        size = queries.shape[1]
-        signs = np.unpackbits(self.bits, axis=1, count=size).astype(np.float32) * 2 - 1
-        rotated = (queries @ rotation(size, seed)).astype(np.float32)
-        inner = rotated @ signs.T / math.sqrt(size) / self.agreement
-        spread = np.sqrt(np.maximum(1 / self.agreement**2 - 1, 0) / max(size - 1, 1))
-        error = width * np.linalg.norm(queries, axis=1)[:, None] * (self.length * spread) + 1e-6
-        return (queries @ self.mean)[:, None] + inner * self.length, error
+        size = self.turn.shape[1]
+        signs = np.unpackbits(self.bits, axis=1).astype(np.float32) * 2 - 1
+        inner = (queries @ self.turn).astype(np.float32) @ signs.T
+        inner *= (self.length / self.agreement / math.sqrt(size)).astype(np.float32)
+        inner += (queries @ self.mean).astype(np.float32)[:, None]
+        spread = self.length * np.sqrt(np.maximum(1 / self.agreement**2 - 1, 0) / max(size - 1, 1))
+        error = np.outer(width * np.linalg.norm(queries, axis=1), spread).astype(np.float32)
+        error += 1e-5 * (1 + np.abs(inner))  # single precision
+        return inner, error
 
 
 def exact(query: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -90,16 +99,18 @@ def _tile(queries: pa.Table, vectors: pa.Table, k: int, index: Index) -> Iterato
     ids, data = vectors.column("vec_id").to_numpy(), matrix(vectors)
     kept = _first_of_equal(ids, data, k + 1)
     ids, data = ids[kept], data[kept]
-    codes, columns = Codes.of(data, index.seed), np.ascontiguousarray(data.T)
+    codes, first = Codes.of(data, index), index.first * k + 1
     query_ids, copies, asked = queries.column("vec_id").to_numpy(), queries.column("copy").to_numpy(), matrix(queries)
     for at in range(0, len(asked), 256):
-        estimate, error = codes.bounds(asked[at : at + 256], index.width, index.seed)
-        for i in range(len(estimate)):
-            own = ids == query_ids[at + i]
-            low = np.where(own, -np.inf, estimate[i] - error[i])
-            least = np.partition(low, -k)[-k] if len(low) > k else -np.inf
-            near = np.flatnonzero(~own & (estimate[i] + error[i] >= least))
-            score = exact(asked[at + i], columns[:, near])
+        upper, error = codes.bounds(asked[at : at + 256], index.width)
+        top = np.argpartition(upper, -first, axis=1)[:, -first:] if len(ids) > first else np.tile(np.arange(len(ids)), (len(upper), 1))
+        upper += error
+        for i, query in enumerate(asked[at : at + 256]):
+            best = np.sort((data[top[i]] @ query)[ids[top[i]] != query_ids[at + i]])
+            mark = best[-k] - 1e-9 * (1 + abs(best[-k])) if len(best) >= k else -np.inf
+            near = np.flatnonzero(upper[i] >= mark)
+            near = near[(ids[near] != query_ids[at + i]) & (data[near] @ query >= mark)]
+            score = exact(query, data[near].T)
             best = np.lexsort((ids[near], -score))[:k]
             yield query_ids[at + i], copies[at + i], ids[near][best], score[best]
 
