@@ -54,7 +54,7 @@ class Entropy:
 
 def high_windows(run: str, window: int, bits: float) -> list[tuple[int, int]]:
     """Merged spans of the windows whose Shannon entropy is at least ``bits``."""
-    logs = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
+    logs = [0.0] + [c * math.log2(c) for c in range(1, window + 2)]
     counts: dict[str, int] = {}
     total, spans = 0.0, []
     for end, char in enumerate(run):
