@@ -24,9 +24,17 @@ def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     return int(max(1, -(-size // block_bytes)))
 
 
-def in_blocks(docs: DataFrame, blocks: int) -> DataFrame:
-    """The rows with their block as first column."""
-    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "*")
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until no column has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def in_blocks(docs: DataFrame, blocks: int, name: str = "block") -> DataFrame:
+    """The rows with their block as first column, called ``name``."""
+    return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias(name), "*")
 
 
 def split_key(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:

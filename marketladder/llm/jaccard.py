@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marketladder.llm.blocks import KEYS, block_count, in_blocks, joined_key, look_up, pack_keys, shared_keys, split_key, unpack_shared
+from marketladder.llm.blocks import KEYS, block_count, free_name, in_blocks, joined_key, look_up, pack_keys, shared_keys, split_key, unpack_shared
 from marketladder.llm.components import components
 from marketladder.llm.words import mixed, shingle_hashes, word_hashes
 from marketladder.session import stored
@@ -353,8 +353,8 @@ def keep_first(docs: DataFrame, rule: Join = Join(words=5, share=80)) -> DataFra
     that id and the same set one stays.  Rows without words all stay.
     """
     columns, schema = docs.columns, docs.schema
-    count = block_count(docs)
-    blocks = in_blocks(docs, count)
+    count, name = block_count(docs), free_name(docs, "block")
+    blocks = in_blocks(docs.select("doc_id", "text"), count)
     members = _members(blocks, rule)
     first = F.min_by(F.struct("digest", "node", "doc_id", "block"), F.struct(F.col("doc_id").isNull(), "doc_id", "node"))
     names = _named(_groups(members, blocks, count, rule).groupBy("component").agg(first.alias("r")).select("r.*"))
@@ -364,4 +364,4 @@ def keep_first(docs: DataFrame, rule: Join = Join(words=5, share=80)) -> DataFra
         mask = [i in kept or not WORD.search(t.as_py() or "") for i, t in enumerate(texts.column("text"))]
         return texts.select(columns).filter(pa.array(mask, pa.bool_()))
 
-    return blocks.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(work, schema)
+    return in_blocks(docs, count, name).groupBy(name).cogroup(names.groupBy("block")).applyInArrow(work, schema)
