@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors.
 
-A text becomes a set of hashed n-grams (runs of three bytes, single words,
-pairs of words, and the patterns "same word twice" and "three times").  Over
+A text becomes a set of hashed n-grams (runs of three bytes, single words, pairs
+of different words, and patterns of one word several times running).  Over
 all labelled rows the n-grams are counted by class; the log ratio of the two
 classes' shares scales each indicator.  A linear model with hinge loss is then
 fitted by dual coordinate descent on a bounded sample of the scaled rows.
@@ -21,8 +21,9 @@ from marketladder.llm.words import mixed, word_hashes
 
 BITS = 18
 SIZE = 1 << BITS
-#: Numbers kept for the constant term, which every text has, and for the patterns of repeated words.
-CONSTANT, TWICE, THRICE, RESERVED = 0, 1, 2, 3
+#: Numbers kept for the constant term, which every text has, and for the patterns of repeated words: a word 2 to 6
+#: times running, and 1/64, 1/16, 1/4 and 1/2 of the words equal to the one before.
+CONSTANT, RUNS, SHARES, RESERVED = 0, 1, 6, 16
 
 
 @dataclass(frozen=True)
@@ -54,10 +55,11 @@ def features(text: str | None) -> np.ndarray:
     if len(words) > 1:
         same = words[1:] == words[:-1]
         add(mixed(mixed(words[:-1]) + words[1:])[~same])
-        if same.any():
-            grams.append(np.array([TWICE], np.uint32))
-            if (same[1:] & same[:-1]).any():
-                grams.append(np.array([THRICE], np.uint32))
+        grams.append(np.flatnonzero(same.mean() >= np.array([1 / 64, 1 / 16, 1 / 4, 1 / 2])).astype(np.uint32) + np.uint32(SHARES))
+        again, times = same, RUNS
+        while times < SHARES and again.any():
+            grams.append(np.array([times], np.uint32))
+            again, times = again[1:] & same[times:], times + 1
     return np.unique(np.concatenate(grams))
 
 
@@ -92,10 +94,10 @@ def sample_rows(rows: DataFrame, per_class: int) -> list[tuple[np.ndarray, int]]
 
 
 def log_ratios(counts: np.ndarray, smoothing: float) -> np.ndarray:
-    """Log of the classes' smoothed shares; ``counts`` has a row for each class."""
-    share = counts + smoothing
+    """Log of the classes' smoothed shares, 0 for n-grams not seen; ``counts`` has a row for each class."""
+    share = np.where(counts.any(axis=0), counts + smoothing, 1e-9)
     share = share / share.sum(axis=1, keepdims=True)
-    return np.log(share[1] / share[0])
+    return np.where(counts.any(axis=0), np.log(share[1] / share[0]), 0.0)
 
 
 def dual_descent(rows: list[tuple[np.ndarray, int]], ratio: np.ndarray, fit: Fit) -> np.ndarray:
