@@ -14,7 +14,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """``doc_id``, ``text`` and ``label`` of the labelled rows that are not held out.
 
     Rows without an id or a label teach nothing; of several labels of an id the
-    larger counts; a null text is empty.
+    larger counts; a null text is empty.  The labels grow with the documents,
+    so they are never broadcast: both sides are shuffled at any size.
     """
     known = (
         labels.select("doc_id", F.col(label).alias("label"))
@@ -22,4 +23,4 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
         .groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     )
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.filter(~held_out(F.col("doc_id"))).join(known, "doc_id")
+    return texts.filter(~held_out(F.col("doc_id"))).join(known.hint("merge"), "doc_id")
