@@ -59,9 +59,14 @@ def nfkd(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s))
 
 
+def strip(text: Column) -> Column:
+    """Trim every kind of Unicode blank, not only the plain space."""
+    return F.regexp_replace(text, r"(?U)^[\s\uFEFF]+|[\s\uFEFF]+$", "")
+
+
 def canonical_period(raw: Column) -> Column:
     """Structured period code to its label, else null."""
-    key = F.upper(F.trim(raw))
+    key = F.upper(strip(raw))
     result = F.lit(None).cast("string")
     for label in PRIMARY_PERIODS:
         codes = [code for code, value in PERIOD_CODES.items() if value == label]
@@ -76,7 +81,7 @@ def first_period(*raw: Column) -> Column:
 
 def first_product_id(*raw: Column) -> Column:
     """Product id from the first field present; blank text counts as none."""
-    value = F.trim(F.coalesce(*raw))
+    value = strip(F.coalesce(*raw))
     return F.when(value != "", value)
 
 

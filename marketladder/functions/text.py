@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from marketladder.functions.plans import nfkc
+from marketladder.functions.plans import nfkc, strip
 
 # Category to catalog group.
 CATEGORY_GROUPS = {
@@ -41,11 +41,6 @@ def search_key(text: Column, normalize: bool = True) -> Column:
     return F.regexp_replace(F.coalesce(folded, F.lit("")), r"(?U)[\s\uFEFF\p{P}\p{S}]+", "")
 
 
-def strip(text: Column) -> Column:
-    """Trim every kind of Unicode blank, not only the plain space."""
-    return F.regexp_replace(text, r"(?U)^[\s\uFEFF]+|[\s\uFEFF]+$", "")
-
-
 def parse_app_id(text: Column) -> Column:
     """6-12 digits, or the digits behind ``/id`` of an address."""
     value = strip(text)

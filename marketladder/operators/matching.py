@@ -13,17 +13,17 @@ from marketladder.operators.items import dedupe_by_product
 from marketladder.operators.plans import alias_group, items_by_alias, plan_aliases
 
 PLAN = ("app_id", "plan_id")
-ISSUES_PER_APP = 100
 
 
 def price_fx(rows: DataFrame, markets: DataFrame, rates: DataFrame) -> DataFrame:
     """Add currency, local_amount, cny and an issue for what cannot be priced.
 
-    Both dimensions are small (one row per market, one per currency); Spark
+    Rows of markets that are not configured are left out; a market without a
+    rate is an issue.  Both dimensions are small (one row per market, one per currency); Spark
     broadcasts them by their statistics, and shuffles if they ever outgrow it.
     """
     priced = (
-        rows.join(markets.select("region", "currency"), "region", "left")
+        rows.join(markets.select("region", "currency"), "region")
         .join(rates, "currency", "left")
         .withColumn("local_amount", parse_localized_amount(F.col("price"), F.col("currency")))
         .withColumn("cny", to_base_currency(F.col("local_amount"), F.col("units")))
@@ -173,7 +173,7 @@ def match_plan_by_name(plans: DataFrame, numbered: DataFrame, anchor: Column, an
         .when(unique | F.col("nth_price").isNotNull(), "matched")
         .otherwise("absent")
         .alias("outcome"),
-        F.when(unique, "exact-name").when(own, "us-anchor-only").alias("method"),
+        F.when(unique, "exact-name").when(own & F.col("nth_price").isNotNull(), "us-anchor-only").alias("method"),
         reason.alias("reason"),
         F.when(reason.isNotNull(), in_anchor).cast("bigint").alias("anchor_count"),
         F.when(reason.isNotNull(), F.col("rows")).alias("region_count"),
@@ -323,17 +323,22 @@ def match_review(matches: DataFrame) -> DataFrame:
     )
 
 
-def review_issues(matches: DataFrame, limit: int = ISSUES_PER_APP) -> DataFrame:
-    """The first issues of each app (a report of bounded length)."""
-    order = Window.partitionBy("app_id").orderBy("plan_id", "region")
+def review_issues(matches: DataFrame) -> DataFrame:
+    """Every excluded match with its reason, one row each."""
     reason = F.coalesce("reason", F.when((F.col("outcome") == "matched") & F.col("cny").isNull(), "price-parse-failed"))
-    return (
-        matches.withColumn("reason", reason)
-        .filter(F.col("reason").isNotNull())
-        .withColumn("seq", F.row_number().over(order))
-        .filter(F.col("seq") <= limit)
-        .select("app_id", F.col("seq").cast("bigint").alias("seq"), "plan_id", "region", "reason")
-    )
+    issues = matches.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+    return issues.select(*PLAN, "region", "reason")
+
+
+def first_issues(issues: DataFrame, plans: DataFrame, markets: DataFrame, k: int = 100) -> DataFrame:
+    """The first k issues of each app for a short report: by the plans' order (``seq``), then the markets'.
+
+    The limit is applied before the shuffle; ``review_issues`` has all rows.
+    """
+    placed = issues.join(plans.select(*PLAN, "seq"), [*PLAN]).join(markets.select("region", "ord"), "region")
+    place = F.row_number().over(Window.partitionBy("app_id").orderBy("seq", "plan_id", "ord"))
+    first = placed.withColumn("place", place).filter(F.col("place") <= k)
+    return first.select("app_id", F.col("place").cast("bigint").alias("place"), "plan_id", "region", "reason")
 
 
 def comparison_document(cells: DataFrame, rollup: DataFrame, matches: DataFrame, anchor_rows: Column) -> DataFrame:

@@ -26,6 +26,7 @@ TTL_SECONDS = {
     "rate-bucket": 120,
 }
 BLOCK_INTERVALS = 16
+NEVER = 1 << 62  # the age of what has no date
 
 
 def age_seconds(ts: Column, now: Column) -> Column:
@@ -37,13 +38,17 @@ def age_seconds(ts: Column, now: Column) -> Column:
 def cache_tier(
     records: DataFrame, now: Column, mode: Column, degraded: Column, incomplete: Column
 ) -> DataFrame:
-    """fresh / stale / expired, and whether the record should be refreshed."""
-    age = age_seconds(F.col("generated_at"), now)
+    """fresh / stale / expired, and whether the record should be refreshed.
+
+    An undated record is older than any limit; its shown age stays null.
+    """
+    shown = age_seconds(F.col("generated_at"), now)
+    age = F.coalesce(shown, F.lit(NEVER))
     tier = F.when(age <= FRESH, "fresh").when(age <= STALE, "stale").otherwise("expired")
     normal = (age > FRESH) | incomplete | (degraded & (age > HOT))
     refresh = F.when(mode == "hot", age > HOT).otherwise(normal)
     return records.select(
-        "*", age.alias("age"), tier.alias("tier"), refresh.alias("refresh"),
+        "*", shown.alias("age"), tier.alias("tier"), refresh.alias("refresh"),
         F.when(incomplete & (age <= STALE), "pending").when(age > STALE, "pending").otherwise("ready").alias("answer"),
     )
 
@@ -158,11 +163,12 @@ def cooldown(requests: DataFrame, seconds: int = MANUAL) -> DataFrame:
 
     Time is cut into blocks of sixteen intervals.  1. Equal (key, millisecond)
     rows are combined.  2. Per block, each row a chain may enter by gets the
-    row the chain leaves by.  3. Per key, the entry of every block follows from
-    the exit of the one before: a streamed fold in constant memory over these
-    entries only.  4. Every block is walked from its entry.  A block holds at
-    most one row per millisecond of its span, whatever share of the log its key
-    owns.
+    row the chain leaves by; chains soon meet, so neighbours that leave by the
+    same row are combined and a block's map is a few steps.  3. Per key the
+    steps of the blocks are composed in time order, which gives the time from
+    which each block is entered.  4. Every block is walked from there.  A block
+    holds at most one row per millisecond of its span, and step 3 a few rows a
+    block, whatever share of the log its key owns.
     """
     interval = seconds * 1000
     span = interval * BLOCK_INTERVALS
@@ -188,35 +194,39 @@ def cooldown(requests: DataFrame, seconds: int = MANUAL) -> DataFrame:
             for _ in range(BLOCK_INTERVALS):
                 step = jump[last]
                 last = np.where(step >= 0, step, last)
+            ends = np.ones(len(place), bool)  # the last of neighbours that leave by the same row
+            ends[:-1] = (last[1:] != last[:-1]) | (run[place][1:] != run[place][:-1])
             yield pd.DataFrame(
                 {
-                    "key": batch["key"].to_numpy()[place],
-                    "block": batch["block"].to_numpy()[place],
-                    "entry": at[place],
-                    "leave": at[last],
+                    "key": batch["key"].to_numpy()[place][ends],
+                    "block": batch["block"].to_numpy()[place][ends],
+                    "until": at[place][ends],
+                    "leave": at[last][ends],
                 }
             )
 
-    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, block, last = None, None, None
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = block = last = None
         for batch in batches:
-            keys, blocks, ins, outs = (batch[c].to_numpy() for c in ("key", "block", "entry", "leave"))
-            kept = []
-            i = 0
-            while i < len(keys):
-                if keys[i] != key:
-                    key, block, last = keys[i], None, None
-                if blocks[i] != block and (last is None or ins[i] >= last + interval):
+            kept, since = [], []
+            steps = zip(*(batch[c].tolist() for c in ("key", "block", "until", "leave")))
+            for i, (k, b, until, leave) in enumerate(steps):
+                if k != key:
+                    key, block, last = k, None, None
+                start = None if last is None else last + interval
+                if b != block and (start is None or until >= start):
                     kept.append(i)
-                    block, last = blocks[i], outs[i]
-                i += 1
-            yield pd.DataFrame({"key": keys[kept], "block": blocks[kept], "entry": ins[kept]})
+                    since.append(-(2**62) if start is None else start)
+                    block, last = b, leave
+            yield pd.DataFrame({"key": batch["key"].to_numpy()[kept], "block": batch["block"].to_numpy()[kept], "since": np.array(since, np.int64)})
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _whole_runs(batches):
             _, jump = _jumps(batch, interval)
             taken = np.zeros(len(batch), dtype=bool)
-            current = np.flatnonzero(batch["at_ms"].to_numpy() == batch["entry"].to_numpy())
+            run = _runs(batch["key"].to_numpy(), batch["block"].to_numpy())
+            late = np.flatnonzero(batch["at_ms"].to_numpy() >= batch["since"].to_numpy())
+            current = late[np.unique(run[late], return_index=True)[1]]  # the first row of each block from then on
             while len(current):
                 taken[current] = True
                 step = jump[current]
@@ -225,12 +235,12 @@ def cooldown(requests: DataFrame, seconds: int = MANUAL) -> DataFrame:
 
     by_block = distinct.repartition("key", "block")
     table = by_block.sortWithinPartitions("key", "block", "at_ms").mapInPandas(
-        entries, f"key {key_type}, block bigint, entry bigint, leave bigint"
+        entries, f"key {key_type}, block bigint, until bigint, leave bigint"
     )
     entered = (
         table.repartition("key")
-        .sortWithinPartitions("key", "block", "entry")
-        .mapInPandas(resolve, f"key {key_type}, block bigint, entry bigint")
+        .sortWithinPartitions("key", "block", "until")
+        .mapInPandas(compose, f"key {key_type}, block bigint, since bigint")
     )
     return (
         distinct.join(entered, ["key", "block"])
@@ -241,39 +251,37 @@ def cooldown(requests: DataFrame, seconds: int = MANUAL) -> DataFrame:
 
 
 def last_before(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, values: dict[str, Column]
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], buckets: Sequence[Column], values: dict[str, Column]
 ) -> DataFrame:
     """For each row the last non-null value at or before it, per key.
 
-    A key is cut into buckets of its order: inside a bucket a window finds the
-    last value, from earlier buckets it is carried over a small table with one
-    row per (key, bucket).  So a task holds a key's rows of one bucket, and the
-    small table grows with the clock, not with a key's share of the log.
+    A key is cut into buckets of its order, each cut again by the next of
+    ``buckets``.  Inside the smallest a window finds the last value; from
+    earlier ones it is carried over small tables, one level at a time, with a
+    row per bucket.  So a task holds the rows of one smallest bucket, or the
+    buckets within one larger, whatever share of the log a key owns.
     """
-    keys = list(keys)
-    names = list(values)
-    rows = rows.withColumn("__bucket", bucket)
-    for name, value in values.items():
-        rows = rows.withColumn(name, value)
+    keys, names = list(keys), list(values)
+    levels = [f"__b{i}" for i in range(len(buckets))]
+    rows = rows.withColumns(dict(zip(levels, buckets))).withColumns(values)
     at = F.struct(*order)
-    latest = rows.groupBy(*keys, "__bucket").agg(
-        *[
-            F.max(F.when(F.col(n).isNotNull(), F.struct(at.alias("at"), F.col(n).alias("v")))).alias(f"__l_{n}")
-            for n in names
-        ]
-    )
-    earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = latest.select(
-        *keys, "__bucket", *[F.last(f"__l_{n}", ignorenulls=True).over(earlier).alias(f"__c_{n}") for n in names]
-    )
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    last = [F.max(F.when(F.col(n).isNotNull(), F.struct(at.alias("at"), F.col(n).alias("v")))).alias(f"__l_{n}") for n in names]
+    inside = Window.partitionBy(*keys, *levels).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     filled = rows.select(
-        *[c for c in rows.columns if c not in names],
-        *[F.last(n, ignorenulls=True).over(inside).alias(n) for n in names],
-    ).join(carried, [*keys, "__bucket"])
-    for n in names:
-        filled = filled.withColumn(n, F.coalesce(F.col(n), F.col(f"__c_{n}.v")))
-    return filled.drop("__bucket", *[f"__c_{n}" for n in names])
+        *[c for c in rows.columns if c not in names], *[F.last(n, ignorenulls=True).over(inside).alias(n) for n in names]
+    )
+    latest = rows.groupBy(*keys, *levels).agg(*last)
+    for depth in reversed(range(len(levels))):
+        outer = [*keys, *levels[:depth]]
+        earlier = Window.partitionBy(*outer).orderBy(levels[depth]).rowsBetween(Window.unboundedPreceding, -1)
+        carried = latest.select(
+            *outer, levels[depth], *[F.last(f"__l_{n}", ignorenulls=True).over(earlier).alias(f"__c_{n}") for n in names]
+        )
+        filled = filled.join(carried, [*outer, levels[depth]])
+        for n in names:
+            filled = filled.withColumn(n, F.coalesce(F.col(n), F.col(f"__c_{n}.v"))).drop(f"__c_{n}")
+        latest = latest.groupBy(*outer).agg(*[F.max(f"__l_{n}").alias(f"__l_{n}") for n in names])
+    return filled.drop(*levels)
 
 
 def ttl_of(kind: Column) -> Column:
@@ -283,7 +291,12 @@ def ttl_of(kind: Column) -> Column:
     return seconds
 
 
-def lookup_ttl(puts: DataFrame, reads: DataFrame, bucket_seconds: int = HOUR // 4) -> DataFrame:
+def time_levels(ts: Column, seconds: Sequence[int] = (6 * HOUR, 10)) -> list[Column]:
+    """Buckets of time, each length a part of the one before."""
+    return [time_bucket(ts, s) for s in seconds]
+
+
+def lookup_ttl(puts: DataFrame, reads: DataFrame, bucket_seconds: Sequence[int] = (6 * HOUR, 10)) -> DataFrame:
     """Each read sees the latest earlier put of its key, unless it has expired.
 
     puts: key, ts, event_id, kind, payload; reads: key, ts, event_id.
@@ -296,7 +309,7 @@ def lookup_ttl(puts: DataFrame, reads: DataFrame, bucket_seconds: int = HOUR //
         )
     )
     seen = last_before(
-        log, ["key"], ["ts", "event_id"], time_bucket(F.col("ts"), bucket_seconds),
+        log, ["key"], ["ts", "event_id"], time_levels(F.col("ts"), bucket_seconds),
         {"stored": F.when(F.col("is_put"), stored)},
     ).filter(~F.col("is_put"))
     alive = age_seconds(F.col("stored.put_ts"), F.col("ts")) < ttl_of(F.col("stored.kind"))
@@ -308,7 +321,9 @@ def lookup_ttl(puts: DataFrame, reads: DataFrame, bucket_seconds: int = HOUR //
     )
 
 
-def serve_decision(log: DataFrame, manual_allowed: DataFrame, bucket_seconds: int = HOUR // 4) -> DataFrame:
+def serve_decision(
+    log: DataFrame, manual_allowed: DataFrame, bucket_seconds: Sequence[int] = (6 * HOUR, 10)
+) -> DataFrame:
     """Answer of each read: ready fresh or stale, pending, or an error.
 
     log: key, ts, event_id, mode (read, hot, manual, put, error), usable,
@@ -325,7 +340,7 @@ def serve_decision(log: DataFrame, manual_allowed: DataFrame, bucket_seconds: in
         F.struct(F.col("ts").alias("at"), F.when(F.col("mode") == "error", F.col("error")).alias("word")),
     )
     seen = last_before(
-        log, ["key"], ["ts", "event_id"], time_bucket(F.col("ts"), bucket_seconds), {"record": record, "marker": marker}
+        log, ["key"], ["ts", "event_id"], time_levels(F.col("ts"), bucket_seconds), {"record": record, "marker": marker}
     ).filter(F.col("mode").isin("read", "hot", "manual"))
     age = age_seconds(F.col("record.at"), F.col("ts"))
     known = F.coalesce(F.col("record.usable") & (age <= STALE), F.lit(False))

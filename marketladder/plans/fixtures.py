@@ -30,19 +30,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a table that lies in fewer files than there are cores.
-
-    A file with one row group is read by one task; large tables have many files
-    and are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The line items, over all cores."""
-    return spread(table(spark, sf_dir, "lineitem"))
+    """The line items; how they are split is left to ``spark.sql.files.maxPartitionBytes``."""
+    return table(spark, sf_dir, "lineitem")
 
 
 def region_code(key: Column) -> Column:
@@ -178,13 +168,14 @@ def pos_range() -> Column:
 
 
 def apps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Searchable catalog: one app per part."""
+    """Searchable catalog: one app per part; ``place`` is its position in a result list."""
     part = table(spark, sf_dir, "part")
     return part.select(
         (F.col("p_partkey") + 100000).cast("string").alias("app_id"),
         F.col("p_name").alias("app_name"),
         F.col("p_brand").alias("developer"),
         F.col("p_type").alias("category"),
+        F.pmod(F.col("p_partkey") * 7, F.lit(1000003)).alias("place"),
     )
 
 

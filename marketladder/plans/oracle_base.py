@@ -70,7 +70,8 @@ req AS (
 
 CATALOG = """
 catalog AS (
-  SELECT (100000 + p_partkey)::VARCHAR AS app_id, p_name AS app_name, p_brand AS developer, p_type AS category
+  SELECT (100000 + p_partkey)::VARCHAR AS app_id, p_name AS app_name, p_brand AS developer, p_type AS category,
+         (p_partkey * 7) % 1000003 AS place
   FROM part)
 """
 

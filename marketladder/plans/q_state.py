@@ -23,13 +23,15 @@ AGE = f"((epoch_us(TIMESTAMP '{NOW}') // 1000) - (epoch_us(ts) // 1000)) // 1000
 @query(
     "cache_tier",
     "O84",
-    f"""WITH {REQ}, r AS (SELECT event_id, mode, {AGE} AS age, key % 7 = 0 AS degraded, key % 5 = 0 AS incomplete FROM req)
-    SELECT event_id, age, CASE WHEN age <= 43200 THEN 'fresh' WHEN age <= 604800 THEN 'stale' ELSE 'expired' END AS tier,
+    f"""WITH {REQ}, r AS (SELECT event_id, mode, CASE WHEN key % 11 <> 0 THEN {AGE} END AS shown,
+        CASE WHEN key % 11 <> 0 THEN {AGE} ELSE 1000000000000 END AS age, key % 7 = 0 AS degraded, key % 5 = 0 AS incomplete FROM req)
+    SELECT event_id, shown AS age, CASE WHEN age <= 43200 THEN 'fresh' WHEN age <= 604800 THEN 'stale' ELSE 'expired' END AS tier,
       CASE WHEN mode = 'hot' THEN age > 10800 ELSE age > 43200 OR incomplete OR (degraded AND age > 10800) END AS refresh,
       CASE WHEN age > 604800 OR incomplete THEN 'pending' ELSE 'ready' END AS answer FROM r""",
 )
 def _tier(spark: SparkSession, sf: str) -> DataFrame:
-    records = fx.requests(spark, sf).withColumnRenamed("ts", "generated_at")
+    dated = F.when(F.col("key") % 11 != 0, F.col("ts"))  # some records have no date
+    records = fx.requests(spark, sf).withColumn("generated_at", dated).drop("ts")
     tiers = state.cache_tier(records, now(), F.col("mode"), F.col("key") % 7 == 0, F.col("key") % 5 == 0)
     return tiers.select("event_id", "age", "tier", "refresh", "answer")
 

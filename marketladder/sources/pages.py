@@ -21,9 +21,6 @@ from marketladder.functions.text import icon_address, strip
 START = '<script type="application/json" id="serialized-server-data">'
 END = "</script>"
 SECTION = "In-App Purchases"
-# Fixed value: most nodes a search page is searched for.
-SEARCH_NODES = 20_000
-
 
 
 def _texts(*names: str) -> T.StructType:
@@ -155,9 +152,7 @@ def _read_hits(text: str | None) -> list[dict]:
     except ValueError:
         return []
     hits, seen = [], set()
-    for place, node in enumerate(queue):  # the list grows while it is read: breadth first
-        if place >= SEARCH_NODES:
-            break
+    for node in queue:  # the list grows while it is read: breadth first
         children = node.values() if isinstance(node, dict) else node
         lockup = node.get("lockup") if isinstance(node, dict) else None
         if isinstance(lockup, dict) and node.get("resultType") != "bundle":

@@ -1,9 +1,10 @@
 """The keyed-state rules as Structured Streaming operators.
 
 Requests: key, ts (timestamp with a watermark), at_ms (event time in
-milliseconds), event_id.  What a key holds in one task is bounded by the
-micro-batch, which the source limits; what it holds between micro-batches is
-one small state row that expires.
+milliseconds), event_id.  Rows may arrive out of order within the watermark's
+delay: a row is decided on when the watermark has passed it, so the results are
+those of the batch forms.  A key's state holds the rows of that delay and one
+row of what was decided before; it expires.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,130 +22,235 @@ from marketladder.functions.text import millis
 from marketladder.operators.state import MANUAL, TTL_SECONDS, merge_latest
 
 MEMORY = "append"
+MERGE_BUCKETS = 64
 
 
-def request_stream(spark: SparkSession, folder: str, pattern: str, schema: str, late: str = "1 hour") -> DataFrame:
-    """Parquet files of a folder as a request stream with a watermark."""
-    source = (
-        spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", 1).parquet(folder)
-    )
+def request_stream(
+    spark: SparkSession, folder: str, pattern: str, schema: str, late: str = "1 hour", files_per_trigger: int | None = None
+) -> DataFrame:
+    """Parquet files of a folder as a request stream with a watermark.
+
+    How much a micro-batch takes is the caller's to limit.
+    """
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    source = reader.parquet(folder)
     return source.withColumn("at_ms", millis(F.col("ts"))).withColumn("ts", F.timestamp_millis("at_ms")).withWatermark(
         "ts", late
     )
 
 
+def _arrived(parts: Iterator[pd.DataFrame], columns: list[str], held: pd.DataFrame, late: bool) -> pd.DataFrame:
+    """The held rows and, unless the call is a timeout, the new ones, in the order of event time."""
+    found = [held] if late else [held, *[p[columns] for p in parts]]
+    return pd.concat([f for f in found if len(f)] or [held]).sort_values(["at_ms", "event_id"], ignore_index=True)
+
+
 def rate_cap_stream(requests: DataFrame, n: int = 60, seconds: int = 60) -> DataFrame:
-    """First n requests of every bucket in order of arrival; ties by time and id.
+    """First n requests of every bucket by time, then id.
 
-    Keeps a counter per bucket and at most n candidates at a time.  A bucket's
-    counter is dropped two buckets after the watermark has passed it; requests
-    later than the watermark are dropped.
+    Each task first keeps the n first rows a bucket of what it reads, so a
+    crowded bucket gets at most n rows a task; its state holds n rows.  A bucket
+    is answered when the watermark has passed its end.
     """
     size = seconds * 1000
+    columns = ["at_ms", "event_id"]
+
+    def shorten(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: pd.DataFrame | None = None
+        for part in parts:
+            rows = part if kept is None else pd.concat([kept, part])
+            kept = rows.sort_values(columns).groupby("bucket", sort=False).head(n)
+        if kept is not None:
+            yield kept
 
     def first(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(dict(zip(columns, state.get)) if state.exists else {c: [] for c in columns}, dtype="int64")
+        best = _arrived(parts, columns, held, state.hasTimedOut).head(n)
+        end = (int(key[0]) + 1) * size
         if state.hasTimedOut:
             state.remove()
-            return
-        passed = state.get[0] if state.exists else 0
-        best = None
-        for part in parts:
-            rows = part if best is None else pd.concat([best, part])
-            best = rows.sort_values(["at_ms", "event_id"]).head(n - passed)
-        state.update((passed + len(best),))
-        state.setTimeoutTimestamp(max((int(key[0]) + 3) * size, state.getCurrentWatermarkMs() + 1))
-        place = range(passed + 1, passed + len(best) + 1)
-        yield pd.DataFrame({"event_id": best["event_id"].to_numpy(), "bucket": int(key[0]), "place": list(place)})
+            place = np.arange(1, len(best) + 1)
+            yield pd.DataFrame({"event_id": best["event_id"], "bucket": int(key[0]), "place": place})
+        else:
+            state.update((best["at_ms"].tolist(), best["event_id"].tolist()))
+            state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
 
     bucket = F.floor(F.col("at_ms") / F.lit(size)).cast("bigint")
-    return requests.withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(
-        first, "event_id bigint, bucket bigint, place bigint", "passed bigint", MEMORY, GroupStateTimeout.EventTimeTimeout
+    rows = requests.select("ts", "at_ms", "event_id", bucket.alias("bucket"))
+    return rows.mapInPandas(shorten, rows.schema).groupBy("bucket").applyInPandasWithState(
+        first, "event_id bigint, bucket bigint, place bigint", "at_ms array<bigint>, event_id array<bigint>", MEMORY,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
 def cooldown_stream(requests: DataFrame, seconds: int = MANUAL) -> DataFrame:
     """Requests at least ``seconds`` after the key's last accepted one."""
     interval = seconds * 1000
+    columns = ["at_ms", "event_id"]
 
     def accept(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        last, *held = state.get if state.exists else (None, [], [])
+        rows = _arrived(parts, columns, pd.DataFrame(dict(zip(columns, held)), dtype="int64"), state.hasTimedOut)
+        rows = rows.drop_duplicates("at_ms", ignore_index=True)  # of equal times only the lowest id can be accepted
+        mark = state.getCurrentWatermarkMs()
+        times = rows["at_ms"].to_numpy()
+        due = int(np.searchsorted(times, mark))
+        taken, at = [], 0 if last is None else int(np.searchsorted(times, last + interval))
+        while at < due:  # one step for each accepted request
+            taken.append(at)
+            last = int(times[at])
+            at = int(np.searchsorted(times, last + interval))
+        rest = rows.iloc[due:]
+        if len(rest):
+            state.update((last, rest["at_ms"].tolist(), rest["event_id"].tolist()))
+            state.setTimeoutTimestamp(max(int(times[due]) + 1, mark + 1))
+        elif last is not None and last + interval > mark:
+            state.update((last, [], []))
+            state.setTimeoutTimestamp(last + interval)
+        elif state.exists:
             state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        # of equal times only the lowest id can be accepted
-        times = pd.concat([p.groupby("at_ms", as_index=False)["event_id"].min() for p in parts])
-        rows = times.groupby("at_ms")["event_id"].min().sort_index()
-        taken = []
-        for at, event_id in rows.items():
-            if last is None or at >= last + interval:
-                taken.append((key[0], at, event_id))
-                last = at
-        if last is not None:
-            state.update((int(last),))
-            state.setTimeoutTimestamp(max(int(last) + interval, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(taken, columns=["key", "at_ms", "event_id"])
+        yield rows.iloc[taken].assign(key=key[0])[["key", *columns]]
 
     return requests.groupBy("key").applyInPandasWithState(
-        accept, "key bigint, at_ms bigint, event_id bigint", "last bigint", MEMORY, GroupStateTimeout.EventTimeTimeout
+        accept, "key bigint, at_ms bigint, event_id bigint", "last bigint, at_ms array<bigint>, event_id array<bigint>",
+        MEMORY, GroupStateTimeout.EventTimeTimeout,
     )
 
 
 def lookup_stream(log: DataFrame) -> DataFrame:
     """Each read sees the latest earlier put of its key unless it has expired.
 
-    log: key, ts, at_ms, event_id, is_put, kind, payload.
+    log: key, ts, at_ms, event_id, is_put, kind, payload.  A read is answered
+    when the watermark has passed it, so a put that arrives after the read is
+    seen if it is earlier, and a later one is not.
     """
-    ttl = dict(TTL_SECONDS)
-    longest = max(ttl.values()) * 1000
+    ttl = {kind: seconds * 1000 for kind, seconds in TTL_SECONDS.items()}
+    longest = max(ttl.values())
+    columns = ["at_ms", "event_id", "is_put", "kind", "payload"]
+    kinds = {"at_ms": "int64", "event_id": "int64", "is_put": "bool", "kind": "object", "payload": "float64"}
 
     def answer(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        kept = state.get if state.exists else [[] for _ in columns]
+        held = pd.DataFrame({c: pd.Series(list(v), dtype=kinds[c]) for c, v in zip(columns, kept)})
+        rows = _arrived(parts, columns, held, state.hasTimedOut).astype(kinds)
+        mark = state.getCurrentWatermarkMs()
+        put = rows["is_put"].to_numpy()
+        place = np.maximum.accumulate(np.where(put, np.arange(len(rows)), -1))  # the last put at or before each row
+        due = (rows["at_ms"] < mark).to_numpy()
+        reads = np.flatnonzero(due & ~put)
+        seen, at = place[reads], rows["at_ms"].to_numpy()
+        alive = rows["kind"].map(ttl).to_numpy(dtype="float64", na_value=0)
+        hit = (seen >= 0) & ((at[reads] - at[seen]) // 1000 * 1000 < alive[seen])
+        found = rows.iloc[np.where(hit, seen, 0)]
+        # needed further: what is not due, the last due put, unless no read can see it any more
+        last = place[due].max(initial=-1)
+        need = ~due | ((np.arange(len(rows)) == last) & (at + longest > mark))
+        rest = rows[need]
+        if len(rest):
+            state.update(tuple([None if v is None or v != v else v for v in rest[c].tolist()] for c in columns))
+            waiting = at[~due & ~put]
+            wake = int(waiting[0]) + 1 if len(waiting) else int(at[need].max()) + longest
+            state.setTimeoutTimestamp(max(wake, mark + 1))
+        elif state.exists:
             state.remove()
-            return
-        put = tuple(state.get) if state.exists else None
-        rows = pd.concat(list(parts)).sort_values(["at_ms", "event_id"])
-        out = []
-        for at, event_id, is_put, kind, payload in rows[["at_ms", "event_id", "is_put", "kind", "payload"]].itertuples(
-            index=False, name=None
-        ):
-            if is_put:
-                put = (int(at), kind, float(payload))
-            else:
-                hit = put is not None and (at - put[0]) // 1000 < ttl[put[1]]
-                out.append((key[0], event_id, put[1] if hit else None, put[2] if hit else None, hit))
-        if put is not None:
-            state.update(put)
-            state.setTimeoutTimestamp(max(put[0] + longest, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "event_id", "kind", "payload", "hit"])
+        yield pd.DataFrame({
+            "key": key[0], "event_id": rows["event_id"].to_numpy()[reads],
+            "kind": np.where(hit, found["kind"], None), "payload": np.where(hit, found["payload"].astype(object), None), "hit": hit,
+        })
 
     return log.groupBy("key").applyInPandasWithState(
         answer, "key bigint, event_id bigint, kind string, payload double, hit boolean",
-        "at bigint, kind string, payload double", MEMORY, GroupStateTimeout.EventTimeTimeout,
+        "at_ms array<bigint>, event_id array<bigint>, is_put array<boolean>, kind array<string>, payload array<double>",
+        MEMORY, GroupStateTimeout.EventTimeTimeout,
     )
 
 
+# ---- merging into a record table -----------------------------------------------------------------------------------
+
+RECORD = "key bigint, generated_at timestamp_ntz, payload double"
+
+
+def _versions(spark: SparkSession, root: str, below: int | None = None) -> dict[int, int]:
+    """The newest version of every bucket; at most ``MERGE_BUCKETS`` rows."""
+    listed = spark.read.schema("bucket int, version bigint").parquet(f"{root}/versions")
+    if below is not None:
+        listed = listed.filter(F.col("version") < below)
+    return {r.bucket: r.v for r in listed.groupBy("bucket").agg(F.max("version").alias("v")).collect()}
+
+
+def _records(spark: SparkSession, root: str, versions: dict[int, int]) -> DataFrame:
+    paths = [f"{root}/records/v{version}/bucket={bucket}" for bucket, version in sorted(versions.items())]
+    return spark.read.schema(RECORD).parquet(*paths) if paths else spark.createDataFrame([], RECORD)
+
+
+def _write_version(records: DataFrame, root: str, version: int, changed: list[int]) -> None:
+    """Files of the changed buckets, then the rows that make them current."""
+    spark = records.sparkSession
+    bucketed = records.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(MERGE_BUCKETS)).cast("int"))
+    bucketed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/records/v{version}")
+    rows = spark.range(1).select(F.explode(F.array(*[F.lit(b) for b in changed])).alias("bucket"), F.lit(version).cast("bigint").alias("version"))
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{root}/versions/batch={version}")
+
+
+def start_records(records: DataFrame, root: str) -> None:
+    """Version 0 of a record table: all buckets, also the empty ones."""
+    spark = records.sparkSession
+    _write_version(records.select("key", "generated_at", "payload"), root, 0, list(range(MERGE_BUCKETS)))
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/records/v0")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for bucket in range(MERGE_BUCKETS):
+        store.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/records/v0/bucket={bucket}"))
+
+
+def current_records(spark: SparkSession, root: str) -> DataFrame:
+    """The record table as it is now."""
+    return _records(spark, root, _versions(spark, root))
+
+
 def merge_latest_stream(seeds: DataFrame, root: str, now: str, checkpoint: str) -> StreamingQuery:
-    """Merge a stream of seeds into a record table, one version per micro-batch.
+    """Merge a stream of seeds into the table that ``start_records`` began.
 
-    Version b holds the records after micro-batch b; a repeated batch rewrites
-    its own version from the one before, so a retry changes nothing.
+    Records lie in hash buckets of their key; a micro-batch rewrites only the
+    buckets it has seeds for.  A repeated batch reads what was current before
+    it and writes the same again.  A bucket's version is removed when the one
+    that replaced it has been replaced in turn or is older than one batch, so a
+    reader of the newest state never loses its files.
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        spark, version = batch.sparkSession, number + 1
         newest = batch.groupBy("key").agg(F.max(F.struct("generated_at", "event_id", "payload")).alias("l")).select(
-            "key", "l.generated_at", "l.payload"
-        )
-        schema = newest.schema
-        old = spark.read.schema(schema).parquet(f"{root}/v{number - 1}") if number else spark.createDataFrame([], schema)
-        merged = merge_latest(old, newest, F.lit(now).cast("timestamp_ntz"))
-        merged.drop("origin").write.mode("overwrite").parquet(f"{root}/v{number}")
+            "key", "l.generated_at", "l.payload", F.pmod(F.xxhash64("key"), F.lit(MERGE_BUCKETS)).cast("int").alias("b")
+        ).persist()
+        changed = sorted(r.b for r in newest.select("b").distinct().collect())
+        if changed:
+            before = _versions(spark, root, below=version)
+            old = _records(spark, root, {b: before[b] for b in changed})
+            merged = merge_latest(old, newest, F.lit(now).cast("timestamp_ntz")).drop("origin")
+            _write_version(merged, root, version, changed)
+            _remove_replaced(spark, root, version)
+        newest.unpersist()
 
     return (
         seeds.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
+def _remove_replaced(spark: SparkSession, root: str, version: int) -> None:
+    """Remove bucket files that were replaced before the batch of ``version``."""
+    listed = spark.read.schema("bucket int, version bigint").parquet(f"{root}/versions")
+    rank = listed.filter(F.col("version") < version).groupBy("bucket").agg(F.max("version").alias("kept"))
+    gone = listed.join(rank, "bucket").filter(F.col("version") < F.col("kept")).select("bucket", "version").collect()
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    store = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for r in gone:  # at most the buckets times the versions of two batches: earlier ones are gone already
+        place = hadoop.Path(f"{root}/records/v{r.version}/bucket={r.bucket}")
+        if store.exists(place):
+            store.delete(place, True)
+
+
 def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
     """Run a stream over what its source holds now and read what it wrote."""
     query = (

@@ -59,7 +59,7 @@ def test_lookup_does_not_depend_on_the_bucket(spark):
         alive = last and (ts - last[1]).total_seconds() < state.TTL_SECONDS[last[3]]
         expected[event_id] = last[4] if alive else None
     put_frame = spark.createDataFrame(puts, SCHEMA + ", kind string, payload double")
-    for seconds in (60, 3600, 10**7):
+    for seconds in ([60], [3600, 10], [10**7], [86400, 3600, 60]):
         got = state.lookup_ttl(put_frame, spark.createDataFrame(reads, SCHEMA), seconds)
         assert {r.event_id: r.payload for r in got.collect()} == expected
 
@@ -74,20 +74,23 @@ def test_seeds_and_records(spark):
     assert {r.key: r.origin for r in out.collect()} == {1: "seed", 2: "record", 3: "seed", 4: "seed"}
 
 
+CLOSING = (-1, START + timedelta(days=30), -1)
+
+
 def test_streams_agree_with_the_batch_forms(spark, tmp_path):
-    rows = sorted(make(12, 240, 300), key=lambda r: (r[1], r[2]))
+    """Several micro-batches that overlap by up to 40 minutes, with a watermark of an hour."""
+    rng = random.Random(12)
+    rows = sorted(make(12, 240, 300), key=lambda r: r[1] + timedelta(minutes=rng.randint(0, 40)))
     log = spark.createDataFrame(rows, SCHEMA)
-    for part in range(4):  # four micro-batches in time order
-        low, high = rows[part * 60][1], rows[part * 60 + 59][1]
-        chosen = [r[2] for r in rows[part * 60 : part * 60 + 60]]
-        assert low <= high
-        log.filter(F.col("event_id").isin(chosen)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for part in [rows[at : at + 60] for at in range(0, 240, 60)] + [[CLOSING], [CLOSING]]:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert max(r[1] for r in rows[:60]) > min(r[1] for r in rows[60:120])
 
     def stream():
-        return streams.request_stream(spark, str(tmp_path / "in"), "*.parquet", SCHEMA)
+        return streams.request_stream(spark, str(tmp_path / "in"), "*.parquet", SCHEMA, files_per_trigger=1)
 
     def ids(df, *columns):
-        return {tuple(r) for r in df.select(*columns).collect()}
+        return {tuple(r) for r in df.filter("event_id >= 0").select(*columns).collect()}
 
     got = streams.run_to_table(streams.cooldown_stream(stream()), str(tmp_path / "cooldown"))
     assert ids(got, "key", "event_id") == ids(state.cooldown(log), "key", "event_id")
@@ -101,8 +104,54 @@ def test_streams_agree_with_the_batch_forms(spark, tmp_path):
     assert ids(got, "event_id", "payload") == ids(state.lookup_ttl(puts, log.filter(~put)), "event_id", "payload")
 
 
+def test_a_late_read_does_not_see_a_later_put(spark, tmp_path):
+    at = lambda minute: START + timedelta(minutes=minute)
+    schema = SCHEMA + ", is_put boolean, kind string, payload double"
+    put = lambda m, i: (1, at(m), i, True, "search-hit", float(m))
+    parts = [[put(30, 1)], [put(20, 2), (1, at(10), 3, False, None, None), (1, at(31), 4, False, None, None)]]
+    for part in [*parts, [(*CLOSING, False, None, None)], [(*CLOSING, False, None, None)]]:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    log = streams.request_stream(spark, str(tmp_path / "in"), "*.parquet", schema, files_per_trigger=1)
+    got = streams.run_to_table(streams.lookup_stream(log), str(tmp_path / "out")).filter("event_id > 0").collect()
+    assert {r.event_id: r.payload for r in got} == {3: None, 4: 30.0}
+
+
+def test_merging_rewrites_only_what_changed(spark, tmp_path):
+    root, now = str(tmp_path / "table"), "2024-01-02 00:00:00"
+    hour = lambda h: START + timedelta(hours=h)
+    streams.start_records(spark.createDataFrame([(k, hour(5), 0.0) for k in range(200)], streams.RECORD), root)
+    schema = "key bigint, generated_at timestamp_ntz, event_id bigint, payload double"
+    parts = [[(1, hour(4), 1, 1.0), (2, hour(6), 2, 1.0)], [(1, hour(7), 3, 2.0), (2, hour(5), 4, 2.0)], [(1, hour(8), 5, 3.0)], [(300, hour(1), 6, 3.0)]]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streams.merge_latest_stream(source, root, now, str(tmp_path / "checkpoint")).awaitTermination()
+    got = {r.key: r.payload for r in streams.current_records(spark, root).collect()}
+    assert got == {k: 0.0 for k in range(200)} | {1: 3.0, 2: 1.0, 300: 3.0}
+    kept = {p.parent.name for p in (tmp_path / "table" / "records").glob("v*/bucket=*")}
+    assert len(list((tmp_path / "table" / "records").glob("v0/bucket=*"))) >= streams.MERGE_BUCKETS - 3 and "v1" not in kept
+
+
+def test_an_undated_record_is_as_old_as_can_be(spark):
+    records = spark.createDataFrame([(1, None), (2, START)], "key bigint, generated_at timestamp_ntz")
+    now = F.lit(START + timedelta(hours=1)).cast("timestamp_ntz")
+    got = {r.key: (r.age, r.tier, r.refresh, r.answer) for r in state.cache_tier(records, now, F.lit("read"), F.lit(False), F.lit(False)).collect()}
+    assert got == {1: (None, "expired", True, "pending"), 2: (3600, "fresh", False, "ready")}
+
+
+def test_of_several_names_of_an_app_the_best_counts(spark):
+    rows = [("1", "Gemini", "", 2), ("1", "Alpha gemini assistant", "", 1), ("2", "Twin B", "", 2), ("3", "Twin A", "", 5)]
+    apps = spark.createDataFrame(rows, "app_id string, app_name string, developer string, place int")
+    assert [(r.app_name, r.score) for r in search.resolve_unique(apps, ["gemini"]).collect()] == [("Gemini", 0)]
+    ranked = search.search_rank(apps, ["twin"]).orderBy("rank").collect()
+    assert [r.app_name for r in ranked] == ["Twin B", "Twin A"]  # result order, not the alphabet
+    plan = search.search_rank(apps, ["twin"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("ArrowEvalPython")  # names are normalized below the terms
+
+
 def test_ambiguous_names_resolve_to_nothing(spark):
-    apps = spark.createDataFrame([("1", "Notion Mail", ""), ("2", "Notion Calendar", ""), ("3", "Google Gemini", "Google")], "app_id string, app_name string, developer string")
+    rows = [("1", "Notion Mail", "", 1), ("2", "Notion Calendar", "", 2), ("3", "Google Gemini", "Google", 3)]
+    apps = spark.createDataFrame(rows, "app_id string, app_name string, developer string, place int")
     got = {r.query: r.app_id for r in search.resolve_unique(apps, ["notion", "gemini", "x"]).collect()}
     assert got == {"gemini": "3"}
     assert {r.query: r.app_id for r in search.search_curated(apps, ["notion", "google", "2"]).collect()} == {"google": "3", "2": "2"}
