@@ -97,6 +97,12 @@ def run_report(resolved: DataFrame) -> DataFrame:
     )
 
 
+def report_cells(resolved: DataFrame) -> DataFrame:
+    """Every cell that fell back or was deferred, with its reason."""
+    kind = F.when(F.col("choice") == "previous", "fallback").when(F.col("choice") == "defer", "deferred")
+    return resolved.withColumn("kind", kind).filter(F.col("kind").isNotNull()).select("kind", "app_id", "region", "reason")
+
+
 def batch_status(batches: DataFrame) -> DataFrame:
     """Report word per batch; batches come from ``accept_batches``."""
     return batches.withColumn(
@@ -202,18 +208,15 @@ def upsert_regions(base: DataFrame, replacements: DataFrame) -> DataFrame:
 def identity_summary(records: DataFrame, plans: DataFrame, shared: DataFrame) -> DataFrame:
     """Per record: plans, plans with product id, unresolved curated plans.
 
-    records: app_id, source, us_status, degraded_regions; plans: app_id,
+    records: app_id, source, us_status, us_identity_status, structured_regions,
+    degraded_regions (``unresolved_ids`` has the ids, one row each); plans: app_id,
     plan_id, product_id, period, match_method; shared: curated plans with a
     name in common (``duplicate_alias_plans``).
     """
     flagged = plans.join(
         shared.select("app_id", "plan_id").withColumn("__shared", F.lit(True)), ["app_id", "plan_id"], "left"
     )
-    open_plan = F.col("__shared") & (
-        F.col("product_id").isNull()
-        | (F.col("period") == PUBLIC)
-        | F.col("match_method").isin("us-anchor-only", "unmatched")
-    )
+    open_plan = F.col("__shared") & _open_plan()
     counted = flagged.groupBy("app_id").agg(
         F.count(F.lit(1)).alias("plan_count"),
         F.count("product_id").alias("structured_plans"),
@@ -226,6 +229,20 @@ def identity_summary(records: DataFrame, plans: DataFrame, shared: DataFrame) ->
     )
 
 
+def _open_plan() -> Column:
+    return (
+        F.col("product_id").isNull()
+        | (F.col("period") == PUBLIC)
+        | F.col("match_method").isin("us-anchor-only", "unmatched")
+    )
+
+
+def unresolved_ids(plans: DataFrame, shared: DataFrame) -> DataFrame:
+    """app_id, plan_id of the curated plans that ``identity_summary`` counts as unresolved."""
+    both = plans.join(shared.select("app_id", "plan_id"), ["app_id", "plan_id"], "left_semi")
+    return both.filter(_open_plan()).select("app_id", "plan_id")
+
+
 def is_incomplete(summary_prefix: str = "") -> Column:
     """A snapshot record with a plan that has no product id."""
     p = summary_prefix

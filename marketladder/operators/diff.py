@@ -16,7 +16,6 @@ from marketladder.session import stored
 
 CELL = ("app_id", "region")
 ITEM = ("name", "price")
-MAX_LOG = 100
 
 
 def bag_difference(
@@ -103,6 +102,19 @@ def catalog_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return apps.unionByName(regions)
 
 
+def name_apps(changes: DataFrame, before_apps: DataFrame, after_apps: DataFrame) -> DataFrame:
+    """Add app_name: the newer name; of an app that came or went the older name, the newer one, or the id.
+
+    Both app tables: app_id, matched_name.
+    """
+    old = before_apps.select("app_id", F.col("matched_name").alias("__old"))
+    new = after_apps.select("app_id", F.col("matched_name").alias("__new"))
+    named = changes.join(old, "app_id", "left").join(new, "app_id", "left")
+    whole_app = F.col("type").isin("app-removed", "app-added")
+    name = F.when(whole_app, F.coalesce("__old", "__new", "app_id")).otherwise(F.col("__new"))
+    return named.withColumn("app_name", name).drop("__old", "__new")
+
+
 def common_cells(before: DataFrame, after: DataFrame) -> DataFrame:
     """Cells in both snapshots with counts, statuses and evidence states."""
     old = before.select(
@@ -261,7 +273,7 @@ def confirm_change(first: DataFrame, second: DataFrame, by: Sequence[str]) -> Da
 
 
 def well_formed_changes(changes: DataFrame) -> DataFrame:
-    """Public columns of log changes; rows without their texts are dropped."""
+    """Public columns of log changes; rows without their texts or the app's name are dropped."""
     item = F.col("kind").isNotNull()
     complete = (
         F.when(~item, F.lit(True))
@@ -269,11 +281,11 @@ def well_formed_changes(changes: DataFrame) -> DataFrame:
         .when(F.col("kind") == "removed", F.col("before_price").isNotNull())
         .otherwise(F.col("after_price").isNotNull())
     )
-    named = F.col("entry_id").isNotNull() & F.col("type").isNotNull() & F.col("app_id").isNotNull()
+    named = F.col("entry_id").isNotNull() & F.col("type").isNotNull() & F.col("app_id").isNotNull() & F.col("app_name").isNotNull()
     known = ~item | F.col("name").isNotNull()
     return changes.filter(named & known & complete).select(
-        "entry_id", "type", "app_id", "region", "before_state", "after_state", "kind", "name", "before_price",
-        "after_price",
+        "entry_id", "type", "app_id", "app_name", "region", "before_state", "after_state", "kind", "name",
+        "before_price", "after_price",
     )
 
 
@@ -286,18 +298,38 @@ def latest_n(entries: DataFrame, n: int = 30) -> DataFrame:
     )
 
 
-def append_change_log(log: DataFrame, new: DataFrame, limit: int = 30) -> DataFrame:
-    """Add entries the log does not have yet, newest first, at most ``limit``.
+def append_change_log(log: DataFrame, new: DataFrame) -> DataFrame:
+    """The whole log with the entries it does not have yet; ``latest_n`` is the reading view.
 
     Both: entry_id, published_at, change_count.  Running it twice changes
     nothing, because an id already in the log is not added again.
     """
-    if not 1 <= limit <= MAX_LOG:
-        raise ValueError("limit must be between 1 and 100")
     fields = ["entry_id", "published_at", "change_count"]
     valid = F.col("entry_id").isNotNull() & F.col("published_at").isNotNull() & (F.col("entry_id") != "none")
-    fresh = new.select(*fields).filter(valid).join(log.select("entry_id"), "entry_id", "left_anti")
-    return latest_n(log.select(*fields).filter(valid).unionByName(fresh), limit)
+    kept = log.select(*fields).filter(valid & (F.col("change_count") > 0))
+    fresh = new.select(*fields).filter(valid & (F.col("change_count") > 0))
+    return kept.unionByName(fresh.join(kept.select("entry_id"), "entry_id", "left_anti"))
+
+
+def append_log_changes(log: DataFrame, log_changes: DataFrame, new_changes: DataFrame) -> DataFrame:
+    """Change rows of all entries: those of ``log`` as they are, and those of entries it does not have.
+
+    ``new_changes``: rows of ``entry_changes``.
+    """
+    fresh = new_changes.join(log.select("entry_id"), "entry_id", "left_anti")
+    return well_formed_changes(log_changes).unionByName(well_formed_changes(fresh))
+
+
+def entry_changes(entry_id: Column, cells: DataFrame, changes: DataFrame) -> DataFrame:
+    """A run's changes as log rows: one per changed cell, and one per changed item (``kind`` is set).
+
+    ``cells`` has app names (``name_apps``).
+    """
+    states = ["type", *CELL, "app_name", "before_state", "after_state"]
+    texts = ["kind", "name", "before_price", "after_price"]
+    own = cells.select(*states, *[F.lit(None).cast("string").alias(c) for c in texts])
+    rows = changes.select(*CELL, *texts).join(cells.select(*states), [*CELL]).select(*states, *texts)
+    return own.unionByName(rows).withColumn("entry_id", entry_id)
 
 
 def flag_known_apps(changes: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -373,3 +405,39 @@ def notification_lines(cells: DataFrame, changes: DataFrame, k: int = 8) -> Data
     """The first k short texts, a bounded report, and how many more there are."""
     more = cells.agg(F.greatest(F.count(F.lit(1)) - k, F.lit(0).cast("bigint"))).scalar()
     return short_lines(cells, changes).orderBy(*CELL).limit(k).withColumn("more", more)
+
+
+def notification(cells: DataFrame, changes: DataFrame, k: int = 8) -> DataFrame:
+    """place, line: the message about a change; ``cells`` has app names.
+
+    Header with the count, the first k cells by id and region, how many more
+    there are, and the footer.
+    """
+    # Texts of the message.
+    found, cells_text = "发现 ", " 个应用/地区发生变化："
+    rest, places = "另有 ", " 处变化"
+    unclear, footer = "内容变化", "系统会短时复查；两次结果一致后自动发布。"
+    number = cells.agg(F.count(F.lit(1)).alias("n"))
+    n = F.col("n").cast("string")
+    first = cells.select(*CELL, "app_name").orderBy(*CELL).limit(k)
+    shown = cells.join(first.select(*CELL), [*CELL], "left_semi")
+    texts = short_lines(shown, changes.join(first.select(*CELL), [*CELL], "left_semi"))
+    place = F.row_number().over(Window.orderBy(*CELL)).cast("bigint")  # at most k rows
+    line = F.concat(
+        "app_name", F.lit(" / "), F.upper("region"), F.lit("："), F.when(F.col("line") != "", F.col("line")).otherwise(unclear)
+    )
+    body = first.join(texts, [*CELL]).select(place.alias("place"), line.alias("line"))
+    zero = F.lit(0).cast("bigint").alias("place")
+    head = number.select(zero, F.concat(F.lit(found), n, F.lit(cells_text)).alias("line"))
+    tail = number.filter(F.col("n") > k).select(
+        F.lit(k + 1).cast("bigint").alias("place"), F.concat(F.lit(rest), (F.col("n") - k).cast("string"), F.lit(places)).alias("line")
+    )
+    foot = number.select(F.lit(k + 2).cast("bigint").alias("place"), F.lit(footer).alias("line"))
+    return head.unionByName(body).unionByName(tail).unionByName(foot)
+
+
+def published_line(change_count: Column) -> Column:
+    """The message after publishing, or after a check without any change."""
+    # Texts of the message.
+    done = F.concat(F.lit("已确认并上线 "), change_count.cast("string"), F.lit(" 个应用/地区的订阅变化。"))
+    return F.when(change_count > 0, done).otherwise("本次检查未发现订阅变动，网站数据无需更新。")

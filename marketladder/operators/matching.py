@@ -23,7 +23,7 @@ def price_fx(rows: DataFrame, markets: DataFrame, rates: DataFrame) -> DataFrame
     broadcasts them by their statistics, and shuffles if they ever outgrow it.
     """
     priced = (
-        rows.join(markets.select("region", "currency"), "region")
+        rows.join(markets.select("region", "currency", *[c for c in markets.columns if c == "market_name"]), "region")
         .join(rates, "currency", "left")
         .withColumn("local_amount", parse_localized_amount(F.col("price"), F.col("currency")))
         .withColumn("cny", to_base_currency(F.col("local_amount"), F.col("units")))
@@ -79,10 +79,13 @@ def match_plan_by_product(plans: DataFrame, cells: DataFrame, items: DataFrame,
         "app_id", "product_id", F.col("i_offer").alias("a_offer"), F.col("i_period").alias("a_period"),
         F.col("i_family").alias("a_family"),
     )
+    # one row per app with its markets, a bounded list; exploded, a plan's rows are keyed by market
+    listed = public_cells(cells).groupBy("app_id").agg(F.collect_list(F.struct("region", "status")).alias("c"))
     grid = (
         plans.filter(F.col("product_id").isNotNull())
         .select("app_id", "plan_id", "product_id")
-        .join(public_cells(cells).select("app_id", "region", "status"), "app_id")
+        .join(listed, "app_id")
+        .select("app_id", "plan_id", "product_id", F.inline("c"))
     )
     joined = grid.join(rows, ["app_id", "region", "product_id"], "left").join(
         anchors, ["app_id", "product_id"], "left"
@@ -287,7 +290,8 @@ def plan_rollup(plans: DataFrame, matches: DataFrame) -> DataFrame:
     """
     priced = (F.col("outcome") == "matched") & F.col("cny").isNotNull()
     issue = (F.col("outcome") == "issue") | ((F.col("outcome") == "matched") & F.col("cny").isNull())
-    entry = F.struct(round_cny(F.col("cny")).alias("cny"), "region", "price")
+    named = [c for c in ("market_name",) if c in matches.columns]
+    entry = F.struct(round_cny(F.col("cny")).alias("cny"), "region", "price", "currency", "local_amount", *named)
     counted = matches.groupBy(*PLAN).agg(
         F.count(F.when(priced, 1)).alias("available"),
         F.count(F.when(F.col("outcome") == "not-listed", 1)).alias("not_listed"),
@@ -341,15 +345,26 @@ def first_issues(issues: DataFrame, plans: DataFrame, markets: DataFrame, k: int
     return first.select("app_id", F.col("place").cast("bigint").alias("place"), "plan_id", "region", "reason")
 
 
-def comparison_document(cells: DataFrame, rollup: DataFrame, matches: DataFrame, anchor_rows: Column) -> DataFrame:
+def comparison_document(
+    cells: DataFrame,
+    rollup: DataFrame,
+    matches: DataFrame,
+    anchor_rows: Column,
+    markets: DataFrame,
+    apps: DataFrame,
+    times: dict[str, Column],
+) -> DataFrame:
     """Header row of each app's comparison; apps without a usable anchor fail.
 
+    ``apps``: app_id, query, matched_name, developer, icon, store_url,
+    price_source; ``times``: generated_at, rates_updated_at.  The number of
+    regions is that of the configured markets.
+
     Plans, prices and issues stay rows of their own tables (``plan_rollup``,
     ``review_issues``) keyed by app, so no app is gathered in one task.
     """
     per_app = cells.groupBy("app_id").agg(
         F.max(F.when(anchor_rows, is_public(F.col("status"), F.col("item_count")))).alias("__anchor"),
-        F.count(F.lit(1)).alias("region_count"),
         F.count(F.when(is_degraded_region(F.col("status")), 1)).alias("degraded_regions"),
     )
     per_plan = rollup.groupBy("app_id").agg(
@@ -357,13 +372,18 @@ def comparison_document(cells: DataFrame, rollup: DataFrame, matches: DataFrame,
         F.count(F.when(F.col("plan_group") != "primary", 1)).alias("other_plans"),
     )
     review = match_review(matches).select("app_id", "excluded_matches", "affected_regions")
-    joined = per_app.join(per_plan, "app_id", "left").join(review, "app_id", "left")
+    joined = per_app.join(per_plan, "app_id", "left").join(review, "app_id", "left").join(apps, "app_id", "left")
+    configured = markets.agg(F.count(F.lit(1))).scalar()
     counts = ["primary_plans", "other_plans", "excluded_matches", "affected_regions"]
     error = F.when(~F.coalesce("__anchor", F.lit(False)), "us-anchor-unavailable").when(
         F.coalesce("primary_plans", F.lit(0)) + F.coalesce("other_plans", F.lit(0)) == 0, "us-plans-unavailable"
     )
     return joined.select(
-        "app_id", "region_count", "degraded_regions",
+        "app_id", F.coalesce("matched_name", "query", "app_id").alias("name"),
+        F.coalesce("developer", F.lit("")).alias("developer"), "icon", "store_url",
+        F.coalesce("price_source", F.lit("app-store")).alias("price_source"),
+        times["generated_at"].alias("generated_at"), times["rates_updated_at"].alias("rates_updated_at"),
+        configured.alias("region_count"), "degraded_regions",
         *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in counts],
         error.alias("error"),
     )

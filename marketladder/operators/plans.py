@@ -137,9 +137,17 @@ def discover_plans(
         F.lit(0).cast("bigint").alias("first_ord"), F.lit(0).cast("bigint").alias("first_pos"),
     )
     plans = stored(enrich_display(listed.unionByName(automatic), numbered.filter(anchor), pos_range))
+    return number_ambiguous_labels(plans, *plan_order())
+
+
+def plan_order() -> tuple[list[Column], Column]:
+    """Order of an app's plans, and the ranges it is numbered in: curated ones, then as they first occur.
+
+    Discovered plans are cut by the market and the range of positions they
+    first occur in, so the plans of a large app stay spread.
+    """
     order = [F.col(c) for c in ("discovered", "curated_ord", "first_ord", "first_pos", "occurrence")]
-    bucket = F.when(F.col("discovered"), position_range("occurrence")).otherwise(F.lit(-1).cast("bigint"))
-    return number_ambiguous_labels(plans, order, bucket)
+    return order, F.when(F.col("discovered"), F.col("first_ord")).otherwise(F.lit(-1).cast("bigint"))
 
 
 def enrich_display(plans: DataFrame, anchor_items: DataFrame, pos_range: Column | None = None) -> DataFrame:

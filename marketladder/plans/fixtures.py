@@ -179,6 +179,22 @@ def apps(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def app_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of the apps that have observations; some of it is missing."""
+    number = F.col("p_partkey") % 20
+    grouped = table(spark, sf_dir, "part").groupBy(number.alias("n")).agg(
+        *[F.min(c).alias(c) for c in ("p_partkey", "p_name", "p_type", "p_brand")]
+    )
+    n = F.col("n")
+    return grouped.select(
+        (n + 100000).cast("string").alias("app_id"), F.when(n % 2 == 0, F.col("p_name")).alias("matched_name"),
+        F.when(n % 3 == 0, F.col("p_type")).alias("query"), F.when(n % 5 > 0, F.col("p_brand")).alias("developer"),
+        F.concat("p_name", F.lit(".jpg")).alias("icon"),
+        F.concat(F.lit("https://example.test/"), F.col("p_partkey").cast("string")).alias("store_url"),
+        F.when(n % 4 == 0, "service").alias("price_source"),
+    )
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request and cache events: key, ts, event_id, mode."""
     events = table(spark, sf_dir, "events")

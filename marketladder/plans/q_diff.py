@@ -8,7 +8,7 @@ from marketladder.operators import carry, diff
 from marketladder.plans import fixtures as fx
 from marketladder.plans.oracle_base import OBS
 from marketladder.plans.q_functions import DIFF_STATE
-from marketladder.plans.q_matching import IDENTITY, newer_cells, summaries
+from marketladder.plans.q_matching import IDENTITY, PAGES, newer_cells, summaries
 from marketladder.plans.registry import n_rows, query
 from marketladder.session import stored
 
@@ -77,21 +77,32 @@ def _pair(spark: SparkSession, sf: str) -> DataFrame:
       u AS (SELECT coalesce(a.app_id, b.app_id) AS app_id, coalesce(a.region, b.region) AS region, b.app_id IS NOT NULL AS old, a.app_id IS NOT NULL AS new
         FROM b FULL JOIN a ON a.app_id = b.app_id AND a.region = b.region),
       s AS (SELECT app_id, bool_or(old) AS o, bool_or(new) AS n FROM u GROUP BY ALL)
-    SELECT CASE WHEN n THEN 'app-added' ELSE 'app-removed' END AS type, app_id, NULL AS region FROM s WHERE NOT (o AND n)
-    UNION ALL SELECT CASE WHEN new THEN 'region-added' ELSE 'region-removed' END, app_id, region FROM u JOIN s USING (app_id) WHERE o AND n AND NOT (old AND new)""",
+    SELECT CASE WHEN n THEN 'app-added' ELSE 'app-removed' END AS type, app_id, NULL AS region,
+      coalesce(CASE WHEN o AND app_id::INTEGER % 3 > 0 THEN 'Old ' || app_id END, CASE WHEN n AND app_id::INTEGER % 2 > 0 THEN 'New ' || app_id END, app_id) AS app_name FROM s WHERE NOT (o AND n)
+    UNION ALL SELECT CASE WHEN new THEN 'region-added' ELSE 'region-removed' END, app_id, region, CASE WHEN app_id::INTEGER % 2 > 0 THEN 'New ' || app_id END
+      FROM u JOIN s USING (app_id) WHERE o AND n AND NOT (old AND new)""",
 )
 def _catalog_diff(spark: SparkSession, sf: str) -> DataFrame:
     line = fx.table(spark, sf, "lineitem").withColumn("app", F.col("l_partkey") % 300)
     pair = [F.col("app").cast("string").alias("app_id"), F.col("l_suppkey").cast("string").alias("region")]
     before = line.filter("l_returnflag <> 'A' AND app < 290").select(*pair)
     newer = line.filter("l_returnflag <> 'R' AND app >= 10").select(*pair)
-    return diff.catalog_diff(before, newer)
+    number = F.col("app_id").cast("int")
+
+    def names(rows: DataFrame, word: str, apart: int) -> DataFrame:
+        """Some apps have no name."""
+        name = F.when(number % apart > 0, F.concat(F.lit(word), "app_id"))
+        return rows.select("app_id").distinct().withColumn("matched_name", name)
+
+    return diff.name_apps(diff.catalog_diff(before, newer), names(before, "Old ", 3), names(newer, "New ", 2))
 
 
-@query("snapshot_diff", "O76", f"WITH {OBS}, {CHANGES} SELECT * FROM dif")
+@query("snapshot_diff", "O76", f"WITH {OBS}, {PAGES}, {CHANGES} SELECT dif.*, matched_name AS app_name FROM dif LEFT JOIN app_page USING (app_id)")
 def _snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
     side = sides(spark, sf)
-    return diff.snapshot_diff(side["before_cells"], side["after_cells"], changes(side))
+    found = diff.snapshot_diff(side["before_cells"], side["after_cells"], changes(side))
+    pages = fx.app_pages(spark, sf)
+    return diff.name_apps(found, pages.withColumn("matched_name", F.col("query")), pages)
 
 
 @query(
@@ -191,11 +202,55 @@ def _latest(spark: SparkSession, sf: str) -> DataFrame:
     "append_change_log",
     "O79",
     f"""WITH {LOG}, u AS (SELECT * FROM log UNION ALL SELECT * FROM fresh WHERE entry_id NOT IN (SELECT entry_id FROM log))
-    SELECT entry_id, strftime(published_at, '%Y-%m-%d') AS day, change_count FROM u WHERE change_count > 0 ORDER BY published_at DESC, entry_id DESC LIMIT 100""",
+    SELECT entry_id, strftime(published_at, '%Y-%m-%d') AS day, change_count FROM u WHERE change_count > 0""",
 )
 def _append(spark: SparkSession, sf: str) -> DataFrame:
     log, fresh = logs(spark, sf)
-    return shown_log(diff.append_change_log(log, fresh, 100))
+    return shown_log(diff.append_change_log(log, fresh))
+
+
+@query(
+    "append_log_changes",
+    "O79",
+    f"""WITH {OBS}, {PAGES}, {CHANGES}, named AS (SELECT d.*, matched_name AS app_name, CASE WHEN d.app_id::INTEGER % 4 = 0 THEN 'old' ELSE 'new' END AS entry_id
+        FROM dif d LEFT JOIN app_page USING (app_id)),
+      rows AS (SELECT entry_id, type, app_id, app_name, region, before_state, after_state, NULL AS kind, NULL AS name, NULL AS before_price, NULL AS after_price FROM named
+        UNION ALL SELECT entry_id, type, n.app_id, app_name, n.region, before_state, after_state, kind, name, before_price, after_price FROM named n JOIN chg USING (app_id, region))
+    SELECT entry_id, type, app_id, app_name, region, before_state, after_state, kind, name, count(*) AS rows FROM rows WHERE app_name IS NOT NULL GROUP BY ALL""",
+)
+def _log_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """The changes of an entry the log has, and those of a new one; a repeated entry adds nothing."""
+    side = sides(spark, sf)
+    rows = stored(changes(side))
+    pages = fx.app_pages(spark, sf)
+    cells = diff.name_apps(diff.snapshot_diff(side["before_cells"], side["after_cells"], rows), pages, pages)
+    entry = F.when(F.col("app_id").cast("int") % 4 == 0, "old").otherwise("new")
+    found = stored(diff.entry_changes(entry, cells, rows))
+    log = spark.range(1).select(F.lit("old").alias("entry_id"))
+    both = diff.append_log_changes(log, found.filter("entry_id = 'old'"), found)
+    return both.groupBy(*[c for c in both.columns if "price" not in c]).agg(n_rows())
+
+
+@query(
+    "notification",
+    "O80",
+    f"""WITH {OBS}, {PAGES}, {CHANGES}, c AS (SELECT dif.*, coalesce(matched_name, dif.app_id) AS app_name, row_number() OVER (ORDER BY app_id, region) AS place FROM dif LEFT JOIN app_page USING (app_id)),
+      t AS (SELECT *, row_number() OVER (PARTITION BY app_id, region, kind ORDER BY seq, name) AS n,
+        CASE kind WHEN 'updated' THEN name || ' ' || before_price || '→' || after_price WHEN 'added' THEN '新增 ' || name || ' ' || after_price ELSE '移除 ' || name || ' ' || before_price END AS s FROM chg),
+      p AS (SELECT app_id, region, max(s) FILTER (kind = 'updated' AND n = 1) AS u1, max(s) FILTER (kind = 'updated' AND n = 2) AS u2,
+        max(s) FILTER (kind = 'added' AND n = 1) AS a1, max(s) FILTER (kind = 'removed' AND n = 1) AS r1 FROM t GROUP BY ALL),
+      l AS (SELECT place, app_name || ' / ' || upper(region) || '：' || concat_ws('，', CASE WHEN before_state <> after_state THEN '状态 ' || before_state || '→' || after_state END, u1, u2,
+        CASE WHEN updated > 2 THEN '另有 ' || (updated - 2) || ' 个套餐调价' END, a1, CASE WHEN added > 1 THEN '另新增 ' || (added - 1) || ' 项' END,
+        r1, CASE WHEN removed > 1 THEN '另移除 ' || (removed - 1) || ' 项' END) AS line FROM c LEFT JOIN p USING (app_id, region) WHERE place <= 8)
+    SELECT 0::BIGINT AS place, '发现 ' || count(*) || ' 个应用/地区发生变化：' AS line FROM c UNION ALL SELECT * FROM l
+    UNION ALL SELECT 9, '另有 ' || (count(*) - 8) || ' 处变化' FROM c HAVING count(*) > 8 UNION ALL SELECT 10, '系统会短时复查；两次结果一致后自动发布。'""",
+)
+def _notification(spark: SparkSession, sf: str) -> DataFrame:
+    side = sides(spark, sf)
+    rows = stored(changes(side))
+    pages = fx.app_pages(spark, sf).withColumn("matched_name", F.coalesce("matched_name", "app_id"))
+    found = diff.snapshot_diff(side["before_cells"], side["after_cells"], rows)
+    return diff.notification(stored(diff.name_apps(found, pages, pages)), rows)
 
 
 @query(
@@ -315,6 +370,15 @@ def _report(spark: SparkSession, sf: str) -> DataFrame:
     return carry.run_report(resolved(spark, sf))
 
 
+@query(
+    "report_cells",
+    "O61",
+    f"""WITH {OBS}, {RESOLVED} SELECT CASE choice WHEN 'previous' THEN 'fallback' ELSE 'deferred' END AS kind, app_id, region, reason FROM res WHERE choice <> 'candidate'""",
+)
+def _report_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return carry.report_cells(resolved(spark, sf))
+
+
 @query(
     "stamp_verified",
     "O81",

@@ -129,6 +129,7 @@ CURATED = [
     ("small-second", "SMALL", words.PUBLIC, ["SMALL"], 1),
     ("large-annual", "Large", YEAR, ["LARGE Annual", "LARGE Yearly"], 0),
     ("stale", "Stale", MONTH, ["NO SUCH ITEM"], 0),
+    ("two-names", "Two", words.PUBLIC, ["STANDARD", "PROMO Monthly"], 2),
 ]
 CURATED_SQL = (
     "curated AS (SELECT app_id, d.plan_id AS plan_id, d.label AS label, d.period AS period, d.aliases AS aliases, d.occurrence AS occurrence, "
@@ -211,7 +212,7 @@ grouped AS (SELECT *, CASE WHEN period IN ('月付', '年付', '周付') THEN 'p
     count(*) OVER (PARTITION BY app_id, label, period) AS total,
     row_number() OVER (PARTITION BY app_id, label, period ORDER BY discovered, curated_ord, first_ord, first_pos, occurrence) AS n FROM enriched),
 plan AS (SELECT app_id, plan_id, CASE WHEN total > 1 THEN label || ' #' || n ELSE label END AS label, period, aliases, occurrence, discovered,
-    product_id, offer_name, billing_period, family_id, display_group FROM grouped)"""
+    product_id, offer_name, billing_period, family_id, display_group, curated_ord, first_ord, first_pos FROM grouped)"""
 
 
 def discovered(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketladder.operators import matching, quality, state
+from marketladder.operators import quality, state
 from marketladder.plans import fixtures as fx, publish
 from marketladder.plans.oracle_base import OBS, REQ
-from marketladder.plans.q_matching import ROLLUP, STRICT, strict
+from marketladder.plans.q_matching import ROLLUP, STRICT, compared
 from marketladder.plans.q_quality import snapshot_tables
 from marketladder.plans.q_state import AGE, COOLDOWN, HOUR_CAP, KIND_SQL, LATEST, NOW, TTL_SQL, kind
 from marketladder.plans.registry import n_rows, query
@@ -68,11 +68,9 @@ def _marker(spark: SparkSession, sf: str) -> DataFrame:
     UNION ALL SELECT app_id, 'plan', count(*), sum(available)::BIGINT FROM rolled GROUP BY app_id UNION ALL SELECT app_id, 'issue', n, 0 FROM i""",
 )
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    plans, cells, priced = strict(spark, sf)
-    rollup = matching.plan_rollup(plans, priced)
-    headers = matching.comparison_document(cells, rollup, priced, F.col("region") == fx.anchor_region(spark, sf))
+    _, found = compared(spark, sf)
     path = new_folder(spark)
-    publish.write_comparison(headers, rollup, matching.review_issues(priced), path)
+    publish.write_comparison(found.headers, found.rollup, found.issues, path)
     prices = F.coalesce(F.size(F.from_json("document", "prices array<struct<region:string>>")["prices"]), F.lit(0))
     read = publish.read_comparison(spark, path).withColumn("n", F.greatest(prices, F.lit(0)))
     return read.groupBy("app_id", "kind").agg(n_rows(), F.sum("n").alias("prices"))

@@ -88,26 +88,38 @@ def test_fingerprint_ignores_neighbours_but_not_order(spark):
     assert one != two
 
 
-def test_log_is_idempotent_and_bounded(spark):
+def test_log_is_idempotent_and_whole(spark):
     schema = "entry_id string, published_at string, change_count bigint"
-    log = spark.createDataFrame([(f"old-{i}", f"2026-01-{i + 1:02d}", 1) for i in range(31)], schema)
-    new = spark.createDataFrame([("f1", "2026-03-01", 2), ("none", "2026-03-02", 1)], schema)
+    log = spark.createDataFrame([(f"old-{i}", f"2026-01-01 {i:03d}", 1) for i in range(131)], schema)
+    new = spark.createDataFrame([("f1", "2026-03-01", 2), ("old-0", "2026-03-01", 2), ("none", "2026-03-02", 1)], schema)
     once = diff.append_change_log(log, new)
-    assert once.count() == 30 and once.first().entry_id == "f1"
+    assert once.count() == 132 and diff.latest_n(once).count() == 30 and diff.latest_n(once).first().entry_id == "f1"
     twice = diff.append_change_log(once, new.withColumn("published_at", F.lit("2026-04-01")))
-    assert [tuple(r) for r in twice.collect()] == [tuple(r) for r in once.collect()]
-    with pytest.raises(ValueError):
-        diff.append_change_log(log, new, 101)
+    assert {tuple(r) for r in twice.collect()} == {tuple(r) for r in once.collect()}
+
+
+def test_message_about_a_change(spark):
+    cells, changes = compare(spark, snapshot(spark, [("Monthly", "$9.99")]), snapshot(spark, [("Monthly", "$10.99")]))
+    names = spark.createDataFrame([("1", "Example")], "app_id string, matched_name string")
+    named = diff.name_apps(cells, names, names)
+    lines = [r.line for r in diff.notification(named, changes).orderBy("place").collect()]
+    assert lines == ["发现 1 个应用/地区发生变化：", "Example / US：Monthly $9.99→$10.99", "系统会短时复查；两次结果一致后自动发布。"]
+    many = named.withColumn("region", F.explode(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: i.cast("string"))))
+    lines = [r.line for r in diff.notification(many, changes.filter("false")).orderBy("place").collect()]
+    assert len(lines) == 11 and lines[9] == "另有 2 处变化" and lines[1] == "Example / 1：内容变化"
+    texts = [r[0] for r in spark.range(2).select(diff.published_line(F.col("id") * 3)).collect()]
+    assert texts == ["本次检查未发现订阅变动，网站数据无需更新。", "已确认并上线 3 个应用/地区的订阅变化。"]
 
 
 def test_malformed_log_rows_are_dropped(spark):
-    columns = "entry_id string, type string, app_id string, region string, before_state string, after_state string, kind string, name string, before_price string, after_price string, status string"
+    columns = "entry_id string, type string, app_id string, app_name string, region string, before_state string, after_state string, kind string, name string, before_price string, after_price string, status string"
     rows = [
-        ("e", "region-items-changed", "1", "us", None, None, "updated", "N", "$1", "$2", "internal"),
-        ("e", "region-items-changed", "1", "us", None, None, "updated", "N", "$1", None, "internal"),
-        ("e", "region-items-changed", "1", "us", None, None, "removed", None, "$1", None, "internal"),
-        ("e", None, "1", "us", None, None, None, None, None, None, None),
-        ("e", "app-added", "1", None, None, None, None, None, None, None, None),
+        ("e", "region-items-changed", "1", "A", "us", None, None, "updated", "N", "$1", "$2", "internal"),
+        ("e", "region-items-changed", "1", "A", "us", None, None, "updated", "N", "$1", None, "internal"),
+        ("e", "region-items-changed", "1", "A", "us", None, None, "removed", None, "$1", None, "internal"),
+        ("e", None, "1", "A", "us", None, None, None, None, None, None, None),
+        ("e", "app-added", "1", "A", None, None, None, None, None, None, None, None),
+        ("e", "app-added", "2", None, None, None, None, None, None, None, None, None),
     ]
     kept = diff.well_formed_changes(spark.createDataFrame(rows, columns))
     assert kept.count() == 2 and "status" not in kept.columns

@@ -8,6 +8,7 @@ CELLS = "app_id string, region string, ord bigint, status string, identity_statu
 ITEMS = "app_id string, region string, pos bigint, name string, price string, product_id string"
 APPS = "app_id string, ord bigint, matched_name string, developer string, icon string, price_source string, category string, catalog_group string, verified_at string"
 LOG = "entry_id string, published_at string, change_count bigint"
+LOG_CHANGES = "entry_id string, type string, app_id string, app_name string, region string, before_state string, after_state string, kind string, name string, before_price string, after_price string"
 
 
 def app(number, verified):
@@ -41,6 +42,7 @@ def test_an_update_end_to_end(spark, tmp_path):
     previous = {k: v.filter("app_id <> '3'") for k, v in previous.items()}
     previous["apps"] = spark.createDataFrame([app(1, "t0"), app(2, "t0")], APPS)
     previous["log"] = spark.createDataFrame([("old", "2026-01-01", 1)], LOG)
+    previous["log_changes"] = spark.createDataFrame([("old", "app-added", "7", "Seven", None, None, None, None, None, None, None)], LOG_CHANGES)
     candidate = snapshot(spark, {(1, "us"): "$2.00"}, failed={(2, "ph"), (3, "ph")})
     candidate |= {"apps": spark.createDataFrame([app(n, None) for n in (1, 2, 3)], APPS), "header": header, "regions": regions}
 
@@ -53,11 +55,32 @@ def test_an_update_end_to_end(spark, tmp_path):
     log = published(spark, root, "log").orderBy(F.desc("published_at")).collect()
     assert [r.change_count for r in log] == [1, 1] and log[1].entry_id == "old"
 
+    kept = {(r.entry_id, r.app_name, r.kind, r.after_price) for r in published(spark, root, "log_changes").collect()}
+    assert kept == {("old", "Seven", None, None), (log[0].entry_id, "A", None, None), (log[0].entry_id, "A", "updated", "$2.00")}
+    assert {(r.kind, r.app_id, r.reason) for r in published(spark, root, "report_cells").collect()} == {
+        ("fallback", "2", "error:HTTP 500"), ("deferred", "3", "error:HTTP 500")
+    }
+
+    # A second update keeps the changes of the first.
+    state = {name: published(spark, root, name) for name in ("cells", "items", "apps", "log", "log_changes")}
+    later = snapshot(spark, {(1, "us"): "$3.00"}, failed={(3, "ph")})
+    later |= {name: candidate[name] for name in ("apps", "header", "regions")}
+    assert update(later, state, config, rates, root, "run-1b", 2, "2026-07-15", "t0").published
+    again = [(r.app_name, r.after_price) for r in published(spark, root, "log_changes").filter("kind IS NOT NULL").collect()]
+    assert sorted(again) == [("A", "$2.00"), ("A", "$3.00")] and published(spark, root, "log").count() == 3
+
+    # Items that do not agree with the declared count break a rule.
+    false = snapshot(spark, {(1, "us"): "$4.00"}, failed={(3, "ph")}) | {name: candidate[name] for name in ("apps", "header", "regions")}
+    gone = previous | {"cells": previous["cells"].withColumn("item_count", F.lit(2).cast("bigint"))}
+    false["cells"] = false["cells"].withColumn("item_count", F.when(F.col("item_count") > 0, 2).otherwise(0).cast("bigint"))
+    wrong = update(false, gone, config, rates, root, "run-1c", 3, "2026-07-16", "t0")
+    assert not wrong.published
+
     # A broken candidate leaves the published state as it is.
     candidate["items"] = candidate["items"].withColumn("price", F.lit("free"))
-    broken = update(candidate, previous, config, rates, root, "run-2", 2, "2026-07-15", "t0")
+    broken = update(candidate, previous, config, rates, root, "run-2", 4, "2026-07-15", "t0")
     assert not broken.published and {r.rule for r in broken.violations.collect()} == {"V18"}
-    assert [r.after_price for r in published(spark, root, "changes").collect()] == ["$2.00"]
+    assert [r.after_price for r in published(spark, root, "changes").collect()] == ["$3.00"]
 
 
 def test_marker_depends_on_both_times(spark):
