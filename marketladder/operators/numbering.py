@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 RANGE = "__range"
 BEFORE = "__before"
+STRETCH = 4096
 
 
 def number_in_group(
@@ -34,8 +35,7 @@ def number_in_group(
     keys = list(keys)
     rows = df.withColumn(RANGE, bucket)
     ranges = rows.groupBy(*keys, RANGE).agg(F.count(F.lit(1)).alias("__rows"))
-    earlier = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.select(*keys, RANGE, F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias(BEFORE))
+    offsets = _offsets(ranges, keys) if keys else _offsets_of_all(ranges)
     if per_key is not None:
         offsets = offsets.join(per_key, keys, "left")
     local = F.row_number().over(Window.partitionBy(*keys, RANGE).orderBy(*order))
@@ -47,6 +47,26 @@ def number_in_group(
     )
 
 
+def _offsets(ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows in the earlier ranges of each key."""
+    earlier = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    return ranges.select(*keys, RANGE, F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias(BEFORE))
+
+
+def _offsets_of_all(ranges: DataFrame) -> DataFrame:
+    """The same without a key: ranges are summed within stretches of ranges first.
+
+    The one task that orders everything sees a row for each ``STRETCH`` ranges.
+    """
+    cut = ranges.withColumn("__stretch", F.floor(F.col(RANGE) / F.lit(STRETCH)))
+    inside = Window.partitionBy("__stretch").orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = cut.groupBy("__stretch").agg(F.sum("__rows").alias("__all"))
+    before = stretches.select("__stretch", F.coalesce(F.sum("__all").over(whole), F.lit(0)).alias("__first"))
+    placed = cut.withColumn("__inside", F.coalesce(F.sum("__rows").over(inside), F.lit(0))).join(before, "__stretch")
+    return placed.select(RANGE, (F.col("__first") + F.col("__inside")).alias(BEFORE))
+
+
 def position_range(pos: str | Column, width: int = 65_536) -> Column:
     """Range number of a position column."""
     column = F.col(pos) if isinstance(pos, str) else pos

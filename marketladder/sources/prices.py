@@ -54,6 +54,7 @@ ALTERNATIVE_WORDS = r"(?iu)\b(?:or|ou|oder|atau|veya)\b|或|或者"
 # Distances in characters and scores.
 DIRECT_GAP, FOLLOWING_GAP, NEAR, AROUND, TIER_SECTION = 48, 45, 90, 130, 720
 FOLLOWING_REGIONS = ["cn", "jp", "hk", "tw", "tr"]
+# Words of trials and promotions.
 TV_TRIAL = r"(?iu)free (?:7|seven)[-\s]?day|new subscriber|7日|7 天|7 gün"
 NEWS_TRIAL = r"(?iu)free 1[-\s]?month|new subscriber|trial"
 ANNUAL_SERVICES = ["apple-arcade", "apple-fitness-plus"]
@@ -63,6 +64,7 @@ SERVICE_LABELS = {
     "apple-tv-plus": "Apple TV+",
     "apple-news-plus": "Apple News+",
 }
+# Fixed value: words of a promotion.
 PROMOTION_WORDS = (
     r"(?iu)\b(?:free|trial|offer|new subscriber)s?\b|oferta|prueba|essai|gratuit|kostenlos|aktion|新規|無料|限时|限時"
     r"|優惠|优惠|\b\d+\s*(?:months?|meses|mois|monate)\b"
@@ -302,8 +304,26 @@ def service_prices(pages: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _class_pattern(tag: str, word: str) -> str:
-    return rf"<{tag}\b[^>]*\bclass=(?:\"[^\"]*\b{word}\b[^\"]*\"|'[^']*\b{word}\b[^']*')[^>]*>"
+def _has_class(element: Column, tag: str, word: str) -> Column:
+    """Whether an element's opening tag names the word in its class attribute."""
+    opening = F.regexp_extract(element, rf"(?i)^<{tag}\b[^>]*>", 0)
+    names = F.regexp_extract(opening, r"""(?i)\bclass=("[^"]*"|'[^']*')""", 1)
+    return names.rlike(rf"(?i)\b{word}\b")
+
+
+def _elements(html: Column, tag: str, word: str) -> Column:
+    """Texts from each tag with the class up to the next such tag."""
+    parts = F.split(html, rf"(?i)(?=<{tag}\b)", -1)
+    places = F.sequence(F.lit(1), F.size(parts))
+    starts = F.filter(places, lambda i: _has_class(F.get(parts, i - 1), tag, word))
+    stops = F.concat(F.slice(starts, F.lit(2), F.size(parts)), F.array(F.size(parts) + 1))
+    return F.transform(starts, lambda start, k: F.array_join(F.slice(parts, start, F.get(stops, k) - start), ""))
+
+
+def _inside(element: Column, tag: str, ends: str) -> Column:
+    """Text behind the opening tag up to the first of the ends; null without an end."""
+    found = F.regexp_extract_all(element, F.lit(rf"(?is)^<{tag}\b[^>]*>(.*?)(?:{ends})"), F.lit(1))
+    return F.get(found, F.lit(0))
 
 
 def extract_plan_cards(pages: DataFrame, keys: list[str], html: str = "html", currency: str = "currency") -> DataFrame:
@@ -312,18 +332,21 @@ def extract_plan_cards(pages: DataFrame, keys: list[str], html: str = "html", cu
     A card with several amounts wins (its last amount is the recurring price),
     else the first that is no promotion, else the only card with a price.
     """
-    card = _class_pattern("li", "gallery-item")
-    headline = rf"(?iu){_class_pattern('p', 'tile-headline')}([\s\S]*?)(?:</p>|<ul\b|</div>)"
+    # Class names of a card and its headline, and what ends a headline.
+    card_class, headline_class, headline_ends = "gallery-item", "tile-headline", r"</p>|<ul\b|</div>"
     cut = pages.select(
-        *keys, F.col(currency).alias("currency"),
-        F.posexplode(F.split(F.col(html), rf"(?iu)(?={card})", -1)).alias("card_no", "card"),
-    ).filter(F.col("card").rlike(rf"(?iu)^{card}"))
-    tag = F.regexp_extract("card", r"(?iu)^<li\b[^>]*>", 0)
+        *keys, F.col(currency).alias("currency"), F.posexplode(_elements(F.col(html), "li", card_class)).alias("card_no", "card")
+    )
+    tag = F.regexp_extract("card", r"(?i)^<li\b[^>]*>", 0)
     plan = F.lit(None).cast("string")
     for name in MUSIC_PLANS:
-        plan = F.when(tag.rlike(rf"(?iu)\bid=(?:\"{name}\"|'{name}')"), F.lit(name)).otherwise(plan)
-    cards = cut.withColumn("plan", plan).filter(F.col("plan").isNotNull() & F.col("card").rlike(headline))
-    read = kept_apart(cards, text=html_to_text(F.regexp_extract("card", headline, 1), drop_scripts=False))
+        plan = F.when(tag.rlike(rf"""(?i)\bid=["']{name}["']"""), F.lit(name)).otherwise(plan)
+    headlines = F.transform(_elements(F.col("card"), "p", headline_class), lambda e: _inside(e, "p", headline_ends))
+    headline = F.get(F.filter(headlines, lambda h: h.isNotNull()), F.lit(0))
+    cards = kept_apart(cut.withColumn("plan", plan).filter(F.col("plan").isNotNull()), headline=headline).filter(
+        F.col("headline").isNotNull()
+    )
+    read = kept_apart(cards, text=html_to_text(F.col("headline"), drop_scripts=False))
     options = (
         kept_apart(read, mentions=price_mentions(F.col("text"), F.col("currency")))
         .filter(F.size("mentions") > 0)
@@ -349,9 +372,9 @@ def extract_bundle_cards(pages: DataFrame, keys: list[str], html: str = "html",
     """First price of each bundle plan's paragraph."""
     entries = []
     for plan, name in BUNDLE_PLANS.items():
-        paragraph = rf"(?iu)<p\b[^>]*class=(?:\"[^\"]*\bplan-{plan}\b[^\"]*\"|'[^']*\bplan-{plan}\b[^']*')[^>]*>([\s\S]*?)</p>"
-        text = html_to_text(F.regexp_extract(F.col(html), paragraph, 1))
-        price = F.get(price_mentions(text, F.col(currency)), F.lit(0))["price"]
+        paragraphs = F.transform(_elements(F.col(html), "p", f"plan-{plan}"), lambda e: _inside(e, "p", "</p>"))
+        first = F.get(F.filter(paragraphs, lambda p: p.isNotNull()), F.lit(0))
+        price = F.get(price_mentions(html_to_text(F.coalesce(first, F.lit(""))), F.col(currency)), F.lit(0))["price"]
         entries.append(F.struct(F.lit(plan).alias("plan"), F.lit(name).alias("name"), price.alias("price")))
     rows = pages.select(*keys, F.explode(F.array(*entries)).alias("e")).select(*keys, "e.*")
     return rows.filter(F.col("price").isNotNull())

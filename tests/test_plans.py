@@ -134,3 +134,59 @@ def test_spread_and_ladder(spark):
     r = matching.price_spread(priced).first()
     assert (r.low_region, r.high_region, r.saving_percent, r.comparable) == ("b", "c", 75, 3)
     assert [x.region for x in matching.cheapest_k(priced, 2).orderBy("rank").collect()] == ["b", "a"]
+
+
+def test_markets_that_are_not_configured_are_left_out(spark):
+    rows = spark.createDataFrame([("us", "$1.00"), ("zz", "$1.00"), ("ph", "₱5.00")], "region string, price string")
+    markets = spark.createDataFrame(MARKETS, "region string, ord bigint, currency string")
+    rates = spark.createDataFrame([("USD", 0.5)], "currency string, units double")
+    got = {r.region: (r.cny, r.issue) for r in matching.price_fx(rows, markets, rates).collect()}
+    assert got == {"us": (2.0, None), "ph": (None, "price-parse-failed")}
+
+
+def test_a_plan_without_a_row_has_no_method(spark):
+    """Names A (2 rows) and B (3 rows), number 2: A counts and has no third row."""
+    found = numbered(spark, ("us", [("A", "$1"), ("A", "$2"), ("B", "$3"), ("B", "$4"), ("B", "$5")]))
+    asked = spark.createDataFrame([("1", "p", ["A", "B"], 2)], "app_id string, plan_id string, aliases array<string>, occurrence bigint")
+    r = matching.match_plan_by_name(asked, found, F.lit("us"), us()).first()
+    assert (r.outcome, r.method, r.price) == ("absent", None, None)
+
+
+def test_every_issue_is_kept(spark):
+    schema = "app_id string, plan_id string, region string, outcome string, reason string, cny double"
+    matches = spark.createDataFrame([("1", f"p{i:03d}", "us", "issue", "x", None) for i in range(150)] + [("1", "q", "us", "matched", None, 1.0)], schema)
+    issues = matching.review_issues(matches)
+    assert issues.count() == 150
+    order = spark.createDataFrame([("1", f"p{i:03d}", 150 - i) for i in range(150)], "app_id string, plan_id string, seq bigint")
+    markets = spark.createDataFrame(MARKETS, "region string, ord bigint, currency string")
+    first = matching.first_issues(issues, order, markets).orderBy("place").collect()
+    assert len(first) == 100 and [r.plan_id for r in first[:2]] == ["p149", "p148"]
+
+
+def test_the_comparison_as_one_plan(spark):
+    from marketladder.plans.comparison import compare
+
+    found = numbered(
+        spark, ("us", [("Plus", "$10.00", "m", "P1M"), ("Plus", "$100.00", "y", "P1Y"), ("Extra", "$3.00")]),
+        ("ph", [("Buwanang", "₱400.00", "m", "MONTHLY"), ("Extra", "₱100.00"), ("Extra", "₱200.00")]), ("zz", [("Extra", "$1.00")]),
+    )
+    cells = spark.createDataFrame(
+        [("1", "us", "ok-structured", 3), ("1", "ph", "ok-structured", 3), ("1", "zz", "ok-structured", 1), ("1", "jp", "error:HTTP 500", 0)],
+        "app_id string, region string, status string, item_count bigint",
+    )
+    apps = spark.createDataFrame([("1", "query", None, "Dev", "icon", "url", None)], "app_id string, query string, matched_name string, developer string, icon string, store_url string, price_source string")
+    markets = spark.createDataFrame([(r, o, c, n) for (r, o, c), n in zip(MARKETS, ("States", "Islands"))], "region string, ord bigint, currency string, market_name string")
+    rates = spark.createDataFrame(RATES, "currency string, units double")
+    times = {"generated_at": F.lit("t1"), "rates_updated_at": F.lit("t2")}
+    done = compare(cells, found, apps, curated(spark), markets, rates, F.lit("us"), times)
+    rolled = {(r.label, r.period): r for r in done.rollup.collect()}
+    assert set(rolled) == {("Plus", "月付"), ("Plus", "年付"), ("Extra", "公开项目")}
+    prices = rolled["Plus", "月付"].prices
+    assert [(p.region, p.market_name, p.currency, p.price, p.local_amount, p.cny) for p in prices] == [
+        ("ph", "Islands", "PHP", "₱400.00", 400.0, 50.0), ("us", "States", "USD", "$10.00", 10.0, 71.43)
+    ]
+    assert (rolled["Plus", "年付"].not_listed, rolled["Extra", "公开项目"].excluded) == (1, 1)
+    h = done.headers.first()
+    assert (h["name"], h.price_source, h.region_count, h.degraded_regions, h.generated_at, h.excluded_matches, h.error) == (
+        "query", "app-store", 2, 1, "t1", 1, None
+    )
