@@ -21,7 +21,25 @@ SAMPLE = [
 
 def test_every_inventory_row_has_a_checked_query():
     assert set(ROWS) <= set(registry.SURVEY.values())
-    assert set(spec.queries()) == set(spec.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLES) <= set(spec.oracle_sql())
+
+
+def test_entry_without_the_optional_subpackage(monkeypatch):
+    """The driver removes the subpackage and the pipeline; the other queries stay."""
+    import importlib
+
+    class Absent:
+        def find_spec(self, name, path=None, target=None):
+            if name == "corpus_pipeline" or name.startswith("marketladder.llm"):
+                raise ModuleNotFoundError(name, name=name)
+
+    with monkeypatch.context() as patch:
+        for name in [n for n in sys.modules if n == "corpus_pipeline" or n.startswith("marketladder.llm")]:
+            patch.delitem(sys.modules, name)
+        patch.setattr(sys, "meta_path", [Absent(), *sys.meta_path])
+        alone = importlib.reload(spec)
+        assert set(alone.queries()) == set(registry.QUERIES)
+    importlib.reload(spec)
 
 
 @pytest.mark.parametrize("name", SAMPLE)
