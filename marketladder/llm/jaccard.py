@@ -52,7 +52,7 @@ class Join:
     whole: int = 100
     frequent: int = 32
     spread: int = 4
-    sketch: int = 64
+    sketch: int = 512
     tile: int = 1024
 
     def common(self, both):  # noqa: ANN001, ANN201
@@ -136,7 +136,7 @@ def index_entries(tokens: np.ndarray, totals: np.ndarray, rule: Join) -> tuple[n
 
 MEMBERS = "block int, doc_id bigint, n_shingles bigint, digest binary"
 ACTIVE = "node bigint, n int, once int, sketch binary, tokens binary, entries binary, early binary"
-ENTRIES = "entry bigint, node bigint, n int, once int, early boolean, sketch binary"
+ENTRIES = "entry bigint, node bigint, n int, once int, early boolean"
 
 
 def _members(blocks: DataFrame, rule: Join) -> DataFrame:
@@ -224,11 +224,11 @@ def _entries(active: DataFrame) -> DataFrame:
                 entries = np.frombuffer(r["entries"], np.int64)
                 same = lambda v, k, m=len(entries): pa.array([v] * m, k)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(entries), same(r["node"], pa.int64()), same(r["n"], pa.int32()), same(r["once"], pa.int32()), pa.array(np.frombuffer(r["early"], bool)), same(r["sketch"], pa.binary())],
-                    ["entry", "node", "n", "once", "early", "sketch"],
+                    [pa.array(entries), same(r["node"], pa.int64()), same(r["n"], pa.int32()), same(r["once"], pa.int32()), pa.array(np.frombuffer(r["early"], bool))],
+                    ["entry", "node", "n", "once", "early"],
                 )
 
-    return active.select("node", "n", "once", "sketch", "entries", "early").mapInArrow(work, ENTRIES)
+    return active.select("node", "n", "once", "entries", "early").mapInArrow(work, ENTRIES)
 
 
 def _possible(rule: Join, n: tuple[Column, Column], once: tuple[Column, Column]) -> Column:
@@ -247,7 +247,7 @@ def _led(entries: DataFrame, rule: Join) -> DataFrame:
     return met.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
 
 
-def _apart(entries: DataFrame, found: DataFrame, rule: Join) -> DataFrame:
+def _apart(entries: DataFrame, active: DataFrame, found: DataFrame, rule: Join) -> DataFrame:
     """Possible pairs within an entry whose documents are in different components.
 
     An entry's documents are dealt into chunks; tasks compare a chunk with
@@ -256,7 +256,7 @@ def _apart(entries: DataFrame, found: DataFrame, rule: Join) -> DataFrame:
     placed = entries.join(found.withColumnRenamed("component", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
     chunks = F.ceil(F.count(F.lit(1)) / F.lit(rule.tile)).cast("int").alias("chunks")
     open_entries = placed.groupBy("entry").agg(chunks, F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high")
-    rows = stored(placed.join(open_entries.select("entry", "chunks"), "entry"))
+    rows = stored(placed.join(open_entries.select("entry", "chunks"), "entry").join(active.select("node", "sketch"), "node"))
     groups = F.lit(max(1, -(-rows.count() // 20_000)))
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     tiles = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -265,7 +265,7 @@ def _apart(entries: DataFrame, found: DataFrame, rule: Join) -> DataFrame:
 
     def work(table: pa.Table) -> pa.Table:
         columns = {c: table.column(c).to_numpy() for c in ("entry", "node", "n", "once", "early", "part", "own", "i", "j")}
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(table), -1).astype(np.int16)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(table), -1)
         by = np.lexsort((columns["node"], columns["n"], columns["j"], columns["i"], columns["entry"]))
         columns, sketch = {c: v[by] for c, v in columns.items()}, sketch[by]
         tile = np.stack([columns["entry"], columns["i"], columns["j"]])
@@ -283,7 +283,8 @@ def _apart(entries: DataFrame, found: DataFrame, rule: Join) -> DataFrame:
                 if columns["i"][x] != columns["j"][x]:
                     ok &= c["own"] != columns["own"][x]
                 y = np.flatnonzero(ok)
-                y = y[np.abs(sketch[x + 1 + y] - sketch[x]).sum(axis=1) <= both[y] - 2 * need[y]]
+                apart = np.abs(sketch[x + 1 + y].astype(np.int16) - sketch[x]).sum(axis=1)
+                y = y[apart <= both[y] - 2 * need[y]]
                 a, b = np.full(len(y), columns["node"][x]), c["node"][y]
                 pairs.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
         distinct = np.unique(np.concatenate(pairs), axis=0)
@@ -320,7 +321,7 @@ def _groups(members: DataFrame, blocks: DataFrame, count: int, rule: Join) -> Da
     led = stored(_led(entries, rule))
     links = stored(_verified(led, active, rule))
     near = components(links)
-    more = _verified(_apart(entries, near, rule).join(led, ["a", "b"], "left_anti"), active, rule)
+    more = _verified(_apart(entries, active, near, rule).join(led, ["a", "b"], "left_anti"), active, rule)
     joined = near.select(F.col("node").alias("a"), F.col("component").alias("b"))
     found = components(joined.union(more))
     return classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
