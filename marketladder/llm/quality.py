@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from marketladder.llm.training import held_out
 from marketladder.llm.words import mixed, word_hashes
@@ -80,9 +80,11 @@ def class_counts(rows: DataFrame) -> DataFrame:
 
 def sample_rows(rows: DataFrame, per_class: int) -> list[tuple[np.ndarray, int]]:
     """Features of the rows of each class with the smallest id hashes, at most ``per_class``."""
-    first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "label").withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_class)
-    picked = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id")  # at most 2 x per_class ids
+    def first(condition: str) -> DataFrame:
+        return rows.filter(condition).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+
+    ids = first("label > 0").union(first("label <= 0"))
+    picked = rows.join(F.broadcast(ids.distinct()), "doc_id")  # at most 2 x per_class ids
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
