@@ -45,8 +45,10 @@ class Rule:
     """How terms are learned and texts are scored."""
 
     stems: tuple[int, ...] = (4, 5, 6)  # lengths of word starts that may become terms
-    support: float = 0.01  # a term is in at least this share of the toxic rows, and in 3
-    weight: float = 4.0  # least log ratio of a term
+    support: float = 0.01  # a term explains at least this share of the toxic rows, and 3
+    weight: float = 3.5  # least log ratio of a term
+    clean: float = 0.005  # clean rows a term may be in, as a share of its toxic ones
+    together: float = 0.5  # terms taken in one round have at least this share of the largest count
     scale: float = 200.0  # words up to which the length hardly counts
 
 
@@ -76,8 +78,11 @@ def terms_of(words: list[str], rule: Rule) -> set[str]:
     return found
 
 
-def _term_counts(rows: DataFrame, rule: Rule, only: frozenset[str] | None) -> DataFrame:
-    """``term, n``: rows that hold the term; counted in the task before the shuffle."""
+def _term_counts(rows: DataFrame, rule: Rule, only: frozenset[str] | None, known: frozenset[str] = frozenset()) -> DataFrame:
+    """``term, n``: rows that hold the term; counted in the task before the shuffle.
+
+    Rows that hold a ``known`` term are left out.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
@@ -90,7 +95,8 @@ def _term_counts(rows: DataFrame, rule: Rule, only: frozenset[str] | None) -> Da
         for batch in batches:
             for text in batch.column(0):
                 terms = terms_of(folded(text.as_py()), rule)
-                counts.update(terms if only is None else terms & only)
+                if known.isdisjoint(terms):
+                    counts.update(terms if only is None else terms & only)
                 if len(counts) > 300_000:
                     yield out()
         yield out()
@@ -124,23 +130,34 @@ def learn(rows: DataFrame, rule: Rule = Rule()) -> Lexicon:
     """Lexicon of ``rows`` (``text``, ``label``).
 
     Terms are counted over all toxic rows; the frequent ones are then counted
-    over all others.  What reaches the driver is bounded: a term is in at least
-    one hundredth of the toxic rows.  Phrases that only occur in clean rows, at
-    least twice, become exceptions.  Without toxic rows the lexicon is empty.
+    over all others, and those that clean rows hardly have may be taken.  They
+    are taken in rounds: those that explain the most rows first, then those that
+    explain the most of the rows left, and so on.  So words that merely occur in
+    many copies of one toxic text are not taken, as another term explains it.
+    What reaches the driver is bounded: a term is in at least one hundredth of
+    the toxic rows.  Phrases that only occur in clean rows, at least twice,
+    become exceptions.  Without toxic rows the lexicon is empty.
     """
     sizes = {r.label: r.n for r in rows.groupBy((F.col("label") > 0).alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
     if not toxic:
         return Lexicon({})
+    bad = rows.filter("label > 0")
     least = max(3, math.ceil(rule.support * toxic))
-    inside = {r.term: r.n for r in _term_counts(rows.filter("label > 0"), rule, None).filter(F.col("n") >= least).collect()}
+
+    def frequent(counts: DataFrame) -> dict[str, int]:
+        return {r.term: r.n for r in counts.filter(F.col("n") >= least).collect()}
+
+    inside = frequent(_term_counts(bad, rule, None))
     outside = {r.term: r.n for r in _term_counts(rows.filter("label <= 0"), rule, frozenset(inside)).collect()}
+    ratio = {t: math.log((n + 0.5) / (toxic + 1)) - math.log((outside.get(t, 0) + 0.5) / (clean + 1)) for t, n in inside.items()}
+    usable = frozenset(t for t, n in inside.items() if ratio[t] >= rule.weight and outside.get(t, 0) <= rule.clean * n)
     weights: dict[str, float] = {}
-    for term in sorted(inside, key=lambda t: (len(t), t)):
-        weight = math.log((inside[term] + 0.5) / (toxic + 1)) - math.log((outside.get(term, 0) + 0.5) / (clean + 1))
-        starts = (term[:n] for n in rule.stems if n < len(term.strip()))
-        if weight >= rule.weight and not any(s in weights for s in starts):
-            weights[term] = weight
+    counts = {t: inside[t] for t in usable}
+    while counts:
+        best = {t: n for t, n in counts.items() if n >= rule.together * max(counts.values())}
+        weights |= {t: ratio[t] for t in _narrowest(best, rule)}
+        counts = frequent(_term_counts(bad, rule, usable, frozenset(weights)))
     lexicon = Lexicon(weights)
     if weights:
         safe = _phrase_counts(rows, lexicon).filter("n0 >= 2 AND n1 = 0")
@@ -148,6 +165,19 @@ def learn(rows: DataFrame, rule: Rule = Rule()) -> Lexicon:
     return lexicon
 
 
+def _narrowest(counts: dict[str, int], rule: Rule) -> list[str]:
+    """Of nested terms (a start, a longer start, the word) the longest that keeps nine tenths of the rows."""
+    def starts(term: str) -> list[str]:
+        return [term[:n] for n in rule.stems if n < len(term.strip()) and term[:n] in counts]
+
+    roots = [t for t in counts if not starts(t)]
+    kept = []
+    for root in roots:
+        nested = [t for t in counts if t.startswith(root) and counts[t] >= 0.9 * counts[root]]
+        kept.append(max(nested, key=lambda t: (len(t), t)))
+    return kept
+
+
 def score(words: list[str], automaton: ahocorasick.Automaton, rule: Rule) -> float:
     """0 to 1 for the folded words of a text; 0 without a term."""
     if not words or not len(automaton):
