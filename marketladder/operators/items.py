@@ -48,6 +48,17 @@ def dedupe_by_product(items: DataFrame, cell: Sequence[str] = CELL) -> DataFrame
     )
 
 
+def one_per_product(items: DataFrame, cell: Sequence[str] = CELL) -> DataFrame:
+    """First row of each product in a cell, and all rows without a product id, in one pass.
+
+    A row without a product id is a group of its own, by its position.
+    """
+    own = F.coalesce(F.concat(F.lit("p"), "product_id"), F.concat(F.lit("#"), F.col("pos").cast("string")))
+    order = Window.partitionBy(*cell, "__own").orderBy("pos", "price", "name")
+    first = items.withColumn("__own", own).withColumn("__first", F.row_number().over(order))
+    return first.filter((F.col("__first") == 1) | F.col("product_id").isNull()).drop("__own", "__first")
+
+
 def occurrence_number(
     items: DataFrame, cell: Sequence[str] = CELL, pos_range: Column | None = None
 ) -> DataFrame:

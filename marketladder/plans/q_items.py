@@ -160,12 +160,7 @@ def curated(observations: DataFrame) -> DataFrame:
 def after(spark: SparkSession, sf: str) -> DataFrame:
     """Numbered items of the newer snapshot, one row per product in a cell."""
     newer = fx.observations(spark, sf).filter("snap = 'after'")
-    return stored(items.occurrence_number(stored(one_per_product(newer)), pos_range=fx.pos_range()))
-
-
-def one_per_product(observations: DataFrame) -> DataFrame:
-    """Structured cells list a product once; text cells stay as they are."""
-    return items.dedupe_by_product(observations).unionByName(observations.filter("product_id IS NULL"))
+    return stored(items.occurrence_number(stored(items.one_per_product(newer)), pos_range=fx.pos_range()))
 
 
 # The newer snapshot with products listed once per structured cell.

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +43,26 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
+_SCOPE: ContextVar[str] = ContextVar("scope", default="")
+
+
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[str]:
+    """Tables that ``stored`` writes inside are removed at the end.
+
+    Results must have been written or collected by then.  Without a scope the
+    tables stay, since a lazy result may still read them.
+    """
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/marketladder/run-{uuid.uuid4().hex}"
+    token = _SCOPE.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCOPE.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write a result that is used several times, and read it back.
 
@@ -47,7 +70,8 @@ def stored(df: DataFrame) -> DataFrame:
     the columnar copy keeps column pruning and tells Spark its real size.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark).rstrip('/')}/marketladder/{uuid.uuid4().hex}"
+    folder = _SCOPE.get() or f"{checkpoint_folder(spark).rstrip('/')}/marketladder"
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
