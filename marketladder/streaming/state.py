@@ -239,13 +239,14 @@ def merge_latest_stream(seeds: DataFrame, root: str, now: str, checkpoint: str)
 
 
 def _remove_replaced(spark: SparkSession, root: str, version: int) -> None:
-    """Remove bucket files that were replaced before the batch of ``version``."""
+    """Remove the bucket files that the last version before the batch of ``version`` replaced."""
     listed = spark.read.schema("bucket int, version bigint").parquet(f"{root}/versions")
-    rank = listed.filter(F.col("version") < version).groupBy("bucket").agg(F.max("version").alias("kept"))
-    gone = listed.join(rank, "bucket").filter(F.col("version") < F.col("kept")).select("bucket", "version").collect()
+    kept = listed.filter(F.col("version") < version).groupBy("bucket").agg(F.max("version").alias("kept"))
+    older = listed.join(kept, "bucket").filter(F.col("version") < F.col("kept"))
+    gone = older.groupBy("bucket").agg(F.max("version").alias("version")).collect()
     hadoop = spark._jvm.org.apache.hadoop.fs
     store = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for r in gone:  # at most the buckets times the versions of two batches: earlier ones are gone already
+    for r in gone:  # one for each bucket at most; earlier versions are gone already
         place = hadoop.Path(f"{root}/records/v{r.version}/bucket={r.bucket}")
         if store.exists(place):
             store.delete(place, True)
