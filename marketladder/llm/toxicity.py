@@ -48,7 +48,7 @@ class Rule:
     support: float = 0.01  # a term explains at least this share of the toxic rows, and 3
     weight: float = 3.5  # least log ratio of a term
     clean: float = 0.005  # clean rows a term may be in, as a share of its toxic ones
-    together: float = 0.5  # terms taken in one round have at least this share of the largest count
+    together: float = 0.8  # terms taken in one round have at least this share of the largest count
     scale: float = 200.0  # words up to which the length hardly counts
 
 

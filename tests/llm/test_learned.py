@@ -106,6 +106,20 @@ def test_toxicity_without_toxic_rows(spark):
     assert toxicity.keep_clean(empty, lexicon).count() == toxicity.score_documents(empty, lexicon).count() == 0
 
 
+def test_words_of_copied_toxic_texts_are_not_terms(spark):
+    """Rare words of a toxic text with many copies explain nothing that its curse does not."""
+    rows, marks = [], []
+    for i in range(240):
+        words = prose(30).split()
+        toxic = i % 4 == 0
+        if toxic:
+            words += ["splorf"] + (["quibbelzan", "vintropel"] if i % 8 == 0 else [])
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(toxic)))
+    found = toxicity.learn(training_rows(table(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int"), "toxic"))
+    assert list(found.weights) == ["splorf "]
+
+
 def test_folding():
     assert toxicity.folded("Ａbс раth3t1c 1d​iot, café $cum_x") == ["abc", "pathetic", "idiot", "café", "scum", "x"]
 
