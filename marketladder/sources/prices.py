@@ -313,11 +313,16 @@ def _has_class(element: Column, tag: str, word: str) -> Column:
 
 def _elements(html: Column, tag: str, word: str) -> Column:
     """Texts from each tag with the class up to the next such tag."""
-    parts = F.split(html, rf"(?i)(?=<{tag}\b)", -1)
-    places = F.sequence(F.lit(1), F.size(parts))
-    starts = F.filter(places, lambda i: _has_class(F.get(parts, i - 1), tag, word))
-    stops = F.concat(F.slice(starts, F.lit(2), F.size(parts)), F.array(F.size(parts) + 1))
-    return F.transform(starts, lambda start, k: F.array_join(F.slice(parts, start, F.get(stops, k) - start), ""))
+
+    def cut(parts: Column) -> Column:
+        marked = F.transform(parts, lambda part, i: F.when(_has_class(part, tag, word), i + 1))
+        return once(F.array_compact(marked), lambda starts: joined(parts, starts))
+
+    def joined(parts: Column, starts: Column) -> Column:
+        stop = lambda k: F.coalesce(F.get(starts, k + 1), F.size(parts) + 1)
+        return F.transform(starts, lambda start, k: F.array_join(F.slice(parts, start, stop(k) - start), ""))
+
+    return once(F.split(html, rf"(?i)(?=<{tag}\b)", -1), cut)
 
 
 def _inside(element: Column, tag: str, ends: str) -> Column:
@@ -342,7 +347,7 @@ def extract_plan_cards(pages: DataFrame, keys: list[str], html: str = "html", cu
     for name in MUSIC_PLANS:
         plan = F.when(tag.rlike(rf"""(?i)\bid=["']{name}["']"""), F.lit(name)).otherwise(plan)
     headlines = F.transform(_elements(F.col("card"), "p", headline_class), lambda e: _inside(e, "p", headline_ends))
-    headline = F.get(F.filter(headlines, lambda h: h.isNotNull()), F.lit(0))
+    headline = F.get(F.array_compact(headlines), F.lit(0))
     cards = kept_apart(cut.withColumn("plan", plan).filter(F.col("plan").isNotNull()), headline=headline).filter(
         F.col("headline").isNotNull()
     )
@@ -373,11 +378,12 @@ def extract_bundle_cards(pages: DataFrame, keys: list[str], html: str = "html",
     entries = []
     for plan, name in BUNDLE_PLANS.items():
         paragraphs = F.transform(_elements(F.col(html), "p", f"plan-{plan}"), lambda e: _inside(e, "p", "</p>"))
-        first = F.get(F.filter(paragraphs, lambda p: p.isNotNull()), F.lit(0))
-        price = F.get(price_mentions(html_to_text(F.coalesce(first, F.lit(""))), F.col(currency)), F.lit(0))["price"]
-        entries.append(F.struct(F.lit(plan).alias("plan"), F.lit(name).alias("name"), price.alias("price")))
-    rows = pages.select(*keys, F.explode(F.array(*entries)).alias("e")).select(*keys, "e.*")
-    return rows.filter(F.col("price").isNotNull())
+        first = F.get(F.array_compact(paragraphs), F.lit(0))
+        entries.append(F.struct(F.lit(plan).alias("plan"), F.lit(name).alias("name"), first.alias("paragraph")))
+    found = pages.select(*keys, F.col(currency).alias("__currency"), F.inline(F.array(*entries))).filter("paragraph IS NOT NULL")
+    read = kept_apart(found, __text=html_to_text(F.col("paragraph")))
+    price = F.get(price_mentions(F.col("__text"), F.col("__currency")), F.lit(0))["price"]
+    return read.select(*keys, "plan", "name", price.alias("price")).filter(F.col("price").isNotNull())
 
 
 def extract_tier_section(pages: DataFrame, keys: list[str]) -> DataFrame:
