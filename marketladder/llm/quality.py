@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from marketladder.llm.training import held_out
-from marketladder.llm.words import mixed, word_hashes
+from marketladder.llm.words import distinct, mixed, word_hashes
 
 BITS = 18
 SIZE = 1 << BITS
@@ -48,7 +48,7 @@ def features(text: str | None) -> np.ndarray:
 
     if len(data) >= 3:
         wide = data.astype(np.uint64)
-        add(mixed(np.unique(wide[:-2] << np.uint64(16) | wide[1:-1] << np.uint64(8) | wide[2:]) + np.uint64(1)))
+        add(mixed(distinct(wide[:-2] << np.uint64(16) | wide[1:-1] << np.uint64(8) | wide[2:]) + np.uint64(1)))
     words = word_hashes(data)
     if len(words):
         add(mixed(words + np.uint64(2)))
@@ -60,7 +60,7 @@ def features(text: str | None) -> np.ndarray:
         while times < SHARES and again.any():
             grams.append(np.array([times], np.uint32))
             again, times = again[1:] & same[times:], times + 1
-    return np.unique(np.concatenate(grams))
+    return distinct(np.concatenate(grams))
 
 
 def class_counts(rows: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ STRETCH = 1 << 21
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_PLACES = [np.uint64(0x632BE59BD9B4E019 * (i + 1) % (1 << 64)) for i in range(16)]
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -34,6 +33,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    values = np.sort(values)
+    return values[np.r_[True, values[1:] != values[:-1]]] if len(values) else values
+
+
 def word_hashes(data: np.ndarray) -> np.ndarray:
     """One 64-bit hash per word of UTF-8 bytes, in order; A-Z count as a-z."""
     if len(data) > STRETCH:
@@ -59,7 +64,9 @@ def shingle_hashes(words: np.ndarray, length: int) -> np.ndarray:
     if not len(words):
         return words
     n = max(len(words) - length + 1, 1)
-    total = np.zeros(n, np.uint64)
-    for i in range(min(length, len(words))):
-        total = mixed(total + words[i : i + n]) + _PLACES[i % len(_PLACES)]
-    return np.unique(mixed(total))
+    total = words[:n].copy()
+    for i in range(1, min(length, len(words))):
+        total *= _BASE
+        total ^= total >> np.uint64(29)
+        total += words[i : i + n]
+    return distinct(mixed(total))
