@@ -1,11 +1,12 @@
 """Secret scan: fixed patterns, and sliding-window entropy over long runs.
 
 A candidate is a long run of token characters.  Per character class (hex, or
-the wider base-64 alphabet) a window slides over it; the character counts and
-the sum of ``c * log2(c)`` are updated by one character in and one out, so each
-step costs the same.  Windows above the class's entropy make a span.  Runs on
-the allow-list (words, numbers, dates, places in a file system, placeholders)
-are suppressed, and so is what a pattern has already reported.
+the wider base-64 alphabet) a window slides over it; the
+character counts and the sum of ``c * log2(c)`` are updated by one character in
+and one out, so each step costs the same.  A window above the class's entropy
+makes its whole run a span.  Runs on the allow-list (words, numbers, dates,
+places in a file system, placeholders) are suppressed, and so is what a
+pattern has already reported.
 """
 
 from __future__ import annotations
@@ -31,25 +32,24 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # greedy runs of 24 and more are the runs that do not fail
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-ALLOWED = re.compile(
-    r"""
-    [A-Za-z_/=+-]+                                         # no digit: words, paths, rules
-    | [0-9_/=+-]+                                          # no letter: numbers, dates
-    | [0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}   # UUID
-    | .*(example|sample|placeholder|dummy|changeme|xxxx).* # placeholders
-    | ([A-Za-z]+[_/-])+[A-Za-z]*[0-9]{0,4}                 # names with a number behind
-    """,
-    re.VERBOSE | re.IGNORECASE,
-)
+PARTS = re.compile(r"[+/_=-]+")
+WORD = re.compile(r"[a-z]*(?:[A-Z]+[a-z]{2,})*[A-Z]*")  # humps as in names, not letters of random case
+NUMBERED = re.compile(WORD.pattern + r"[0-9]{0,4}")
+UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+PLACEHOLDER = re.compile(r"(?i:example|sample|placeholder|dummy|changeme)|x{4}|X{4}")
 
 
 @dataclass(frozen=True)
 class Entropy:
-    """Window length, and the bits a character that a window needs, by class."""
+    """Window length, and the bits a character that a window needs, by class.
+
+    A random window of 20 has 3.36 bits of hex digits and 4.04 of base 64 on
+    average; the limits are three and a half standard deviations below.
+    """
 
     window: int = 20
-    hex_bits: float = 3.0
-    base64_bits: float = 3.9
+    hex_bits: float = 2.7
+    base64_bits: float = 3.5
 
 
 def high_windows(run: str, window: int, bits: float) -> list[tuple[int, int]]:
@@ -83,18 +83,26 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def allowed(run: str) -> bool:
+    """Words, names, numbers, dates and paths: every part between separators is a word or a number."""
+    if UUID.fullmatch(run):
+        return True
+    parts = [p for p in PARTS.split(run) if p]
+    shape = NUMBERED if len(parts) > 1 else WORD
+    return all(p.isdigit() or shape.fullmatch(p) for p in parts)
+
+
 def entropy_spans(text: str, base: list[Span], rule: Entropy) -> list[Span]:
-    """Spans that the entropy windows add to the base ones."""
+    """Spans that the entropy windows add to the base ones; a hit counts for its whole candidate run."""
     found: list[Span] = []
     for m in CANDIDATE.finditer(text):
         run, at = m[0], m.start()
-        if ALLOWED.fullmatch(run):
+        if allowed(run) or PLACEHOLDER.search(run):
             continue
         is_hex = not set(run.lower()) - set("0123456789abcdef")
         kind, bits = ("entropy_hex", rule.hex_bits) if is_hex else ("entropy_base64", rule.base64_bits)
-        for start, end in high_windows(run, rule.window, bits):
-            if not any(s < at + end and at + start < e for _, s, e in base):
-                found.append((kind, at + start, at + end))
+        if high_windows(run, rule.window, bits) and not any(s < m.end() and at < e for _, s, e in base):
+            found.append((kind, at, m.end()))
     return found
 
 

@@ -50,3 +50,17 @@ def test_documents(spark):
     assert secrets.scan_documents(table(spark, [])).count() == 0
     clean = {(r.doc_id, r.text if len(r.text or "") < 50 else None, r.n_chars, r.node) for r in secrets.redact(table(spark, rows)).collect()}
     assert clean == {(1, "[secret]", 8, 8), (2, "", 0, 8), (3, None, None, 8), (None, "[secret]", 8, 8), (4, "é [secret]", 10, 8), (5, None, 250_008, 8)}
+
+
+def test_random_secrets_are_found_whole():
+    rng = random.Random(13)
+    wide = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for letters in (wide, wide + "+/", "0123456789ABCDEF"):
+        for n in (20, 24, 32, 40, 64):
+            runs = ["".join(rng.choices(letters, k=n)) for _ in range(500)]
+            covered = [sum(e - s for _, s, e in secrets.scan(f"see {run} now")[1]) for run in runs]
+            assert set(covered) <= {0, n}
+            assert sum(c == n for c in covered) >= (490 if n < 32 else 498)
+    assert secrets.scan("key qKzRwLkPxVvWnTtBsYhJmGd here")[1] == [("entropy_base64", 4, 27)]  # no digit
+    for harmless in ("getUserFromRequestFactoryList", "/usr/lib/python3/site-packages", "releases/download/v1/package-name-2024-05"):
+        assert secrets.scan(harmless)[1] == []
