@@ -1,12 +1,12 @@
 """Secret scan: fixed patterns, and sliding-window entropy over long runs.
 
-A candidate is a long run of token characters.  Per character class (hex, or
-the wider base-64 alphabet) a window slides over it; the
+A candidate is a long run of token characters.  Per character class (stretches
+of hex digits, and the wider base-64 alphabet) a window slides over it; the
 character counts and the sum of ``c * log2(c)`` are updated by one character in
 and one out, so each step costs the same.  A window above the class's entropy
 makes its whole run a span.  Runs on the allow-list (words, numbers, dates,
-places in a file system, placeholders) are suppressed, and so is what a
-pattern has already reported.
+places in a file system, placeholders) are suppressed, and what a pattern has
+already reported is subtracted.
 """
 
 from __future__ import annotations
@@ -32,6 +32,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # greedy runs of 24 and more are the runs that do not fail
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+HEX_STRETCH = re.compile(r"[0-9A-Fa-f]+")
+LABEL = re.compile(r"(?:[A-Za-z0-9+/_-]+=+)+(?=[^=])")
+SEPARATORS = "+/_=-"
 PARTS = re.compile(r"[+/_=-]+")
 WORD = re.compile(r"[a-z]*(?:[A-Z]+[a-z]{2,})*[A-Z]*")  # humps as in names, not letters of random case
 NUMBERED = re.compile(WORD.pattern + r"[0-9]{0,4}")
@@ -92,17 +95,46 @@ def allowed(run: str) -> bool:
     return all(p.isdigit() or shape.fullmatch(p) for p in parts)
 
 
+def _left(start: int, end: int, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What sorted intervals leave of one."""
+    left = []
+    for s, e in covered:
+        if s < end and start < e:
+            if start < s:
+                left.append((start, s))
+            start = max(start, e)
+    return left + [(start, end)] if start < end else left
+
+
 def entropy_spans(text: str, base: list[Span], rule: Entropy) -> list[Span]:
-    """Spans that the entropy windows add to the base ones; a hit counts for its whole candidate run."""
+    """Spans that the entropy windows add to the base ones.
+
+    A hit counts for its whole run: a hex one for the stretch of hex digits, a
+    base-64 one for the candidate behind its label (``name=``).  What other
+    spans cover is subtracted; names that a separator divides from them go too.
+    """
     found: list[Span] = []
     for m in CANDIDATE.finditer(text):
-        run, at = m[0], m.start()
-        if allowed(run) or PLACEHOLDER.search(run):
+        if PLACEHOLDER.search(m[0]):
+            continue
+        label = LABEL.match(m[0])
+        at = m.start() + (label.end() if label and allowed(label[0]) else 0)
+        run, stop = text[at : m.end()], m.end()
+        if allowed(run):
+            continue
+        covered = sorted((s, e) for _, s, e in base if s < stop and at < e)
+        for h in HEX_STRETCH.finditer(run):
+            if len(h[0]) >= rule.window and not allowed(h[0]) and high_windows(h[0], rule.window, rule.hex_bits):
+                found += [("entropy_hex", s, e) for s, e in _left(at + h.start(), at + h.end(), covered)]
+                covered = sorted([*covered, (at + h.start(), at + h.end())])
+        hits = high_windows(run, rule.window, rule.base64_bits)
+        if not any(_left(at + s, at + e, covered) for s, e in hits):
             continue
-        is_hex = not set(run.lower()) - set("0123456789abcdef")
-        kind, bits = ("entropy_hex", rule.hex_bits) if is_hex else ("entropy_base64", rule.base64_bits)
-        if high_windows(run, rule.window, bits) and not any(s < m.end() and at < e for _, s, e in base):
-            found.append((kind, at, m.end()))
+        edges = {s for s, _ in covered} | {e for _, e in covered}
+        for s, e in _left(at, stop, covered):
+            divided = (s in edges and text[s] in SEPARATORS) or (e in edges and text[e - 1] in SEPARATORS)
+            if not (divided and allowed(text[s:e])):
+                found.append(("entropy_base64", s, e))
     return found
 
 

@@ -64,3 +64,19 @@ def test_random_secrets_are_found_whole():
     assert secrets.scan("key qKzRwLkPxVvWnTtBsYhJmGd here")[1] == [("entropy_base64", 4, 27)]  # no digit
     for harmless in ("getUserFromRequestFactoryList", "/usr/lib/python3/site-packages", "releases/download/v1/package-name-2024-05"):
         assert secrets.scan(harmless)[1] == []
+
+
+def test_what_other_spans_leave_is_kept():
+    key = "wJalrXUtnFEMIK7MDENGbPxRfiCYzqkKEY9q3Lm1"
+    spans = lambda text: [(k, text[s:e]) for k, s, e in secrets.scan(text)[1]]
+    assert spans(f"{KEY}/{key}") == [("access", KEY), ("entropy_base64", "/" + key)]
+    assert spans(f"x7Kp2Qz9Lm{DIGEST}zg8Zr2LkP0xW") == [("entropy_base64", "x7Kp2Qz9Lm"), ("hex", DIGEST), ("entropy_base64", "zg8Zr2LkP0xW")]
+    assert spans(f"{KEY}/docs/index") == [("access", KEY)]
+
+
+def test_hex_behind_a_prefix():
+    rng = random.Random(12)
+    for _ in range(300):
+        digits = "".join(rng.choices("0123456789ABCDEF", k=32))
+        for prefix in ("id=", "objects/", "build-id_"):
+            assert secrets.scan(prefix + digits)[1] == [("entropy_hex", len(prefix), len(prefix) + 32)]
