@@ -1,8 +1,9 @@
 """Toxicity by a weighted lexicon, learned from labels and matched by Aho-Corasick.
 
-Texts are folded first: lower case, look-alike letters of other scripts to
-Latin ones, digits and signs that stand for letters to those letters, invisible
-characters removed; then only the words are kept, one space apart.  A lexicon
+Texts are folded first: compatibility forms to plain ones, lower case,
+look-alike letters of other scripts to Latin ones, digits and signs that stand
+for letters to those letters, accents, marks and invisible characters removed;
+then only the words are kept, one space apart.  A lexicon
 term is a whole word or the start of a word.  One pass of an automaton finds
 all terms and all exception phrases; a term inside an exception phrase does not
 count.  The sum of the weights is divided by a slowly growing function of the
@@ -13,6 +14,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,19 +28,74 @@ from marketladder.llm.training import held_out
 
 # Look-alikes: letters of other scripts, and signs, by the Latin letter they stand for.
 LOOK_ALIKES = {
-    "a": "аαɑ4@", "b": "Ьвβ", "c": "сϲ", "d": "ԁ", "e": "еєε3", "g": "ɡ", "h": "һн", "i": "іιı1", "j": "ј", "k": "кκ",
-    "l": "ӏ", "m": "м", "n": "ո", "o": "оοօ0", "p": "рρ", "r": "г", "s": "ѕ5$", "t": "тτ7", "u": "υս", "v": "ν", "w": "ѡ",
-    "x": "хχ", "y": "уγ", "z": "ᴢ",
+    "a": "аαɑ4@", "b": "ьвβ8", "c": "сϲ", "d": "ԁđ", "e": "еєε3", "g": "ɡ69", "h": "һнħ", "i": "іιı1!|", "j": "ј", "k": "кκ",
+    "l": "ӏł", "m": "м", "n": "ո", "o": "оοօø0", "p": "рρ", "r": "г", "s": "ѕ5$", "t": "тτŧ7", "u": "υս", "v": "ν", "w": "ѡ",
+    "x": "хχ", "y": "уγ", "z": "ᴢ2",
 }
+_MARKS = {c: None for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Mn"}
 _FOLD = {ord(c): latin for latin, chars in LOOK_ALIKES.items() for c in chars}
-_FOLD |= {0xFF41 + i: chr(97 + i) for i in range(26)}  # full-width letters
-_FOLD |= {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
+_FOLD |= _MARKS | {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
+_SCRIPTS = {c: latin for c, latin in _FOLD.items() if c > 127}  # before NFKC, which changes some of them
+#: Characters that neither look like others nor have another form: ASCII and the accented letters of Latin.
+_LATIN = {chr(c) for c in range(0x180) if c < 128 or (chr(c).isalpha() and unicodedata.normalize("NFKC", chr(c)) == chr(c))} - set(map(chr, _SCRIPTS))
 _WORD = re.compile(r"[^\W_]+")
+_SIGNED = re.compile(r"(?<![^\W_])(?<![!|])[^\W_!|6]*+[!|6](?:[^\W_]|[!|])*")
+_ALIKE = str.maketrans("i", "l")  # i, l, 1, ! and | are one letter
+
+
+def _readings(found: re.Match[str]) -> str:
+    """Words that a run with signs may be: signs as punctuation, as letters; 6 as g or b."""
+    run = found[0]
+    plain = run.replace("!", " ").replace("|", " ")
+    words = [plain] if plain == run or not plain.strip() else [plain, run]
+    return " ".join([*words, *(w.replace("6", "b") for w in words if "6" in w and not w.isdigit())])
 
 
 def folded(text: str | None) -> list[str]:
-    """The folded words of a text."""
-    return _WORD.findall((text or "").lower().translate(_FOLD))
+    """The folded words of a text; letters keep their accents, see ``matched``.
+
+    ``!``, ``|`` and ``6`` are ambiguous: a word with them is given in each reading.
+    """
+    text = (text or "").lower()
+    if not (text.isascii() or _LATIN.issuperset(text)):
+        text = unicodedata.normalize("NFKC", text.translate(_SCRIPTS)).lower().translate(_MARKS)
+    if "!" in text or "|" in text or "6" in text:
+        text = _SIGNED.sub(_readings, text)
+    return _WORD.findall(_replaced(text, _FOLD))
+
+
+def _replaced(text: str, table: dict[int, str | None]) -> str:
+    """``text.translate(table)``; by replacing where a text that is not ASCII has few kinds of characters."""
+    found = [] if text.isascii() else [c for c in set(text) if ord(c) in table]
+    if text.isascii() or len(found) > 24:
+        return text.translate(table)
+    for c in found:
+        text = text.replace(c, table[ord(c)] or "")
+    return text
+
+
+class _Bare(dict):
+    """Letters without their accents, filled as they occur."""
+
+    def __missing__(self, c: int) -> str:
+        self[c] = "".join(filter(str.isalnum, unicodedata.normalize("NFKD", chr(c)).translate(_FOLD))) if c > 127 else chr(c)
+        return self[c]
+
+
+_BARE = _Bare()
+
+
+def matched(words: list[str]) -> list[str]:
+    """Folded words as they are compared: without accents, with ``l`` for ``i``."""
+    text = " ".join(words)
+    if not text.isascii():
+        odd = [c for c in set(text) if c > "\x7f"]
+        if len(odd) > 24:
+            text = text.translate(_BARE)
+        else:
+            for c in odd:
+                text = text.replace(c, _BARE[ord(c)])
+    return text.translate(_ALIKE).split(" ") if text else []
 
 
 @dataclass(frozen=True)
@@ -62,9 +120,11 @@ class Lexicon:
     def automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
         for term, weight in self.weights.items():
-            found.add_word(f" {term}", (len(term) + 1, weight))
+            key = " ".join([*matched(term.split()), ""]) if term.endswith(" ") else matched([term])[0]
+            found.add_word(f" {key}", (len(key) + 1, weight))
         for phrase in self.exceptions:
-            found.add_word(f" {phrase} ", (len(phrase) + 2, None))
+            key = " ".join(matched(phrase.split()))
+            found.add_word(f" {key} ", (len(key) + 2, None))
         found.make_automaton()
         return found
 
@@ -94,7 +154,7 @@ def _term_counts(rows: DataFrame, rule: Rule, only: frozenset[str] | None, known
 
         for batch in batches:
             for text in batch.column(0):
-                terms = terms_of(folded(text.as_py()), rule)
+                terms = terms_of(matched(folded(text.as_py())), rule)
                 if known.isdisjoint(terms):
                     counts.update(terms if only is None else terms & only)
                 if len(counts) > 300_000:
@@ -113,7 +173,7 @@ def _phrase_counts(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
         counts: dict[str, list[int]] = {}
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1)):
-                found = folded(text.as_py())
+                found = matched(folded(text.as_py()))
                 hits = [i for i, w in enumerate(found) if w in words or (starts and w.startswith(starts))]
                 for phrase in {" ".join(found[i:j]) for k in hits for i, j in ((k - 1, k + 1), (k, k + 2)) if i >= 0 and j <= len(found)}:
                     counts.setdefault(phrase, [0, 0])[int(label.as_py() > 0)] += 1
@@ -183,7 +243,7 @@ def score(words: list[str], automaton: ahocorasick.Automaton, rule: Rule) -> flo
     if not words or not len(automaton):
         return 0.0
     hits, safe = [], []
-    for end, (length, weight) in automaton.iter(f" {' '.join(words)} "):
+    for end, (length, weight) in automaton.iter(f" {' '.join(matched(words))} "):
         (safe if weight is None else hits).append((end + 1 - length, end + 1, weight))
     total = sum(w for s, e, w in hits if not any(a <= s and e <= b for a, b, _ in safe))
     return 1.0 - math.exp(-total / (1.0 + math.log1p(len(words) / rule.scale)))

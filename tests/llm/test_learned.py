@@ -132,3 +132,20 @@ def test_exception_phrases_and_length():
     assert of("a trash can") == 0 and of("trashy") == 0 and of("such trash") > 0.9 and of("moronic") > 0.9
     assert of("trash can and trash") == of("a dog and trash")
     assert of("trash " + "word " * 5000) < of("trash " + "word " * 50)
+
+
+def test_each_substitution_on_every_word():
+    """Every sign of the table, at every place it can stand for, in every word of a lexicon."""
+    words = ["clown", "loser", "worthless", "idiot", "imbecil", "lowlife", "bigbag", "scumball", "grobniak", "splorf", "zany"]
+    found = toxicity.Lexicon({f"{w} ": 5.0 for w in words}).automaton()
+    hit = lambda text: toxicity.score(toxicity.folded(text), found, toxicity.Rule()) > 0.9
+    signs = dict(toxicity.LOOK_ALIKES, l=toxicity.LOOK_ALIKES["l"] + "1|!iI", i=toxicity.LOOK_ALIKES["i"] + "lL", b=toxicity.LOOK_ALIKES["b"] + "6\u042c")
+    for word in words:
+        for at, letter in enumerate(word):
+            marked = [letter + "\u0301", letter + "\u0336", chr(0x1D400 + ord(letter.upper()) - 65), chr(0xFF41 + ord(letter) - 97)]
+            for sign in [*signs.get(letter, ""), *marked]:
+                for text in (word[:at] + sign + word[at + 1 :], "a " + word[:at] + sign + word[at + 1 :] + ", b"):
+                    assert hit(text), text
+        for text in (word + "!", word + "!!!", f"|{word}|", f"x|{word}|y", f"({word})", word.upper() + "!"):
+            assert hit(text), text
+    assert hit("\u00eddiot") and hit("c!own") and hit("w0rth1e55") and not hit("clowns | ! owl 6 16")
