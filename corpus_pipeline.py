@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marketladder.llm import jaccard, packing, secrets, suffix, toxicity
 from marketladder.llm.training import training_rows
-from marketladder.session import checkpoint_folder, stored
+from marketladder.session import checkpoint_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.keep_clean(docs, toxicity.learn(stored(training_rows(docs, labels, "toxic"))))
+    return toxicity.keep_clean(docs, toxicity.learn(training_rows(docs, labels, "toxic")))
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -121,7 +121,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_toxicity")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    lexicon = toxicity.learn(stored(training_rows(docs, table(spark, sf_dir, "labels"), "toxic")))
+    lexicon = toxicity.learn(training_rows(docs, table(spark, sf_dir, "labels"), "toxic"))
     return toxicity.score_documents(docs, lexicon)
 
 

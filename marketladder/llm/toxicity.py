@@ -16,15 +16,17 @@ import math
 import re
 import sys
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from marketladder.llm.training import held_out
+from marketladder.session import stored
 
 # Look-alikes: letters of other scripts, and signs, by the Latin letter they stand for.
 LOOK_ALIKES = {
@@ -103,7 +105,9 @@ class Rule:
     """How terms are learned and texts are scored."""
 
     stems: tuple[int, ...] = (4, 5, 6)  # lengths of word starts that may become terms
-    support: float = 0.01  # a term explains at least this share of the toxic rows, and 3
+    least: int = 3  # distinct toxic texts a term explains at least
+    doubt: float = 3.0  # log odds against chance, and log ratio, from which a term that clean rows hold
+    lean: float = 0.7  # is tried with exceptions
     weight: float = 3.5  # least log ratio of a term
     clean: float = 0.005  # clean rows a term may be in, as a share of its toxic ones
     together: float = 0.8  # terms taken in one round have at least this share of the largest count
@@ -129,20 +133,34 @@ class Lexicon:
         return found
 
 
+def _terms(word: str, rule: Rule) -> list[str]:
+    """A word and its starts as terms."""
+    return [f"{word} "] * (len(word) > 2) + [word[:n] for n in rule.stems if len(word) > n]
+
+
 def terms_of(words: list[str], rule: Rule) -> set[str]:
     """Whole words and word starts of a text."""
-    distinct = set(words)
-    found = {f"{w} " for w in distinct if len(w) > 2}
-    for n in rule.stems:
-        found.update(w[:n] for w in distinct if len(w) > n)
-    return found
+    return {t for w in set(words) for t in _terms(w, rule)}
 
 
-def _term_counts(rows: DataFrame, rule: Rule, only: frozenset[str] | None, known: frozenset[str] = frozenset()) -> DataFrame:
-    """``term, n``: rows that hold the term; counted in the task before the shuffle.
+def _bits(terms: DataFrame) -> bytes:
+    """A bitmap of the terms' hashes: half a megabyte at any number of terms."""
+    code = F.crc32(F.col("term").cast("binary"))
+    place, bucket = F.pmod(code, F.lit(1 << 15)), F.pmod(F.shiftright(code, 15), F.lit(128))
+    bitmap = bytearray(128 * 4096)
+    for r in terms.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits")).collect():
+        bitmap[4096 * r.bucket : 4096 * (r.bucket + 1)] = r.bits
+    return bytes(bitmap)
 
-    Rows that hold a ``known`` term are left out.
-    """
+
+def _in(bits: bytes, term: str) -> int:
+    """Not 0 for all terms of the bitmap, and for few others; a join tells them apart."""
+    code = zlib.crc32(term.encode())
+    return bits[code >> 3 & 0x7FFFF] >> (code & 7) & 1
+
+
+def _term_counts(rows: DataFrame, rule: Rule, bits: bytes | None = None) -> DataFrame:
+    """``term, n``: rows that hold the term; counted in the task before the shuffle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
@@ -155,8 +173,7 @@ def _term_counts(rows: DataFrame, rule: Rule, only: frozenset[str] | None, known
         for batch in batches:
             for text in batch.column(0):
                 terms = terms_of(matched(folded(text.as_py())), rule)
-                if known.isdisjoint(terms):
-                    counts.update(terms if only is None else terms & only)
+                counts.update(terms if bits is None else [t for t in terms if _in(bits, t)])
                 if len(counts) > 300_000:
                     yield out()
         yield out()
@@ -164,67 +181,174 @@ def _term_counts(rows: DataFrame, rule: Rule, only: frozenset[str] | None, known
     return rows.select("text").mapInArrow(work, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def _phrase_counts(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``phrase, n0, n1``: a term's word with the word before or behind it, by class."""
-    words = {t.strip() for t in lexicon.weights if t.endswith(" ")}
-    starts = tuple(t for t in lexicon.weights if not t.endswith(" "))
+def _hits(rows: DataFrame, terms: DataFrame, rule: Rule) -> DataFrame:
+    """``row, terms``: the terms that each text holds, of those in ``terms``."""
+    bits = _bits(terms)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = [t for t in terms_of(matched(folded(text.as_py())), rule) if _in(bits, t)]
+                if found:
+                    yield pa.RecordBatch.from_pydict({"row": pa.array([row] * len(found), pa.int64()), "term": pa.array(found, pa.string())})
+
+    held = rows.select(F.xxhash64("text").alias("row"), "text").mapInArrow(work, "row bigint, term string")
+    return held.join(terms.select("term"), "term", "left_semi").groupBy("row").agg(F.collect_set("term").alias("terms"))
+
+
+def _explained(hits: DataFrame, known: frozenset[str]) -> DataFrame:
+    """``term, n``: rows of ``hits`` that hold the term and no ``known`` one."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, list[int]] = {}
+        counts: Counter[str] = Counter()
         for batch in batches:
-            for text, label in zip(batch.column(0), batch.column(1)):
-                found = matched(folded(text.as_py()))
-                hits = [i for i, w in enumerate(found) if w in words or (starts and w.startswith(starts))]
-                for phrase in {" ".join(found[i:j]) for k in hits for i, j in ((k - 1, k + 1), (k, k + 2)) if i >= 0 and j <= len(found)}:
-                    counts.setdefault(phrase, [0, 0])[int(label.as_py() > 0)] += 1
-        yield pa.RecordBatch.from_pydict({
-            "phrase": pa.array(list(counts), pa.string()),
-            "n0": pa.array([n[0] for n in counts.values()], pa.int64()), "n1": pa.array([n[1] for n in counts.values()], pa.int64()),
-        })
+            for terms in batch.column(0).to_pylist():
+                if known.isdisjoint(terms):
+                    counts.update(terms)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
+
+    return hits.select("terms").mapInArrow(work, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+#: Rows that a task gathers before it hands them on.
+CHUNK = 50_000
 
-    parts = rows.select("text", "label").mapInArrow(work, "phrase string, n0 bigint, n1 bigint")
-    return parts.groupBy("phrase").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+def _occurrences(words: list[str], bits: bytes, rule: Rule) -> Iterator[tuple[int, str, list[str]]]:
+    """Place, term, and the phrases with the word before and the one behind, of each occurrence."""
+    held: dict[str, list[str]] = {}
+    for at, word in enumerate(words):
+        if word not in held:
+            held[word] = [t for t in _terms(word, rule) if _in(bits, t)]
+        if held[word]:
+            phrases = [" ".join(words[i:j]) for i, j in ((at - 1, at + 1), (at, at + 2)) if i >= 0 and j <= len(words)]
+            for term in held[word]:
+                yield at, term, phrases
+
+
+def _phrase_counts(rows: DataFrame, terms: DataFrame, rule: Rule) -> DataFrame:
+    """``term, phrase, n0, n1``: texts that hold a term's phrase, by class; counted in the task before the shuffle."""
+    bits = _bits(terms)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, str], list[int]] = {}
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_pydict({
+                "term": pa.array([t for t, _ in counts], pa.string()), "phrase": pa.array([p for _, p in counts], pa.string()),
+                "n0": pa.array([n[0] for n in counts.values()], pa.int64()), "n1": pa.array([n[1] for n in counts.values()], pa.int64()),
+            })
+            counts.clear()
+            return batch
+
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = _occurrences(matched(folded(text.as_py())), bits, rule)
+                for key in {(term, phrase) for _, term, phrases in found for phrase in phrases}:
+                    counts.setdefault(key, [0, 0])[label] += 1
+                if len(counts) > CHUNK:
+                    yield out()
+        yield out()
+
+    found = rows.select("toxic", "text").mapInArrow(work, "term string, phrase string, n0 bigint, n1 bigint")
+    counted = found.groupBy("term", "phrase").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return counted.join(terms.select("term"), "term", "left_semi")
+
+
+def _places(rows: DataFrame, terms: DataFrame, rule: Rule) -> DataFrame:
+    """``row, at, term, phrase``: every occurrence of a term with each of its phrases, or a null one."""
+    bits = _bits(terms)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int, str, str | None]] = []
+
+        def chunk() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [()] * 4
+            batch = pa.RecordBatch.from_pydict({
+                "row": pa.array(columns[0], pa.int64()), "at": pa.array(columns[1], pa.int64()),
+                "term": pa.array(columns[2], pa.string()), "phrase": pa.array(columns[3], pa.string()),
+            })
+            out.clear()
+            return batch
+
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for at, term, phrases in _occurrences(matched(folded(text.as_py())), bits, rule):
+                    out.extend((row, at, term, phrase) for phrase in phrases or [None])
+                    if len(out) > CHUNK:
+                        yield chunk()
+        yield chunk()
+
+    found = rows.select(F.xxhash64("text").alias("row"), "text").mapInArrow(work, "row bigint, at bigint, term string, phrase string")
+    return found.join(terms.select("term"), "term", "left_semi")
 
 
 def learn(rows: DataFrame, rule: Rule = Rule()) -> Lexicon:
-    """Lexicon of ``rows`` (``text``, ``label``).
-
-    Terms are counted over all toxic rows; the frequent ones are then counted
-    over all others, and those that clean rows hardly have may be taken.  They
-    are taken in rounds: those that explain the most rows first, then those that
-    explain the most of the rows left, and so on.  So words that merely occur in
-    many copies of one toxic text are not taken, as another term explains it.
-    What reaches the driver is bounded: a term is in at least one hundredth of
-    the toxic rows.  Phrases that only occur in clean rows, at least twice,
-    become exceptions.  Without toxic rows the lexicon is empty.
+    """Lexicon of ``rows`` (``text``, ``label``); equal texts of a label count once.
+
+    Terms are counted over all toxic texts; those in ``least`` and more are
+    counted over all others.  A term may be taken if its log ratio reaches
+    ``weight`` and its counts are no chance: by the Chernoff bound less than one
+    of all terms counted would lean that far.  Where clean texts hold a term,
+    phrases with the word before or behind it that occur in at least two clean
+    texts, and in toxic ones no more than in clean ones, are exceptions, and the
+    clean texts are counted again without them.
+
+    Terms are taken in rounds: those that explain the most texts first, then
+    those that explain the most of the texts left, and so on.  So words that
+    merely occur in many copies of one toxic text are not taken, as another term
+    explains it.  Candidates stay in Spark; the driver gets the terms that a
+    round may take and the exceptions of the terms taken.  Without toxic rows
+    the lexicon is empty.
     """
-    sizes = {r.label: r.n for r in rows.groupBy((F.col("label") > 0).alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = stored(rows.select("text", (F.col("label") > 0).alias("toxic")).distinct())
+    sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = sizes.get(True, 0), sizes.get(False, 0)
-    if not toxic:
+    if not toxic or not clean:
         return Lexicon({})
-    bad = rows.filter("label > 0")
-    least = max(3, math.ceil(rule.support * toxic))
-
-    def frequent(counts: DataFrame) -> dict[str, int]:
-        return {r.term: r.n for r in counts.filter(F.col("n") >= least).collect()}
-
-    inside = frequent(_term_counts(bad, rule, None))
-    outside = {r.term: r.n for r in _term_counts(rows.filter("label <= 0"), rule, frozenset(inside)).collect()}
-    ratio = {t: math.log((n + 0.5) / (toxic + 1)) - math.log((outside.get(t, 0) + 0.5) / (clean + 1)) for t, n in inside.items()}
-    usable = frozenset(t for t, n in inside.items() if ratio[t] >= rule.weight and outside.get(t, 0) <= rule.clean * n)
+    bad, good = rows.filter("toxic"), rows.filter("NOT toxic")
+    n0, n1, share = F.col("n0"), F.col("n1"), toxic / (toxic + clean)
+    ratio = F.log((n1 + 0.5) / F.lit(toxic + 1.0)) - F.log((n0 + 0.5) / F.lit(clean + 1.0))
+    odds = n1 * F.log(n1 / ((n0 + n1) * share)) + F.when(n0 > 0, n0 * F.log(n0 / ((n0 + n1) * (1 - share)))).otherwise(0.0)
+    leans = F.when(n1 > (n0 + n1) * share, odds).otherwise(0.0)  # log odds against chance
+
+    inside = stored(_term_counts(bad, rule).filter(F.col("n") >= rule.least).withColumnRenamed("n", "n1"))
+    outside = _term_counts(good, rule, _bits(inside)).withColumnRenamed("n", "n0")
+    counts = stored(inside.join(outside, "term", "left").select("term", "n1", F.coalesce("n0", F.lit(0)).alias("n0")))
+    sure = math.log(max(counts.count(), 1))
+    _, safe = _without_exceptions(rows, counts, counts.filter((n0 > 0) & (leans >= min(rule.doubt, sure)) & (ratio >= rule.lean)), ratio, rule)
+    usable = stored(counts.filter((ratio >= rule.weight) & (leans >= sure) & (n0 <= n1 * rule.clean)).select("term", ratio.alias("ratio")))
+    hits = stored(_hits(bad, usable, rule))
     weights: dict[str, float] = {}
-    counts = {t: inside[t] for t in usable}
-    while counts:
-        best = {t: n for t, n in counts.items() if n >= rule.together * max(counts.values())}
-        weights |= {t: ratio[t] for t in _narrowest(best, rule)}
-        counts = frequent(_term_counts(bad, rule, usable, frozenset(weights)))
+    while True:
+        left = _explained(hits, frozenset(weights))
+        most = left.agg(F.max("n").alias("n")).first().n or 0
+        if most < rule.least:
+            break
+        best = {r.term: r for r in left.filter(F.col("n") >= max(rule.least, rule.together * most)).join(usable, "term").collect()}
+        weights |= {t: best[t].ratio for t in _narrowest({t: r.n for t, r in best.items()}, rule)}
     lexicon = Lexicon(weights)
-    if weights:
-        safe = _phrase_counts(rows, lexicon).filter("n0 >= 2 AND n1 = 0")
-        lexicon.exceptions = {r.phrase for r in safe.collect()}
+    if weights and safe is not None:
+        lexicon.exceptions = {r.phrase for r in safe.filter(F.col("term").isin(list(weights))).select("phrase").distinct().collect()}
     return lexicon
 
 
+def _without_exceptions(rows: DataFrame, counts: DataFrame, held: DataFrame, ratio: Column, rule: Rule) -> tuple[DataFrame, DataFrame | None]:
+    """``counts`` with the clean texts of ``held`` terms counted outside exception phrases, and those phrases by term."""
+    if held.isEmpty():
+        return counts, None
+    phrases = _phrase_counts(rows, held, rule)
+    safe = stored(phrases.filter((F.col("n0") >= 2) & ((F.col("n1") == 0) | (ratio <= 0))))
+    # the fewest clean texts that the phrases can leave of a term
+    fewest = safe.groupBy("term").agg(F.sum("n0").alias("gone")).join(held, "term").select("term", "n1", F.greatest(F.col("n0") - F.col("gone"), F.lit(0)).alias("n0"))
+    within = stored(fewest.filter(ratio >= rule.weight).select("term"))
+    places = _places(rows.filter("NOT toxic"), within, rule).join(safe.select("term", "phrase", F.lit(1).alias("safe")), ["term", "phrase"], "left")
+    outside = places.groupBy("term", "row", "at").agg(F.max(F.coalesce("safe", F.lit(0))).alias("safe")).filter("safe = 0")
+    again = outside.groupBy("term").agg(F.count_distinct("row").alias("again"))
+    fresh = within.join(again, "term", "left").select("term", F.coalesce("again", F.lit(0)).alias("again"))
+    return stored(counts.join(fresh, "term", "left").select("term", "n1", F.coalesce("again", "n0").alias("n0"))), safe
+
+
 def _narrowest(counts: dict[str, int], rule: Rule) -> list[str]:
     """Of nested terms (a start, a longer start, the word) the longest that keeps nine tenths of the rows."""
     def starts(term: str) -> list[str]:

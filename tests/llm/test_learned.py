@@ -149,3 +149,18 @@ def test_each_substitution_on_every_word():
         for text in (word + "!", word + "!!!", f"|{word}|", f"x|{word}|y", f"({word})", word.upper() + "!"):
             assert hit(text), text
     assert hit("\u00eddiot") and hit("c!own") and hit("w0rth1e55") and not hit("clowns | ! owl 6 16")
+
+
+def learned_from(spark, texts):
+    """Lexicon of (text, toxic) pairs."""
+    return toxicity.learn(spark.createDataFrame(texts, "text string, label int"))
+
+
+def test_rare_terms_count_at_any_size(spark):
+    """A curse in under one hundredth of the toxic rows, beside a frequent one and copies."""
+    texts = [(prose(8) + " splorf " + prose(8), 1) for _ in range(900)] + [(prose(8) + " grobniak " + prose(8), 1) for _ in range(8)]
+    texts += [("one text splorf with zzquib", 1)] * 1500 + [(prose(16), 0) for _ in range(4000)]
+    found = learned_from(spark, texts).automaton()
+    assert all(toxicity.score(["such", w], found, toxicity.Rule()) > 0.7 for w in CURSES) and not toxicity.score(["zzquib"], found, toxicity.Rule())
+    chance = learned_from(spark, [(prose(30), int(i % 10 == 0)) for i in range(600)])
+    assert len(chance.weights) <= 1
