@@ -109,7 +109,6 @@ class Rule:
     doubt: float = 3.0  # log odds against chance, and log ratio, from which a term that clean rows hold
     lean: float = 0.7  # is tried with exceptions
     weight: float = 3.5  # least log ratio of a term
-    clean: float = 0.005  # clean rows a term may be in, as a share of its toxic ones
     together: float = 0.8  # terms taken in one round have at least this share of the largest count
     scale: float = 200.0  # words up to which the length hardly counts
 
@@ -316,8 +315,8 @@ def learn(rows: DataFrame, rule: Rule = Rule()) -> Lexicon:
     outside = _term_counts(good, rule, _bits(inside)).withColumnRenamed("n", "n0")
     counts = stored(inside.join(outside, "term", "left").select("term", "n1", F.coalesce("n0", F.lit(0)).alias("n0")))
     sure = math.log(max(counts.count(), 1))
-    _, safe = _without_exceptions(rows, counts, counts.filter((n0 > 0) & (leans >= min(rule.doubt, sure)) & (ratio >= rule.lean)), ratio, rule)
-    usable = stored(counts.filter((ratio >= rule.weight) & (leans >= sure) & (n0 <= n1 * rule.clean)).select("term", ratio.alias("ratio")))
+    counts, safe = _without_exceptions(rows, counts, counts.filter((n0 > 0) & (leans >= min(rule.doubt, sure)) & (ratio >= rule.lean)), ratio, rule)
+    usable = stored(counts.filter((ratio >= rule.weight) & (leans >= sure)).select("term", ratio.alias("ratio")))
     hits = stored(_hits(bad, usable, rule))
     weights: dict[str, float] = {}
     while True:

@@ -164,3 +164,16 @@ def test_rare_terms_count_at_any_size(spark):
     assert all(toxicity.score(["such", w], found, toxicity.Rule()) > 0.7 for w in CURSES) and not toxicity.score(["zzquib"], found, toxicity.Rule())
     chance = learned_from(spark, [(prose(30), int(i % 10 == 0)) for i in range(600)])
     assert len(chance.weights) <= 1
+
+
+def test_benign_phrases_and_label_noise(spark):
+    """A term with benign uses gets exceptions; a few wrong labels neither empty nor fill the lexicon."""
+    texts = [(f"{prose(8)} {w} {prose(8)}", 1) for w in ("splorf", "trash") for _ in range(100)]
+    texts += [(f"{prose(8)} trash can {prose(8)}", 0) for _ in range(90)] + [(prose(16), 0) for _ in range(1900)]
+    texts += [(f"{prose(8)} splorf {prose(8)}", 0) for _ in range(2)] + [(prose(16), 1) for _ in range(4)]
+    lexicon = learned_from(spark, texts)
+    found = lexicon.automaton()
+    of = lambda text: toxicity.score(toxicity.folded(text), found, toxicity.Rule())
+    assert "trash can" in lexicon.exceptions and of("a trash can") == 0
+    assert of("such trash") > 0.7 and of("a splorf") > 0.7
+    assert sum(of(text) > 0.7 for text, label in texts if not label) <= 10
