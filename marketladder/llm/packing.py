@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,13 +35,12 @@ STRETCH = 200_000
 
 @dataclass(frozen=True)
 class Packing:
-    """window: tokens packed together at least; tries: sequences asked before a piece is cut."""
+    """window: tokens packed together at least."""
 
     length: int = 2048
     linear: float = 1.0
     quadratic: float = 1.0 / 2048
     window: int = 1 << 21
-    tries: int = 8
     end_id: int = 1
 
 
@@ -107,6 +107,45 @@ def capacities(tokens: int, length: int) -> list[int]:
     return [length] * (tokens // length) + [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
 
 
+class _ByRoom:
+    """Open sequences by room: a heap of (cost, sequence) for each room, and a tree of the lowest over rooms."""
+
+    NONE = (math.inf, 0, 0)
+
+    def __init__(self, length: int):
+        self.size = 1 << length.bit_length()  # rooms are below
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(self.size)]
+        self.lowest = [self.NONE] * (2 * self.size)
+
+    def _update(self, room: int) -> None:
+        heap, lowest = self.heaps[room], self.lowest
+        node = room + self.size
+        lowest[node] = (heap[0][0], -room, heap[0][1]) if heap else self.NONE
+        while node > 1:
+            node >>= 1
+            lowest[node] = min(lowest[2 * node], lowest[2 * node + 1])
+
+    def add(self, cost: float, room: int, sequence: int) -> None:
+        heapq.heappush(self.heaps[room], (cost, sequence))
+        self._update(room)
+
+    def take(self, room: int) -> int | None:
+        """Takes out the sequence of the lowest cost among those with at least ``room``; ties go to the most room."""
+        found = self.NONE
+        low, high = min(room, self.size) + self.size, 2 * self.size
+        while low < high:
+            if low & 1:
+                found = min(found, self.lowest[low])
+                low += 1
+            low >>= 1
+            high >>= 1
+        if found is self.NONE:
+            return None
+        heapq.heappop(self.heaps[-found[1]])
+        self._update(-found[1])
+        return found[2]
+
+
 def pack(sizes: list[int], rule: Packing) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of one window."""
     room = capacities(sum(sizes), rule.length)
@@ -114,28 +153,22 @@ def pack(sizes: list[int], rule: Packing) -> list[tuple[int, int, int, int, int]
     costs = [0.0] * len(room)
     pending = [(-size, doc, 0) for doc, size in enumerate(sizes) if size]
     heapq.heapify(pending)
-    open_sequences = [(0.0, -room[s], s) for s in range(len(room))]
-    heapq.heapify(open_sequences)
+    open_sequences = _ByRoom(rule.length)
+    for s, n in enumerate(room):
+        open_sequences.add(0.0, n, s)
     pieces = []
     while pending:
         size, doc, start = heapq.heappop(pending)
         size = -size
-        asked = []
-        while open_sequences and len(asked) < rule.tries:
-            asked.append(heapq.heappop(open_sequences))
-            if room[asked[-1][2]] - filled[asked[-1][2]] >= size:
-                break
-        fits = room[asked[-1][2]] - filled[asked[-1][2]] >= size
-        chosen = asked.pop(-1 if fits else 0)
-        for entry in asked:
-            heapq.heappush(open_sequences, entry)
-        s = chosen[2]
+        s = open_sequences.take(size)
+        if s is None:  # none has room: the lowest of all is filled, and the rest waits
+            s = open_sequences.take(1)
         take = min(size, room[s] - filled[s])
         pieces.append((doc, start, take, s, filled[s]))
         filled[s] += take
         costs[s] += rule.linear * take + rule.quadratic * take * take
         if filled[s] < room[s]:
-            heapq.heappush(open_sequences, (costs[s], filled[s] - room[s], s))
+            open_sequences.add(costs[s], room[s] - filled[s], s)
         if take < size:
             heapq.heappush(pending, (take - size, doc, start + take))
     return pieces

@@ -62,6 +62,26 @@ def test_windows_are_full_and_balanced():
     assert max(costs.values()) - min(costs.values()) < 1e-9
 
 
+def test_each_piece_goes_to_the_cheapest_sequence_with_room():
+    rng = random.Random(9)
+    rule = packing.Packing(length=64)
+    fixed = [[40] * 30 + [3] * 200 + [20] * 30, [64] * 3 + [63, 1], [200, 1, 1]]
+    for sizes in fixed + [[rng.randint(1, 90) for _ in range(rng.randint(1, 200))] for _ in range(20)]:
+        room = packing.capacities(sum(sizes), 64)
+        left, costs, rest = list(room), [0.0] * len(room), {(d, 0): n for d, n in enumerate(sizes)}
+        for doc, start, length, s, offset in packing.pack(sizes, rule):
+            size = rest.pop((doc, start))
+            fits = [i for i in range(len(room)) if left[i] >= size]
+            among = fits or [i for i in range(len(room)) if left[i]]
+            assert costs[s] == min(costs[i] for i in among) and s in among
+            assert length == (size if fits else left[s]) and offset == room[s] - left[s]
+            left[s] -= length
+            costs[s] += length + length * length / 2048
+            if length < size:
+                rest[doc, start + length] = size - length
+        assert not rest and not any(left)
+
+
 def test_documents(spark):
     rows = [(i, "some words in a row " * (i * 7 % 90)) for i in range(60)] + [(1, "again"), (1, "again"), (2, None), (None, "no id"), (99, "long text, " * 30_000)]
     got = packing.pack_documents(table(spark, rows), PATH, P.PATTERN, packing.Packing(length=256, window=5000)).collect()
