@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketladder.llm import bpe, jaccard, media, neighbours, packing, quality, secrets, shards, suffix, toxicity
+from marketladder.llm import bpe, jaccard, media, merkle, neighbours, packing, quality, secrets, shards, suffix, toxicity
 from marketladder.llm.training import training_rows
 from marketladder.session import checkpoint_folder, stored
 
@@ -154,3 +154,75 @@ SELECT s.doc_id, CAST(len(s.t) AS BIGINT) AS n_shingles, c.component_id FROM s J
 @query("op10_jaccard", SHINGLES)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_documents(table(spark, sf_dir, "documents"))
+
+
+TREE_LEVELS = 6  # levels of 16 that the SQL unrolls; enough for 16 million leaves a source
+
+
+def _tree_sql(name: str, nodes: str) -> str:
+    """Levels of a forest of ``nodes`` (grp, pos, h): the runs of each level, and the roots in the last."""
+    parts = [f"{name}0 AS (SELECT grp, pos, h, count(*) OVER (PARTITION BY grp) AS n FROM {nodes})"]
+    for k in range(TREE_LEVELS):
+        parts.append(f"{name}r{k} AS (SELECT grp, pos // 16 AS pos, any_value(n) AS n, list(h ORDER BY pos) AS l FROM {name}{k} GROUP BY grp, pos // 16)")
+        parts.append(
+            f"{name}{k + 1} AS (SELECT grp, pos, CASE WHEN n > 1 THEN sha256(array_to_string(l, '')) ELSE l[1] END AS h, "
+            f"CASE WHEN n > 1 THEN (n + 15) // 16 ELSE 1 END AS n FROM {name}r{k})"
+        )
+    return ",\n".join(parts)
+
+
+def _climb_sql(name: str, start: str, leaves: str) -> str:
+    """Proof text and folded node of every leaf of ``leaves`` (r, grp, pos, proof, f), level by level."""
+    parts, last = [], leaves
+    for k in range(TREE_LEVELS):
+        at = f"((c.pos // {16**k}) % 16)"
+        left, right = f"array_to_string(l[1:{at}], '')", f"array_to_string(l[{at} + 2:], '')"
+        parts.append(
+            f"{name}{k} AS (SELECT c.r, c.grp, c.pos, CASE WHEN n > 1 THEN c.proof || {left} || {right} ELSE c.proof END AS proof, "
+            f"CASE WHEN n > 1 THEN sha256({left} || c.f || {right}) ELSE c.f END AS f "
+            f"FROM {last} c JOIN {start}r{k} t ON t.grp = c.grp AND t.pos = c.pos // {16 ** (k + 1)})"
+        )
+        last = f"{name}{k}"
+    return ",\n".join(parts)
+
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+_FIELDS = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+MANIFEST = f"""
+WITH crc AS (
+  SELECT list(c ORDER BY b) AS t FROM (SELECT b, list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM (SELECT unnest(range(256)) AS b))),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, {_FIELDS} AS head, text,
+    doc_id IS NOT NULL AND xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+      lambda c, b: xor(crc.t[xor(c, b) % 256 + 1], c // 256)), 4294967295) % 5 = 0 AS hit FROM documents, crc),
+e AS (
+  SELECT r, doc_id, source, sha256(head || {_FIELD.format('text')}) AS leaf,
+    sha256(head || CASE WHEN hit THEN {_FIELD.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+      ELSE {_FIELD.format('text')} END) AS claimed FROM d),
+o AS (
+  SELECT r, doc_id, leaf, claimed, dense_rank() OVER (ORDER BY source COLLATE C NULLS FIRST) - 1 AS grp,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, claimed) - 1 AS pos FROM e),
+ol AS (SELECT grp, pos, leaf AS h FROM o),
+{_tree_sql('s', 'ol')},
+sub AS (SELECT 0 AS grp, grp AS pos, h FROM s{TREE_LEVELS}),
+{_tree_sql('t', 'sub')},
+begin AS (SELECT r, grp, pos, '' AS proof, claimed AS f FROM o),
+{_climb_sql('u', 's', 'begin')},
+between AS (SELECT r, 0 AS grp, grp AS pos, proof, f FROM u{TREE_LEVELS - 1}),
+{_climb_sql('v', 't', 'between')}
+SELECT o.doc_id, o.leaf, sub.h AS subroot, t{TREE_LEVELS}.h AS root, sha256(v.proof) AS proof_sha256, v.f AS folded_root, v.f = t{TREE_LEVELS}.h AS verified
+FROM o JOIN v{TREE_LEVELS - 1} v USING (r) JOIN sub ON sub.pos = o.grp CROSS JOIN t{TREE_LEVELS}
+"""
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """The manifest of documents, a fifth of them tampered with: A-Z of the text in lower case."""
+    text, number = F.col("text"), F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    claimed = F.when(F.pmod(number, F.lit(5)) == 0, merkle.lowered(text)).otherwise(text)
+    return merkle.manifest(docs, claimed).withColumnRenamed("proof", "proof_sha256")
+
+
+@query("op13_merkle", MANIFEST)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signed(table(spark, sf_dir, "documents"))
