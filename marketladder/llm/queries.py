@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketladder.llm import bpe, jaccard, media, merkle, neighbours, packing, quality, secrets, shards, suffix, toxicity
+from marketladder.llm import bpe, jaccard, media, merkle, negatives, neighbours, packing, quality, secrets, shards, suffix, toxicity
 from marketladder.llm.training import training_rows
 from marketladder.session import checkpoint_folder, stored
 
@@ -156,6 +156,36 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_documents(table(spark, sf_dir, "documents"))
 
 
+HARD_NEGATIVES = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS e
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+a AS (SELECT row_number() OVER () AS r, * FROM v WHERE vec_id % 50 = 0),
+p AS (
+  SELECT a.r, a.vec_id AS anchor_id, a.label = c.label AS same, c.vec_id,
+    coalesce(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * c.e[i])), 0)::BIGINT AS score
+  FROM a JOIN v c ON a.vec_id IS DISTINCT FROM c.vec_id AND len(a.e) = len(c.e)),
+b AS (
+  SELECT r, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS place, vec_id AS positive_id, score AS positive_score
+  FROM p WHERE same),
+n AS (
+  SELECT p.anchor_id, b.positive_id, row_number() OVER (PARTITION BY p.r, b.place ORDER BY p.score DESC, p.vec_id NULLS LAST) AS rank,
+    p.vec_id AS negative_id, b.positive_score, p.score AS negative_score
+  FROM b JOIN p USING (r) WHERE b.place <= 5 AND NOT p.same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+@query("op11_negatives", HARD_NEGATIVES)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").filter(F.col("label").isNotNull() & negatives.usable(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select(F.col("vec_id").alias("id"), label.alias("label"), negatives.quantised(F.col("embedding")).alias("vector"))
+    return negatives.mine(rows, F.col("id") % 50 == 0)
+
+
 TREE_LEVELS = 6  # levels of 16 that the SQL unrolls; enough for 16 million leaves a source
 
 
