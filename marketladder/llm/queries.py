@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marketladder.llm import bpe, jaccard, media, merkle, negatives, neighbours, packing, quality, secrets, shards, suffix, toxicity
+from marketladder.llm import bpe, jaccard, media, merkle, negatives, neighbours, packing, quality, secrets, shards, suffix, tokencounts, toxicity
 from marketladder.llm.training import training_rows
 from marketladder.session import checkpoint_folder, stored
 
@@ -186,6 +186,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(rows, F.col("id") % 50 == 0)
 
 
+@query("op12_tokens")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = tokencounts.Vocabulary.read(public_tokenizers.path("word_bpe_49k.json"))
+    return tokencounts.count_tokens(table(spark, sf_dir, "documents"), vocabulary, tokencounts.new_cache(spark))
+
+
 TREE_LEVELS = 6  # levels of 16 that the SQL unrolls; enough for 16 million leaves a source
 
 
