@@ -18,14 +18,15 @@ from dataclasses import dataclass
 from importlib.metadata import version
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marketladder.session import checkpoint_folder, stored
 
 CACHED = "digest binary, n_tokens bigint"
-#: Words remembered by a worker, and the longest of them; texts encoded at once.
-MEMO, WORD, BATCH = 1 << 17, 48, 256
+#: Words of a generation that a worker remembers, and the longest of them; texts counted at once; characters encoded at once.
+MEMO, WORD, BATCH, JOINED = 1 << 18, 48, 64, 1 << 16
 
 
 @dataclass(frozen=True)
@@ -75,8 +76,9 @@ class Vocabulary:
         encoder = Tokenizer.from_str(self.data.decode())
         encoder.no_truncation()
         encoder.no_padding()
-        encode = lambda texts: [len(e.ids) for e in encoder.encode_batch_fast(texts, add_special_tokens=False)]
-        return by_words(encode) if self.words else encode
+        if self.words:
+            return by_words(lambda texts: [[start for start, _ in e.offsets] for e in encoder.encode_batch(texts, add_special_tokens=False)])
+        return lambda texts: [len(e.ids) for e in encoder.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def drops_white_space(data: bytes) -> bool:
@@ -98,27 +100,41 @@ def drops_white_space(data: bytes) -> bool:
     return normal == ["NFC", "Replace", "Lowercase"] and parted and plain and rules.get("post_processor") is None
 
 
-def by_words(encode: Callable[[list[str]], list[int]]) -> Callable[[list[str]], list[int]]:
-    """Counts of texts as sums over what spaces part; short words are remembered, up to ``MEMO`` of them."""
-    known: dict[str, int] = {}
+def by_words(starts: Callable[[list[str]], list[list[int]]]) -> Callable[[list[str]], list[int]]:
+    """Counts of texts as sums over what spaces part; ``starts`` gives where each id of a text starts.
+
+    Words that are not known are encoded as a text of such words, and an id
+    belongs to the word it starts in.  Short words are remembered in two
+    generations: words that come again move to the young one; when that is full
+    it becomes the old one, which is dropped.
+    """
+    generations: list[dict[str, int]] = [{"": 0}, {}]
+
+    def encode(words: list[str]) -> Iterator[tuple[str, int]]:
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        part = (np.cumsum(sizes) - sizes) // JOINED  # a long word stands alone
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), len(words)]
+        for a, b in zip(cuts, cuts[1:]):
+            begin = np.cumsum(sizes[a:b]) - sizes[a:b]
+            found = np.array(starts([" ".join(words[a:b])])[0], np.int64)
+            yield from zip(words[a:b], np.bincount(np.searchsorted(begin, found, side="right") - 1, minlength=b - a).tolist())
 
     def count(texts: list[str]) -> list[int]:
-        if len(known) > MEMO:
-            known.clear()
-        out = []
-        for text in texts:
-            words = text.split(" ")
-            fresh = [w for w in set(words) if w not in known]
-            local = known
-            if fresh:
-                counts = dict(zip(fresh, encode(fresh)))
-                known.update((w, n) for w, n in counts.items() if len(w) <= WORD)
-                if any(len(w) > WORD for w in fresh):
-                    local = known | {w: n for w, n in counts.items() if len(w) > WORD}
-            out.append(sum(map(local.__getitem__, words)))
+        young, old = generations
+        parted = [text.split(" ") for text in texts]
+        fresh = set().union(*parted).difference(young)
+        again = fresh & old.keys()
+        young.update((w, old[w]) for w in again)
+        new = list(fresh - again)
+        young.update(encode(new) if new else ())
+        out = [sum(map(young.__getitem__, words)) for words in parted]
+        for word in new:
+            if len(word) > WORD:
+                del young[word]
+        if len(young) > MEMO:
+            generations[:] = {"": 0}, young
         return out
 
-    known[""] = 0
     return count
 
 
