@@ -5,6 +5,7 @@ A key may own any share of the rows, so no operator here gathers a key.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketladder.functions.text import millis
+from marketladder.session import stored
 
 HOUR = 3600
 # Ages in seconds.
@@ -26,6 +28,7 @@ TTL_SECONDS = {
     "rate-bucket": 120,
 }
 BLOCK_INTERVALS = 16
+FAN = 256  # blocks, or parents of blocks, whose maps are composed by one task
 NEVER = 1 << 62  # the age of what has no date
 
 
@@ -120,16 +123,16 @@ def _runs(key: np.ndarray, block: np.ndarray) -> np.ndarray:
     return np.cumsum(change) - 1
 
 
-def _whole_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Re-cut sorted batches so that no (key, block) run is split."""
+def _whole_runs(batches: Iterator[pd.DataFrame], block: str = "block") -> Iterator[pd.DataFrame]:
+    """Re-cut sorted batches so that no run of one key and one value of ``block`` is split."""
     held: list[pd.DataFrame] = []
     for batch in batches:
         if not len(batch):
             continue
-        run = _runs(batch["key"].to_numpy(), batch["block"].to_numpy())
+        run = _runs(batch["key"].to_numpy(), batch[block].to_numpy())
         if held:
             tail, head = held[-1].iloc[-1], batch.iloc[0]
-            continues = tail["key"] == head["key"] and tail["block"] == head["block"]
+            continues = tail["key"] == head["key"] and tail[block] == head[block]
             if continues and run[-1] == 0:
                 held.append(batch)
                 continue
@@ -158,17 +161,105 @@ def _jumps(batch: pd.DataFrame, interval: int) -> tuple[np.ndarray, np.ndarray]:
     return run, np.where(same, target, -1)
 
 
-def cooldown(requests: DataFrame, seconds: int = MANUAL) -> DataFrame:
+def _first_reaching(until: list[int], leave: list[int], start: int | None) -> int | None:
+    """Where a chain that may enter from ``start`` on leaves a map of steps; None if it finds no row there."""
+    at = 0 if start is None else bisect_left(until, start)
+    return leave[at] if at < len(until) else None
+
+
+def _composed(first: tuple[list[int], list[int]], then: tuple[list[int], list[int]], interval: int) -> tuple[list[int], list[int]]:
+    """The map of two neighbouring stretches of time as one; neighbouring steps that leave by the same row are one."""
+    until, leave = list(first[0]), []
+    for last in first[1]:
+        further = _first_reaching(*then, last + interval)
+        leave.append(last if further is None else further)
+    behind = bisect_right(then[0], until[-1]) if until else 0  # entries that find no row in the first stretch
+    until += then[0][behind:]
+    leave += then[1][behind:]
+    ends = [i for i in range(len(until)) if i + 1 == len(until) or leave[i] != leave[i + 1]]
+    return [until[i] for i in ends], [leave[i] for i in ends]
+
+
+def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[tuple[int, list[int], list[int]]]]]:
+    """Each parent's rows, sorted, and the maps of its children in order of time: (child, untils, leaves)."""
+    for batch in _whole_runs(batches, "parent"):
+        run = _runs(batch["key"].to_numpy(), batch["parent"].to_numpy())
+        for _, rows in batch.groupby(run, sort=False):
+            children: list[tuple[int, list[int], list[int]]] = []
+            for child, until, leave in zip(rows["block"].tolist(), rows["until"].tolist(), rows["leave"].tolist()):
+                if not children or children[-1][0] != child:
+                    children.append((child, [], []))
+                children[-1][1].append(until)
+                children[-1][2].append(leave)
+            yield rows, children
+
+
+def _entry_times(table: DataFrame, interval: int, fan: int) -> DataFrame:
+    """From which time on each block may be entered: key, block, since; blocks without an accepted row are left out.
+
+    A prefix composition over aligned parents of ``fan`` blocks: upwards, the
+    maps of the children of a parent are composed into one; downwards, a parent
+    that is entered from some time on tells its children theirs.  A task holds
+    one parent's steps, whatever share of the log a key owns; there are as many
+    levels as the logarithm of the number of blocks.
+    """
+    schema = table.schema.simpleString()[len("struct<") : -1].replace(":", " ").replace(",", ", ")
+    key_type = table.schema["key"].dataType.simpleString()
+    ends = table.agg(F.min("block").alias("low"), F.max("block").alias("high")).first()
+    low, blocks = ends.low or 0, (ends.high or 0) - (ends.low or 0) + 1
+
+    def by_parent(steps: DataFrame) -> DataFrame:
+        return steps.withColumn("parent", F.floor(F.col("block") / F.lit(fan)).cast("bigint"))
+
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, children in _nodes(batches):
+            until, leave = children[0][1:]
+            for child in children[1:]:
+                until, leave = _composed((until, leave), child[1:], interval)
+            yield pd.DataFrame({"key": [rows["key"].iloc[0]] * len(until), "block": rows["parent"].iloc[0], "until": until, "leave": leave})
+
+    def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, children in _nodes(batches):
+            start = rows["since"].iloc[0]
+            start = None if pd.isna(start) else int(start)
+            found: list[tuple[int, int | None]] = []
+            for child, until, leave in children:
+                last = _first_reaching(until, leave, start)
+                if last is not None:
+                    found.append((child, start))
+                    start = last + interval
+            since = pd.array([s for _, s in found], dtype="Int64")
+            yield pd.DataFrame({"key": [rows["key"].iloc[0]] * len(found), "block": [c for c, _ in found], "since": since})
+
+    sort = ("key", "parent", "block", "until")
+    levels = [table.withColumn("block", F.col("block") - F.lit(low))]
+    while blocks > fan:
+        levels[-1] = levels[-1] if len(levels) == 1 else stored(levels[-1])  # read on the way up and down
+        up = by_parent(levels[-1]).repartition("key", "parent").sortWithinPartitions(*sort)
+        levels.append(up.mapInPandas(compose, schema))
+        blocks = -(-blocks // fan)
+    since: DataFrame | None = None
+    for steps in reversed(levels):
+        rows = by_parent(steps)
+        if since is None:
+            rows = rows.withColumn("since", F.lit(None).cast("bigint"))
+        else:
+            rows = rows.join(since.withColumnRenamed("block", "parent"), ["key", "parent"])
+        since = rows.repartition("key", "parent").sortWithinPartitions(*sort).mapInPandas(enter, f"key {key_type}, block bigint, since bigint")
+    return since.withColumn("block", F.col("block") + F.lit(low))
+
+
+def cooldown(requests: DataFrame, seconds: int = MANUAL, fan: int = FAN) -> DataFrame:
     """Requests accepted at least ``seconds`` after the key's last accepted one.
 
     Time is cut into blocks of sixteen intervals.  1. Equal (key, millisecond)
     rows are combined.  2. Per block, each row a chain may enter by gets the
     row the chain leaves by; chains soon meet, so neighbours that leave by the
-    same row are combined and a block's map is a few steps.  3. Per key the
-    steps of the blocks are composed in time order, which gives the time from
+    same row are combined and a block's map is a few steps.  3. The maps are
+    composed in a tree, ``fan`` neighbours at a time, which gives the time from
     which each block is entered.  4. Every block is walked from there.  A block
-    holds at most one row per millisecond of its span, and step 3 a few rows a
-    block, whatever share of the log its key owns.
+    holds at most one row per millisecond of its span, and step 3 the few steps
+    of ``fan`` blocks, whatever share of the log a key owns.
     """
     interval = seconds * 1000
     span = interval * BLOCK_INTERVALS
@@ -205,21 +296,6 @@ def cooldown(requests: DataFrame, seconds: int = MANUAL) -> DataFrame:
                 }
             )
 
-    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = block = last = None
-        for batch in batches:
-            kept, since = [], []
-            steps = zip(*(batch[c].tolist() for c in ("key", "block", "until", "leave")))
-            for i, (k, b, until, leave) in enumerate(steps):
-                if k != key:
-                    key, block, last = k, None, None
-                start = None if last is None else last + interval
-                if b != block and (start is None or until >= start):
-                    kept.append(i)
-                    since.append(-(2**62) if start is None else start)
-                    block, last = b, leave
-            yield pd.DataFrame({"key": batch["key"].to_numpy()[kept], "block": batch["block"].to_numpy()[kept], "since": np.array(since, np.int64)})
-
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _whole_runs(batches):
             _, jump = _jumps(batch, interval)
@@ -237,11 +313,7 @@ def cooldown(requests: DataFrame, seconds: int = MANUAL) -> DataFrame:
     table = by_block.sortWithinPartitions("key", "block", "at_ms").mapInPandas(
         entries, f"key {key_type}, block bigint, until bigint, leave bigint"
     )
-    entered = (
-        table.repartition("key")
-        .sortWithinPartitions("key", "block", "until")
-        .mapInPandas(compose, f"key {key_type}, block bigint, since bigint")
-    )
+    entered = _entry_times(stored(table), interval, fan).withColumn("since", F.coalesce("since", F.lit(-(2**62))))
     return (
         distinct.join(entered, ["key", "block"])
         .repartition("key", "block")

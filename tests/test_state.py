@@ -46,6 +46,36 @@ def test_cooldown_runs_over_many_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_cooldown_composes_blocks_in_a_tree(spark):
+    """One hot key over hundreds of blocks, two and three neighbours composed at a time: no task sees a key's whole chain."""
+    for seed, n, minutes, seconds, fan in [(21, 900, 9000, 60, 2), (22, 700, 4000, 30, 3), (23, 300, 40_000, 300, 2)]:
+        rows = make(seed, n, minutes)
+        got = state.cooldown(spark.createDataFrame(rows, SCHEMA), seconds, fan)
+        assert {(r.key, r.event_id) for r in got.collect()} == greedy(rows, seconds)
+
+
+def test_composed_maps_do_as_one_after_the_other():
+    rng = random.Random(3)
+    for _ in range(300):
+        times = [sorted(rng.sample(range(a, a + 40), rng.randint(1, 6))) for a in (0, 40, 80)]
+        maps = []
+        for own in times:  # every row an entry, each chain followed
+            leave = []
+            for at in own:
+                while any(x >= at + 7 for x in own):
+                    at = next(x for x in own if x >= at + 7)
+                leave.append(at)
+            maps.append((own, leave))
+        whole = state._composed(state._composed(maps[0], maps[1], 7), maps[2], 7)
+        other = state._composed(maps[0], state._composed(maps[1], maps[2], 7), 7)
+        for start in [None, *range(130)]:
+            last, at = None, start
+            for own in maps:
+                found = state._first_reaching(*own, at)
+                last, at = (last, at) if found is None else (found, found + 7)
+            assert state._first_reaching(*whole, start) == state._first_reaching(*other, start) == last
+
+
 def test_lookup_does_not_depend_on_the_bucket(spark):
     rng = random.Random(9)
     rows = make(9, 300, 600)
