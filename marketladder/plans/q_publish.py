@@ -82,7 +82,9 @@ PARTS = 6
 def arrivals(spark: SparkSession, sf: str) -> str:
     """The events as files of a folder, as they might arrive: several, overlapping by up to 40 minutes.
 
-    Two closing rows, days later, let the watermark pass the last event.
+    All files are written at once, a task a file, and then dated in the order of
+    their parts, by which a file stream reads them.  Two closing rows, days
+    later, let the watermark pass the last event.
     """
     folder = new_folder(spark)
     events = fx.table(spark, sf, "events")
@@ -92,18 +94,23 @@ def arrivals(spark: SparkSession, sf: str) -> str:
     ).first()
     late = F.pmod(F.col("event_id") * 7919, F.lit(40 * 60_000))
     place = (streams.millis(F.col("ts")) + late - span.first) / F.lit(max(span.last - span.first, 1))
-    part = F.least(F.floor(place * PARTS), F.lit(PARTS - 1))
-    closing = events.select(
+    names = [f.split()[0] for f in EVENTS.split(", ")]
+    parts = events.select(*names, F.least(F.floor(place * PARTS), F.lit(PARTS - 1)).cast("int").alias("part"))
+    closing = spark.range(2).select(
         F.lit(-1).cast("bigint").alias("event_id"), F.lit(-1).cast("bigint").alias("user_id"), F.lit("view").alias("event_type"),
         F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("props"),
-    ).limit(1)
-    names = [f.split()[0] for f in EVENTS.split(", ")]
-    for number in range(PARTS + 2):
-        if number < PARTS:
-            rows = events.filter(part == number)
-        else:
-            rows = closing.withColumn("ts", F.timestamp_millis(F.lit(span.last + (number - PARTS + 1) * 3 * 86_400_000)).cast("timestamp_ntz"))
-        rows.select(*names).coalesce(1).write.mode("append").parquet(f"{folder}/events")
+        F.timestamp_millis(F.lit(span.last) + (F.col("id") + 1) * 3 * 86_400_000).cast("timestamp_ntz").alias("ts"),
+        (F.lit(PARTS) + F.col("id")).cast("int").alias("part"),
+    )
+    rows = parts.unionByName(closing.select(*parts.columns))
+    rows.repartition(PARTS + 2, "part").write.partitionBy("part").parquet(f"{folder}/events")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    store = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    written = store.globStatus(hadoop.Path(f"{folder}/events/part=*/*.parquet"))
+    begin = min(f.getModificationTime() for f in written) - 1000 * (PARTS + 2)
+    for file in written:  # one for each part
+        part = int(file.getPath().getParent().getName().split("=")[1])
+        store.setTimes(file.getPath(), begin + 1000 * part, -1)
     return f"{folder}/events"
 
 

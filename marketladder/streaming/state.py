@@ -3,26 +3,27 @@
 Requests: key, ts (timestamp with a watermark), at_ms (event time in
 milliseconds), event_id.  Rows may arrive out of order within the watermark's
 delay: a row is decided on when the watermark has passed it, so the results are
-those of the batch forms.  A key's state holds the rows of that delay and one
-row of what was decided before; it expires.
+those of the batch forms.  Rows wait under their key and a bucket of time; of a
+key itself one row is kept of what was decided before, and it expires.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from marketladder.functions.text import millis
-from marketladder.operators.state import MANUAL, TTL_SECONDS, merge_latest
+from marketladder.operators.state import MANUAL, STALE, TTL_SECONDS, age_seconds
 
 MEMORY = "append"
-MERGE_BUCKETS = 64
 
 
 def request_stream(
@@ -85,182 +86,312 @@ def rate_cap_stream(requests: DataFrame, n: int = 60, seconds: int = 60) -> Data
     )
 
 
-def cooldown_stream(requests: DataFrame, seconds: int = MANUAL) -> DataFrame:
-    """Requests at least ``seconds`` after the key's last accepted one."""
-    interval = seconds * 1000
-    columns = ["at_ms", "event_id"]
+# ---- state under a key and a bucket of time, carried over by key -----------------------------------------------------
+
+#: Milliseconds of a bucket of time that a key's waiting rows are kept under.
+STREAM_BUCKET = 10 * 60_000
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Fixed value: the state store that list state, timers and expiry need.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Waiting(StatefulProcessor):
+    """Rows of one key and bucket, appended as they arrive and handed on, in order, once the watermark has passed the bucket.
+
+    What is handed on carries the watermark as its event time, so it is late for
+    nobody; ``order`` are the columns it is sorted by.
+    """
+
+    def __init__(self, fields: list[str], kinds: list[str], order: list[str], bucket_ms: int):
+        self.fields, self.kinds, self.order, self.bucket_ms = fields, kinds, order, bucket_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", ", ".join(f"{f} {k}" for f, k in zip(self.fields, self.kinds)))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for part in rows:
+            plain = part[self.fields].astype(object).where(part[self.fields].notna(), None)
+            self.rows.appendList(list(plain.itertuples(index=False, name=None)))
+        self.handle.registerTimer((int(key[1]) + 1) * self.bucket_ms)  # the same one for all batches
+        yield from ()
+
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        rows = pd.DataFrame(list(self.rows.get()), columns=self.fields).sort_values(self.order, ignore_index=True)
+        self.rows.clear()
+        yield rows.assign(key=key[0], bucket=key[1], released=pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms", tz="UTC"))
+
+    def close(self) -> None:
+        pass
+
+
+class Carrying(StatefulProcessor):
+    """What earlier buckets of a key leave to later ones: one row, cleared when nothing can refer to it any more.
+
+    The buckets of a key come in order: what the watermark passes first is
+    handed on first.  Within a micro-batch they are sorted here.
+    """
+
+    value: str
+    bucket_ms: int  # a row the watermark has passed may wait this long for the end of its bucket
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.carried = handle.getValueState("carried", self.value)
+
+    def ordered(self, rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(list(rows)).sort_values(["at_ms", "event_id"], ignore_index=True)
+
+    def keep(self, row: tuple, timerValues: TimerValues) -> None:  # noqa: N803
+        self.carried.update(row)
+        self.handle.registerTimer(max(self.until(row), timerValues.getCurrentWatermarkInMs() + 1))
+
+    def until(self, row: tuple) -> int:
+        raise NotImplementedError
+
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.carried.exists() and self.until(self.carried.get()) <= timerValues.getCurrentWatermarkInMs():
+            self.carried.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+class Accepting(Carrying):
+    """Takes a row at least an interval after the last one it took."""
 
-    def accept(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, *held = state.get if state.exists else (None, [], [])
-        rows = _arrived(parts, columns, pd.DataFrame(dict(zip(columns, held)), dtype="int64"), state.hasTimedOut)
-        rows = rows.drop_duplicates("at_ms", ignore_index=True)  # of equal times only the lowest id can be accepted
-        mark = state.getCurrentWatermarkMs()
-        times = rows["at_ms"].to_numpy()
-        due = int(np.searchsorted(times, mark))
-        taken, at = [], 0 if last is None else int(np.searchsorted(times, last + interval))
-        while at < due:  # one step for each accepted request
+    value = "last bigint"
+
+    def __init__(self, interval: int, bucket_ms: int):
+        self.interval, self.bucket_ms = interval, bucket_ms
+
+    def until(self, row: tuple) -> int:
+        return row[0] + self.interval + self.bucket_ms
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        found = self.ordered(rows)
+        times = found["at_ms"].to_numpy()
+        last = self.carried.get()[0] if self.carried.exists() else None
+        taken, at = [], 0 if last is None else int(np.searchsorted(times, last + self.interval))
+        while at < len(times):  # one step for each accepted request
             taken.append(at)
             last = int(times[at])
-            at = int(np.searchsorted(times, last + interval))
-        rest = rows.iloc[due:]
-        if len(rest):
-            state.update((last, rest["at_ms"].tolist(), rest["event_id"].tolist()))
-            state.setTimeoutTimestamp(max(int(times[due]) + 1, mark + 1))
-        elif last is not None and last + interval > mark:
-            state.update((last, [], []))
-            state.setTimeoutTimestamp(last + interval)
-        elif state.exists:
-            state.remove()
-        yield rows.iloc[taken].assign(key=key[0])[["key", *columns]]
+            at = int(np.searchsorted(times, last + self.interval))
+        if taken:
+            self.keep((last,), timerValues)
+        yield found.iloc[taken][["key", "at_ms", "event_id"]]
+
+
+class Answering(Carrying):
+    """Answers a read with the last put before it, unless that has expired."""
+
+    value = "at_ms bigint, kind string, payload double"
+
+    def __init__(self, ttl: dict[str, int], bucket_ms: int):
+        self.ttl, self.longest, self.bucket_ms = ttl, max(ttl.values()), bucket_ms
+
+    def until(self, row: tuple) -> int:
+        return row[0] + self.longest + self.bucket_ms
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        found = self.ordered(rows)
+        read = found["event_id"].notna().to_numpy() & ~found["is_put"].to_numpy(bool)
+        carried = pd.DataFrame([self.carried.get() if self.carried.exists() else (None, None, None)], columns=["put_ms", "kind", "payload"])
+        puts = pd.concat([carried, found[["put_ms", "kind", "payload"]]], ignore_index=True)
+        place = np.maximum.accumulate(np.where(puts["put_ms"].notna(), np.arange(len(puts)), 0))[1:]  # 0: the carried one
+        seen = puts.iloc[place[read]].reset_index(drop=True)
+        age = (found["at_ms"].to_numpy()[read] - seen["put_ms"].to_numpy(dtype="float64", na_value=np.nan)) // 1000 * 1000
+        alive = seen["kind"].map(self.ttl).to_numpy(dtype="float64", na_value=0)
+        hit = np.nan_to_num(age, nan=np.inf) < alive
+        last = puts.iloc[place[-1]]
+        if place[-1]:
+            payload = None if pd.isna(last["payload"]) else float(last["payload"])
+            self.keep((int(last["put_ms"]), last["kind"], payload), timerValues)
+        yield pd.DataFrame({
+            "key": key[0], "event_id": found["event_id"].to_numpy()[read], "hit": hit,
+            "kind": np.where(hit, seen["kind"], None), "payload": np.where(hit, seen["payload"].astype(object), None),
+        })[["key", "event_id", "kind", "payload", "hit"]]
+
+
+def _by_bucket(rows: DataFrame, fields: str, order: list[str], bucket_ms: int) -> DataFrame:
+    """Rows with their key, handed on bucket by bucket when the watermark has passed them; they have the column ``released``."""
+    names, kinds = zip(*(f.split() for f in fields.split(", ")))
+    placed = rows.withColumn("bucket", F.floor(F.col("at_ms") / F.lit(bucket_ms)).cast("bigint")).select("key", "bucket", "ts", *names)
+    return placed.groupBy("key", "bucket").transformWithStateInPandas(
+        Waiting(list(names), list(kinds), order, bucket_ms), f"{fields}, key bigint, bucket bigint, released timestamp", "append", "EventTime",
+        eventTimeColumnName="released",
+    )
 
-    return requests.groupBy("key").applyInPandasWithState(
-        accept, "key bigint, at_ms bigint, event_id bigint", "last bigint, at_ms array<bigint>, event_id array<bigint>",
-        MEMORY, GroupStateTimeout.EventTimeTimeout,
+
+def cooldown_stream(requests: DataFrame, seconds: int = MANUAL, bucket_ms: int = STREAM_BUCKET) -> DataFrame:
+    """Requests at least ``seconds`` after the key's last accepted one.
+
+    A key's waiting rows lie under buckets of time, so a hot key's arrivals are
+    spread and a micro-batch only appends to them; of a key itself the state is
+    the last accepted time, until it can't refuse anything any more.
+    """
+    released = _by_bucket(requests, "at_ms bigint, event_id bigint", ["at_ms", "event_id"], bucket_ms)
+    return released.groupBy("key").transformWithStateInPandas(
+        Accepting(seconds * 1000, bucket_ms), "key bigint, at_ms bigint, event_id bigint", "append", "EventTime"
     )
 
 
-def lookup_stream(log: DataFrame) -> DataFrame:
+class WaitingPuts(Waiting):
+    """Waiting rows of a lookup; each read leaves with the last put of its bucket, and the bucket's last put follows."""
+
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        for rows in super().handleExpiredTimer(key, timerValues, expiredTimerInfo):
+            put = rows["is_put"].to_numpy(bool)
+            place = np.maximum.accumulate(np.where(put, np.arange(len(rows)), -1))
+            seen = rows.iloc[np.maximum(place, 0)]
+            some = place >= 0
+            last = (np.arange(len(rows)) == place[-1]) & put
+            answered = rows.assign(
+                put_ms=pd.array(np.where(some, seen["at_ms"], 0), "Int64"), kind=np.where(some, seen["kind"], None),
+                payload=np.where(some, seen["payload"].astype(object), None),
+            )
+            answered.loc[~some, "put_ms"] = pd.NA
+            yield answered[~put | last]
+
+
+def lookup_stream(log: DataFrame, bucket_ms: int = STREAM_BUCKET) -> DataFrame:
     """Each read sees the latest earlier put of its key unless it has expired.
 
     log: key, ts, at_ms, event_id, is_put, kind, payload.  A read is answered
-    when the watermark has passed it, so a put that arrives after the read is
-    seen if it is earlier, and a later one is not.
+    when the watermark has passed its bucket, so a put that arrives after the
+    read is seen if it is earlier, and a later one is not.  Rows wait under key
+    and bucket of time, where a micro-batch appends to them; there reads meet the
+    puts of their bucket.  Of a key itself the state is the last put of earlier
+    buckets, until no read can see it any more.
     """
-    ttl = {kind: seconds * 1000 for kind, seconds in TTL_SECONDS.items()}
-    longest = max(ttl.values())
-    columns = ["at_ms", "event_id", "is_put", "kind", "payload"]
-    kinds = {"at_ms": "int64", "event_id": "int64", "is_put": "bool", "kind": "object", "payload": "float64"}
-
-    def answer(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = state.get if state.exists else [[] for _ in columns]
-        held = pd.DataFrame({c: pd.Series(list(v), dtype=kinds[c]) for c, v in zip(columns, kept)})
-        rows = _arrived(parts, columns, held, state.hasTimedOut).astype(kinds)
-        mark = state.getCurrentWatermarkMs()
-        put = rows["is_put"].to_numpy()
-        place = np.maximum.accumulate(np.where(put, np.arange(len(rows)), -1))  # the last put at or before each row
-        due = (rows["at_ms"] < mark).to_numpy()
-        reads = np.flatnonzero(due & ~put)
-        seen, at = place[reads], rows["at_ms"].to_numpy()
-        alive = rows["kind"].map(ttl).to_numpy(dtype="float64", na_value=0)
-        hit = (seen >= 0) & ((at[reads] - at[seen]) // 1000 * 1000 < alive[seen])
-        found = rows.iloc[np.where(hit, seen, 0)]
-        # needed further: what is not due, the last due put, unless no read can see it any more
-        last = place[due].max(initial=-1)
-        need = ~due | ((np.arange(len(rows)) == last) & (at + longest > mark))
-        rest = rows[need]
-        if len(rest):
-            state.update(tuple([None if v is None or v != v else v for v in rest[c].tolist()] for c in columns))
-            waiting = at[~due & ~put]
-            wake = int(waiting[0]) + 1 if len(waiting) else int(at[need].max()) + longest
-            state.setTimeoutTimestamp(max(wake, mark + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame({
-            "key": key[0], "event_id": rows["event_id"].to_numpy()[reads],
-            "kind": np.where(hit, found["kind"], None), "payload": np.where(hit, found["payload"].astype(object), None), "hit": hit,
-        })
-
-    return log.groupBy("key").applyInPandasWithState(
-        answer, "key bigint, event_id bigint, kind string, payload double, hit boolean",
-        "at_ms array<bigint>, event_id array<bigint>, is_put array<boolean>, kind array<string>, payload array<double>",
-        MEMORY, GroupStateTimeout.EventTimeTimeout,
+    fields = "at_ms bigint, event_id bigint, is_put boolean, kind string, payload double"
+    names, kinds = zip(*(f.split() for f in fields.split(", ")))
+    placed = log.withColumn("bucket", F.floor(F.col("at_ms") / F.lit(bucket_ms)).cast("bigint")).select("key", "bucket", "ts", *names)
+    met = placed.groupBy("key", "bucket").transformWithStateInPandas(
+        WaitingPuts(list(names), list(kinds), ["at_ms", "event_id"], bucket_ms),
+        f"{fields}, key bigint, bucket bigint, released timestamp, put_ms bigint", "append", "EventTime", eventTimeColumnName="released",
+    )
+    return met.groupBy("key").transformWithStateInPandas(
+        Answering({kind: seconds * 1000 for kind, seconds in TTL_SECONDS.items()}, bucket_ms),
+        "key bigint, event_id bigint, kind string, payload double, hit boolean", "append", "EventTime",
     )
 
 
 # ---- merging into a record table -----------------------------------------------------------------------------------
 
 RECORD = "key bigint, generated_at timestamp_ntz, payload double"
+CHANGE = "key bigint, generated_at timestamp_ntz, event_id bigint, payload double"
 
 
-def _versions(spark: SparkSession, root: str, below: int | None = None) -> dict[int, int]:
-    """The newest version of every bucket; at most ``MERGE_BUCKETS`` rows."""
-    listed = spark.read.schema("bucket int, version bigint").parquet(f"{root}/versions")
-    if below is not None:
-        listed = listed.filter(F.col("version") < below)
-    return {r.bucket: r.v for r in listed.groupBy("bucket").agg(F.max("version").alias("v")).collect()}
+class Merging(StatefulProcessor):
+    """The newest record of a key; a seed that replaces it is a change.
 
+    A seed replaces an older or undated record; of equally old seeds the larger
+    event wins.  The state expires after the age from which on seeds are
+    refused, since then any seed that is taken is newer.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "at_us bigint, event_id bigint, payload double", ttlDurationMs=STALE * 1000)
 
-def _records(spark: SparkSession, root: str, versions: dict[int, int]) -> DataFrame:
-    paths = [f"{root}/records/v{version}/bucket={bucket}" for bucket, version in sorted(versions.items())]
-    return spark.read.schema(RECORD).parquet(*paths) if paths else spark.createDataFrame([], RECORD)
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: TimerValues) -> None:  # noqa: N802, N803
+        first = initialState.iloc[0]
+        if not pd.isna(first["at_us"]):  # an undated record is replaced by any seed
+            self.newest.update((int(first["at_us"]), None, None))
 
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = self.newest.get() if self.newest.exists() else None
+        best = held
+        for part in rows:
+            for at, event, payload in zip(part["at_us"].tolist(), part["event_id"].tolist(), part["payload"].tolist()):
+                payload = None if pd.isna(payload) else payload
+                if best is None or at > best[0] or (at == best[0] and best[1] is not None and event > best[1]):
+                    best = (at, event, payload)
+        if best is not held:
+            self.newest.update(best)
+            yield pd.DataFrame({"key": [key[0]], "at_us": [best[0]], "event_id": [best[1]], "payload": [best[2]]})
 
-def _write_version(records: DataFrame, root: str, version: int, changed: list[int]) -> None:
-    """Files of the changed buckets, then the rows that make them current."""
-    spark = records.sparkSession
-    bucketed = records.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(MERGE_BUCKETS)).cast("int"))
-    bucketed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/records/v{version}")
-    rows = spark.range(1).select(F.explode(F.array(*[F.lit(b) for b in changed])).alias("bucket"), F.lit(version).cast("bigint").alias("version"))
-    rows.coalesce(1).write.mode("overwrite").parquet(f"{root}/versions/batch={version}")
+    def close(self) -> None:
+        pass
 
 
 def start_records(records: DataFrame, root: str) -> None:
-    """Version 0 of a record table: all buckets, also the empty ones."""
-    spark = records.sparkSession
-    _write_version(records.select("key", "generated_at", "payload"), root, 0, list(range(MERGE_BUCKETS)))
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/records/v0")
-    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    for bucket in range(MERGE_BUCKETS):
-        store.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/records/v0/bucket={bucket}"))
+    """A record table that streams of seeds can be merged into; an empty one too."""
+    records.select("key", "generated_at", "payload").write.parquet(f"{root}/records")
 
 
 def current_records(spark: SparkSession, root: str) -> DataFrame:
-    """The record table as it is now."""
-    return _records(spark, root, _versions(spark, root))
+    """The record table as it is now: its first records and what changed since; the last change of a key counts."""
+    first = spark.read.schema(RECORD).parquet(f"{root}/records").withColumn("event_id", F.lit(None).cast("bigint"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/changes/_spark_metadata")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        first = first.unionByName(spark.read.schema(CHANGE).parquet(f"{root}/changes"))
+    newest = first.groupBy("key").agg(F.max(F.struct("generated_at", "event_id", "payload")).alias("l"))
+    return newest.select("key", "l.generated_at", "l.payload")
 
 
-def merge_latest_stream(seeds: DataFrame, root: str, now: str, checkpoint: str) -> StreamingQuery:
-    """Merge a stream of seeds into the table that ``start_records`` began.
+def merge_changes(seeds: DataFrame, records: DataFrame, now: str) -> DataFrame:
+    """The changes that a stream of seeds makes to a record table, in order for each key: ``CHANGE`` rows.
 
-    Records lie in hash buckets of their key; a micro-batch rewrites only the
-    buckets it has seeds for.  A repeated batch reads what was current before
-    it and writes the same again.  A bucket's version is removed when the one
-    that replaced it has been replaced in turn or is older than one batch, so a
-    reader of the newest state never loses its files.
+    seeds: key, generated_at, event_id, payload.  Undated seeds and those older
+    than a week at ``now`` are refused.  A task sends one seed a key and batch
+    of rows on, so a hot key's seeds are combined before they meet.
     """
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    age = age_seconds(F.col("generated_at"), F.lit(now).cast("timestamp_ntz"))
+    young = seeds.filter(age <= STALE).select("key", micros(F.col("generated_at")).alias("at_us"), "event_id", "payload")
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        spark, version = batch.sparkSession, number + 1
-        newest = batch.groupBy("key").agg(F.max(F.struct("generated_at", "event_id", "payload")).alias("l")).select(
-            "key", "l.generated_at", "l.payload", F.pmod(F.xxhash64("key"), F.lit(MERGE_BUCKETS)).cast("int").alias("b")
-        ).persist()
-        changed = sorted(r.b for r in newest.select("b").distinct().collect())
-        if changed:
-            before = _versions(spark, root, below=version)
-            old = _records(spark, root, {b: before[b] for b in changed})
-            merged = merge_latest(old, newest, F.lit(now).cast("timestamp_ntz")).drop("origin")
-            _write_version(merged, root, version, changed)
-            _remove_replaced(spark, root, version)
-        newest.unpersist()
-
-    return (
-        seeds.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def newest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part.sort_values(["at_us", "event_id"]).drop_duplicates("key", keep="last")
+
+    first = records.groupBy("key").agg(F.max(micros(F.col("generated_at"))).alias("at_us"))
+    changes = young.mapInPandas(newest, young.schema).groupBy("key").transformWithStateInPandas(
+        Merging(), "key bigint, at_us bigint, event_id bigint, payload double", "append", "ProcessingTime", initialState=first.groupBy("key"),
     )
+    return changes.select("key", F.timestamp_micros("at_us").cast("timestamp_ntz").alias("generated_at"), "event_id", "payload")
 
 
-def _remove_replaced(spark: SparkSession, root: str, version: int) -> None:
-    """Remove the bucket files that the last version before the batch of ``version`` replaced."""
-    listed = spark.read.schema("bucket int, version bigint").parquet(f"{root}/versions")
-    kept = listed.filter(F.col("version") < version).groupBy("bucket").agg(F.max("version").alias("kept"))
-    older = listed.join(kept, "bucket").filter(F.col("version") < F.col("kept"))
-    gone = older.groupBy("bucket").agg(F.max("version").alias("version")).collect()
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    store = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for r in gone:  # one for each bucket at most; earlier versions are gone already
-        place = hadoop.Path(f"{root}/records/v{r.version}/bucket={r.bucket}")
-        if store.exists(place):
-            store.delete(place, True)
+def merge_latest_stream(seeds: DataFrame, root: str, now: str, checkpoint: str) -> StreamingQuery:
+    """Merge a stream of seeds into the table that ``start_records`` began: its changes are appended to the table's log."""
+    spark = seeds.sparkSession
+    with state_store(spark, idle_batches=False):
+        changes = merge_changes(seeds, spark.read.schema(RECORD).parquet(f"{root}/records"), now)
+        return (
+            changes.writeStream.format("parquet").outputMode("append").option("path", f"{root}/changes")
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+
+
+@contextmanager
+def state_store(spark: SparkSession, idle_batches: bool = True) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB; the session's own settings are put back.
+
+    Without ``idle_batches`` there are no micro-batches without rows: where
+    state expires by the clock, a run over what is available would never end.
+    """
+    wanted = {PROVIDER: ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": str(idle_batches).lower()}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
     """Run a stream over what its source holds now and read what it wrote."""
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", f"{folder}/rows")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+    with state_store(stream.sparkSession):
+        query = (
+            stream.writeStream.format("parquet")
+            .outputMode("append")
+            .option("path", f"{folder}/rows")
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")

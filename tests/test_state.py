@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from marketladder.operators import quality, search, state
@@ -107,7 +108,15 @@ def test_seeds_and_records(spark):
 CLOSING = (-1, START + timedelta(days=30), -1)
 
 
-def test_streams_agree_with_the_batch_forms(spark, tmp_path):
+@pytest.fixture
+def few_tasks(spark):
+    """Each task of a stateful operator starts a Python worker in each micro-batch."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_streams_agree_with_the_batch_forms(spark, tmp_path, few_tasks):
     """Several micro-batches that overlap by up to 40 minutes, with a watermark of an hour."""
     rng = random.Random(12)
     rows = sorted(make(12, 240, 300), key=lambda r: r[1] + timedelta(minutes=rng.randint(0, 40)))
@@ -134,7 +143,7 @@ def test_streams_agree_with_the_batch_forms(spark, tmp_path):
     assert ids(got, "event_id", "payload") == ids(state.lookup_ttl(puts, log.filter(~put)), "event_id", "payload")
 
 
-def test_a_late_read_does_not_see_a_later_put(spark, tmp_path):
+def test_a_late_read_does_not_see_a_later_put(spark, tmp_path, few_tasks):
     at = lambda minute: START + timedelta(minutes=minute)
     schema = SCHEMA + ", is_put boolean, kind string, payload double"
     put = lambda m, i: (1, at(m), i, True, "search-hit", float(m))
@@ -146,20 +155,52 @@ def test_a_late_read_does_not_see_a_later_put(spark, tmp_path):
     assert {r.event_id: r.payload for r in got} == {3: None, 4: 30.0}
 
 
-def test_merging_rewrites_only_what_changed(spark, tmp_path):
-    root, now = str(tmp_path / "table"), "2024-01-02 00:00:00"
-    hour = lambda h: START + timedelta(hours=h)
-    streams.start_records(spark.createDataFrame([(k, hour(5), 0.0) for k in range(200)], streams.RECORD), root)
+def merged(spark, tmp_path, records, parts, now="2024-01-02 00:00:00"):
+    """The table after a micro-batch for each part of seeds, and the log of changes."""
+    root = str(tmp_path / "table")
+    streams.start_records(spark.createDataFrame(records, streams.RECORD), root)
     schema = "key bigint, generated_at timestamp_ntz, event_id bigint, payload double"
-    parts = [[(1, hour(4), 1, 1.0), (2, hour(6), 2, 1.0)], [(1, hour(7), 3, 2.0), (2, hour(5), 4, 2.0)], [(1, hour(8), 5, 3.0)], [(300, hour(1), 6, 3.0)]]
     for part in parts:
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     streams.merge_latest_stream(source, root, now, str(tmp_path / "checkpoint")).awaitTermination()
-    got = {r.key: r.payload for r in streams.current_records(spark, root).collect()}
-    assert got == {k: 0.0 for k in range(200)} | {1: 3.0, 2: 1.0, 300: 3.0}
-    kept = {p.parent.name for p in (tmp_path / "table" / "records").glob("v*/bucket=*")}
-    assert len(list((tmp_path / "table" / "records").glob("v0/bucket=*"))) >= streams.MERGE_BUCKETS - 3 and "v1" not in kept
+    changes = sorted(tuple(r) for r in spark.read.schema(streams.CHANGE).parquet(f"{root}/changes").select("key", "event_id", "payload").collect())
+    return {r.key: r.payload for r in streams.current_records(spark, root).collect()}, changes
+
+
+def test_merging_emits_only_what_changed(spark, tmp_path, few_tasks):
+    hour = lambda h: START + timedelta(hours=h)
+    records = [(k, hour(5), 0.0) for k in range(200)] + [(400, None, 0.0)]
+    parts = [[(1, hour(4), 1, 1.0), (2, hour(6), 2, 1.0), (3, hour(5), 9, 9.0)], [(1, hour(7), 3, 2.0), (2, hour(5), 4, 2.0)], [(1, hour(8), 5, 3.0)], [(300, hour(1), 6, 3.0), (400, hour(0), 7, 4.0)]]
+    got, changes = merged(spark, tmp_path, records, parts)
+    assert got == {k: 0.0 for k in range(200)} | {1: 3.0, 2: 1.0, 300: 3.0, 400: 4.0}
+    assert changes == [(1, 3, 2.0), (1, 5, 3.0), (2, 2, 1.0), (300, 6, 3.0), (400, 7, 4.0)]
+
+
+def test_refused_seeds_change_nothing(spark, tmp_path, few_tasks):
+    """An old seed of a key without a record, an undated one, then good ones; of equally old seeds the larger event wins."""
+    old, at = datetime(2023, 1, 1), START + timedelta(hours=1)
+    parts = [[(2, old, 1, 1.0)], [(2, None, 2, 2.0)], [(2, at, 4, 4.0)], [(2, at, 3, 3.0)], [(2, at, 5, 5.0)]]
+    got, changes = merged(spark, tmp_path, [(1, START, 0.0)], parts)
+    assert got == {1: 0.0, 2: 5.0} and changes == [(2, 4, 4.0), (2, 5, 5.0)]
+
+
+def test_seeds_merge_into_an_empty_table(spark, tmp_path, few_tasks):
+    assert merged(spark, tmp_path, [], [[(7, START, 1, None)]]) == ({7: None}, [(7, 1, None)])
+
+
+def test_a_stream_equals_the_batch_form_at_any_bucket(spark, tmp_path, few_tasks):
+    """A hot key, late rows, ties; buckets of a second, a minute and longer than the interval."""
+    rng = random.Random(31)
+    rows = sorted(make(31, 200, 240) + [(1, START + timedelta(minutes=9), 900 + i) for i in range(5)], key=lambda r: r[1] + timedelta(minutes=rng.randint(0, 40)))
+    log = spark.createDataFrame(rows, SCHEMA)
+    for part in [rows[at : at + 70] for at in range(0, len(rows), 70)] + [[CLOSING], [CLOSING]]:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    expected = {(r.key, r.event_id) for r in state.cooldown(log, 300).collect()}
+    for bucket_ms in (60_000, 3_600_000):
+        stream = streams.request_stream(spark, str(tmp_path / "in"), "*.parquet", SCHEMA, files_per_trigger=1)
+        got = streams.run_to_table(streams.cooldown_stream(stream, 300, bucket_ms), str(tmp_path / f"out{bucket_ms}"))
+        assert {(r.key, r.event_id) for r in got.filter("event_id >= 0").collect()} == expected
 
 
 def test_an_undated_record_is_as_old_as_can_be(spark):
