@@ -13,9 +13,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-BLOCK_BYTES = 8 << 20
+from marketladder.llm.memory import frugal
+
+BLOCK_BYTES = 4 << 20
+OWN_KEYS = "block int, bucket int, keys binary, counts binary, large binary"
 KEYS = "block int, bucket int, keys binary, counts binary"
 KEYS_ARROW = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+OWN_ARROW = KEYS_ARROW.append(pa.field("large", pa.binary()))
+MANY = 255  # in a byte of counts: the count is the next of the large ones
 
 
 def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
@@ -51,28 +56,40 @@ def joined_key(bucket: np.ndarray, rest: np.ndarray) -> np.ndarray:
 
 
 def pack_keys(block: int, hashes: np.ndarray, counts: np.ndarray, buckets: int) -> pa.Table:
-    """Rows of ``KEYS`` for distinct hashes of a block and their counts in it."""
+    """Rows of ``OWN_KEYS`` for distinct hashes of a block and their counts in it: a byte each, and 32 bits for large ones."""
     bucket, rest = split_key(hashes, buckets)
     order = np.lexsort((rest, bucket))
-    bucket, rest, counts = bucket[order], rest[order], np.minimum(counts, 255).astype(np.uint8)[order]
+    bucket, rest, counts = bucket[order], rest[order], counts[order]
+    small = np.minimum(counts, MANY).astype(np.uint8)
     cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else []
-    rows = [
-        {"block": block, "bucket": int(bucket[start]), "keys": rest[start:end].tobytes(), "counts": counts[start:end].tobytes()}
-        for start, end in zip(cuts, [*cuts[1:], len(bucket)])
-    ]
-    return pa.Table.from_pylist(rows, KEYS_ARROW)
+    rows = []
+    for start, end in zip(cuts, [*cuts[1:], len(bucket)]):
+        large = counts[start:end][small[start:end] == MANY].astype(np.uint32)
+        rows.append({
+            "block": block, "bucket": int(bucket[start]), "keys": rest[start:end].tobytes(), "counts": small[start:end].tobytes(),
+            "large": large.tobytes() if len(large) else None,
+        })
+    return pa.Table.from_pylist(rows, OWN_ARROW)
+
+
+def unpack_counts(small: bytes, large: bytes | None) -> np.ndarray:
+    counts = np.frombuffer(small, np.uint8).astype(np.uint32)
+    if large is not None:
+        counts[counts == MANY] = np.frombuffer(large, np.uint32)
+    return counts
 
 
 def shared_keys(parts: DataFrame) -> DataFrame:
     """For each block those of its keys whose counts add up to 2 or more, with the 32-bit sums as counts."""
 
+    @frugal
     def work(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
         keys = np.concatenate([np.frombuffer(r["keys"], np.uint32) for r in rows])
-        counts = np.concatenate([np.frombuffer(r["counts"], np.uint8) for r in rows])
+        counts = np.concatenate([unpack_counts(r["counts"], r["large"]) for r in rows])
         order = np.argsort(keys, kind="stable")
         starts = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
-        sums = np.add.reduceat(counts[order].astype(np.uint32), starts)
+        sums = np.add.reduceat(counts[order], starts)
         totals = np.empty(len(keys), np.uint32)
         totals[order] = np.repeat(sums, np.diff(np.r_[starts, len(keys)]))
         out, at = [], 0

@@ -30,8 +30,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marketladder.llm.blocks import KEYS, block_count, free_name, in_blocks, joined_key, look_up, pack_keys, shared_keys, split_key, unpack_shared
+from marketladder.llm.blocks import OWN_KEYS, block_count, free_name, in_blocks, joined_key, look_up, pack_keys, shared_keys, split_key, unpack_shared
 from marketladder.llm.components import components
+from marketladder.llm.memory import frugal, frugal_stream
 from marketladder.llm.words import mixed, shingle_hashes, word_hashes
 from marketladder.session import stored
 
@@ -142,6 +143,7 @@ ENTRIES = "entry bigint, node bigint, n int, once int, early boolean"
 def _members(blocks: DataFrame, rule: Join) -> DataFrame:
     """Size and digest of every row's set; no digest without words."""
 
+    @frugal_stream
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [token_set(t.as_py(), rule.words) for t in batch.column(2)]
@@ -183,11 +185,13 @@ def _standing(texts: pa.Table, named: pa.Table, rule: Join) -> Iterator[tuple[in
 def _active(blocks: DataFrame, count: int, classes: DataFrame, rule: Join) -> DataFrame:
     """The classes that may have a partner, with their sets and index entries."""
 
+    @frugal
     def keys(key: tuple, texts: pa.Table, named: pa.Table) -> pa.Table:
         sets = [tokens for _, _, tokens in _standing(texts, named, rule)]
         found, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
         return pack_keys(key[0].as_py(), found, counts, count)
 
+    @frugal
     def index(key: tuple, texts: pa.Table, right: pa.Table) -> pa.Table:
         shared, totals = unpack_shared(right)
         rows = []
@@ -210,7 +214,7 @@ def _active(blocks: DataFrame, count: int, classes: DataFrame, rule: Join) -> Da
 
     texts = blocks.select("block", "doc_id", "text").groupBy("block")
     named = _named(classes)
-    shared = shared_keys(texts.cogroup(named.groupBy("block")).applyInArrow(keys, KEYS))
+    shared = shared_keys(texts.cogroup(named.groupBy("block")).applyInArrow(keys, OWN_KEYS))
     right = shared.withColumn("name", F.lit(None).cast("string")).unionByName(named)
     return texts.cogroup(right.groupBy("block")).applyInArrow(index, ACTIVE)
 
@@ -218,6 +222,7 @@ def _active(blocks: DataFrame, count: int, classes: DataFrame, rule: Join) -> Da
 def _entries(active: DataFrame) -> DataFrame:
     """One row per index entry of a class."""
 
+    @frugal_stream
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
@@ -263,6 +268,7 @@ def _apart(entries: DataFrame, active: DataFrame, found: DataFrame, rule: Join)
     tiles = tiles.select("entry", "node", "n", "once", "early", "sketch", "part", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     tiles = tiles.withColumn("task", F.pmod(F.xxhash64("entry", "i", "j"), groups))
 
+    @frugal
     def work(table: pa.Table) -> pa.Table:
         columns = {c: table.column(c).to_numpy() for c in ("entry", "node", "n", "once", "early", "part", "own", "i", "j")}
         sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(table), -1)
@@ -296,6 +302,7 @@ def _apart(entries: DataFrame, active: DataFrame, found: DataFrame, rule: Join)
 def _verified(pairs: DataFrame, active: DataFrame, rule: Join) -> DataFrame:
     """The pairs whose sets are alike enough, compared exactly."""
 
+    @frugal_stream
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             linked = []
@@ -360,6 +367,7 @@ def keep_first(docs: DataFrame, rule: Join = Join(words=5, share=80)) -> DataFra
     first = F.min_by(F.struct("digest", "node", "doc_id", "block"), F.struct(F.col("doc_id").isNull(), "doc_id", "node"))
     names = _named(_groups(members, blocks, count, rule).groupBy("component").agg(first.alias("r")).select("r.*"))
 
+    @frugal
     def work(texts: pa.Table, named: pa.Table) -> pa.Table:
         kept = {row for row, _, _ in _standing(texts, named, rule)}
         mask = [i in kept or not WORD.search(t.as_py() or "") for i, t in enumerate(texts.column("text"))]

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from marketladder.llm.bpe import BytePairCodec
+from marketladder.llm.memory import frugal_stream
 
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -184,6 +185,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, pattern: str, rule: Pac
     piece.  Sequence ids are unique, not consecutive.
     """
 
+    @frugal_stream
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer(tokenizer_path, pattern)
         ids: list[int | None] = []

@@ -20,6 +20,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from marketladder.llm.memory import frugal_stream
+
 Span = tuple[str, int, int]
 
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
@@ -154,6 +156,7 @@ def scan_documents(docs: DataFrame, rule: Entropy = Entropy()) -> DataFrame:
     Null ids stay null, repeated rows give repeated results, other columns are ignored.
     """
 
+    @frugal_stream
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: dict[str, list[int]] = {kind: [] for kind in KINDS[:3]}
@@ -192,6 +195,7 @@ def redact(docs: DataFrame, rule: Entropy = Entropy(), mark: str = "[secret]") -
             at = max(at, end)
         return "".join([*parts, text[at:]])
 
+    @frugal_stream
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [clean(t.as_py()) for t in batch.column(place)]

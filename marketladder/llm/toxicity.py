@@ -25,6 +25,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from marketladder.llm.memory import frugal_stream
 from marketladder.llm.training import held_out
 from marketladder.session import stored
 
@@ -161,6 +162,7 @@ def _in(bits: bytes, term: str) -> int:
 def _term_counts(rows: DataFrame, rule: Rule, bits: bytes | None = None) -> DataFrame:
     """``term, n``: rows that hold the term; counted in the task before the shuffle."""
 
+    @frugal_stream
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
 
@@ -184,6 +186,7 @@ def _hits(rows: DataFrame, terms: DataFrame, rule: Rule) -> DataFrame:
     """``row, terms``: the terms that each text holds, of those in ``terms``."""
     bits = _bits(terms)
 
+    @frugal_stream
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -198,6 +201,7 @@ def _hits(rows: DataFrame, terms: DataFrame, rule: Rule) -> DataFrame:
 def _explained(hits: DataFrame, known: frozenset[str]) -> DataFrame:
     """``term, n``: rows of ``hits`` that hold the term and no ``known`` one."""
 
+    @frugal_stream
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
         for batch in batches:
@@ -229,6 +233,7 @@ def _phrase_counts(rows: DataFrame, terms: DataFrame, rule: Rule) -> DataFrame:
     """``term, phrase, n0, n1``: texts that hold a term's phrase, by class; counted in the task before the shuffle."""
     bits = _bits(terms)
 
+    @frugal_stream
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, str], list[int]] = {}
 
@@ -258,6 +263,7 @@ def _places(rows: DataFrame, terms: DataFrame, rule: Rule) -> DataFrame:
     """``row, at, term, phrase``: every occurrence of a term with each of its phrases, or a null one."""
     bits = _bits(terms)
 
+    @frugal_stream
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, str, str | None]] = []
 
@@ -379,6 +385,7 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, rule: Rule = Rule(), limi
     """
     weights, exceptions = lexicon.weights, lexicon.exceptions
 
+    @frugal_stream
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Lexicon(weights, exceptions).automaton()
         for batch in batches:
@@ -397,6 +404,7 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, rule: Rule = Rule(), limit: fl
     weights, exceptions = lexicon.weights, lexicon.exceptions
     place = docs.columns.index("text")
 
+    @frugal_stream
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Lexicon(weights, exceptions).automaton()
         for batch in batches:
