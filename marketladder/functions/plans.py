@@ -59,9 +59,16 @@ def nfkd(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s))
 
 
+# The blanks of Unicode, and the byte order mark.
+BLANKS = "".join(
+    chr(point)
+    for point in [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
+)
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of Unicode blank, not only the plain space."""
-    return F.regexp_replace(text, r"(?U)^[\s\uFEFF]+|[\s\uFEFF]+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def canonical_period(raw: Column) -> Column:

@@ -181,9 +181,19 @@ def _without_repeats(found: Column) -> Column:
 
 
 def extract_price_mentions(pages: DataFrame, keys: list[str], text: str = "text", currency: str = "currency") -> DataFrame:
-    """One row per price mention of a page."""
-    rows = pages.select(*keys, F.posexplode(price_mentions(F.col(text), F.col(currency))).alias("seq", "m"))
-    return rows.select(
+    """One row per price mention of a page.
+
+    A text of a currency is read once, however many pages show it; the shuffle
+    that finds the distinct texts also spreads the reading over the tasks.
+    Pages are joined back by digest, so their texts do not travel again.
+    """
+    distinct = pages.select(F.col(text).alias("__text"), F.col(currency).alias("__currency")).distinct()
+    mentions = distinct.select(
+        F.sha2("__text", 256).alias("__digest"), "__currency",
+        F.posexplode(price_mentions(F.col("__text"), F.col("__currency"))).alias("seq", "m"),
+    )
+    shown = pages.select(*keys, F.sha2(text, 256).alias("__digest"), F.col(currency).alias("__currency"))
+    return shown.join(mentions, ["__digest", "__currency"]).select(
         *keys, F.col("seq").cast("bigint").alias("seq"), F.col("m.start").cast("bigint").alias("start_at"),
         F.col("m.end").cast("bigint").alias("end_at"), F.col("m.amount").alias("amount"), F.col("m.price").alias("price"),
     )
