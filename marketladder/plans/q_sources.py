@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marketladder.functions import status
@@ -9,7 +11,8 @@ from marketladder.plans import fixtures as fx
 from marketladder.plans.oracle_base import OBS, RATE_ROWS
 from marketladder.plans.q_functions import STORE, STORE_VALUES
 from marketladder.plans.registry import n_rows, query
-from marketladder.sources import pages, prices, snapshot
+from marketladder.session import checkpoint_folder
+from marketladder.sources import pages, prices, snapshot, split_json
 
 # Documents: one small snapshot per observation.
 
@@ -50,6 +53,47 @@ def _scan(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy(*columns).agg(n_rows())
 
 
+# Files: one pretty-printed document for every 4,096 orders, with its apps, markets and items.
+ORDERS_PER_FILE = 4096
+
+
+def snapshot_files(spark: SparkSession, sf: str) -> str:
+    """Write the documents; each is one row, and so one file in a folder of its own."""
+    rows = fx.raw_rows(spark, sf).withColumn("doc", F.floor(F.col("pos") / F.lit(ORDERS_PER_FILE * 8 * 2**22)))
+    listed = F.when(F.col("status").startswith("ok-"), F.struct("pos", "name", "price", F.col("product_id").alias("productId"), F.col("billing_period").alias("billingPeriod")))
+    cell = F.array_sort(F.collect_list(listed))
+    regions = rows.groupBy("doc", "app_id", "region", "status").agg(cell.alias("items")).select(
+        "doc", "app_id", F.struct("region", "status", F.size("items").alias("itemCount"), F.transform("items", lambda i: i.dropFields("pos")).alias("items")).alias("r")
+    )
+    apps = regions.groupBy("doc", "app_id").agg(F.array_sort(F.collect_list("r")).alias("regions"))
+    app = F.struct(F.col("app_id").alias("id"), F.concat(F.lit("App {"), "app_id").alias("matchedName"), F.lit("t1").alias("verifiedAt"), "regions")
+    documents = apps.groupBy("doc").agg(F.array_sort(F.collect_list(app)).alias("apps"))
+    whole = F.to_json(F.struct(F.concat(F.lit("t"), F.col("doc").cast("string")).alias("generatedAt"), "apps"), {"pretty": "true"})
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/marketladder/snapshots-{uuid.uuid4().hex}"
+    documents.select("doc", whole.alias("value")).write.partitionBy("doc").text(folder)
+    return folder
+
+
+@query(
+    "scan_snapshot_files",
+    "O01",
+    f"""WITH {OBS}, d AS (SELECT pos // {ORDERS_PER_FILE * 8 * 2**22} AS doc, * FROM raw),
+    c AS (SELECT doc, app_id, region, status, count(*) FILTER (status LIKE 'ok-%') AS item_count FROM d GROUP BY ALL),
+    o AS (SELECT *, dense_rank() OVER (PARTITION BY doc ORDER BY app_id) - 1 AS app_ord,
+        row_number() OVER (PARTITION BY doc, app_id ORDER BY region, status) - 1 AS ord FROM c),
+    i AS (SELECT doc, app_id, region, status, name, price, product_id, billing_period,
+        row_number() OVER (PARTITION BY doc, app_id, region, status ORDER BY pos, name, price, product_id, billing_period) - 1 AS pos FROM d WHERE status LIKE 'ok-%')
+    SELECT 't' || doc AS generated_at, 't1' AS verified_at, app_ord, app_id, 'App {{' || app_id AS app_name, ord AS region_place, region, status, item_count,
+      pos, name, price, product_id, billing_period FROM o LEFT JOIN i USING (doc, app_id, region, status)""",
+)
+def _scan_files(spark: SparkSession, sf: str) -> DataFrame:
+    # The text source lists the folders of the documents; a file is split like any text file.
+    return split_json.scan_snapshot(spark, f"{snapshot_files(spark, sf)}/doc=*").select(
+        "generated_at", "verified_at", "app_ord", "app_id", "app_name", F.col("ord").alias("region_place"), "region", "status",
+        "item_count", "pos", "name", "price", "product_id", "billing_period",
+    )
+
+
 @query(
     "scan_fx",
     "O02",

@@ -53,7 +53,7 @@ def scan_snapshot(spark: SparkSession, path: str, multi_line: bool = False) -> D
 
     Large snapshots are JSON lines (any number of documents, e.g. one app
     each), which Spark splits; ``multi_line`` reads a single pretty-printed
-    document per file.
+    document per file in one task, ``split_json.scan_snapshot`` in many.
     """
     return explode_snapshot(spark.read.schema(SNAPSHOT).option("multiLine", multi_line).json(path))
 
@@ -74,7 +74,12 @@ def explode_snapshot(documents: DataFrame) -> DataFrame:
     )
     return regions.select(
         *carried, "generated_at", "app_ord", "a", "region_ord", "r", F.posexplode_outer("r.items").alias("pos", "i")
-    ).select(
+    ).select(*observation(carried))
+
+
+def observation(carried: list[str]) -> list[str | Column]:
+    """Columns of an observation from its app ``a``, market ``r`` and item ``i``."""
+    return [
         *carried,
         "generated_at",
         F.coalesce("a.verifiedAt", "generated_at").alias("verified_at"),
@@ -97,7 +102,7 @@ def explode_snapshot(documents: DataFrame) -> DataFrame:
         F.col("i.offerName").alias("offer_name"),
         F.col("i.billingPeriod").alias("billing_period"),
         F.col("i.subscriptionFamilyId").alias("family_id"),
-    )
+    ]
 
 
 def scan_fx(documents: DataFrame, column: str, keys: list[str]) -> DataFrame:
