@@ -84,7 +84,10 @@ def published_match_config(published: DataFrame, config: DataFrame, deferred: Da
 # Markets: configured (ord, region), listed (ord, region).
 
 
-def regions_exist(configured: DataFrame) -> DataFrame:
+def regions_exist(configured: DataFrame, configurations: DataFrame | None = None) -> DataFrame:
+    """A configuration without any market; ``configurations`` lists several by ``app_id``."""
+    if configurations is not None:
+        return _found(configurations.join(configured.select("app_id").distinct(), "app_id", "left_anti"), "V06", None)
     empty = configured.agg(F.count(F.lit(1)).alias("n"))
     return _found(empty, "V06", F.col("n") == 0)
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from marketladder.functions import status
 from marketladder.operators import quality, state
 from marketladder.plans import fixtures as fx, publish
 from marketladder.plans.oracle_base import OBS, REQ
@@ -13,7 +14,7 @@ from marketladder.plans.q_matching import ROLLUP, STRICT, compared
 from marketladder.plans.q_quality import snapshot_tables
 from marketladder.plans.q_state import AGE, COOLDOWN, HOUR_CAP, KIND_SQL, LATEST, NOW, TTL_SQL, kind
 from marketladder.plans.registry import n_rows, query
-from marketladder.session import checkpoint_folder
+from marketladder.session import checkpoint_folder, stored
 from marketladder.streaming import state as streams
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -23,25 +24,54 @@ def new_folder(spark: SparkSession) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/marketladder/{uuid.uuid4().hex}"
 
 
+def mended(spark: SparkSession, sf: str, candidate: dict) -> dict:
+    """The candidate with every market of every app, safe states, and each item once."""
+    key = F.when(F.col("product_id") != "", F.col("product_id")).otherwise(F.concat_ws("\u0000", F.lit("named"), "name", "price"))
+    first = Window.partitionBy("app_id", "region", "__key").orderBy("pos", "name", "price")
+    items = candidate["items"].withColumn("__key", key).withColumn("__n", F.row_number().over(first)).filter("__n = 1")
+    counts = items.groupBy("app_id", "region").agg(F.count(F.lit(1)).alias("n"))
+    market = candidate["regions"].agg(F.collect_list(F.struct(F.col("ord").alias("place"), "region"))).scalar()
+    grid = candidate["apps"].select("app_id", F.inline(market))  # the market dimension is bounded
+    cells = candidate["cells"].select("app_id", "region", "status")
+    joined = grid.join(cells, ["app_id", "region"], "left").join(counts, ["app_id", "region"], "left")
+    full, safe = F.col("n") > 0, F.col("status").isin(status.SAFE_EMPTY)
+    number = F.coalesce("n", F.lit(0))
+    state_of = F.when(full | safe, F.col("status")).otherwise(status.NOT_FOUND)
+    checked = joined.select("app_id", "region", "place", state_of.alias("status"), number.alias("declared"), number.alias("actual"))
+    return candidate | {"cells": stored(checked), "items": stored(items.drop("__key", "__n"))}
+
+
 @query(
     "publish_gate",
     "O94",
-    f"""WITH {OBS} SELECT FALSE AS first_try, TRUE AS second_try, 'cells' AS name, count(*) AS rows FROM cell WHERE snap = 'after'
-    UNION ALL SELECT FALSE, TRUE, 'items', count(*) FROM obs WHERE snap = 'after' UNION ALL SELECT FALSE, TRUE, 'rates', count(*) FROM fx""",
+    f"""WITH {OBS}, newer AS (SELECT DISTINCT app_id, region, CASE WHEN coalesce(product_id, '') <> '' THEN product_id ELSE 'named ' || name || chr(1) || price END AS key FROM obs WHERE snap = 'after'),
+    n AS (SELECT 'cells' AS name, (SELECT count(DISTINCT app_id) FROM cell WHERE snap = 'after') * (SELECT count(*) FROM nation) AS rows
+      UNION ALL SELECT 'items', count(*) FROM newer UNION ALL SELECT 'rates', count(*) FROM fx)
+    broken AS (SELECT concat_ws(',', CASE WHEN (SELECT count(*) FROM cell WHERE snap = 'after') < (SELECT rows FROM n WHERE name = 'cells') THEN 'V12' END,
+      CASE WHEN EXISTS (FROM cell WHERE snap = 'after' AND status = 'error:HTTP 503') THEN 'V13' END,
+      CASE WHEN (SELECT count(*) FROM obs WHERE snap = 'after') > (SELECT rows FROM n WHERE name = 'items') THEN 'V20' END) AS broken)
+    SELECT broken = '' AS first_try, 1::BIGINT AS second_try, FALSE AS rival_try, broken, name, rows FROM n CROSS JOIN broken""",
 )
 def _gate(spark: SparkSession, sf: str) -> DataFrame:
-    """A candidate that breaks rules is held back; checked on its items only, it is published."""
+    """All rules hold back a broken candidate; the mended one passes them all; a rival's same version is refused."""
     candidate, configured, previous = snapshot_tables(spark, sf)
-    tables = {"cells": candidate["cells"], "items": candidate["items"], "rates": fx.rates(spark)}
     root = new_folder(spark)
-    everything = quality.validate_snapshot(candidate, configured, previous)
-    first = publish.publish(root, "run-1", 1, tables, everything)
-    named = quality.items_are_named(candidate["items"]).unionByName(quality.price_has_digit(candidate["items"]))
-    second = publish.publish(root, "run-2", 2, tables, named)
+
+    def tables(snap: dict) -> dict[str, DataFrame]:
+        return {"cells": snap["cells"], "items": snap["items"], "rates": fx.rates(spark)}
+
+    violations = stored(quality.validate_snapshot(candidate, configured, previous))
+    first = publish.publish(root, "run-1", 1, tables(candidate), violations)
+    whole = mended(spark, sf, candidate)
+    passed = quality.validate_snapshot(whole, configured, previous)
+    second = publish.publish_next(spark, root, "run-2", tables(whole), lambda present: passed)
+    rival = publish.commit(spark, root, 1, "run-3")
+    broken = F.concat_ws(",", F.array_sort(F.collect_set("rule")))  # at most one entry a rule
     result = None
-    for name in tables:
+    for name in ("cells", "items", "rates"):
         part = publish.published(spark, root, name).agg(n_rows()).select(
-            F.lit(first).alias("first_try"), F.lit(second).alias("second_try"), F.lit(name).alias("name"), "rows"
+            F.lit(first).alias("first_try"), F.lit(second).cast("bigint").alias("second_try"), F.lit(rival).alias("rival_try"),
+            F.lit(violations.agg(broken).first()[0]).alias("broken"), F.lit(name).alias("name"), "rows",
         )
         result = part if result is None else result.unionByName(part)
     return result

@@ -100,10 +100,12 @@ def _v05(spark: SparkSession, sf: str) -> DataFrame:
     return quality.published_match_config(published, config(spark, sf), deferred(spark, sf))
 
 
-@rule("V06", "regions_exist", "SELECT NULL AS app_id, NULL AS region, NULL AS detail FROM nation WHERE n_regionkey < 0 HAVING count(*) = 0")
+@rule("V06", "regions_exist", "SELECT o_orderkey::VARCHAR AS app_id, NULL AS region, NULL AS detail FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def _v06(spark: SparkSession, sf: str) -> DataFrame:
-    nations = fx.table(spark, sf, "nation").filter("n_regionkey < 0").select(F.col("n_name").alias("region"))
-    return quality.regions_exist(nations)
+    """Orders as configurations, the nations of their suppliers as markets; some orders have none."""
+    line, supplier = fx.table(spark, sf, "lineitem"), fx.table(spark, sf, "supplier")
+    markets = line.join(supplier, line.l_suppkey == supplier.s_suppkey).select(key_text("l_orderkey").alias("app_id"), key_text("s_nationkey").alias("region"))
+    return quality.regions_exist(markets, fx.table(spark, sf, "orders").select(key_text("o_orderkey").alias("app_id")))
 
 
 @rule("V07", "regions_are_unique", "SELECT NULL AS app_id, s_nationkey AS region, count(*) AS detail FROM supplier GROUP BY s_nationkey HAVING count(*) > 1")

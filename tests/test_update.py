@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from marketladder.operators import quality
+from marketladder.plans import publish
 from marketladder.plans.publish import publish_marker, published
 from marketladder.plans.update import update
 
@@ -87,3 +88,35 @@ def test_marker_depends_on_both_times(spark):
     df = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "b")], "s string, r string")
     ids = [r[0] for r in df.select(publish_marker(F.col("s"), F.col("r"))).collect()]
     assert ids[0] == ids[2] != ids[1] and len(ids[0]) == 20
+
+
+def test_one_version_has_one_writer(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path)
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda n: publish.commit(spark, root, 1, f"run-{n}"), range(8)))
+    assert sum(won) == 1 and publish.head(spark, root) == (1, f"run-{won.index(True)}")
+    assert not publish.commit(spark, root, 1, "late")
+    (tmp_path / "versions" / f"{2:020d}").write_text("")  # a writer was lost here
+    assert publish.head(spark, root) == (2, f"run-{won.index(True)}")
+    assert publish.commit(spark, root, 3, "next") and publish.head(spark, root) == (3, "next")
+
+
+def test_the_second_writer_validates_against_the_first(spark, tmp_path):
+    root, one = str(tmp_path), spark.range(1)
+    seen = []
+
+    def validate(present):
+        seen.append(present)
+        if present is None:  # meanwhile another writer publishes
+            assert publish.publish(root, "other", 1, {"t": spark.range(7)}, one.limit(0))
+            return one.limit(0)
+        return one.limit(0) if allowed else one
+
+    allowed = False
+    assert publish.publish_next(spark, root, "mine", {"t": one}, validate) is None
+    assert seen == [None, "other"] and published(spark, root, "t").count() == 7
+    allowed = True
+    assert publish.publish_next(spark, root, "mine", {"t": one}, validate) == 2
+    assert published(spark, root, "t").count() == 1
