@@ -46,7 +46,7 @@ def mended(spark: SparkSession, sf: str, candidate: dict) -> dict:
     "O94",
     f"""WITH {OBS}, newer AS (SELECT DISTINCT app_id, region, CASE WHEN coalesce(product_id, '') <> '' THEN product_id ELSE 'named ' || name || chr(1) || price END AS key FROM obs WHERE snap = 'after'),
     n AS (SELECT 'cells' AS name, (SELECT count(DISTINCT app_id) FROM cell WHERE snap = 'after') * (SELECT count(*) FROM nation) AS rows
-      UNION ALL SELECT 'items', count(*) FROM newer UNION ALL SELECT 'rates', count(*) FROM fx)
+      UNION ALL SELECT 'items', count(*) FROM newer UNION ALL SELECT 'rates', count(*) FROM fx),
     broken AS (SELECT concat_ws(',', CASE WHEN (SELECT count(*) FROM cell WHERE snap = 'after') < (SELECT rows FROM n WHERE name = 'cells') THEN 'V12' END,
       CASE WHEN EXISTS (FROM cell WHERE snap = 'after' AND status = 'error:HTTP 503') THEN 'V13' END,
       CASE WHEN (SELECT count(*) FROM obs WHERE snap = 'after') > (SELECT rows FROM n WHERE name = 'items') THEN 'V20' END) AS broken)
