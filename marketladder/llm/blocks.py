@@ -1,10 +1,11 @@
 """Blocks of whole texts, and corpus-wide counts of their keys.
 
-Texts are dealt into blocks of a few megabytes by a hash of the whole row, so a
-hot source or id is spread.  A task sees one block at a time and works on packed
-arrays; what blocks have in common is found by sending each block's distinct
-keys, combined per block first, to the bucket that owns them.  However often a
-key occurs, a block sends it once.
+Texts are dealt into blocks of a few megabytes by a hash of id and text, so a
+hot source or id is spread.  Rows that repeat both id and text would meet in one
+block: where their copies are many bytes, one stands for all (``combined``).  A
+task sees one block at a time and works on packed arrays; what blocks have in
+common is found by sending each block's distinct keys, combined per block first,
+to the bucket that owns them.  However often a key occurs, a block sends it once.
 """
 
 from __future__ import annotations
@@ -14,8 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from marketladder.llm.memory import frugal
+from marketladder.session import stored
 
 BLOCK_BYTES = 4 << 20
+REPEATED_BYTES = 1 << 20  # from here on, the copies of a row are combined
+COPIES_A_SALT = 1024
 OWN_KEYS = "block int, bucket int, keys binary, counts binary, large binary"
 KEYS = "block int, bucket int, keys binary, counts binary"
 KEYS_ARROW = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -24,11 +28,56 @@ MANY = 255  # in a byte of counts: the count is the next of the large ones
 
 
 def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    """Blocks for these texts; also the number of buckets."""
+    """Blocks for these texts."""
     size = docs.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     return int(max(1, -(-size // block_bytes)))
 
 
+def bucket_count(blocks: int, each: int = 2) -> int:
+    """Buckets that own the keys: ``each`` a block, and from 256 on one for four blocks.
+
+    Each block sends a row to each bucket, so on large tables buckets are as
+    large as a task holds with ease: the keys of 16 MB of texts.
+    """
+    return min(each * blocks, max(256, -(-blocks // 4)))
+
+
+def combined(docs: DataFrame, name: str, least: int = REPEATED_BYTES) -> tuple[DataFrame, DataFrame | None]:
+    """The rows, of those that repeat id and text only one, and all of those repeated rows.
+
+    Only rows whose copies have ``least`` bytes together are combined.  Both
+    tables have the columns of ``docs`` and ``name``, a struct (key, salts, salt):
+    ``key`` is the same for equal id and text, null for other rows; a key's rows
+    are dealt to ``salts`` values of ``salt``.  Without such rows the second is None.
+    """
+    same = F.xxhash64("doc_id", "text")
+    copies = docs.groupBy(same.alias("same")).agg(F.count(F.lit(1)).alias("copies"), F.max(F.octet_length("text").cast("bigint")).alias("size"))
+    many = stored(copies.filter((F.col("copies") > 1) & (F.col("copies") * F.col("size") >= least)))
+    if many.isEmpty():
+        return docs.withColumn(name, F.lit(None).cast("struct<key:string,salts:int,salt:int>")), None
+    known = free_name(docs, "same")
+    salts = F.ceil(F.col("copies") / COPIES_A_SALT).cast("int")
+    marked = docs.withColumn(known, same).join(many.select(F.col("same").alias(known), salts.alias(name)), known, "left").drop(known)
+    key = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.col("text")), 256)
+    copy = F.struct(key.alias("key"), F.col(name).alias("salts"), F.floor(F.rand() * F.col(name)).cast("int").alias("salt"))
+    heavy = marked.filter(F.col(name).isNotNull()).withColumn(name, copy)
+    single = heavy.groupBy(F.col(name)["key"].alias("key")).agg(F.any_value(F.struct("*")).alias("row")).select("row.*")
+    light = marked.filter(F.col(name).isNull()).withColumn(name, F.lit(None).cast(heavy.schema[name].dataType))
+    return light.unionByName(single), heavy
+
+
+def given_back(repeated: DataFrame, values: DataFrame, name: str, value: str) -> DataFrame:
+    """The repeated rows of ``combined`` without ``name``, each with the column ``value`` of its key.
+
+    ``values`` has key, salts and ``value``; a key's rows meet it in as many
+    groups as it has salts.
+    """
+    key, salt = free_name(repeated, "key"), free_name(repeated, "salt")
+    spread = values.select(F.col("key").alias(key), value, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias(salt))
+    rows = repeated.withColumns({key: F.col(name)["key"], salt: F.col(name)["salt"]}).drop(name)
+    return rows.join(spread, [key, salt]).drop(key, salt)
+
+
 def free_name(docs: DataFrame, name: str) -> str:
     """``name``, made longer until no column has it."""
     taken = {c.lower() for c in docs.columns}

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,13 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marketladder.llm.blocks import OWN_KEYS, block_count, free_name, in_blocks, joined_key, look_up, pack_keys, shared_keys, split_key, unpack_shared
+from marketladder.llm.blocks import (
+    OWN_KEYS, block_count, bucket_count, combined, free_name, in_blocks, joined_key, look_up, pack_keys, shared_keys, split_key, unpack_shared,
+)
 from marketladder.llm.components import components
 from marketladder.llm.memory import frugal, frugal_stream
 from marketladder.llm.words import mixed, shingle_hashes, word_hashes
 from marketladder.session import stored
 
-WORD = re.compile(r"[^\x20\x09-\x0D]")
+WORD = r"[^\x20\x09-\x0D]"
 
 
 @dataclass(frozen=True)
@@ -182,8 +183,13 @@ def _standing(texts: pa.Table, named: pa.Table, rule: Join) -> Iterator[tuple[in
                 yield row, node, tokens
 
 
-def _active(blocks: DataFrame, count: int, classes: DataFrame, rule: Join) -> DataFrame:
-    """The classes that may have a partner, with their sets and index entries."""
+def _with_words() -> Column:
+    return F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+
+
+def _active(blocks: DataFrame, number: int, classes: DataFrame, rule: Join) -> DataFrame:
+    """The classes that may have a partner, with their sets and index entries; ``number`` blocks."""
+    count = bucket_count(number, 1)
 
     @frugal
     def keys(key: tuple, texts: pa.Table, named: pa.Table) -> pa.Table:
@@ -343,10 +349,10 @@ def join_documents(docs: DataFrame, rule: Join = Join()) -> DataFrame:
     null.  Other columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
-    count = block_count(docs)
-    blocks = in_blocks(docs, count)
-    members = _members(blocks, rule)
-    grouped = stored(_groups(members, blocks, count, rule))
+    rows, _ = combined(docs.filter(_with_words()), "copy")
+    count = block_count(rows)
+    members = _members(in_blocks(docs, count), rule)
+    grouped = stored(_groups(members, in_blocks(rows, count), count, rule))
     smallest = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     placed = grouped.select("digest", "component").join(smallest, "component").select("digest", "component_id")
     own = members.join(placed, "digest", "left")
@@ -360,17 +366,18 @@ def keep_first(docs: DataFrame, rule: Join = Join(words=5, share=80)) -> DataFra
     Of linked rows the one with the smallest id stays; of several rows with
     that id and the same set one stays.  Rows without words all stay.
     """
-    columns, schema = docs.columns, docs.schema
-    count, name = block_count(docs), free_name(docs, "block")
-    blocks = in_blocks(docs.select("doc_id", "text"), count)
+    columns, schema, copy = docs.columns, docs.schema, free_name(docs, "copy")
+    rows, _ = combined(docs.filter(_with_words()), copy)
+    count, name = block_count(rows), free_name(docs, "block")
+    blocks = in_blocks(rows.select("doc_id", "text"), count)
     members = _members(blocks, rule)
     first = F.min_by(F.struct("digest", "node", "doc_id", "block"), F.struct(F.col("doc_id").isNull(), "doc_id", "node"))
     names = _named(_groups(members, blocks, count, rule).groupBy("component").agg(first.alias("r")).select("r.*"))
 
     @frugal
     def work(texts: pa.Table, named: pa.Table) -> pa.Table:
-        kept = {row for row, _, _ in _standing(texts, named, rule)}
-        mask = [i in kept or not WORD.search(t.as_py() or "") for i, t in enumerate(texts.column("text"))]
-        return texts.select(columns).filter(pa.array(mask, pa.bool_()))
+        kept = sorted(row for row, _, _ in _standing(texts, named, rule))
+        return texts.select(columns).take(pa.array(kept, pa.int64()))
 
-    return in_blocks(docs, count, name).groupBy(name).cogroup(names.groupBy("block")).applyInArrow(work, schema)
+    first_rows = in_blocks(rows, count, name).groupBy(name).cogroup(names.groupBy("block")).applyInArrow(work, schema)
+    return first_rows.unionByName(docs.filter(~_with_words()))

@@ -120,3 +120,21 @@ def test_components(spark):
     alone = {n for n in parent if all(n not in link or link[0] == link[1] for link in links)}
     assert got == {n: c for n, c in parent.items() if n not in alone}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_third_of_equal_rows(spark, monkeypatch):
+    """Rows that repeat id and text go through the blocks once: every row has its group, and one of each group stays."""
+    from marketladder.llm import blocks
+
+    monkeypatch.setattr(jaccard, "combined", lambda docs, name: blocks.combined(docs, name, 1))
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{words} {'end' if i % 2 else 'stop'}") for i in range(5)] + [(20 + i, f"{i} own words of {i * i} its own {i}") for i in range(10)]
+    rows += [(2, words)] * 400 + [(None, words)] * 100 + [(21, "four words of text here")] * 100 + [(40, None)] * 100 + [(41, " ")] * 3
+    got = jaccard.join_documents(table(spark, rows)).collect()
+    sets, group = linked_groups(rows, 4, 85)
+    least = {g: min((d for (d, _), o in zip(rows, group) if o == g and d is not None), default=None) for g in group}
+    expected = [(d, len(s), least[g] if s else d) for (d, _), s, g in zip(rows, sets, group)]
+    assert sorted(map(tuple, got), key=repr) == sorted(expected, key=repr)
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_first(table(spark, rows)).collect()]
+    assert sum(d in (40, 41) for d, _ in kept) == 103
+    assert sorted(d for d, _ in kept if d not in (40, 41)) == sorted([0, *range(20, 30), 21])
