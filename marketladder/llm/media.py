@@ -176,7 +176,10 @@ class ArchiveReader(DataSourceReader):
         for attempt in range(self.attempts):
             try:
                 with store.open_input_file(place) as source:
-                    name, extra = struct.unpack("<HH", source.read_at(4, member.header_offset + 26))
+                    lengths = source.read_at(4, member.header_offset + 26)
+                    if len(lengths) != 4:
+                        raise OSError(f"{place}: read cut short at {member.header_offset}")
+                    name, extra = struct.unpack("<HH", lengths)
                     body = source.read_at(member.file_size, member.header_offset + 30 + name + extra)
                 if len(body) != member.file_size or zlib.crc32(body) != member.CRC:
                     raise OSError(f"{place}: member at {member.header_offset} is damaged")

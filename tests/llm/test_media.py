@@ -79,6 +79,43 @@ def test_one_member_is_tried_again(tmp_path, spark):
         media.ArchiveReader(path, 1 << 20, 1 << 20, 2).member(flaky, f"{folder}/{part.archive}", members[0])
 
 
+@pytest.mark.parametrize("short", [1, 2])
+def test_a_read_cut_short_is_tried_again(tmp_path, spark, short):
+    """The read of the lengths, or of the body, gives fewer bytes than asked for."""
+    path = f"file://{tmp_path}/archives"
+    media.store_documents(table(spark, ROWS), path)
+    reads = []
+
+    class Cut:
+        def __init__(self, file):
+            self.file = file
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *error):
+            self.file.close()
+
+        def read_at(self, size, place):
+            reads.append(size)
+            return self.file.read_at(size, place)[: size // 2 if len(reads) == short else size]
+
+    class Store:
+        def open_input_file(self, place):
+            return Cut(store.open_input_file(place))
+
+    store, folder = media._open(path)
+    reader = media.ArchiveReader(path, 1 << 20, 1 << 20, 2)
+    place = f"{folder}/{next(p for p in reader.partitions() if p.archive).archive}"
+    with store.open_input_file(place) as source, media.zipfile.ZipFile(source) as archive:
+        member, body = archive.infolist()[0], archive.read(archive.infolist()[0])
+    assert reader.member(Store(), place, member) == body
+    assert len(reads) == short + 2
+    reads.clear()
+    with pytest.raises(OSError):
+        media.ArchiveReader(path, 1 << 20, 1 << 20, 1).member(Store(), place, member)
+
+
 def test_damage_is_noticed():
     image = bytearray(media.to_image(media.padded(b"abc")))
     image[50] ^= 1
