@@ -108,6 +108,26 @@ def _left(start: int, end: int, covered: list[tuple[int, int]]) -> list[tuple[in
     return left + [(start, end)] if start < end else left
 
 
+def _by_end(spans: list[Span]) -> list[tuple[int, int, int]]:
+    """Spans by end: end, start, and the smallest start from here on."""
+    ordered, least, out = sorted((e, s) for _, s, e in spans), 1 << 62, []
+    for e, s in reversed(ordered):
+        least = min(least, s)
+        out.append((e, s, least))
+    return out[::-1]
+
+
+def _touching(by_end: list[tuple[int, int, int]], first: int, start: int, end: int) -> list[tuple[int, int]]:
+    """The spans, sorted, that overlap a stretch; those before ``first`` end too early."""
+    found = []
+    while first < len(by_end) and by_end[first][2] < end:
+        e, s, _ = by_end[first]
+        if s < end and start < e:
+            found.append((s, e))
+        first += 1
+    return sorted(found)
+
+
 def entropy_spans(text: str, base: list[Span], rule: Entropy) -> list[Span]:
     """Spans that the entropy windows add to the base ones.
 
@@ -116,7 +136,10 @@ def entropy_spans(text: str, base: list[Span], rule: Entropy) -> list[Span]:
     spans cover is subtracted; names that a separator divides from them go too.
     """
     found: list[Span] = []
+    by_end, first = _by_end(base), 0
     for m in CANDIDATE.finditer(text):
+        while first < len(by_end) and by_end[first][0] <= m.start():
+            first += 1
         if PLACEHOLDER.search(m[0]):
             continue
         label = LABEL.match(m[0])
@@ -124,7 +147,7 @@ def entropy_spans(text: str, base: list[Span], rule: Entropy) -> list[Span]:
         run, stop = text[at : m.end()], m.end()
         if allowed(run):
             continue
-        covered = sorted((s, e) for _, s, e in base if s < stop and at < e)
+        covered = _touching(by_end, first, at, stop)
         for h in HEX_STRETCH.finditer(run):
             if len(h[0]) >= rule.window and not allowed(h[0]) and high_windows(h[0], rule.window, rule.hex_bits):
                 found += [("entropy_hex", s, e) for s, e in _left(at + h.start(), at + h.end(), covered)]

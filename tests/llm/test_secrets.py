@@ -80,3 +80,19 @@ def test_hex_behind_a_prefix():
         digits = "".join(rng.choices("0123456789ABCDEF", k=32))
         for prefix in ("id=", "objects/", "build-id_"):
             assert secrets.scan(prefix + digits)[1] == [("entropy_hex", len(prefix), len(prefix) + 32)]
+
+
+def test_base_spans_that_a_stretch_meets():
+    rng = random.Random(9)
+    for _ in range(300):
+        spans = [("x", s, s + rng.randint(1, 12)) for s in (rng.randint(0, 80) for _ in range(rng.randint(0, 12)))]
+        by_end, start = secrets._by_end(spans), rng.randint(0, 80)
+        end = start + rng.randint(1, 20)
+        first = sum(e <= start for _, _, e in spans)
+        assert secrets._touching(by_end, first, start, end) == sorted((s, e) for _, s, e in spans if s < end and start < e)
+
+
+def test_many_keys_in_one_text_take_linear_time():
+    text = " ".join(f"password=hunter{i} {TOKEN}" for i in range(20_000))
+    base, spans = secrets.scan(text)
+    assert len(base) == 20_000 and len(spans) == 40_000
