@@ -17,9 +17,11 @@ import re
 import sys
 import unicodedata
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -367,14 +369,27 @@ def _narrowest(counts: dict[str, int], rule: Rule) -> list[str]:
     return kept
 
 
+def reach(phrases: list[tuple[int, int, None]]) -> tuple[list[int], list[int]]:
+    """Starts of stretches in order, and how far a stretch reaches that starts there or before."""
+    ordered = sorted((s, e) for s, e, _ in phrases)
+    return [s for s, _ in ordered], list(accumulate((e for _, e in ordered), max))
+
+
+def inside(start: int, end: int, safe: tuple[list[int], list[int]]) -> bool:
+    """Whether one of the stretches holds all of this one."""
+    place = bisect_right(safe[0], start) - 1
+    return place >= 0 and safe[1][place] >= end
+
+
 def score(words: list[str], automaton: ahocorasick.Automaton, rule: Rule) -> float:
     """0 to 1 for the folded words of a text; 0 without a term."""
     if not words or not len(automaton):
         return 0.0
-    hits, safe = [], []
+    hits, phrases = [], []
     for end, (length, weight) in automaton.iter(f" {' '.join(matched(words))} "):
-        (safe if weight is None else hits).append((end + 1 - length, end + 1, weight))
-    total = sum(w for s, e, w in hits if not any(a <= s and e <= b for a, b, _ in safe))
+        (phrases if weight is None else hits).append((end + 1 - length, end + 1, weight))
+    safe = reach(phrases)
+    total = sum(w for s, e, w in hits if not inside(s, e, safe))
     return 1.0 - math.exp(-total / (1.0 + math.log1p(len(words) / rule.scale)))
 
 

@@ -177,3 +177,13 @@ def test_benign_phrases_and_label_noise(spark):
     assert "trash can" in lexicon.exceptions and of("a trash can") == 0
     assert of("such trash") > 0.7 and of("a splorf") > 0.7
     assert sum(of(text) > 0.7 for text, label in texts if not label) <= 10
+
+
+def test_hits_inside_exception_phrases():
+    rng = random.Random(4)
+    for _ in range(300):
+        stretches = [(s, s + rng.randint(1, 15), None) for s in (rng.randint(0, 60) for _ in range(rng.randint(0, 8)))]
+        safe = toxicity.reach(stretches)
+        for start in range(60):
+            end = start + rng.randint(1, 8)
+            assert toxicity.inside(start, end, safe) == any(a <= start and end <= b for a, b, _ in stretches)
