@@ -572,3 +572,32 @@ def _below(spark: SparkSession, sf: str) -> DataFrame:
     read = sentences(spark, sf).withColumn("text", text).withColumn("anchor_amount", F.get(anchor, F.lit(0))["amount"])
     found = prices.fallback_below_anchor(read, KEYS)
     return found.groupBy(*found.columns).agg(n_rows())
+
+
+@query(
+    "page_prices",
+    "O15",
+    f"""WITH {STORE}, {SENTENCES}, p AS (SELECT *, l_partkey % 7 AS kind FROM s),
+    c AS (SELECT {KEYS_SQL}, n.label || ' Monthly' AS name, c1 AS price FROM p JOIN (VALUES (0, 'Apple Arcade'), (1, 'Apple Fitness+'), (2, 'Apple TV+'), (3, 'Apple News+')) n(kind, label) USING (kind)
+      UNION ALL SELECT {KEYS_SQL}, CASE kind WHEN 0 THEN 'Apple Arcade Annual' ELSE 'Apple Fitness+ Annual' END, c2 FROM p WHERE kind < 2
+      UNION ALL SELECT {KEYS_SQL}, 'Apple One Family', c2 FROM p WHERE kind = 4
+      UNION ALL SELECT {KEYS_SQL}, 'iCloud+ ' || t.name, c1 FROM p CROSS JOIN (VALUES ('50 GB'), ('200 GB'), ('2 TB'), ('6 TB'), ('12 TB')) t(name) WHERE kind = 5
+      UNION ALL SELECT {KEYS_SQL}, 'Apple Music Individual', c2 FROM p WHERE kind = 6
+      UNION ALL SELECT {KEYS_SQL}, 'Apple Music Student', c1 FROM p WHERE kind = 6 AND (region = 'cn' OR l_linenumber = 1))
+    SELECT *, count(*) AS rows FROM c GROUP BY ALL""",
+)
+def _page_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of all services; music pages without a student card name its price in the text."""
+    kind, w1, w2 = F.col("l_partkey") % 7, F.col("w1"), F.col("w2")
+    names = [*prices.SERVICE_LABELS, "apple-one", "icloud-plus", "apple-music"]
+    tiers = [part for tier in prices.STORAGE_TIERS for part in (F.lit(f" {tier}: "), w1)]
+    student = F.when(F.col("l_linenumber") == 1, card("student", w1)).otherwise(F.lit(""))
+    html = (
+        F.when(kind < 4, F.concat(F.lit("<p>It is "), w1, F.lit(" per month or "), w2, F.lit(" per year.</p>")))
+        .when(kind == 4, F.concat(F.lit('<p class="plan-family">'), w2, F.lit("</p>")))
+        .when(kind == 5, F.concat(F.lit("<p>"), F.col("country"), *tiers, F.lit("</p>")))
+        .otherwise(F.concat(card("individual", w2), student, F.lit("<p>For students "), w1, F.lit(" each month.</p>")))
+    )
+    service = F.element_at(F.array(*[F.lit(n) for n in names]), (kind + 1).cast("int"))
+    found = prices.page_prices(sentences(spark, sf).withColumns({"html": html, "service": service}), KEYS)
+    return found.groupBy(*found.columns).agg(n_rows())

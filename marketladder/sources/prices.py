@@ -6,6 +6,8 @@ lengths of the pieces between them.  A page is one row and is read whole.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marketladder.functions.amounts import numeric_amount
@@ -74,6 +76,7 @@ MUSIC_PLANS = {
     "family": "Apple Music Family",
     "student": "Apple Music Student",
 }
+STUDENT_IN_TEXT = ["cn"]
 BUNDLE_PLANS = {
     "individual": "Apple One Individual",
     "family": "Apple One Family",
@@ -347,6 +350,11 @@ def extract_plan_cards(pages: DataFrame, keys: list[str], html: str = "html", cu
     A card with several amounts wins (its last amount is the recurring price),
     else the first that is no promotion, else the only card with a price.
     """
+    return _card_prices(pages, keys, html, currency).drop("amount")
+
+
+def _card_prices(pages: DataFrame, keys: list[str], html: str, currency: str) -> DataFrame:
+    """Plan, name, price and its canonical amount text."""
     # Class names of a card and its headline, and what ends a headline.
     card_class, headline_class, headline_ends = "gallery-item", "tile-headline", r"</p>|<ul\b|</div>"
     cut = pages.select(
@@ -365,22 +373,58 @@ def extract_plan_cards(pages: DataFrame, keys: list[str], html: str = "html", cu
     options = (
         kept_apart(read, mentions=price_mentions(F.col("text"), F.col("currency")))
         .filter(F.size("mentions") > 0)
-        .withColumn("price", F.element_at("mentions", -1)["price"])
+        .withColumn("last", F.element_at("mentions", -1))
         .withColumn("promotion", F.col("text").rlike(PROMOTION_WORDS))
     )
-    at = F.struct("card_no", "price")
+    at = F.struct("card_no", "last.price", "last.amount")
     picked = options.groupBy(*keys, "plan").agg(
         F.min(F.when(F.size("mentions") > 1, at)).alias("several"),
         F.min(F.when(~F.col("promotion"), at)).alias("plain"),
         F.min(at).alias("first"),
         F.count(F.lit(1)).alias("cards"),
     )
-    price = F.coalesce(
-        F.col("several.price"), F.col("plain.price"), F.when(F.col("cards") == 1, F.col("first.price"))
+    best = F.coalesce("several", "plain", F.when(F.col("cards") == 1, F.col("first")))
+    return picked.withColumn("best", best).filter("best.price IS NOT NULL").select(
+        *keys, "plan", lookup(F.col("plan"), MUSIC_PLANS).alias("name"), "best.price", "best.amount"
+    )
+
+
+def plan_prices(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """Prices of plan cards, and the student plan where a market prints it in the text only.
+
+    pages: keys, html, currency, region; the keys tell pages apart.  In the
+    markets of ``STUDENT_IN_TEXT`` a page with an individual card and no student
+    card has as student price the highest one below the individual plan's.
+    """
+    cards = _card_prices(pages, keys, "html", "currency").drop("amount")
+    asked = pages.filter(F.col("region").isin(STUDENT_IN_TEXT)).select(*keys, "html", "currency")
+    amount = F.max(F.when(F.col("plan") == "individual", F.col("amount")))
+    student = F.max(F.col("plan") == "student")
+    known = _card_prices(asked, keys, "html", "currency").groupBy(*keys).agg(amount.alias("anchor_amount"), student.alias("student"))
+    missing = known.filter("anchor_amount IS NOT NULL AND NOT student").drop("student")
+    found = fallback_below_anchor(kept_apart(asked.join(missing, keys), text=html_to_text(F.col("html"))), keys)
+    return cards.unionByName(
+        found.select(*keys, F.lit("student").alias("plan"), F.lit(MUSIC_PLANS["student"]).alias("name"), "price")
     )
-    return picked.select(
-        *keys, "plan", lookup(F.col("plan"), MUSIC_PLANS).alias("name"), price.alias("price")
-    ).filter(F.col("price").isNotNull())
+
+
+def page_prices(pages: DataFrame, keys: list[str]) -> DataFrame:
+    """Named prices of official pages, each read in the way of its service.
+
+    pages: keys, html, service, region, country, currency; the keys tell pages
+    apart.  Storage pages are read by section, bundle and music pages by card,
+    all others by the cadence of their prices; a service without a reader gives
+    no rows, as does a page without prices.
+    """
+    own = lambda *services: pages.filter(F.col("service").isin(*services))
+    with_text = lambda df: kept_apart(df, text=html_to_text(F.col("html")))
+    parts = [
+        extract_tier_section(with_text(own("icloud-plus")), keys),
+        extract_bundle_cards(own("apple-one"), keys),
+        plan_prices(own("apple-music"), keys),
+        service_prices(with_text(own(*SERVICE_LABELS)), keys),
+    ]
+    return reduce(DataFrame.unionByName, [part.select(*keys, "name", "price") for part in parts])
 
 
 def extract_bundle_cards(pages: DataFrame, keys: list[str], html: str = "html", currency: str = "currency") -> DataFrame:

@@ -129,6 +129,35 @@ def test_plan_cards(spark, tiles, region, expected):
     assert [got[p] for p in ("individual", "family", "student") if p in got] == expected
 
 
+@pytest.mark.parametrize(
+    ("region", "tiles", "tail", "expected"),
+    [
+        ("cn", ["individual"], "FAQ: RMB 4.50, RMB 6.50, RMB 12.50 and RMB 19", {"individual": "RMB 12.50", "student": "RMB 6.50"}),
+        ("cn", ["individual", "student"], "FAQ: RMB 4.50, RMB 6.50", {"individual": "RMB 12.50", "student": "RMB 12.50"}),
+        ("cn", ["family"], "FAQ: RMB 4.50", {"family": "RMB 12.50"}),
+        ("cn", ["individual"], "FAQ: RMB 19", {"individual": "RMB 12.50"}),
+        ("us", ["individual"], "FAQ: $4.50", {"individual": "$12.50"}),
+    ],
+)
+def test_student_plan_from_the_text(spark, region, tiles, tail, expected):
+    amount = "RMB 12.50" if region == "cn" else "$12.50"
+    html = "<ul>" + "".join(tile(t, f"{amount} monthly") for t in tiles) + f"</ul><p>{tail}</p>"
+    df = spark.createDataFrame([(1, html, CURRENCY[region], region)], "id int, html string, currency string, region string")
+    assert {r.plan: r.price for r in prices.plan_prices(df, ["id"]).collect()} == expected
+
+
+def test_pages_are_read_by_service(spark):
+    rows = [
+        (1, "apple-arcade", "$5.49 per month, $55.40 per year"), (2, "apple-one", '<p class="plan-family">$24.60</p>'),
+        (3, "apple-music", tile("individual", "$10.25 monthly")), (4, "other", "$1 per month"), (5, "apple-tv-plus", "no price"), (6, "apple-one", None),
+        (7, "icloud-plus", "United States 50 GB: $1 200 GB: $3 2 TB: $10 6 TB: $30 12 TB: $60"),
+    ]
+    df = spark.createDataFrame([(*r, "us", CURRENCY["us"], "United States") for r in rows], "id int, service string, html string, region string, currency string, country string")
+    got = {(r.id, r.name) for r in prices.page_prices(df, ["id"]).collect()}
+    tiers = {(7, f"iCloud+ {t}") for t in prices.STORAGE_TIERS}
+    assert got == {(1, "Apple Arcade Monthly"), (1, "Apple Arcade Annual"), (2, "Apple One Family"), (3, "Apple Music Individual")} | tiers
+
+
 def test_long_search_pages_are_read_whole(spark):
     """More than 20,000 nodes before the last app."""
     filler = [{"n": [i]} for i in range(15_000)]
