@@ -14,6 +14,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from marketladder.session import stored
+
 #: (region, rack, shard, weight)
 Leaf = tuple[str, str, int, float]
 
@@ -59,24 +61,29 @@ def shard_of(key: Column, tree: Sequence[Leaf]) -> Column:
     return descend(leaves, 0, "").cast("int")
 
 
-def assign(docs: DataFrame, tree: Sequence[Leaf] = tuple(EIGHT), blocks: int = 512) -> DataFrame:
+def assign(docs: DataFrame, tree: Sequence[Leaf] = tuple(EIGHT), block_rows: int = 1 << 16) -> DataFrame:
     """Shard, slot within the shard, and the shard after growth by one.
 
     The id alone decides, so rows with equal ids meet in one shard; a null id
     is a key like any other.  ``size`` is the text's UTF-8 bytes plus 1, a null
-    text has none.  Slots count without gaps from 0: each shard is numbered in
-    ``blocks`` hash blocks, and a table of at most shards x blocks counts gives
-    every block its offset.  An empty table gives an empty result.
+    text has none.  Slots count without gaps from 0, in no order that matters:
+    rows are dealt at random, whatever their id, into blocks of about
+    ``block_rows``, and a table of a count for each shard and block gives every
+    block its offset.  The dealt rows, without texts, are stored, so numbers and
+    counts come from one deal also if an executor is lost.  An empty table
+    gives an empty result.
     """
+    blocks = max(1, -(-docs.count() // block_rows))
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    rows = docs.select(
+    dealt = docs.select(
         "doc_id",
         (F.octet_length(text) + F.lit(1)).cast("bigint").alias("size"),
         F.crc32(text).alias("text_crc32"),
         shard_of(F.col("doc_id"), tree).alias("shard"),
         shard_of(F.col("doc_id"), grown(tree)).alias("grown_shard"),
-        F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(blocks)).cast("int").alias("block"),
+        F.floor(F.rand() * blocks).cast("int").alias("block"),
     )
+    rows = stored(dealt)
     counts = rows.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

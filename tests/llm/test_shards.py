@@ -50,3 +50,17 @@ def test_documents(spark):
     want = sorted(((d, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in rows), key=repr)
     assert sorted(((r.doc_id, r.size, r.text_crc32) for r in got), key=repr) == want
     assert shards.assign(table(spark, [])).count() == 0
+
+
+def test_a_hot_id_is_dealt_to_many_blocks(spark):
+    """A third of the rows has one id: its shard is numbered block by block, without gaps."""
+    rows = [(i, f"text {i}") for i in range(1000)] + [(5, "again")] * 600 + [(None, None)] * 300
+    docs = table(spark, rows)
+    got = shards.assign(docs, block_rows=100).collect()
+    assert sorted((r.doc_id, r["size"]) for r in got if r.doc_id is not None) == sorted((d, len(t) + 1) for d, t in rows if d is not None)
+    assert sum(r.doc_id is None for r in got) == 300
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r.shard for r in got if r.doc_id == 5}) == 1
