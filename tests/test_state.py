@@ -203,6 +203,26 @@ def test_a_stream_equals_the_batch_form_at_any_bucket(spark, tmp_path, few_tasks
         assert {(r.key, r.event_id) for r in got.filter("event_id >= 0").collect()} == expected
 
 
+def test_a_stream_keeps_its_state_by_shares_of_the_keys(spark, tmp_path, few_tasks):
+    """Many keys with few rows, a missing key, ids that a double cannot hold: three shares, as the batch form decides."""
+    big = 2**60
+    rows = [(k, START + timedelta(minutes=(k * 7 + i * 25) % 2000), big + k * 3 + i) for k in range(150) for i in range(3)]
+    rows = sorted([*rows, (None, START + timedelta(minutes=5), big - 1)], key=lambda r: r[1])
+    log = spark.createDataFrame(rows, SCHEMA)
+    for part in [rows[:200], rows[200:], [CLOSING], [CLOSING]]:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streams.request_stream(spark, str(tmp_path / "in"), "*.parquet", SCHEMA, files_per_trigger=1)
+    got = streams.run_to_table(streams.cooldown_stream(stream, 1800, shares=3), str(tmp_path / "cooldown"))
+    expected = {(r.key, r.event_id) for r in state.cooldown(log, 1800).collect()} | {(None, big - 1)}  # the batch form leaves out a missing key
+    assert {(r.key, r.event_id) for r in got.filter("event_id >= 0").collect()} == expected
+    put = F.col("event_id") % 3 == 0
+    marked = stream.select("key", "ts", "at_ms", "event_id", put.alias("is_put"), F.when(put, "search-hit").alias("kind"), F.when(put, 1.5).alias("payload"))
+    got = streams.run_to_table(streams.lookup_stream(marked, shares=3), str(tmp_path / "lookup")).filter("event_id >= 0")
+    puts = log.filter(put).select("key", "ts", "event_id", F.lit("search-hit").alias("kind"), F.lit(1.5).alias("payload"))
+    asked = {(r.key, r.event_id, r.payload) for r in state.lookup_ttl(puts, log.filter(~put)).collect()}
+    assert {(r.key, r.event_id, r.payload) for r in got.collect()} == asked and any(r[2] for r in asked)
+
+
 def test_an_undated_record_is_as_old_as_can_be(spark):
     records = spark.createDataFrame([(1, None), (2, START)], "key bigint, generated_at timestamp_ntz")
     now = F.lit(START + timedelta(hours=1)).cast("timestamp_ntz")
