@@ -1,14 +1,17 @@
 """Prices out of page text: mentions, cadence, plan cards, storage tiers.
 
-All of it is native: the places of regular-expression matches follow from the
-lengths of the pieces between them.  A page is one row and is read whole.
+Prices are found on Arrow batches; all else is native: the places of
+regular-expression matches follow from the lengths of the pieces between them.
+A page is one row and is read whole.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from marketladder.functions.amounts import numeric_amount
 from marketladder.functions.arrays import kept_apart, once
@@ -90,7 +93,10 @@ MORE_ENTITIES = {"euro": "€", "pound": "£", "yen": "¥", "uuml": "ü"}
 
 def _decode_numeric(text: Column, pattern: str, base: int) -> Column:
     """Replace numeric character references by their characters."""
-    entities = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+
+    def decoded(text: Column) -> Column:
+        entities = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+        return F.aggregate(entities, text, lambda acc, entity: F.replace(acc, entity, character(entity)))
 
     def character(entity: Column) -> Column:
         digits = F.regexp_extract(entity, pattern, 1)
@@ -99,7 +105,7 @@ def _decode_numeric(text: Column, pattern: str, base: int) -> Column:
         coded = F.unhex(F.lpad(F.conv(digits, base, 16), 8, "0"))
         return F.when(valid, F.decode(coded, "UTF-32")).otherwise(entity)
 
-    return F.aggregate(entities, text, lambda acc, entity: F.replace(acc, entity, character(entity)))
+    return once(text, decoded)
 
 
 def html_to_text(html: Column, drop_scripts: bool = True) -> Column:
@@ -138,49 +144,52 @@ def spans(text: Column, pattern: Column) -> Column:
     return once(found, lambda matches: F.when(F.size(matches) > 0, walk(matches)).otherwise(empty))
 
 
-def _mentions_of(text: Column, pattern: Column, prefix: Column, number: int) -> Column:
-    amounts = F.transform(
-        F.regexp_extract_all(text, pattern, F.lit(1)),
-        lambda raw: F.struct(raw.alias("raw"), F.regexp_replace(raw, "[.,]+$", "").alias("kept")),
-    )
-
-    def mention(span: Column, amount: Column) -> Column:
-        return F.struct(
-            span["start"].alias("start"),
-            F.lit(number).alias("form"),
-            (span["end"] - F.length(amount["raw"]) + F.length(amount["kept"])).alias("end"),
-            amount["kept"].alias("amount"),
-            F.concat(prefix, amount["kept"]).alias("price"),
-        )
+MENTION = T.StructType([T.StructField(f, T.IntegerType()) for f in ("start", "form", "end")] + [T.StructField(f, T.StringType()) for f in ("amount", "price")])
+_READERS: dict[str, list[re.Pattern]] = {}
 
-    return F.filter(F.zip_with(spans(text, pattern), amounts, mention), lambda m: m["amount"].rlike("[0-9]"))
 
+def _readers(currency: str) -> list[re.Pattern]:
+    """A currency's patterns, in which blanks, digits and word ends mean what they do in Spark's; made once a worker."""
+    if currency not in _READERS:
+        plain = [p.replace("(?iu)", "").replace(r"\s", r"[ \t\n\x0b\f\r]").replace(r"\d", "0-9") for p in PRICE_PATTERNS[currency][1:] if p]
+        flags = [re.IGNORECASE if p and "(?iu)" in p else 0 for p in PRICE_PATTERNS[currency][1:]]
+        _READERS[currency] = [re.compile(p, f) for p, f in zip(plain, flags)]
+    return _READERS[currency]
 
-def price_mentions(text: Column, currency: Column) -> Column:
-    """Prices of a text in order: array of (start, form, end, amount, price)."""
-    prefix = lookup(currency, {c: p[0] for c, p in PRICE_PATTERNS.items()})
-    first = lookup(currency, {c: p[1] for c, p in PRICE_PATTERNS.items()})
-    second = lookup(currency, {c: p[2] for c, p in PRICE_PATTERNS.items() if p[2]})
-    none = F.array().cast("array<struct<start:int,form:int,end:int,amount:string,price:string>>")
 
-    def read(page: Column) -> Column:
-        one = F.coalesce(_mentions_of(page["text"], page["first"], page["prefix"], 0), none)
-        two = _mentions_of(page["text"], page["second"], page["prefix"], 1)
-        both = once(F.array_sort(F.concat(one, F.coalesce(two, none))), _without_repeats)
-        return F.when(page["second"].isNull(), one).otherwise(both)
+def _mentions_of(text: str, currency: str) -> list[tuple[int, int, int, str, str]]:
+    prefix = PRICE_PATTERNS[currency][0]
+    found = []
+    for form, pattern in enumerate(_readers(currency)):
+        for match in pattern.finditer(text):
+            raw = match[1]
+            kept = raw.rstrip(".,")
+            if kept:  # a digit is left
+                found.append((match.start(), form, match.end() - len(raw) + len(kept), kept, prefix + kept))
+    if form:  # two patterns can find one amount at one place; sorted, they are neighbours
+        found.sort()
+        found = [m for i, m in enumerate(found) if i == 0 or (found[i - 1][0], found[i - 1][4]) != (m[0], m[4])]
+    return found
 
-    page = F.struct(text.alias("text"), prefix.alias("prefix"), first.alias("first"), second.alias("second"))
-    return once(page, read)
 
+@F.arrow_udf(T.ArrayType(MENTION))
+def _read_mentions(texts: pa.Array, currencies: pa.Array) -> pa.Array:
+    counts, found = [0], []
+    for text, currency in zip(texts.to_pylist(), currencies.to_pylist()):
+        if text is not None and currency in PRICE_PATTERNS:
+            found += _mentions_of(text, currency)
+        counts.append(len(found))
+    kinds = {"start": pa.int32(), "form": pa.int32(), "end": pa.int32(), "amount": pa.string(), "price": pa.string()}
+    columns = [pa.array([m[i] for m in found], kind) for i, kind in enumerate(kinds.values())]
+    return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(columns, list(kinds)))
 
-def _without_repeats(found: Column) -> Column:
-    """Two patterns can find one amount at one place; sorted, they are neighbours."""
 
-    def new(m: Column, i: Column) -> Column:
-        before = F.get(found, i - 1)
-        return (i == 0) | (before["start"] != m["start"]) | (before["price"] != m["price"])
+def price_mentions(text: Column, currency: Column) -> Column:
+    """Prices of a text in order: array of (start, form, end, amount, price); empty without a text or a known currency.
 
-    return F.filter(found, new)
+    Read on Arrow batches, with each currency's patterns made once a worker.
+    """
+    return _read_mentions(text, currency)
 
 
 def extract_price_mentions(pages: DataFrame, keys: list[str], text: str = "text", currency: str = "currency") -> DataFrame:
@@ -437,7 +446,7 @@ def extract_bundle_cards(pages: DataFrame, keys: list[str], html: str = "html",
     found = pages.select(*keys, F.col(currency).alias("__currency"), F.inline(F.array(*entries))).filter("paragraph IS NOT NULL")
     read = kept_apart(found, __text=html_to_text(F.col("paragraph")))
     price = F.get(price_mentions(F.col("__text"), F.col("__currency")), F.lit(0))["price"]
-    return read.select(*keys, "plan", "name", price.alias("price")).filter(F.col("price").isNotNull())
+    return kept_apart(read, price=price).select(*keys, "plan", "name", "price").filter(F.col("price").isNotNull())
 
 
 def extract_tier_section(pages: DataFrame, keys: list[str]) -> DataFrame:

@@ -181,3 +181,21 @@ def test_fallback_below_the_anchor(spark):
 def test_search_terms_are_cleaned(spark):
     df = spark.createDataFrame([("Pro-Max 2",)], "t string")
     assert df.select(text.search_key(F.col("t"))).first()[0] == "promax2"
+
+
+def test_mentions_are_read_once_a_row_on_arrow_batches(spark):
+    """Two forms of one amount, blanks, letter case, trailing signs; a missing text or an unknown currency gives none."""
+    rows = [
+        ("hk$\t1,5., HK$ .", "HKD"), ("¥ 9円 8 円", "JPY"), ("10.000đ ₫ 5", "VND"), ("rs.7 xRs 8 ₹9", "INR"), (None, "USD"), ("$1", None), ("$1", "XXX"),
+    ]
+    df = spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "id int, text string, currency string")
+    read = df.select("id", prices.price_mentions(F.col("text"), F.col("currency")).alias("m")).collect()
+    got = {r.id: [(m.start, m.form, m.end, m.price) for m in r.m] for r in read}
+    assert got == {
+        0: [(0, 0, 7, "HK$1,5")], 1: [(0, 0, 3, "¥9"), (2, 1, 4, "¥9"), (5, 1, 8, "¥8")], 2: [(0, 1, 7, "₫10.000"), (8, 0, 11, "₫5")],
+        3: [(0, 1, 4, "₹7"), (11, 0, 13, "₹9")], 4: [], 5: [], 6: [],
+    }
+    pages = spark.createDataFrame([(1, '<p class="plan-family">$3 &amp; $4</p>', "USD")], "id int, html string, currency string")
+    cards = prices.extract_bundle_cards(pages, ["id"])
+    assert [tuple(r) for r in cards.collect()] == [(1, "family", "Apple One Family", "$3")]
+    assert cards._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1

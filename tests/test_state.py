@@ -215,7 +215,7 @@ def test_a_stream_keeps_its_state_by_shares_of_the_keys(spark, tmp_path, few_tas
     got = streams.run_to_table(streams.cooldown_stream(stream, 1800, shares=3), str(tmp_path / "cooldown"))
     expected = {(r.key, r.event_id) for r in state.cooldown(log, 1800).collect()} | {(None, big - 1)}  # the batch form leaves out a missing key
     assert {(r.key, r.event_id) for r in got.filter("event_id >= 0").collect()} == expected
-    put = F.col("event_id") % 3 == 0
+    put = F.col("event_id") % 3 == 1
     marked = stream.select("key", "ts", "at_ms", "event_id", put.alias("is_put"), F.when(put, "search-hit").alias("kind"), F.when(put, 1.5).alias("payload"))
     got = streams.run_to_table(streams.lookup_stream(marked, shares=3), str(tmp_path / "lookup")).filter("event_id >= 0")
     puts = log.filter(put).select("key", "ts", "event_id", F.lit("search-hit").alias("kind"), F.lit(1.5).alias("payload"))
