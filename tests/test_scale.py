@@ -30,6 +30,29 @@ def tables(spark, folder):
     return str(folder)
 
 
+def test_a_catalog_in_one_file_is_dealt_out_before_terms_multiply_it(spark):
+    apps = spark.createDataFrame([("1", "Twin", "", 1)], APPS).coalesce(1)
+    number = spark.conf.get("spark.sql.shuffle.partitions")
+    for function in (search.search_rank, search.search_curated, search.resolve_unique):
+        plan = plan_of(function(apps, ["twin", "x"]))
+        assert plan.index("Generate inline") < plan.index("RepartitionByExpression"), function
+        assert f"], {number}" in plan
+
+
+def test_only_matching_rows_stay_beside_a_term(spark):
+    rows = [("1", "Twin A", "Maker", 3), ("2", "Other", "Twin Ltd", 2), ("3", "Third", None, None), ("3", "Third b", "", 1), (None, "No id", "", 9)]
+    apps = spark.createDataFrame(rows, APPS)
+    got = {}
+    for r in search.search_rank(apps, ["twin", "nothing", "nothing", "no id"], limit=3).orderBy("rank").collect():
+        got.setdefault(r["query"], []).append((r.app_id, r.app_name, r.score, r["rank"]))
+    assert got == {
+        "twin": [("1", "Twin A", 1, 1), ("2", "Other", 4, 2)],
+        "nothing": [("3", "Third", 9, 1), ("2", "Other", 9, 2), ("1", "Twin A", 9, 3)],
+        "no id": [(None, "No id", 0, 1)],
+    }
+    assert "score" in plan_of(search.search_rank(apps, ["twin"])) and "Union" in plan_of(search.search_rank(apps, ["twin"]))
+
+
 def test_postings_of_a_catalog_are_many_files(spark, monkeypatch):
     monkeypatch.setattr(search_index, "TASK_ROWS", 10, raising=False)
     apps = spark.createDataFrame([(str(n), f"app {n}", "maker", n) for n in range(40)], APPS).coalesce(1)
