@@ -63,3 +63,9 @@ def test_postings_of_a_catalog_are_many_files(spark, monkeypatch):
 
 def test_terms_are_made_in_many_tasks(spark, tmp_path):
     assert "RepartitionByExpression" in plan_of(q_search.wanted(spark, tables(spark, tmp_path)))
+
+
+def test_rules_of_a_snapshot_read_stored_tables(spark, tmp_path):
+    candidate, _, previous = q_quality.snapshot_tables(spark, tables(spark, tmp_path))
+    for table in (candidate["cells"], candidate["items"], previous["cells"]):
+        assert "Join" not in plan_of(table)
