@@ -65,6 +65,13 @@ def test_terms_are_made_in_many_tasks(spark, tmp_path):
     assert "RepartitionByExpression" in plan_of(q_search.wanted(spark, tables(spark, tmp_path)))
 
 
+def test_log_rows_are_dealt_out_before_they_are_counted(spark, tmp_path):
+    flagged = q_matching._known(spark, tables(spark, tmp_path))
+    plan = plan_of(flagged)
+    assert plan.index("Aggregate [l_orderkey") < plan.index("RepartitionByExpression [l_orderkey")
+    assert flagged.agg(F.sum("rows")).first()[0] == 60
+
+
 def test_rules_of_a_snapshot_read_stored_tables(spark, tmp_path):
     candidate, _, previous = q_quality.snapshot_tables(spark, tables(spark, tmp_path))
     for table in (candidate["cells"], candidate["items"], previous["cells"]):
