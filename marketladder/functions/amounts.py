@@ -39,7 +39,19 @@ def _lone_comma_is_decimal(kept: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(kept, "^[0-9,]*,[0-9]*,[0-9]*$", "x"), "^([0-9]*),([0-9]*)$", "$1c$2")
 
 
-def _amount(kept: Column, lone_comma: Callable[[Column], Column] = _lone_comma_after_thousands) -> Column:
+def _amount(text: Column, lone_comma: Callable[[Column], Column] = _lone_comma_after_thousands) -> Column:
+    """Amount of a text: one match reads the usual forms, the steps read all others.
+
+    The usual forms have no mark, or one mark before two digits, which is
+    decimal, or one before three, which is dropped.
+    """
+    usual = F.translate(F.regexp_extract(text, r"^[^0-9.,]*([0-9]+(?:[.,][0-9]{2})?)[^0-9.,]*$", 1), ",", ".")
+    marks = "[.,]" if lone_comma is _lone_comma_after_thousands else "[.]"
+    grouped = F.translate(F.regexp_extract(text, f"^[^0-9.,]*([0-9]+{marks}[0-9]{{3}})[^0-9.,]*$", 1), ".,", "")
+    return F.coalesce(usual.try_cast("double"), grouped.try_cast("double"), _stepwise(_kept(text), lone_comma))
+
+
+def _stepwise(kept: Column, lone_comma: Callable[[Column], Column]) -> Column:
     """Find the decimal mark, drop the other marks, and read the number."""
     both = F.regexp_replace(kept, "^([0-9.,]*,[0-9.,]*)[.]([0-9]*)$", "$1d$2")
     both = F.regexp_replace(both, "^([0-9.,]*[.][0-9.,]*),([0-9]*)$", "$1c$2")
@@ -52,7 +64,7 @@ def _amount(kept: Column, lone_comma: Callable[[Column], Column] = _lone_comma_a
 
 def numeric_price(text: Column) -> Column:
     """Amount without knowing the currency (used for price ratios)."""
-    return _amount(_kept(text))
+    return _amount(text)
 
 
 def parse_localized_amount(text: Column, currency: Column) -> Column:
@@ -65,17 +77,16 @@ def parse_localized_amount(text: Column, currency: Column) -> Column:
     scaled = F.concat(F.lit("0"), digits).try_cast("double")
     unit = F.when(text.rlike("(?iu)juta"), F.lit(1e6)).otherwise(F.lit(1e3))
     in_words = (currency == "IDR") & text.rlike("(?iu)ribu|juta")
-    return F.when(in_words, scaled * unit).otherwise(_amount(_kept(text)))
+    return F.when(in_words, scaled * unit).otherwise(_amount(text))
 
 
 def numeric_amount(text: Column, currency: Column) -> Column:
     """Currency-aware amount of a canonical price text taken from a page."""
-    kept = _kept(text)
-    whole = F.concat(F.lit("0"), F.translate(kept, ".,", "")).try_cast("double")
+    whole = F.concat(F.lit("0"), F.translate(_kept(text), ".,", "")).try_cast("double")
     return (
         F.when(currency.isin(ZERO_DECIMAL_CURRENCIES), whole)
-        .when(currency.isin(DECIMAL_COMMA_CURRENCIES), _amount(kept, _lone_comma_is_decimal))
-        .otherwise(_amount(kept))
+        .when(currency.isin(DECIMAL_COMMA_CURRENCIES), _amount(text, _lone_comma_is_decimal))
+        .otherwise(_amount(text))
     )
 
 

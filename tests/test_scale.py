@@ -72,7 +72,25 @@ def test_log_rows_are_dealt_out_before_they_are_counted(spark, tmp_path):
     assert flagged.agg(F.sum("rows")).first()[0] == 60
 
 
+def test_texts_of_parts_and_suppliers_are_made_once_each(spark, tmp_path):
+    plan = plan_of(fixtures.observations(spark, tables(spark, tmp_path)))
+    joins = plan.index("Join Inner")
+    assert "lpad" not in plan[:joins] and "concat_ws" not in plan[:joins]
+
+
 def test_rules_of_a_snapshot_read_stored_tables(spark, tmp_path):
     candidate, _, previous = q_quality.snapshot_tables(spark, tables(spark, tmp_path))
     for table in (candidate["cells"], candidate["items"], previous["cells"]):
         assert "Join" not in plan_of(table)
+
+
+def test_usual_amounts_are_read_by_one_match_with_the_same_value(spark):
+    pick = random.Random(7)
+    texts = ["".join(pick.choice("0123456789.,.,$€ dcRx\n") for _ in range(pick.randint(0, 9))) for _ in range(4000)]
+    texts += ["$12.99", "12,99 €", "¥12,000", "12.000đ", "$0.99", ".99", "12.", "1,234.56", "1.234,56", "1,2345", "12,00,00", "١٢", "", "9" * 400, "12\n", "12,99\n5"]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    for lone_comma in (amounts._lone_comma_after_thousands, amounts._lone_comma_is_decimal):
+        slow = amounts._stepwise(amounts._kept(F.col("t")), lone_comma)
+        differing = rows.filter(~slow.eqNullSafe(amounts._amount(F.col("t"), lone_comma))).collect()
+        assert differing == []
+    assert "[0-9]{2})?)[^0-9.,]*$" in plan_of(rows.select(amounts.numeric_price(F.col("t"))))
