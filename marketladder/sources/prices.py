@@ -1,14 +1,14 @@
 """Prices out of page text: mentions, cadence, plan cards, storage tiers.
 
-Prices are found on Arrow batches; all else is native: the places of
-regular-expression matches follow from the lengths of the pieces between them.
-A page is one row and is read whole.
+A page is one row and is read whole, in one pass on Arrow batches
+(``page_text``); grouping and the rules between pages are native.
 """
 
 from __future__ import annotations
 
 import re
 from functools import reduce
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from marketladder.functions.amounts import numeric_amount
 from marketladder.functions.arrays import kept_apart, once
 from marketladder.functions.text import lookup
+from marketladder.sources import page_text
 
 # Canonical prefix and the one or two patterns of each currency.
 PRICE_PATTERNS = {
@@ -62,6 +63,8 @@ FOLLOWING_REGIONS = ["cn", "jp", "hk", "tw", "tr"]
 # Words of trials and promotions.
 TV_TRIAL = r"(?iu)free (?:7|seven)[-\s]?day|new subscriber|7日|7 天|7 gün"
 NEWS_TRIAL = r"(?iu)free 1[-\s]?month|new subscriber|trial"
+# Trial wording of a service, and its points.
+TRIALS = {"apple-tv-plus": (TV_TRIAL, 80), "apple-news-plus": (NEWS_TRIAL, 60)}
 ANNUAL_SERVICES = ["apple-arcade", "apple-fitness-plus"]
 SERVICE_LABELS = {
     "apple-arcade": "Apple Arcade",
@@ -89,6 +92,7 @@ STORAGE_TIERS = ["50 GB", "200 GB", "2 TB", "6 TB", "12 TB"]
 # Named entities; the card form knows the first six only.
 ENTITIES = {"amp": "&", "apos": "'", "gt": ">", "lt": "<", "nbsp": " ", "quot": '"'}
 MORE_ENTITIES = {"euro": "€", "pound": "£", "yen": "¥", "uuml": "ü"}
+ALL_ENTITIES = tuple({**ENTITIES, **MORE_ENTITIES}.items())
 
 
 def _decode_numeric(text: Column, pattern: str, base: int) -> Column:
@@ -125,69 +129,41 @@ def html_to_text(html: Column, drop_scripts: bool = True) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)[\s\uFEFF]+", " "))
 
 
-def spans(text: Column, pattern: Column) -> Column:
-    """0-based start and end of every match: array of (start, end)."""
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+MENTION = T.StructType([T.StructField(f, T.IntegerType()) for f in ("start", "form", "end")] + [T.StructField(f, T.StringType()) for f in ("amount", "price")])
 
-    def walk(matches: Column) -> Column:
-        skipped = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
-        steps = F.zip_with(skipped, matches, lambda p, m: F.struct(F.length(p).alias("skip"), F.length(m).alias("size")))
-        return F.aggregate(steps, start, step, lambda acc: acc["out"])
+_READERS: dict[str, list[re.Pattern]] = {}
 
-    def step(acc: Column, s: Column) -> Column:
-        begin = acc["at"] + s["skip"]
-        span = F.struct(begin.alias("start"), (begin + s["size"]).alias("end"))
-        return F.struct((begin + s["size"]).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    return once(found, lambda matches: F.when(F.size(matches) > 0, walk(matches)).otherwise(empty))
+def _mentions_of(text: str | None, currency: str | None) -> list[page_text.Mention]:
+    if text is None or currency not in PRICE_PATTERNS:
+        return []
+    if currency not in _READERS:
+        _READERS[currency] = [page_text.compiled(p) for p in PRICE_PATTERNS[currency][1:] if p]
+    return page_text.mentions_of(text, PRICE_PATTERNS[currency][0], _READERS[currency])
 
 
-MENTION = T.StructType([T.StructField(f, T.IntegerType()) for f in ("start", "form", "end")] + [T.StructField(f, T.StringType()) for f in ("amount", "price")])
-_READERS: dict[str, list[re.Pattern]] = {}
+def _structs(rows: list[tuple | None], kinds: dict[str, pa.DataType]) -> pa.StructArray:
+    none = (None,) * len(kinds)
+    columns = zip(*[none if row is None else row for row in rows]) if rows else [()] * len(kinds)
+    arrays = [pa.array(column, kind) for column, kind in zip(columns, kinds.values())]
+    return pa.StructArray.from_arrays(arrays, list(kinds), mask=pa.array([row is None for row in rows], pa.bool_()))
 
 
-def _readers(currency: str) -> list[re.Pattern]:
-    """A currency's patterns, in which blanks, digits and word ends mean what they do in Spark's; made once a worker."""
-    if currency not in _READERS:
-        plain = [p.replace("(?iu)", "").replace(r"\s", r"[ \t\n\x0b\f\r]").replace(r"\d", "0-9") for p in PRICE_PATTERNS[currency][1:] if p]
-        flags = [re.IGNORECASE if p and "(?iu)" in p else 0 for p in PRICE_PATTERNS[currency][1:]]
-        _READERS[currency] = [re.compile(p, f) for p, f in zip(plain, flags)]
-    return _READERS[currency]
-
-
-def _mentions_of(text: str, currency: str) -> list[tuple[int, int, int, str, str]]:
-    prefix = PRICE_PATTERNS[currency][0]
-    found = []
-    for form, pattern in enumerate(_readers(currency)):
-        for match in pattern.finditer(text):
-            raw = match[1]
-            kept = raw.rstrip(".,")
-            if kept:  # a digit is left
-                found.append((match.start(), form, match.end() - len(raw) + len(kept), kept, prefix + kept))
-    if form:  # two patterns can find one amount at one place; sorted, they are neighbours
-        found.sort()
-        found = [m for i, m in enumerate(found) if i == 0 or (found[i - 1][0], found[i - 1][4]) != (m[0], m[4])]
-    return found
+def _lists(parts: list[list[tuple]], kinds: dict[str, pa.DataType]) -> pa.ListArray:
+    ends = [0, *accumulate(len(part) for part in parts)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _structs(list(chain.from_iterable(parts)), kinds))
 
 
 @F.arrow_udf(T.ArrayType(MENTION))
 def _read_mentions(texts: pa.Array, currencies: pa.Array) -> pa.Array:
-    counts, found = [0], []
-    for text, currency in zip(texts.to_pylist(), currencies.to_pylist()):
-        if text is not None and currency in PRICE_PATTERNS:
-            found += _mentions_of(text, currency)
-        counts.append(len(found))
     kinds = {"start": pa.int32(), "form": pa.int32(), "end": pa.int32(), "amount": pa.string(), "price": pa.string()}
-    columns = [pa.array([m[i] for m in found], kind) for i, kind in enumerate(kinds.values())]
-    return pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.StructArray.from_arrays(columns, list(kinds)))
+    return _lists([_mentions_of(*page) for page in zip(texts.to_pylist(), currencies.to_pylist())], kinds)
 
 
 def price_mentions(text: Column, currency: Column) -> Column:
     """Prices of a text in order: array of (start, form, end, amount, price); empty without a text or a known currency.
 
-    Read on Arrow batches, with each currency's patterns made once a worker.
+    Read on Arrow batches, with each pattern made once a worker.
     """
     return _read_mentions(text, currency)
 
@@ -211,96 +187,41 @@ def extract_price_mentions(pages: DataFrame, keys: list[str], text: str = "text"
     )
 
 
-def _slice(text: Column, start: Column, end: Column) -> Column:
-    return F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))
-
-
-def _direct(text: Column, mentions: Column, words: Column) -> Column:
-    """Price next to a word: no alternative between them, then nearest, then first."""
-
-    def gap(m: Column, w: Column) -> Column:
-        return F.when(w["start"] >= m["end"], w["start"] - m["end"]).when(
-            m["start"] >= w["end"], m["start"] - w["end"]
-        )
-
-    def rank(m: Column, w: Column) -> Column:
-        bridge = _slice(text, F.least(m["end"], w["end"]), F.greatest(m["start"], w["start"]))
-        return F.struct(
-            bridge.rlike(ALTERNATIVE_WORDS).alias("crosses"), gap(m, w).alias("gap"), m["start"].alias("start"),
-            m["form"].alias("form"), m["price"].alias("price"),
-        )
-
-    near = F.transform(
-        mentions,
-        lambda m: F.array_min(F.transform(F.filter(words, lambda w: gap(m, w) <= DIRECT_GAP), lambda w: rank(m, w))),
-    )
-    return F.array_min(near)["price"]
-
-
-def _following(mentions: Column, words: Column) -> Column:
-    """First price shortly behind a word."""
+def _cadence_of(
+    cadence: str, text: str | None, mentions: list[page_text.Mention], region: str | None, service: str | None
+) -> str | None:
+    if text is None or not mentions:
+        return None
+    low, word = page_text.folded(text), page_text.words(CADENCE_WORDS[cadence])
+    places = word.spans(text, low)
+    price = page_text.near_word(text, low, mentions, places, DIRECT_GAP, page_text.words(ALTERNATIVE_WORDS))
+    if price is None and cadence == "annual" and region in FOLLOWING_REGIONS:
+        price = page_text.behind_word(mentions, places, FOLLOWING_GAP)
+    if price is None:
+        spoken = None if service is None else service.lower().replace("-plus", "+").replace("-", " ")
+        trial = TRIALS.get(service)
+        known = trial and (page_text.words(trial[0]), trial[1])
+        price = page_text.best_scored(text, low, mentions, word, NEAR, AROUND, spoken, known)
+    return price
 
-    def behind(w: Column) -> Column:
-        hits = F.filter(mentions, lambda m: (m["start"] >= w["end"]) & (m["start"] - w["start"] < FOLLOWING_GAP))
-        first = F.get(hits, F.lit(0))
-        return F.when(
-            F.size(hits) > 0,
-            F.struct((first["start"] - w["start"]).alias("gap"), w["start"].alias("at"), first["price"].alias("price")),
-        )
-
-    return F.array_min(F.transform(words, behind))["price"]
-
-
-def _scored(text: Column, mentions: Column, pattern: str, service: Column) -> Column:
-    """Best price by distance to a word, names and trial wording around it."""
-    spoken = F.replace(F.replace(F.lower(service), F.lit("-plus"), F.lit("+")), F.lit("-"), F.lit(" "))
-    size = F.length(text)
-
-    def distance(m: Column) -> Column:
-        left = F.greatest(F.lit(0), m["start"] - NEAR)
-        context = _slice(text, left, F.least(size, m["end"] + NEAR))
-        centre = m["start"] - left + (m["end"] - m["start"]) / 2
-        return F.array_min(
-            F.transform(spans(context, F.lit(pattern)), lambda w: F.abs((w["start"] + w["end"]) / 2 - centre))
-        )
-
-    def score(m: Column) -> Column:
-        around = _slice(text, F.greatest(F.lit(0), m["start"] - AROUND), F.least(size, m["end"] + AROUND))
-        points = (
-            320 - F.least(distance(m), F.lit(180.0)) * 3
-            + F.when(F.contains(F.lower(around), spoken), 30).otherwise(0)
-            + F.when((service == "apple-tv-plus") & around.rlike(TV_TRIAL), 80).otherwise(0)
-            + F.when((service == "apple-news-plus") & around.rlike(NEWS_TRIAL), 60).otherwise(0)
-        )
-        return F.struct(m["price"].alias("price"), points.alias("points"))
-
-    def best(rated: Column) -> Column:
-        prices = F.array_distinct(F.transform(rated, lambda s: s["price"]))
 
-        def total(price: Column, place: Column) -> Column:
-            own = F.transform(F.filter(rated, lambda s: s["price"] == price), lambda s: s["points"])
-            points = F.array_max(own) + F.least(F.size(own), F.lit(8))
-            return F.struct(points.alias("points"), (-place).alias("place"), price.alias("price"))
+def _cadence_reader(cadence: str):
+    @F.arrow_udf(T.StringType())
+    def read(texts: pa.Array, mentions: pa.Array, regions: pa.Array, services: pa.Array) -> pa.Array:
+        ends = mentions.offsets.to_pylist()
+        found = list(zip(*[mentions.values.field(f).to_pylist() for f in MENTION.names]))
+        rows = zip(texts.to_pylist(), ends, ends[1:], regions.to_pylist(), services.to_pylist())
+        return pa.array([_cadence_of(cadence, t, found[a:b], r, s) for t, a, b, r, s in rows], pa.string())
 
-        return F.array_max(F.transform(prices, total))["price"]
-
-    return once(F.filter(F.transform(mentions, score), lambda s: s["points"].isNotNull()), best)
+    return read
 
 
 def assign_cadence(pages: DataFrame, cadence: str) -> DataFrame:
-    """Add the price of one cadence (column named like it).
+    """Add the price of one cadence (column named like it): next to a word, shortly behind one, else by score.
 
     pages: text, mentions, region, service.
     """
-    pattern = CADENCE_WORDS[cadence]
-    with_words = kept_apart(pages, __words=spans(F.col("text"), F.lit(pattern)))
-    stages = [_direct(F.col("text"), F.col("mentions"), F.col("__words"))]
-    if cadence == "annual":
-        stages.append(
-            F.when(F.col("region").isin(FOLLOWING_REGIONS), _following(F.col("mentions"), F.col("__words")))
-        )
-    stages.append(_scored(F.col("text"), F.col("mentions"), pattern, F.col("service")))
-    return with_words.withColumn(cadence, F.coalesce(*stages)).drop("__words")
+    return pages.withColumn(cadence, _cadence_reader(cadence)("text", "mentions", "region", "service"))
 
 
 def service_prices(pages: DataFrame, keys: list[str]) -> DataFrame:
@@ -326,33 +247,6 @@ def service_prices(pages: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _has_class(element: Column, tag: str, word: str) -> Column:
-    """Whether an element's opening tag names the word in its class attribute."""
-    opening = F.regexp_extract(element, rf"(?i)^<{tag}\b[^>]*>", 0)
-    names = F.regexp_extract(opening, r"""(?i)\bclass=("[^"]*"|'[^']*')""", 1)
-    return names.rlike(rf"(?i)\b{word}\b")
-
-
-def _elements(html: Column, tag: str, word: str) -> Column:
-    """Texts from each tag with the class up to the next such tag."""
-
-    def cut(parts: Column) -> Column:
-        marked = F.transform(parts, lambda part, i: F.when(_has_class(part, tag, word), i + 1))
-        return once(F.array_compact(marked), lambda starts: joined(parts, starts))
-
-    def joined(parts: Column, starts: Column) -> Column:
-        stop = lambda k: F.coalesce(F.get(starts, k + 1), F.size(parts) + 1)
-        return F.transform(starts, lambda start, k: F.array_join(F.slice(parts, start, stop(k) - start), ""))
-
-    return once(F.split(html, rf"(?i)(?=<{tag}\b)", -1), cut)
-
-
-def _inside(element: Column, tag: str, ends: str) -> Column:
-    """Text behind the opening tag up to the first of the ends; null without an end."""
-    found = F.regexp_extract_all(element, F.lit(rf"(?is)^<{tag}\b[^>]*>(.*?)(?:{ends})"), F.lit(1))
-    return F.get(found, F.lit(0))
-
-
 def extract_plan_cards(pages: DataFrame, keys: list[str], html: str = "html", currency: str = "currency") -> DataFrame:
     """Recurring price per plan from the cards of a page.
 
@@ -362,41 +256,71 @@ def extract_plan_cards(pages: DataFrame, keys: list[str], html: str = "html", cu
     return _card_prices(pages, keys, html, currency).drop("amount")
 
 
-def _card_prices(pages: DataFrame, keys: list[str], html: str, currency: str) -> DataFrame:
-    """Plan, name, price and its canonical amount text."""
+OPTION = T.StructType([
+    T.StructField("kind", T.IntegerType()), T.StructField("card_no", T.IntegerType()), T.StructField("price", T.StringType()),
+    T.StructField("amount", T.StringType()), T.StructField("cards", T.IntegerType()),
+])
+
+
+def _plan_options(html: str | None, currency: str | None) -> dict[str, tuple]:
+    """Each plan's best card of a page, and how many of its cards have a price.
+
+    Kind 0 has several amounts, 1 is no promotion, 2 is a promotion.
+    """
+    if html is None or currency not in PRICE_PATTERNS:
+        return {}
     # Class names of a card and its headline, and what ends a headline.
     card_class, headline_class, headline_ends = "gallery-item", "tile-headline", r"</p>|<ul\b|</div>"
-    cut = pages.select(
-        *keys, F.col(currency).alias("currency"), F.posexplode(_elements(F.col(html), "li", card_class)).alias("card_no", "card")
-    )
-    tag = F.regexp_extract("card", r"(?i)^<li\b[^>]*>", 0)
-    plan = F.lit(None).cast("string")
-    for name in MUSIC_PLANS:
-        plan = F.when(tag.rlike(rf"""(?i)\bid=["']{name}["']"""), F.lit(name)).otherwise(plan)
-    headlines = F.transform(_elements(F.col("card"), "p", headline_class), lambda e: _inside(e, "p", headline_ends))
-    headline = F.get(F.array_compact(headlines), F.lit(0))
-    cards = kept_apart(cut.withColumn("plan", plan).filter(F.col("plan").isNotNull()), headline=headline).filter(
-        F.col("headline").isNotNull()
-    )
-    read = kept_apart(cards, text=html_to_text(F.col("headline"), drop_scripts=False))
-    options = (
-        kept_apart(read, mentions=price_mentions(F.col("text"), F.col("currency")))
-        .filter(F.size("mentions") > 0)
-        .withColumn("last", F.element_at("mentions", -1))
-        .withColumn("promotion", F.col("text").rlike(PROMOTION_WORDS))
-    )
-    at = F.struct("card_no", "last.price", "last.amount")
-    picked = options.groupBy(*keys, "plan").agg(
-        F.min(F.when(F.size("mentions") > 1, at)).alias("several"),
-        F.min(F.when(~F.col("promotion"), at)).alias("plain"),
-        F.min(at).alias("first"),
-        F.count(F.lit(1)).alias("cards"),
-    )
-    best = F.coalesce("several", "plain", F.when(F.col("cards") == 1, F.col("first")))
-    return picked.withColumn("best", best).filter("best.price IS NOT NULL").select(
-        *keys, "plan", lookup(F.col("plan"), MUSIC_PLANS).alias("name"), "best.price", "best.amount"
+    best: dict[str, tuple] = {}
+    low = page_text.ascii_lower(html)
+    cards = page_text.elements(page_text.tags(low, "li", 0, len(low)), card_class, len(low))
+    for card_no, (start, end) in enumerate(cards):
+        plan = page_text.card_plan(low, start, end, tuple(MUSIC_PLANS))
+        if plan is None:
+            continue
+        headlines = page_text.elements(page_text.tags(low, "p", start, end), headline_class, end)
+        headline = page_text.first_inside(html, low, headlines, headline_ends)
+        text = None if headline is None else page_text.plain_text(headline, tuple(ENTITIES.items()), False)
+        mentions = _mentions_of(text, currency)
+        if mentions:
+            kind = 0 if len(mentions) > 1 else 2 if page_text.words(PROMOTION_WORDS).within(text, page_text.folded(text), 0, len(text)) else 1
+            option = (kind, card_no, mentions[-1][4], mentions[-1][3])
+            before = best.get(plan)
+            best[plan] = (*min(option, before[:4] if before else option), (before[4] if before else 0) + 1)
+    return best
+
+
+@F.arrow_udf(T.StructType([T.StructField(plan, OPTION) for plan in MUSIC_PLANS]))
+def _read_plans(pages: pa.Array, currencies: pa.Array) -> pa.Array:
+    kinds = {"kind": pa.int32(), "card_no": pa.int32(), "price": pa.string(), "amount": pa.string(), "cards": pa.int32()}
+    read = [_plan_options(*page) for page in zip(pages.to_pylist(), currencies.to_pylist())]
+    return pa.StructArray.from_arrays([_structs([page.get(plan) for page in read], kinds) for plan in MUSIC_PLANS], list(MUSIC_PLANS))
+
+
+def _card_prices(pages: DataFrame, keys: list[str], html: str, currency: str) -> DataFrame:
+    """Plan, name, price and its canonical amount text.
+
+    One row a page is grouped, with the best card of each plan; cards of pages
+    with equal keys count as cards of one page.
+    """
+    read = kept_apart(pages.select(*keys, F.col(html).alias("__html"), F.col(currency).alias("__currency")), __read=_read_plans("__html", "__currency"))
+    options = read.select(*keys, *[F.col(f"__read.{plan}").alias(f"__{plan}") for plan in MUSIC_PLANS])
+    priced = options.filter(reduce(Column.__or__, [F.col(f"__{plan}").isNotNull() for plan in MUSIC_PLANS]))
+    picked = priced.groupBy(*keys).agg(
+        *[F.min(f"__{plan}").alias(f"__{plan}") for plan in MUSIC_PLANS],
+        *[F.sum(f"__{plan}.cards").alias(f"__{plan}_cards") for plan in MUSIC_PLANS],
     )
 
+    def row(plan: str, name: str) -> Column:
+        best = F.col(f"__{plan}")
+        counts = (best["kind"] < 2) | (F.col(f"__{plan}_cards") == 1)
+        return F.struct(
+            F.lit(plan).alias("plan"), F.lit(name).alias("name"), F.when(counts, best["price"]).alias("price"), best["amount"].alias("amount")
+        )
+
+    rows = F.inline(F.array(*[row(*pair) for pair in MUSIC_PLANS.items()]))
+    return picked.select(*keys, rows).filter(F.col("price").isNotNull())
+
 
 def plan_prices(pages: DataFrame, keys: list[str]) -> DataFrame:
     """Prices of plan cards, and the student plan where a market prints it in the text only.
@@ -436,17 +360,48 @@ def page_prices(pages: DataFrame, keys: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, [part.select(*keys, "name", "price") for part in parts])
 
 
+def _bundle_prices(html: str | None, currency: str | None) -> list[tuple[str, str, str]]:
+    if html is None or currency not in PRICE_PATTERNS:
+        return []
+    low, found = page_text.ascii_lower(html), []
+    paragraphs = page_text.tags(low, "p", 0, len(low))
+    for plan, name in BUNDLE_PLANS.items():
+        paragraph = page_text.first_inside(html, low, page_text.elements(paragraphs, f"plan-{plan}", len(low)), "</p>")
+        if paragraph is not None:
+            mentions = _mentions_of(page_text.plain_text(paragraph, ALL_ENTITIES, True), currency)
+            if mentions:
+                found.append((plan, name, mentions[0][4]))
+    return found
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField(f, T.StringType()) for f in ("plan", "name", "price")])))
+def _read_bundles(pages: pa.Array, currencies: pa.Array) -> pa.Array:
+    kinds = dict.fromkeys(("plan", "name", "price"), pa.string())
+    return _lists([_bundle_prices(*page) for page in zip(pages.to_pylist(), currencies.to_pylist())], kinds)
+
+
 def extract_bundle_cards(pages: DataFrame, keys: list[str], html: str = "html", currency: str = "currency") -> DataFrame:
     """First price of each bundle plan's paragraph."""
-    entries = []
-    for plan, name in BUNDLE_PLANS.items():
-        paragraphs = F.transform(_elements(F.col(html), "p", f"plan-{plan}"), lambda e: _inside(e, "p", "</p>"))
-        first = F.get(F.array_compact(paragraphs), F.lit(0))
-        entries.append(F.struct(F.lit(plan).alias("plan"), F.lit(name).alias("name"), first.alias("paragraph")))
-    found = pages.select(*keys, F.col(currency).alias("__currency"), F.inline(F.array(*entries))).filter("paragraph IS NOT NULL")
-    read = kept_apart(found, __text=html_to_text(F.col("paragraph")))
-    price = F.get(price_mentions(F.col("__text"), F.col("__currency")), F.lit(0))["price"]
-    return kept_apart(read, price=price).select(*keys, "plan", "name", "price").filter(F.col("price").isNotNull())
+    return pages.select(*keys, F.inline(_read_bundles(html, currency)))
+
+
+def _first_section(text: str | None, country: str | None, currency: str | None) -> tuple[int, list[str]] | None:
+    """Number and prices of a page's first section that prices all tiers."""
+    if text is None or country is None or currency not in PRICE_PATTERNS:
+        return None
+    for number, start in enumerate(page_text.section_starts(text, country)):
+        section = text[start : start + TIER_SECTION]
+        if all(tier in section for tier in STORAGE_TIERS):
+            prices = page_text.tier_prices(section, _mentions_of(section, currency), tuple(STORAGE_TIERS))
+            if prices is not None:
+                return number, prices
+    return None
+
+
+@F.arrow_udf(T.StructType([T.StructField("section_no", T.IntegerType()), T.StructField("prices", T.ArrayType(T.StringType()))]))
+def _read_section(texts: pa.Array, countries: pa.Array, currencies: pa.Array) -> pa.Array:
+    pages = zip(texts.to_pylist(), countries.to_pylist(), currencies.to_pylist())
+    return _structs([_first_section(*page) for page in pages], {"section_no": pa.int32(), "prices": pa.list_(pa.string())})
 
 
 def extract_tier_section(pages: DataFrame, keys: list[str]) -> DataFrame:
@@ -455,38 +410,14 @@ def extract_tier_section(pages: DataFrame, keys: list[str]) -> DataFrame:
     pages: keys, text, country, currency.  A section is the text behind one
     mention of the country.
     """
-    quoted = F.concat(F.lit(r"\Q"), F.col("country"), F.lit(r"\E"))
-    found = pages.select(
-        *keys, "text", "currency", F.posexplode(spans(F.col("text"), quoted)).alias("section_no", "s")
-    )
-    section = F.substring(F.col("text"), F.col("s.start") + 1, F.lit(TIER_SECTION))
-    cut = found.select(*keys, "section_no", section.alias("section"), "currency")
-    sections = kept_apart(cut, mentions=price_mentions(F.col("section"), F.col("currency")))
-    prices = []
-    for i, tier in enumerate(STORAGE_TIERS):
-        here = F.instr(F.col("section"), tier) - 1
-        if i + 1 < len(STORAGE_TIERS):
-            until = F.locate(STORAGE_TIERS[i + 1], F.substr(F.col("section"), here + len(tier) + 1)) - 1
-            until = F.when(until >= 0, until + here + len(tier)).otherwise(-1)
-        else:
-            until = F.length("section")
-        prices.append(F.when(here >= 0, _first_between(F.col("mentions"), here, until)))
-    complete = (
-        kept_apart(sections, prices=F.array_compact(F.array(*prices)))
-        .filter(F.size("prices") == len(STORAGE_TIERS))
-        .groupBy(*keys)
-        .agg(F.min(F.struct("section_no", "prices")).alias("best"))
-    )
+    read = kept_apart(pages, __best=_read_section("text", "country", "currency")).select(*keys, "__best")
+    complete = read.filter(F.col("__best").isNotNull()).groupBy(*keys).agg(F.min("__best").alias("best"))
     names = F.array(*[F.lit(f"iCloud+ {tier}") for tier in STORAGE_TIERS])
     return complete.select(*keys, F.posexplode("best.prices").alias("pos", "price")).select(
         *keys, F.col("pos").cast("bigint").alias("pos"), F.element_at(names, F.col("pos") + 1).alias("name"), "price"
     )
 
 
-def _first_between(mentions: Column, after: Column, before: Column) -> Column:
-    return F.get(F.filter(mentions, lambda m: (m["start"] > after) & (m["start"] < before)), F.lit(0))["price"]
-
-
 def fallback_below_anchor(pages: DataFrame, keys: list[str]) -> DataFrame:
     """Highest price of a page strictly below the individual plan.
 

@@ -199,3 +199,34 @@ def test_mentions_are_read_once_a_row_on_arrow_batches(spark):
     cards = prices.extract_bundle_cards(pages, ["id"])
     assert [tuple(r) for r in cards.collect()] == [(1, "family", "Apple One Family", "$3")]
     assert cards._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_pages_are_read_in_one_pass(spark):
+    """No chain of interpreted array expressions: Arrow batches read a page, grouping is native."""
+    columns = "id int, html string, text string, currency string, country string, region string, service string"
+    df = spark.createDataFrame([(1, "", "", "USD", "Japan", "jp", "apple-tv-plus")], columns)
+    reads = [prices.extract_plan_cards(df, ["id"]), prices.extract_bundle_cards(df, ["id"]), prices.extract_tier_section(df, ["id"]), prices.service_prices(df, ["id"])]
+    for read in reads:
+        plan = read._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" in plan and "lambdafunction" not in plan
+
+
+def test_cards_of_pages_with_equal_keys_count_as_one_page(spark):
+    """An only card may be a promotion; a card with several amounts, then a plain one, wins over pages too."""
+    pages_of = {
+        1: [tile("student", "First month free, $5 monthly")] * 2, 2: [tile("student", "trial, $5"), tile("student", "$6")],
+        3: [tile("family", "$7"), tile("family", "$8, later $9")], None: [tile("individual", "$3"), tile("individual", "$2")],
+        4: [tile("family", "$1").replace("gallery-item", "gallery-items"), tile("student", "$4").replace("id=", "data-x=")],
+        5: [tile("individual", "$1").upper().replace("$1", "a&#36;4&AMP;"), "<li class='gallery-item' id='student'", None],
+    }
+    df = spark.createDataFrame([(key, html, "USD") for key, parts in pages_of.items() for html in parts], "id int, html string, currency string")
+    got = sorted((r.id or 0, r.plan, r.price) for r in prices.extract_plan_cards(df, ["id"]).collect())
+    assert got == [(0, "individual", "$2"), (2, "student", "$6"), (3, "family", "$9"), (5, "individual", "$4")]
+
+
+def test_cadence_of_a_page_with_many_prices(spark):
+    """Letters that ignoring case finds equal, and more prices and words than pairs could be made of."""
+    rows = [("$1 per year, " * 30_000 + "$2 monthly", "us"), ("$3 MENSUAL or ₺ $4 YILLIK", "tr"), ("$5 aylık, $6 yillik", "tr"), (None, "us")]
+    df = spark.createDataFrame([(i, t, r, "USD", "apple-arcade") for i, (t, r) in enumerate(rows)], "id int, text string, region string, currency string, service string")
+    got = {(r.id, r.pos): r.price for r in prices.service_prices(df, ["id"]).collect()}
+    assert got == {(0, 0): "$2", (0, 1): "$1", (1, 0): "$3", (1, 1): "$4", (2, 0): "$5", (2, 1): "$6"}
