@@ -296,11 +296,9 @@ def _structured(spark: SparkSession, sf: str) -> DataFrame:
     read = pages.read_structured_catalog(payloads(spark, sf), "payload", "app_id")
     header = ["l_orderkey", "status", "matched_name"]
     fields = ["pos", "name", "price", "product_id", "offer_name", "billing_period"]
-    rows = pages.structured_items(read, ["l_orderkey", "matched_name"]).select(*header, *fields)
-    empty = read.filter("status <> 'ok-structured'").select(
-        *header, F.lit(None).cast("bigint").alias("pos"), *[F.lit(None).cast("string").alias(c) for c in fields[1:]]
-    )
-    return rows.unionByName(empty).groupBy(*header, *fields).agg(n_rows())
+    # One pass: a payload without products is a row with its status alone.
+    rows = pages.structured_items(read, ["l_orderkey", "matched_name"], outer=True).select(*header, *fields)
+    return rows.groupBy(*header, *fields).agg(n_rows())
 
 
 @query(

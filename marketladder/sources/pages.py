@@ -213,23 +213,32 @@ def read_structured_catalog(payloads: DataFrame, payload: str, app_id: str) -> D
     parsed = kept_apart(payloads, __app=F.get(expected, F.lit(0)))
     raw = F.col("__app.views.`top-in-app-purchasables`.data")
 
-    def product(entry: Column, pos: Column) -> Column:
-        attributes = entry["attributes"]
-        offers = attributes["offers"]
+    # In steps, as an array expression works out again what it names twice.
+    def with_offer(entry: Column, pos: Column) -> Column:
+        offers = entry["attributes"]["offers"]
         offer = F.coalesce(F.get(F.filter(offers, lambda o: o["type"] == "buy"), F.lit(0)), F.get(offers, F.lit(0)))
+        return F.struct(pos.cast("bigint").alias("pos"), entry["id"].alias("id"), entry["attributes"].alias("a"), offer.alias("offer"))
+
+    def trimmed(entry: Column) -> Column:
+        return F.struct(
+            entry["pos"].alias("pos"),
+            strip(entry["a"]["name"]).alias("name"),
+            strip(entry["offer"]["priceFormatted"]).alias("price"),
+            strip(entry["id"]).alias("product_id"),
+            strip(entry["a"]["offerName"]).alias("offer_name"),
+            strip(entry["offer"]["recurringSubscriptionPeriod"]).alias("billing_period"),
+            strip(entry["a"]["subscriptionFamilyId"]).alias("family_id"),
+            entry["a"]["isSubscription"].alias("is_subscription"),
+        )
+
+    def product(entry: Column) -> Column:
+        texts = ["name", "price", "product_id", "offer_name", "billing_period", "family_id"]
         return F.struct(
-            pos.cast("bigint").alias("pos"),
-            _text(attributes["name"]).alias("name"),
-            _text(offer["priceFormatted"]).alias("price"),
-            _text(entry["id"]).alias("product_id"),
-            _text(attributes["offerName"]).alias("offer_name"),
-            _text(offer["recurringSubscriptionPeriod"]).alias("billing_period"),
-            _text(attributes["subscriptionFamilyId"]).alias("family_id"),
-            attributes["isSubscription"].alias("is_subscription"),
+            entry["pos"].alias("pos"), *[F.when(entry[t] != "", entry[t]).alias(t) for t in texts], entry["is_subscription"].alias("is_subscription")
         )
 
     complete = F.filter(
-        F.transform(raw, product),
+        F.transform(F.transform(F.transform(raw, with_offer), trimmed), product),
         lambda p: p["name"].isNotNull() & p["price"].isNotNull() & p["product_id"].isNotNull(),
     )
     status = (
@@ -253,8 +262,8 @@ def read_structured_catalog(payloads: DataFrame, payload: str, app_id: str) -> D
     )
 
 
-def structured_items(catalogs: DataFrame, keys: list[str]) -> DataFrame:
-    """Product rows of read payloads, the first row of each product.
+def structured_items(catalogs: DataFrame, keys: list[str], outer: bool = False) -> DataFrame:
+    """Product rows of read payloads, the first row of each product; ``outer``: and a row for a payload without any.
 
     A payload is one bounded document, so repeats are dropped inside its list
     and nothing is shuffled.
@@ -263,7 +272,8 @@ def structured_items(catalogs: DataFrame, keys: list[str]) -> DataFrame:
         return F.filter("products", lambda p, i: F.array_position(ids, p["product_id"]) == i + 1)
 
     first = once(F.transform("products", lambda p: p["product_id"]), first_of_each)
-    return catalogs.select(*keys, "status", F.explode(first).alias("p")).select(*keys, "status", "p.*")
+    rows = F.explode_outer(first) if outer else F.explode(first)
+    return catalogs.select(*keys, "status", rows.alias("p")).select(*keys, "status", "p.*")
 
 
 def prefer_structured(structured: DataFrame, web: DataFrame, anchor: Column) -> DataFrame:

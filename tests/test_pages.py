@@ -45,6 +45,19 @@ def test_catalog_payload(spark):
     ]
 
 
+def test_payloads_with_and_without_products_in_one_pass(spark):
+    products = [{"id": " 1 ", "attributes": {"name": " A ", "offerName": " ", "offers": [{"priceFormatted": "$1 "}]}}, {"id": "2", "attributes": {"name": " "}}, {"id": "3"}]
+    apps = [{"id": "1", "views": {"top-in-app-purchasables": {"data": products}}}, {"id": "2", "views": {"top-in-app-purchasables": {"data": products[1:]}}}, {"id": "3"}]
+    df = spark.createDataFrame([(i, json.dumps({"data": apps})) for i in ("1", "2", "3", "4", None)], "app_id string, payload string")
+    read = pages.read_structured_catalog(df, "payload", "app_id")
+    rows = pages.structured_items(read, ["app_id"], outer=True)
+    assert sorted((r.app_id or "", r.status, r.pos, r["name"], r.price, r.product_id, r.offer_name) for r in rows.collect()) == [
+        ("", "catalog-app-missing", *[None] * 5), ("1", "ok-structured", 0, "A", "$1", "1", None), ("2", "catalog-iap-empty", *[None] * 5),
+        ("3", "catalog-iap-view-missing", *[None] * 5), ("4", "catalog-app-missing", *[None] * 5),
+    ]
+    assert pages.structured_items(read, ["app_id"]).count() == 1
+
+
 def test_snapshot_files(spark, tmp_path):
     document = {
         "generatedAt": "t0", "regions": ["us"], "apps": [
